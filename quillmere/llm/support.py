@@ -63,20 +63,16 @@ def _forget_all() -> None:
             pass
 
 
-def is_hot(count: Column, total: int) -> Column:
-    """True for keys with over a thousandth of all rows, so for fewer than 1000 keys whatever the data."""
-    return count * F.lit(1000) > F.lit(max(total, 1))
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner", share: int = 1000) -> DataFrame:
+    """Joins left, of total rows, to right, which has each key's rows and in count how many left has of it.
 
-
-def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
-    """Joins left to right, which has one row for each key and in count the rows that left has of it.
-
-    Hot keys (see is_hot; fewer than 1000) are broadcast, so that no key's rows meet in one task;
-    all others have at most a thousandth of the rows and are shuffled.
+    Hot keys, with over one part in ``share`` of left's rows, are broadcast, so that no key's rows meet
+    in one task. They are fewer than ``share`` keys whatever the data. All others are shuffled.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
-    hot, cold = right.where(is_hot(F.col(count), total)), right.where(~is_hot(F.col(count), total))
+    is_hot = F.col(count) * F.lit(share) > F.lit(max(total, 1))
+    hot, cold = right.where(is_hot), right.where(~is_hot)
     one = left.join(F.broadcast(hot), key, "inner")
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
     return one.unionByName(rest.join(cold, key, how))

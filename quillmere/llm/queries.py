@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import byte_bpe, exact_dedup, near_dedup, packing
+from quillmere.llm import byte_bpe, exact_dedup, near_dedup, packing, token_store
 from quillmere.llm.support import read
 
 
@@ -30,8 +30,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_exact_dedup, op8_byte_bpe, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_exact_dedup, op8_byte_bpe, op9_minhash_near_dedup, op10_token_store)}
 
 
 OP4_SQL = """

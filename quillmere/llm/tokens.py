@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable
+from unicodedata import is_normalized
 
 import numpy as np
 import public_tokenizers
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 
-#: A word of ASCII letters and the marks after it. No token spans the two, nor a blank.
-_WORD_AND_MARKS = re.compile(r"([a-z]+)([^a-z0-9'\s<>|]+)")
+#: Marks that may follow a word; no token spans the two, nor a blank.
+_MARKS = ".,*%&$#!?;:\"()-_/\\@+=~^`"
 _WORD_END = "</w>"
 
 
@@ -26,11 +26,16 @@ class WordIds:
 
     def __init__(self, path: str = WORD_FILE, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self._encode = tokenizer.encode_batch_fast
+        # Words of letters, lower-cased and in NFC, need neither the normaliser nor the splitting pattern.
+        plain = Tokenizer.from_file(path)
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._encode_plain = plain.encode_batch_fast
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
         self._limit = limit
@@ -44,7 +49,7 @@ class WordIds:
         out: list[bytes] = []
         for i in range(0, len(words), 1000):
             some = words[i : i + 1000]
-            ids = np.array(self._encode([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self._encode_plain([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * np.flatnonzero(self._ends[ids]) + 4).tolist()
             raw = ids.tobytes()
             if len(ends) == len(some):
@@ -55,19 +60,26 @@ class WordIds:
 
     def _learn(self, parts: set[str]) -> None:
         known = self._known
+        known.setdefault("", b"")
         split: dict[str, tuple[str, str]] = {}
-        need: set[str] = set()
+        words: set[str] = set()
+        others: set[str] = set()
         for part in parts:
-            found = _WORD_AND_MARKS.fullmatch(part.lower()) if part.isascii() else None
-            if found:
-                split[part] = found.groups()
-                need.update(x for x in split[part] if x not in known)
+            low = part.lower()
+            word = low.rstrip(_MARKS)
+            # Lower-casing a whole word differs from lower-casing its letters one by one only for a capital sigma.
+            if word.isalpha() and (part.isascii() or "\u03a3" not in part and is_normalized("NFC", low)):
+                words.add(word)
+                if word != part:
+                    marks = low[len(word) :]
+                    others.add(marks)
+                    split[part] = word, marks
             else:
-                need.add(part)
-        words = [x for x in need if x.lower().isalpha()]
-        known.update(zip(words, self._encoded_words(words)))
-        others = [x for x in need if x not in known]
-        known.update(zip(others, self._encoded(others)))
+                others.add(part)
+        new = list(words - known.keys())
+        known.update(zip(new, self._encoded_words(new)))
+        new = list(others - known.keys())
+        known.update(zip(new, self._encoded(new)))
         for part, (word, marks) in split.items():
             known[part] = known[word] + known[marks]
 

@@ -64,7 +64,7 @@ class Shingles:
         known = self._known
         if len(known) > self._limit:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         k = min(self.k, len(words))

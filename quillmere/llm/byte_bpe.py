@@ -121,7 +121,8 @@ class _Digests:
             self._ids.clear()
             self._back.clear()
         encode, decimal, token = self._bpe.encode_piece, self._decimal.__getitem__, self._bpe.tokens.__getitem__
-        for piece in set(pieces) - self._ids.keys():
+        known = self._ids
+        for piece in {x for x in pieces if x not in known}:
             ids = encode(piece.encode("utf-8"))
             self._ids[piece] = b",".join(map(decimal, ids))
             self._back[piece] = b"".join(map(token, ids))

@@ -76,9 +76,9 @@ class WordIds:
                     split[part] = word, marks
             else:
                 others.add(part)
-        new = list(words - known.keys())
+        new = [x for x in words if x not in known]
         known.update(zip(new, self._encoded_words(new)))
-        new = list(others - known.keys())
+        new = [x for x in others if x not in known]
         known.update(zip(new, self._encoded(new)))
         for part, (word, marks) in split.items():
             known[part] = known[word] + known[marks]
@@ -89,12 +89,13 @@ class WordIds:
         size = 0
 
         def flush() -> None:
-            new = {w for words in block for w in words} - self._known.keys()
-            if len(self._known) + len(new) > self._limit:
-                self._known.clear()
+            known = self._known
+            new = {w for words in block for w in words if w not in known}
+            if len(known) + len(new) > self._limit:
+                known.clear()
                 new = {w for words in block for w in words}
             self._learn(new)
-            get = self._known.__getitem__
+            get = known.__getitem__
             out.extend([b"".join(map(get, words)) for words in block])
 
         for text in texts:

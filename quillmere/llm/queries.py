@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import byte_bpe, exact_dedup, near_dedup, packing, token_store
+from quillmere.llm import byte_bpe, exact_dedup, near_dedup, packing, token_store, toxicity
 from quillmere.llm.support import read
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_exact_dedup, op8_byte_bpe, op9_minhash_near_dedup, op10_token_store)}
+    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_exact_dedup, op8_byte_bpe, op9_minhash_near_dedup, op10_token_store)}
 
 
 OP4_SQL = """

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS, FEATURES = 16_000, 4_096
 #: Evidence that a feature needs: its distance from the base rate in standard deviations.
 EVIDENCE = 4.0
-RIDGE, FAIRNESS, STEPS = 2e-4, 1.0, 400
+RIDGE, FAIRNESS, STEPS = 5e-5, 1.0, 600
 THRESHOLD = 0.7
 PREFIXES = (3, 4, 5, 6)
 

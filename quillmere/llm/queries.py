@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import ann, byte_bpe, exact_dedup, near_dedup, packing, token_store, toxicity, url_filter
+from quillmere.llm import ann, byte_bpe, exact_dedup, html_extract, near_dedup, packing, token_store, toxicity, url_filter
 from quillmere.llm.support import read
 
 
@@ -43,6 +43,10 @@ def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(read(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_exact_dedup, op5_ivf_pq_search, op6_url_templates, op8_byte_bpe, op9_minhash_near_dedup, op10_token_store)}
+    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_exact_dedup, op5_ivf_pq_search, op6_url_templates, op7_html_mincut, op8_byte_bpe, op9_minhash_near_dedup, op10_token_store)}
 
 
 OP4_SQL = """

@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import ann, byte_bpe, exact_dedup, html_extract, near_dedup, packing, token_store, toxicity, url_filter
+from quillmere.llm import ann, byte_bpe, exact_dedup, html_extract, licenses, near_dedup, packing, token_store, toxicity, url_filter
 from quillmere.llm.support import read
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files source/lang/doc_id: each source is a tree with a directory for each language."""
+    docs = read(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text")
+    return licenses.scan(files).withColumnRenamed("file_id", "doc_id")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -60,7 +67,61 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_best_fit_packing, op4_exact_dedup, op5_ivf_pq_search, op6_url_templates, op7_html_mincut, op8_byte_bpe, op9_minhash_near_dedup, op10_token_store)}
+    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_best_fit_packing, op4_exact_dedup, op5_ivf_pq_search, op6_url_templates, op7_html_mincut, op8_byte_bpe, op9_minhash_near_dedup, op10_token_store)}
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP1_SQL = f"""
+WITH statements AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_sql_text(n)}, {_sql_text(t)})" for i, (n, t) in enumerate(licenses.TEMPLATES))}) AS v(statement, license, text)),
+files AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, concat_ws('/', source, lang) AS dir, coalesce(text, '') AS text FROM documents),
+n AS (SELECT count(*) AS total FROM files),
+s_tf AS (
+  SELECT statement, license, term, count(*) AS tf
+  FROM (SELECT statement, license, unnest(regexp_extract_all(lower(text), '{licenses.TERM}')) AS term FROM statements) GROUP BY ALL
+),
+known AS (SELECT DISTINCT term FROM s_tf),
+df AS (
+  SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{licenses.TERM}'))) AS term FROM files)
+  WHERE term IN (SELECT term FROM known) GROUP BY term
+),
+idf AS (SELECT term, ln((1.0 + total) / (1 + coalesce(df, 0))) + 1 AS idf FROM known LEFT JOIN df USING (term), n),
+s_w AS (SELECT statement, license, term, tf * idf AS w FROM s_tf JOIN idf USING (term)),
+s AS (SELECT statement, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY statement)) AS w FROM s_w),
+headers AS (
+  SELECT DISTINCT doc_id, dir, 'line' AS part, line
+  FROM (SELECT doc_id, dir, unnest(string_split(text, chr(10))) AS line FROM files) WHERE regexp_matches(lower(line), '{licenses.ANCHOR}')
+),
+parts AS (
+  SELECT * FROM headers
+  UNION ALL SELECT doc_id, dir, 'whole', text FROM files WHERE doc_id IN (SELECT doc_id FROM headers)
+),
+tf AS (
+  SELECT doc_id, dir, part, line, term, count(*) AS tf
+  FROM (SELECT *, unnest(regexp_extract_all(lower(line), '{licenses.TERM}')) AS term FROM parts) GROUP BY ALL
+),
+w AS (SELECT tf.*, tf * coalesce(idf, ln(1.0 + total) + 1) AS w FROM tf LEFT JOIN idf USING (term), n),
+norm AS (SELECT doc_id, part, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+dot AS (SELECT doc_id, dir, part, line, statement, license, sum(w.w * s.w) AS dot FROM w JOIN s USING (term) GROUP BY ALL),
+cosine AS (SELECT doc_id, dir, part, license, round(dot / norm, 6) AS score FROM dot JOIN norm USING (doc_id, part, line)),
+own AS (
+  SELECT doc_id, license AS own_license, score AS own_score FROM cosine WHERE part = 'line' AND score >= {licenses.HEADER_COSINE}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
+),
+file_like AS (SELECT * FROM cosine WHERE part = 'whole' AND score >= {licenses.FILE_COSINE}),
+by_dir AS (SELECT dir AS above, license AS dir_license FROM file_like QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+dirs AS (SELECT DISTINCT dir FROM files),
+near AS (
+  SELECT dir, above, dir_license FROM dirs JOIN by_dir ON dir = above OR above = '' OR starts_with(dir, above || '/')
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1
+),
+best AS (SELECT doc_id, max(score) AS file_license_score FROM file_like GROUP BY doc_id)
+SELECT doc_id, path, own_license, own_score, coalesce(own_license, dir_license) AS license,
+       CASE WHEN own_license IS NULL THEN above END AS inherited_from, file_license_score
+FROM files LEFT JOIN near USING (dir) LEFT JOIN own USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
 
 
 OP4_SQL = """
@@ -74,4 +135,4 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op1_license_scan": OP1_SQL, "op4_exact_dedup": OP4_SQL}

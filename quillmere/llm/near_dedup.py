@@ -25,14 +25,16 @@ from pyspark.sql import functions as F
 
 from quillmere.llm import support
 
-COORDINATES = 64  # minwise values of a document
+COORDINATES = 128  # minwise values of a document
 BRANCHES = 2
 DEPTH = 3
 MISS = 1e-4
 #: A node with more classes is branched further, for as many levels, before it is compared in blocks.
 LARGE, MORE_LEVELS, BLOCK = 2048, 6, 1024
+#: Of each other label that a class may be linked to, so many candidates are confirmed in the first round, the second, and the last.
+ROUNDS = (1, 16, 1 << 30)
 #: Sketches may agree by so many standard deviations less than the threshold asks.
-DEVIATIONS = 5
+DEVIATIONS = 4
 
 _MULTIPLIERS = np.random.default_rng(20_240_607).integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _POSITIONS = np.random.default_rng(77).integers(1, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,6 +160,53 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def _group_numbers(rows: pd.DataFrame) -> np.ndarray:
+    node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
+    return np.concatenate([[0], np.cumsum((node[1:] != node[:-1]) | (block[1:] != block[:-1]))])
+
+
+def _similar(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int, top: int) -> pd.DataFrame:
+    """Candidate pairs in each group of rows, which stand together: small groups all at once, large ones row by row."""
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, COORDINATES)
+    rep, label, size, minor, own = (rows[c].to_numpy() for c in ("rep", "label", "n_shingles", "minor", "own"))
+    left, right, score = [], [], []
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        fits = (label[i] != label[j]) & (minor[i] | minor[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+        i, j = i[fits], j[fits]
+        same = (sketch[i] == sketch[j]).sum(axis=1)
+        left.append(i[same >= agree])
+        right.append(j[same >= agree])
+        score.append(same[same >= agree])
+
+    sizes = np.bincount(group)
+    small = np.flatnonzero(sizes[group] <= 64)
+    apart = 1
+    at = small[: len(small) - apart]
+    while len(at):
+        at = at[at + apart < len(group)]
+        at = at[group[at + apart] == group[at]]
+        add(at, at + apart)
+        apart += 1
+    for g in np.flatnonzero(sizes > 64):
+        members = np.flatnonzero(group == g)
+        others = members[minor[members]]
+        for i in members[own[members]]:
+            # A pair that is of the minority on both sides is met from its smaller rep's block.
+            add(np.full(len(others), i), others) if not minor[i] else add(np.full(int((rep[others] > rep[i]).sum()), i), others[rep[others] > rep[i]])
+    i, j, same = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right, score))
+    kept, more = np.zeros(len(i), bool), np.zeros(len(i), bool)
+    for a, b in ((i, j), (j, i)):  # each class's best candidates of each other label
+        order = np.lexsort((rep[b], -same, label[b], rep[a]))
+        starts = np.flatnonzero(np.concatenate([[True], (rep[a][order][1:] != rep[a][order][:-1]) | (label[b][order][1:] != label[b][order][:-1])]) if len(order) else np.empty(0, bool))
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        kept[order[place < top]] = True
+        more[order[place == top]] = True
+    more &= ~kept
+    shown = kept | more
+    return pd.DataFrame({"u": np.maximum(rep[i], rep[j])[shown], "v": np.minimum(rep[i], rep[j])[shown], "more": more[shown]})
+
+
 class _Join:
     """One run over the classes of equal sets: who shares a node, what was tested, what is connected."""
 
@@ -224,40 +273,35 @@ class _Join:
     def compared(self, apart: DataFrame, top: int) -> DataFrame:
         """Pairs u > v of different labels in a node whose sketches agree enough: for each class the best ``top`` of each other label.
 
-        A node is dealt out in blocks. Classes with its most frequent label are in one block each; the others,
-        which must be compared to all, are in every block. more: this class had more than ``top``.
+        A node is dealt out in blocks. Every class is in its own block; those without the node's most frequent label, which must be
+        compared to all, are in the others too. more: some class had more candidates than ``top`` beside this pair.
         """
         percent, agree = self.percent, self.agree
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        minor = F.col("label") != F.col("most")
         own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
         dealt = (
-            apart.withColumn("minor", minor)
-            .withColumn("block", F.explode(F.when(minor, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
+            apart.select("node", "rep", "label", "n_shingles", (F.col("label") != F.col("most")).alias("minor"), own.alias("own"), blocks.alias("blocks"))
+            .withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+            .select("node", "block", "rep", "label", "n_shingles", "minor", (F.col("own") == F.col("block")).alias("own"))
             .join(self.classes.select("rep", "sketch"), "rep")
         )
 
-        def compare(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("rep", ignore_index=True)
-            sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, COORDINATES)
-            rep, label, size = (rows[c].to_numpy() for c in ("rep", "label", "n_shingles"))
-            out = []
-            for i in np.flatnonzero(rows["minor"].to_numpy()):
-                fits = (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-                js = np.flatnonzero(fits)
-                score = (sketch[js] == sketch[i]).sum(axis=1)
-                js, score = js[score >= agree], score[score >= agree]
-                order = np.lexsort((rep[js], -score))
-                seen: dict[int, int] = {}
-                for j in js[order]:
-                    seen[label[j]] = seen.get(label[j], 0) + 1
-                    if seen[label[j]] <= top:
-                        out.append((max(rep[i], rep[j]), min(rep[i], rep[j]), False))
-                    elif seen[label[j]] == top + 1:
-                        out.append((max(rep[i], rep[j]), min(rep[i], rep[j]), True))
-            return pd.DataFrame(out, columns=["u", "v", "more"])
-
-        return dealt.groupBy("node", "block").applyInPandas(compare, "u long, v long, more boolean")
+        def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
+            for batch in batches:
+                rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+                if not len(rows):
+                    continue
+                group = _group_numbers(rows)
+                whole = np.flatnonzero(group == group[-1])[0]  # the last node may go on in the next batch
+                held = rows.iloc[whole:]
+                if whole:
+                    yield _similar(rows.iloc[:whole], group[:whole], percent, agree, top)
+            if held is not None and len(held):
+                yield _similar(held, _group_numbers(held), percent, agree, top)
+
+        parted = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "rep")
+        return parted.mapInPandas(compare, "u long, v long, more boolean")
 
     def run(self) -> DataFrame | None:
         """node and label of all classes that are linked; None if there are none."""
@@ -271,17 +315,15 @@ class _Join:
         for deeper in range(MORE_LEVELS + 1):
             apart = self.apart(level)
             last = deeper == MORE_LEVELS
-            top = 1
-            while True:
+            for top in ROUNDS:
                 small = apart if last else apart.where(F.col("n") <= LARGE)
                 found = support.materialise(self.compared(small, top), "compared")
-                new = support.materialise(found.where("NOT more").select("u", "v").distinct().join(self.tested, ["u", "v"], "left_anti"), "new")
+                new = support.materialise(found.select("u", "v").distinct().join(self.tested, ["u", "v"], "left_anti"), "new")
                 if not new.isEmpty():
                     self.verify(new)
                     apart = self.apart(level)
-                elif found.where("more").isEmpty():
+                if found.where("more").isEmpty():
                     break
-                top *= 4
             large = apart.where(F.col("n") > LARGE)
             if last or large.isEmpty():
                 break

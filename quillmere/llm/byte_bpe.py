@@ -1,8 +1,8 @@
 """Byte-level BPE by a queue of merge ranks: a hierarchical bitmap over buckets of positions.
 
 A piece is a linked list of byte spans. Each pair of neighbours whose union is a token waits in the
-bucket of that token's rank; a three-level bitmap knows which buckets hold something, so that
-find-first-set on three words gives the lowest rank. Within a bucket the leftmost position comes first,
+bucket of that token's rank; a two-level bitmap of 256-bit words knows which buckets hold something, so that
+find-first-set on two words gives the lowest rank. Within a bucket the leftmost position comes first,
 and entries whose pair has changed since are skipped. A merge costs the same in a piece of any
 length, so that a piece of a million bytes takes time in proportion to its length (and the logarithm of a bucket).
 """
@@ -31,10 +31,7 @@ class ByteBpe:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pieces = regex.compile(pattern).findall
-        words = (max(self.ranks.values()) >> 6) + 1
-        self._low = [0] * words  # a bit for each rank
-        self._mid = [0] * ((words >> 6) + 1)  # a bit for each word of _low
-        self._top = 0  # a bit for each word of _mid; an int of as many bits as needed
+        self._low = [0] * ((max(self.ranks.values()) >> 8) + 1)  # a bit for each rank, empty between calls
         self._buckets: dict[int, list[int]] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -42,36 +39,32 @@ class ByteBpe:
         if (whole := ranks.get(piece)) is not None:
             return [whole]
         n = len(piece)
-        get, low, mid, buckets = ranks.get, self._low, self._mid, self._buckets
+        get, low, buckets = ranks.get, self._low, self._buckets
         after = list(range(1, n + 2))  # where the span that begins here ends, and the next begins
         before = list(range(-1, n))
         pair: list[int | None] = [get(piece[i : i + 2]) for i in range(n - 1)] + [None, None]
-        top = 0
-        for i in range(n - 1):
-            r = pair[i]
+        top = 0  # a bit for each word of low
+        for i, r in enumerate(pair):
             if r is not None:
                 if r in buckets:
                     buckets[r].append(i)  # ascending, so a heap
                 else:
                     buckets[r] = [i]
-                    low[r >> 6] |= 1 << (r & 63)
-                    mid[r >> 12] |= 1 << (r >> 6 & 63)
-                    top |= 1 << (r >> 12)
+                    low[r >> 8] |= 1 << (r & 255)
+                    top |= 1 << (r >> 8)
         while top:
-            c = (top & -top).bit_length() - 1
-            w = mid[c]
-            b = c << 6 | ((w & -w).bit_length() - 1)
+            b = (top & -top).bit_length() - 1
             w = low[b]
-            r = b << 6 | ((w & -w).bit_length() - 1)
+            r = b << 8 | ((w & -w).bit_length() - 1)
             bucket = buckets[r]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[r]
-                low[b] &= low[b] - 1
-                if not low[b]:
-                    mid[c] &= mid[c] - 1
-                    if not mid[c]:
-                        top &= top - 1
+                low[b] = w = w & (w - 1)
+                if not w:
+                    top &= top - 1
             if pair[i] != r:
                 continue  # stale
             j = after[i]
@@ -80,19 +73,23 @@ class ByteBpe:
             if k <= n:
                 before[k] = i
             p = before[i]
-            for left, end in ((i, after[k] if k < n else 0), (p, k)):
-                if left < 0:
-                    continue
-                new = get(piece[left:end]) if end else None
-                pair[left] = new
+            new = pair[i] = get(piece[i : after[k]]) if k < n else None
+            if new is not None:
+                if new in buckets:
+                    heappush(buckets[new], i)
+                else:
+                    buckets[new] = [i]
+                    low[new >> 8] |= 1 << (new & 255)
+                    top |= 1 << (new >> 8)
+            if p >= 0:
+                new = pair[p] = get(piece[p:k])
                 if new is not None:
                     if new in buckets:
-                        heappush(buckets[new], left)
+                        heappush(buckets[new], p)
                     else:
-                        buckets[new] = [left]
-                        low[new >> 6] |= 1 << (new & 63)
-                        mid[new >> 12] |= 1 << (new >> 6 & 63)
-                        top |= 1 << (new >> 12)
+                        buckets[new] = [p]
+                        low[new >> 8] |= 1 << (new & 255)
+                        top |= 1 << (new >> 8)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -109,7 +106,7 @@ class ByteBpe:
 class _Digests:
     """Digests of encoded and decoded texts; each distinct piece is encoded and decoded once while remembered."""
 
-    def __init__(self, bpe: ByteBpe, limit: int = 600_000):
+    def __init__(self, bpe: ByteBpe, limit: int = 1_200_000):
         self._bpe, self._limit = bpe, limit
         self._decimal = {i: b"%d" % i for i in bpe.tokens}
         self._ids: dict[str, bytes] = {}  # decimal ids, joined by commas

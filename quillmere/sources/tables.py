@@ -28,7 +28,7 @@ def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(orders, items.l_orderkey == orders.o_orderkey).select(
         "tenant_id", F.col("l_suppkey").alias("actor"), F.concat("l_returnflag", "l_linestatus").alias("feature"), F.col("l_quantity").cast("decimal(20,6)").alias("quantity"),
         (F.col("l_quantity") * 0.5).cast("decimal(20,6)").alias("credits"), F.floor("l_extendedprice").cast("long").alias("cost_micros"),
-        F.col("l_shipdate").cast("timestamp_ntz").alias("occurred_at"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("idempotency_key"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("occurred_at"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("idempotency_key"),
     )
 
 
@@ -58,7 +58,7 @@ EVENTS_SQL = """ev AS (
 USAGE_SQL = """usage AS (
   SELECT o_custkey % 20 AS tenant_id, l_suppkey AS actor, l_returnflag || l_linestatus AS feature, CAST(l_quantity AS DECIMAL(20,6)) AS quantity,
          CAST(l_quantity * 0.5 AS DECIMAL(20,6)) AS credits, CAST(floor(l_extendedprice) AS BIGINT) AS cost_micros, l_shipdate AS occurred_at,
-         l_orderkey || ':' || l_linenumber AS idempotency_key
+         concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS idempotency_key
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 )"""
 CREDITS_SQL = """credits AS (

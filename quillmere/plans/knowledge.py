@@ -1 +1,149 @@
-"""Queries."""
+"""Queries on graphs, knowledge blocks and telemetry."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmere.functions import strings
+from quillmere.operators import graph, knowledge
+from quillmere.plans.registry import query
+from quillmere.sources import tables
+from quillmere.sources.tables import EDGES_SQL
+
+_CLOSURE_SQL = f"""WITH RECURSIVE {EDGES_SQL}, up(node, upstream) AS (SELECT target, source FROM edges UNION SELECT up.node, e.source FROM up JOIN edges e ON up.upstream = e.target)"""
+
+
+@query(f"{_CLOSURE_SQL} SELECT DISTINCT node, upstream FROM up WHERE node <> upstream")
+def graph_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure(tables.part_edges(spark, sf_dir))
+
+
+@query(f"{_CLOSURE_SQL} SELECT node, count(DISTINCT upstream) + 1 AS scope FROM up WHERE node <> upstream GROUP BY node")
+def knowledge_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of each node's scope, itself included."""
+    return graph.closure(tables.part_edges(spark, sf_dir)).groupBy("node").agg((F.count("*") + 1).alias("scope"))
+
+
+@query(
+    f"""{_CLOSURE_SQL}, p AS (SELECT p_partkey AS source, (p_partkey * 7) % 63 + 1 AS target FROM part WHERE p_partkey BETWEEN 1 AND 63)
+SELECT source, target, CASE WHEN source = target THEN 'self' WHEN (source, target) IN (SELECT (source, target) FROM edges) THEN 'duplicate' WHEN (source, target) IN (SELECT (node, upstream) FROM up WHERE node <> upstream) THEN 'cycle' END AS reason FROM p"""
+)
+def cycle_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proposed = tables.table(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 63").select(F.col("p_partkey").alias("source"), ((F.col("p_partkey") * 7) % 63 + 1).alias("target"))
+    return graph.link_refusals(proposed, tables.part_edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {EDGES_SQL}, tree AS (SELECT * FROM edges WHERE NOT (source = 40 AND target = 5)), walk(node, layer) AS (
+SELECT DISTINCT source, 0 FROM tree WHERE source NOT IN (SELECT target FROM tree) UNION ALL SELECT target, layer + 1 FROM walk JOIN tree ON node = source) SELECT node, max(layer) AS layer FROM walk GROUP BY node"""
+)
+def layered_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.layers(tables.part_edges(spark, sf_dir).where("NOT (source = 40 AND target = 5)"))
+
+
+@query(
+    """WITH RECURSIVE v AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 < 9 AND o_orderkey + 1 <= (SELECT max(o_orderkey) FROM orders) THEN o_orderkey + 1 END AS superseded_by FROM orders WHERE o_orderkey < 3000),
+w(id, head, steps) AS (SELECT id, id, 0 FROM v UNION ALL SELECT w.id, superseded_by, steps + 1 FROM w JOIN v ON w.head = v.id WHERE superseded_by IS NOT NULL)
+SELECT id, arg_max(head, steps) AS head, max(steps) AS steps FROM w GROUP BY id"""
+)
+def supersession_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for versions: each is replaced by the next but for every tenth."""
+    orders = tables.table(spark, sf_dir, "orders").where("o_orderkey < 3000")
+    by = F.when(F.col("o_orderkey") % 10 < 9, F.col("o_orderkey") + 1)
+    return graph.heads(orders.select(F.col("o_orderkey").alias("id"), by.alias("superseded_by")))
+
+
+_ST = ", ".join(f"'{w}'" for w in knowledge.STOP_WORDS)
+_TOK = f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({{}}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda t: length(t) > 2 AND t NOT IN ({_ST})))"
+_BLOCKS_SQL = f"""bl AS (SELECT doc_id AS id, lang AS type, string_split(text, chr(10))[1] AS title, left(text, 400) AS body FROM documents),
+ca AS (SELECT id, type, {_TOK.format('title')} AS t, {_TOK.format('body')} AS b FROM bl WHERE id % 2 = 1 AND id < 400), kn AS (SELECT id AS known_id, type, {_TOK.format('title')} AS kt, {_TOK.format('body')} AS kb FROM bl WHERE id % 2 = 0 AND id < 400)"""
+_OVER = "CASE WHEN least(len(t), len(kt)) < 2 THEN CASE WHEN len(t) = 0 OR len(kt) = 0 THEN 0 ELSE len(list_intersect(t, kt)) / (len(t) + len(kt) - len(list_intersect(t, kt))) END ELSE len(list_intersect(t, kt)) / least(len(t), len(kt)) END"
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The first 400 documents' first lines and beginnings stand for blocks: the odd ones are new, the even ones known."""
+    docs = tables.table(spark, sf_dir, "documents").where("doc_id < 400")
+    blocks = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.left("text", F.lit(400)).alias("body"), F.col("doc_id").alias("recency"))
+    return blocks.where("id % 2 = 1"), blocks.where("id % 2 = 0")
+
+
+@query(
+    f"""WITH {_BLOCKS_SQL}, m AS (SELECT id, known_id, CASE WHEN len(b) = 0 OR len(kb) = 0 THEN 0 ELSE len(list_intersect(b, kb)) / (len(b) + len(kb) - len(list_intersect(b, kb))) END AS sim FROM ca JOIN kn USING (type) WHERE {_OVER} >= 0.6),
+f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY known_id) = 1)
+SELECT ca.id, CASE WHEN f.id IS NULL THEN 'create' WHEN sim >= 0.85 THEN 'skip' ELSE 'update' END AS action, known_id FROM ca LEFT JOIN f ON ca.id = f.id"""
+)
+def fuzzy_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.reconcile(*_blocks(spark, sf_dir))
+
+
+@query(f"WITH {_BLOCKS_SQL} SELECT id, known_id, round({_OVER}, 6) AS overlap FROM ca JOIN kn ON known_id = id - 1 AND ca.type = kn.type")
+def title_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, known = _blocks(spark, sf_dir)
+    t = new.select("id", "type", knowledge.subject_tokens(F.col("title")).alias("t"))
+    k = known.select(F.col("id").alias("known_id"), "type", knowledge.subject_tokens(F.col("title")).alias("kt"))
+    return t.join(k, (F.col("known_id") == F.col("id") - 1) & (t.type == k.type)).select("id", "known_id", F.round(knowledge.same_subject(F.col("t"), F.col("kt")), 6).alias("overlap"))
+
+
+@query()
+def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No oracle: candidates are taken one after another. Lines of a document stand for its candidates."""
+    lines = tables.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 40)).alias("id", "title"))
+    return knowledge.merged_candidates(lines.select("doc_id", "id", F.lit("note").alias("type"), "title", (F.length("title") % 10 / 10).alias("confidence")))
+
+
+_NOW = "2024-01-28 12:00:00"
+
+
+@query(
+    f"""SELECT event_type, count(*) AS total, count(*) FILTER (ts <= TIMESTAMP '{_NOW}' AND ts > TIMESTAMP '{_NOW}' - INTERVAL 15 MINUTE) AS last_15m,
+count(*) FILTER (ts <= TIMESTAMP '{_NOW}' AND ts > TIMESTAMP '{_NOW}' - INTERVAL 7 DAY) AS last_7d, max(ts) AS newest FROM events GROUP BY event_type"""
+)
+def telemetry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = tables.table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return knowledge.counts_by_type(events, "event_type", "ts", F.lit(_NOW).cast("timestamp_ntz"))
+
+
+@query("SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank, o_orderkey, o_orderdate FROM orders QUALIFY rank <= 3")
+def recent_per_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = tables.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+    return knowledge.recent(orders, "o_custkey", "o_orderdate", "o_orderkey")
+
+
+@query("SELECT o_orderpriority AS source, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS processed, count(*) FILTER (o_orderstatus = 'P') AS failed FROM orders GROUP BY 1")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    return tables.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("source")).agg(F.count("*").alias("total"), F.count_if(status == "F").alias("processed"), F.count_if(status == "P").alias("failed"))
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey, s_acctbal < 0 AS error, s_suppkey % 4 AS connections, s_suppkey % 7 = 0 AS syncing, s_suppkey % 90 AS minutes FROM supplier)
+SELECT s_suppkey, CASE WHEN error THEN 'error' WHEN connections = 0 THEN 'idle' WHEN syncing OR minutes < 15 THEN 'active' WHEN minutes < 60 THEN 'live' ELSE 'idle' END AS state FROM s"""
+)
+def connector_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    return tables.table(spark, sf_dir, "supplier").select("s_suppkey", knowledge.connector_state(F.col("s_acctbal") < 0, key % 4, key % 7 == 0, key % 90).alias("state"))
+
+
+_OWNED = "d AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN 'Owner: Ada Lovelace, Bob Stone and cleo Tran' WHEN 1 THEN 'Assignee: BOB STONE' WHEN 2 THEN 'Lead: x@example.org' ELSE 'no one' END AS text FROM documents)"
+
+
+def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    line = F.when(k == 0, "Owner: Ada Lovelace, Bob Stone and cleo Tran").when(k == 1, "Assignee: BOB STONE").when(k == 2, "Lead: x@example.org").otherwise("no one")
+    return tables.table(spark, sf_dir, "documents").select("doc_id", "source", line.alias("text"))
+
+
+@query(f"WITH {_OWNED} SELECT doc_id, trim(unnest(regexp_split_to_array(regexp_replace(text, '^[^:]*:', ''), ',| and '))) AS name FROM d WHERE doc_id % 4 IN (0, 1)")
+def owner_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _owned(spark, sf_dir).select("doc_id", F.explode(strings.owner_names(F.col("text"))).alias("name"))
+
+
+@query(
+    f"""WITH {_OWNED}, n AS (SELECT doc_id, source, trim(unnest(regexp_split_to_array(regexp_replace(text, '^[^:]*:', ''), ',| and '))) AS name FROM d WHERE doc_id % 4 IN (0, 1))
+SELECT lower(name) AS key, min(name) AS name, count(DISTINCT doc_id) AS items, count(DISTINCT source) AS sources FROM n GROUP BY 1"""
+)
+def people_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = _owned(spark, sf_dir).select("doc_id", "source", F.explode(strings.owner_names(F.col("text"))).alias("name"))
+    found = knowledge.attribution(work.withColumn("title", F.col("doc_id")).withColumn("owns", F.lit(True)))
+    return found.select("key", "name", "items", F.size(F.split("sources", ",")).cast("long").alias("sources"))

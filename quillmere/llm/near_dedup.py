@@ -31,8 +31,8 @@ DEPTH = 3
 MISS = 1e-4
 #: A node with more classes is branched further, for as many levels, before it is compared in blocks.
 LARGE, MORE_LEVELS, BLOCK = 2048, 6, 1024
-#: Of each other label that a class may be linked to, so many candidates are confirmed in the first round, the second, and the last.
-ROUNDS = (1, 16, 1 << 30)
+#: So many candidates of each class are confirmed one by one in the first round and the second; if more are left, their nodes are compared exactly.
+ROUNDS = (1, 8)
 #: Sketches may agree by so many standard deviations less than the threshold asks.
 DEVIATIONS = 4
 
@@ -196,15 +196,85 @@ def _similar(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int, to
             add(np.full(len(others), i), others) if not minor[i] else add(np.full(int((rep[others] > rep[i]).sum()), i), others[rep[others] > rep[i]])
     i, j, same = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right, score))
     kept, more = np.zeros(len(i), bool), np.zeros(len(i), bool)
-    for a, b in ((i, j), (j, i)):  # each class's best candidates of each other label
-        order = np.lexsort((rep[b], -same, label[b], rep[a]))
-        starts = np.flatnonzero(np.concatenate([[True], (rep[a][order][1:] != rep[a][order][:-1]) | (label[b][order][1:] != label[b][order][:-1])]) if len(order) else np.empty(0, bool))
+    for a, b in ((i, j), (j, i)):  # each class's best candidates
+        order = np.lexsort((rep[b], -same, rep[a]))
+        first = np.ones(len(order), bool)
+        first[1:] = rep[a][order][1:] != rep[a][order][:-1]
+        starts = np.flatnonzero(first)
         place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
         kept[order[place < top]] = True
-        more[order[place == top]] = True
+        more[order[place >= top]] = True
     more &= ~kept
-    shown = kept | more
-    return pd.DataFrame({"u": np.maximum(rep[i], rep[j])[shown], "v": np.minimum(rep[i], rep[j])[shown], "more": more[shown]})
+    nodes = rows["node"].to_numpy()
+    suppressed = np.unique(nodes[i[more]])
+    none = np.full(len(suppressed), -1)
+    return pd.concat([
+        pd.DataFrame({"u": np.maximum(rep[i], rep[j])[kept], "v": np.minimum(rep[i], rep[j])[kept], "more": None}),
+        pd.DataFrame({"u": none, "v": none, "more": suppressed}),
+    ]).astype({"more": "Int64"})
+
+
+def _links(rows: pd.DataFrame, percent: int, agree: int) -> list[tuple[int, int]]:
+    """Links between classes of different labels in one node's block, on full sets; what is connected on the way isn't compared again.
+
+    The Jaccard distance is a metric, so classes whose distances to a pivot differ by more than a link allows needn't be compared.
+    A pair that shares several nodes is compared in the smallest of them.
+    """
+    rows = rows.reset_index(drop=True)
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, COORDINATES)
+    rep, label, size, minor, own = (rows[c].to_numpy() for c in ("rep", "label", "n_shingles", "minor", "own"))
+    node = int(rows["node"].iloc[0])
+    mine = [frozenset(x) for x in rows["mine"]]
+    sets = [frozenset(x.tolist()) for x in rows["set"]]
+    some = sketch[np.linspace(0, len(rows) - 1, min(len(rows), 64)).astype(int)]
+    agreement = np.array([(some == x).mean() for x in sketch])
+    pivot = int(np.argmax(agreement))
+
+    def similarity(i: int, j: int) -> tuple[int, int]:
+        common = len(sets[i] & sets[j])
+        return common, len(sets[i]) + len(sets[j]) - common
+
+    away = np.array([1 - (c / u if u else 0) for c, u in (similarity(i, pivot) for i in range(len(rows)))])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            x = up
+        return x
+
+    out = []
+    others = np.flatnonzero(minor)
+    for i in np.flatnonzero(own):
+        js = others if not minor[i] else others[rep[others] > rep[i]]
+        js = js[(label[js] != label[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))]
+        js = js[np.abs(away[js] - away[i]) <= 1 - percent / 100 + 1e-9]
+        same = (sketch[js] == sketch[i]).sum(axis=1)
+        js, same = js[same >= agree], same[same >= agree]
+        for j in js[np.argsort(-same, kind="stable")]:
+            a, b = root(label[i]), root(label[j])
+            if a == b or min(mine[i] & mine[j]) != node:
+                continue
+            common, union = similarity(i, j)
+            if 100 * common >= percent * union:
+                parent[max(a, b)] = min(a, b)
+                out.append((max(rep[i], rep[j]), min(rep[i], rep[j])))
+    return out
+
+
+def _whole_groups(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches cut so that rows of one node and block, which stand together, stay together; with their group numbers."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        group = _group_numbers(rows)
+        whole = np.flatnonzero(group == group[-1])[0]  # the last node may go on in the next batch
+        held = rows.iloc[whole:]
+        if whole:
+            yield rows.iloc[:whole], group[:whole]
+    if held is not None and len(held):
+        yield held, _group_numbers(held)
 
 
 class _Join:
@@ -218,10 +288,8 @@ class _Join:
         none = self.spark.createDataFrame([], "u long, v long")
         self.edges, self.tested, self.labels = none, none, None
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Adds links for the pairs u > v whose full sets are similar enough."""
-        pairs = support.materialise(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """doc_id and set of the wanted documents, from their texts."""
         k = self.k
 
         def shingled(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,7 +300,13 @@ class _Join:
                     yield pd.DataFrame({"doc_id": some["doc_id"], "set": [shingles(t).astype(np.int64) for t in some["text"]]})
 
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-        sets = support.materialise(texts.mapInPandas(shingled, "doc_id long, set array<long>").distinct(), "sets")
+        return support.materialise(texts.mapInPandas(shingled, "doc_id long, set array<long>").distinct(), "sets")
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Adds links for the pairs u > v whose full sets are similar enough."""
+        pairs = support.materialise(pairs.distinct(), "pairs")
+        sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+
         # The larger id's set comes by a plain join, as each id is u of few pairs; leaders are v of very many.
         count, total = pairs.groupBy("v").agg(F.count("*").alias("_n")), pairs.count()
         of_v = sets.select(F.col("doc_id").alias("v"), F.col("set").alias("set_v")).join(count, "v")
@@ -242,8 +316,7 @@ class _Join:
         union = F.size("set_u") + F.size("set_v") - common
         found = support.materialise(both.where(100 * common >= self.percent * union).select("u", "v").distinct(), "links")
         self.tested = support.materialise(self.tested.unionByName(pairs.select("u", "v")), "tested")
-        self.edges = support.materialise(self.edges.unionByName(found), "all-links")
-        self.labels = support.materialise(components(self.edges), "labels")
+        self.linked(found)
 
     def shared(self, nodes: DataFrame) -> DataFrame:
         """Of node, rep and n_shingles, the rows of nodes that hold several classes, with their number and smallest rep."""
@@ -270,38 +343,53 @@ class _Join:
         with_sketch = large.join(self.classes.select("rep", "sketch"), "rep")
         return with_sketch.select("rep", "n_shingles", F.explode(children("node", "sketch")).alias("node"))
 
-    def compared(self, apart: DataFrame, top: int) -> DataFrame:
-        """Pairs u > v of different labels in a node whose sketches agree enough: for each class the best ``top`` of each other label.
+    def dealt(self, apart: DataFrame, *carried: DataFrame) -> DataFrame:
+        """Rows of nodes dealt out in blocks, with sketches and what carried has for each rep.
 
-        A node is dealt out in blocks. Every class is in its own block; those without the node's most frequent label, which must be
-        compared to all, are in the others too. more: some class had more candidates than ``top`` beside this pair.
+        Every class is in its own block; those without the node's most frequent label, which must be compared to all, are in the others too.
         """
-        percent, agree = self.percent, self.agree
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-        dealt = (
+        rows = (
             apart.select("node", "rep", "label", "n_shingles", (F.col("label") != F.col("most")).alias("minor"), own.alias("own"), blocks.alias("blocks"))
             .withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-            .select("node", "block", "rep", "label", "n_shingles", "minor", (F.col("own") == F.col("block")).alias("own"))
-            .join(self.classes.select("rep", "sketch"), "rep")
+            .withColumn("own", F.col("own") == F.col("block")).drop("blocks").join(self.classes.select("rep", "sketch"), "rep")
         )
+        for more in carried:
+            rows = rows.join(more, "rep")
+        return rows.repartition("node", "block").sortWithinPartitions("node", "block", "rep")
+
+    def compared(self, apart: DataFrame, top: int) -> DataFrame:
+        """Pairs u > v of different labels in a node whose sketches agree enough: for each class its best ``top``.
+
+        Rows with more name nodes where some class has more candidates than that.
+        """
+        percent, agree = self.percent, self.agree
 
         def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = None
-            for batch in batches:
-                rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-                if not len(rows):
-                    continue
-                group = _group_numbers(rows)
-                whole = np.flatnonzero(group == group[-1])[0]  # the last node may go on in the next batch
-                held = rows.iloc[whole:]
-                if whole:
-                    yield _similar(rows.iloc[:whole], group[:whole], percent, agree, top)
-            if held is not None and len(held):
-                yield _similar(held, _group_numbers(held), percent, agree, top)
-
-        parted = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "rep")
-        return parted.mapInPandas(compare, "u long, v long, more boolean")
+            for rows, group in _whole_groups(batches):
+                yield _similar(rows, group, percent, agree, top)
+
+        return self.dealt(apart).mapInPandas(compare, "u long, v long, more long")
+
+    def exact(self, apart: DataFrame, crowded: DataFrame) -> None:
+        """Adds the links in crowded nodes, compared there on full sets, so that no pair without a link leaves its task."""
+        percent, agree = self.percent, self.agree
+        rows = support.materialise(apart.join(crowded, "node"), "crowded")
+        mine = rows.groupBy("rep").agg(F.collect_set("node").alias("mine"))  # at most as many as a class has nodes
+        sets = self.sets(rows.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
+
+        def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for some, group in _whole_groups(batches):
+                for g in range(group[0], group[-1] + 1):
+                    yield pd.DataFrame(_links(some[group == g], percent, agree), columns=["u", "v"])
+
+        found = self.dealt(rows, mine, sets).mapInPandas(compare, "u long, v long")
+        self.linked(support.materialise(found, "links"))
+
+    def linked(self, found: DataFrame) -> None:
+        self.edges = support.materialise(self.edges.unionByName(found), "all-links")
+        self.labels = support.materialise(components(self.edges), "labels")
 
     def run(self) -> DataFrame | None:
         """node and label of all classes that are linked; None if there are none."""
@@ -315,15 +403,20 @@ class _Join:
         for deeper in range(MORE_LEVELS + 1):
             apart = self.apart(level)
             last = deeper == MORE_LEVELS
+            crowded = None
             for top in ROUNDS:
                 small = apart if last else apart.where(F.col("n") <= LARGE)
                 found = support.materialise(self.compared(small, top), "compared")
-                new = support.materialise(found.select("u", "v").distinct().join(self.tested, ["u", "v"], "left_anti"), "new")
+                new = support.materialise(found.where("more IS NULL").select("u", "v").distinct().join(self.tested, ["u", "v"], "left_anti"), "new")
                 if not new.isEmpty():
                     self.verify(new)
                     apart = self.apart(level)
-                if found.where("more").isEmpty():
+                crowded = support.materialise(found.where("more IS NOT NULL").select(F.col("more").alias("node")).distinct(), "crowded-nodes")
+                if crowded.isEmpty():
                     break
+            else:
+                self.exact(apart, crowded)
+                apart = self.apart(level)
             large = apart.where(F.col("n") > LARGE)
             if last or large.isEmpty():
                 break

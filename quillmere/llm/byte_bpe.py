@@ -131,6 +131,16 @@ class _Digests:
 _of_worker: dict[tuple[str, str], _Digests] = {}
 
 
+def _digests(rank_file: str, pattern: str) -> _Digests:
+    """This Python process's _Digests; tasks that a worker runs one after another share it.
+
+    A function of the module, as tasks get those by name: what a task's own function names is copied into each task.
+    """
+    if (rank_file, pattern) not in _of_worker:
+        _of_worker[rank_file, pattern] = _Digests(ByteBpe(rank_file, pattern))
+    return _of_worker[rank_file, pattern]
+
+
 def encode_decode(docs: DataFrame, rank_file: str = RANK_FILE, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 (of the decoded bytes) of every row.
 
@@ -139,10 +149,7 @@ def encode_decode(docs: DataFrame, rank_file: str = RANK_FILE, pattern: str = pu
     """
 
     def digest(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = rank_file, pattern
-        if key not in _of_worker:  # shared by the tasks that this Python worker runs
-            _of_worker[key] = _Digests(ByteBpe(rank_file, pattern))
-        of = _of_worker[key]
+        of = _digests(rank_file, pattern)
         for batch in batches:
             n, ids, decoded = zip(*map(of, batch["text"])) if len(batch) else ((), (), ())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})

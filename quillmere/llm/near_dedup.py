@@ -56,7 +56,7 @@ class Shingles:
     k words all of them are the one shingle; without words the set is empty.
     """
 
-    def __init__(self, k: int, limit: int = 500_000):
+    def __init__(self, k: int, limit: int = 200_000):
         self.k, self._limit, self._known = k, limit, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -119,7 +119,7 @@ def described(docs: DataFrame, k: int, trees: int) -> DataFrame:
 
     def describe(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(k)
-        for batch in batches:
+        for batch in (b.iloc[i : i + 1000] for b in batches for i in range(0, len(b), 1000)):
             sets = [shingles(t) for t in batch["text"]]
             values = np.array([minwise(s) for s in sets], np.uint64).reshape(-1, COORDINATES)
             yield pd.DataFrame({

@@ -81,7 +81,7 @@ class Model:
         weights, bias = self.weights, self.bias
 
         def score(text: str | None) -> float:
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             found: set[str] = set()
             for word in words_of(text):
@@ -145,13 +145,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def featured(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found, swapped = [], []
-            for text in batch["text"]:
-                words = words_of(text)
-                found.append(sorted({f for w in words for f in features_of(w)}))
-                named = words & SWAPS.keys()
-                swapped.append(sorted({f for w in words for f in features_of(SWAPS.get(w, w))}) if named else None)
-            yield pd.DataFrame({"toxic": batch["toxic"], "found": found, "swapped": swapped})
+            for i in range(0, len(batch), 200):
+                some, found, swapped = batch.iloc[i : i + 200], [], []
+                for text in some["text"]:
+                    words = words_of(text)
+                    found.append(sorted({f for w in words for f in features_of(w)}))
+                    named = words & SWAPS.keys()
+                    swapped.append(sorted({f for w in words for f in features_of(SWAPS.get(w, w))}) if named else None)
+                yield pd.DataFrame({"toxic": some["toxic"], "found": found, "swapped": swapped})
 
     table = sample.mapInPandas(featured, "toxic int, found array<string>, swapped array<string>").persist()
     try:

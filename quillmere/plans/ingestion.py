@@ -1 +1,146 @@
-"""Queries."""
+"""Queries on staging: validation, due syncs, retries, retention, upserts, keys, encryption."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillmere.functions import strings
+from quillmere.operators import ingestion
+from quillmere.plans.registry import query
+from quillmere.sources import stores, tables
+
+_NOW = "2001-06-01 00:00:00"
+_STATUS_SQL = "st AS (SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'PROCESSED' WHEN 'P' THEN 'FAILED' ELSE 'PENDING' END AS status, o_orderdate AS queued_at, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + INTERVAL 1 DAY END AS processed_at FROM orders)"
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for documents with a status; a third have no time of processing."""
+    orders = tables.table(spark, sf_dir, "orders")
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    status = F.when(F.col("o_orderstatus") == "F", "PROCESSED").when(F.col("o_orderstatus") == "P", "FAILED").otherwise("PENDING")
+    return orders.select(F.col("o_orderkey").alias("doc_id"), status.alias("status"), at.alias("queued_at"), F.when(F.col("o_orderkey") % 3 != 0, at + F.expr("interval 1 day")).alias("processed_at"))
+
+
+def _at(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+@query(f"WITH {_STATUS_SQL} SELECT doc_id, CASE WHEN status = 'FAILED' AND coalesce(processed_at, queued_at) > TIMESTAMP '{_NOW}' - INTERVAL 24 HOUR THEN 'PENDING' ELSE status END AS status FROM st")
+def retry_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingestion.retried(_status(spark, sf_dir), _at(_NOW)).select("doc_id", "status")
+
+
+@query(f"WITH {_STATUS_SQL} SELECT status, count(*) AS n FROM st WHERE NOT coalesce(status = 'PROCESSED' AND processed_at < TIMESTAMP '{_NOW}' - INTERVAL 30 DAY, false) GROUP BY status")
+def retention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingestion.retained(_status(spark, sf_dir), _at(_NOW)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_STATUS_SQL}, a AS (SELECT *, date_diff('day', CAST(queued_at AS DATE), DATE '2001-06-01') AS age FROM st) SELECT CASE WHEN status <> 'PROCESSED' THEN 'STANDARD' WHEN age > 730 THEN 'GLACIER' WHEN age > 90 THEN 'STANDARD_IA' ELSE 'STANDARD' END AS class, count(*) AS n FROM a GROUP BY 1")
+def tier_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    age = F.datediff(F.lit("2001-06-01").cast("date"), F.to_date("queued_at"))
+    return _status(spark, sf_dir).groupBy(ingestion.storage_class(age, F.col("status")).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'gmail' ELSE 'notion' END AS source, CASE WHEN s_suppkey % 5 <> 0 THEN TIMESTAMP '2024-01-01 12:00:00' - to_minutes(CAST(s_suppkey * 7 % 400 AS BIGINT)) END AS last_synced,
+CASE WHEN s_suppkey % 4 = 0 THEN TIMESTAMP '2024-01-01 12:00:00' - to_minutes(CAST(s_suppkey % 30 AS BIGINT)) END AS syncing_since FROM supplier),
+d AS (SELECT *, last_synced IS NULL OR date_diff('minute', last_synced, TIMESTAMP '2024-01-01 12:00:00') >= CASE source WHEN 'gmail' THEN 5 ELSE 180 END AS due, coalesce(date_diff('minute', syncing_since, TIMESTAMP '2024-01-01 12:00:00') < 15, false) AS locked FROM s)
+SELECT s_suppkey, due, locked, due AND NOT locked AS runs FROM d"""
+)
+def due_syncs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, now = F.col("s_suppkey"), _at("2024-01-01 12:00:00")
+    ago = lambda minutes: now - F.make_dt_interval(mins=minutes.cast("int"))
+    state = tables.table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.when(key % 3 == 0, "gmail").otherwise("notion").alias("source"), F.when(key % 5 != 0, ago(key * 7 % 400)).alias("last_synced"), F.when(key % 4 == 0, ago(key % 30)).alias("syncing_since")
+    )
+    return ingestion.due(state, now).select("s_suppkey", "due", "locked", "runs")
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'missing external_id' WHEN trim(text) = '' THEN 'missing content' WHEN turn % 7 = 6 THEN 'missing namespace' END AS error FROM conversations")
+def validate_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tables.table(spark, sf_dir, "conversations")
+    made = turns.select(
+        "conv_id", "turn", F.col("conv_id").cast("string").alias("raw_document_id"), F.lit("chat").alias("source"), F.when(F.col("role") != "system", F.col("turn")).alias("external_id"),
+        F.col("text").alias("content"), F.lit("2024-01-01").alias("timestamp"), F.when(F.col("turn") % 7 != 6, "a:b").alias("namespace"),
+    )
+    return ingestion.rejected(made).select("conv_id", "turn", "error")
+
+
+@query(
+    """WITH i AS (SELECT p_partkey AS key, p_size AS version FROM part WHERE p_partkey % 2 = 0), s AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 4 = 0 THEN p_size ELSE p_size - 1 END AS version FROM part WHERE p_partkey % 3 = 0)
+SELECT key, version FROM i WHERE (key, version) NOT IN (SELECT (key, version) FROM s)"""
+)
+def unchanged_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("version"))
+    stored = parts.where("key % 3 = 0").withColumn("version", F.when(F.col("key") % 4 == 0, F.col("version")).otherwise(F.col("version") - 1))
+    return ingestion.unchanged_skipped(parts.where("key % 2 = 0"), stored)
+
+
+@query(
+    """WITH st AS (SELECT p_partkey AS key, 0 AS version, 'old' AS name FROM part), i AS (SELECT p_partkey AS key, CAST(p_size + k AS INTEGER) AS version, p_name AS name FROM part, (VALUES (0), (1)) AS v(k) WHERE p_partkey % 5 = 0)
+SELECT key, version, name FROM st WHERE key % 5 <> 0 UNION ALL SELECT key, version, name FROM i QUALIFY row_number() OVER (PARTITION BY key ORDER BY version DESC) = 1"""
+)
+def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = tables.table(spark, sf_dir, "part")
+    stored = parts.select(F.col("p_partkey").alias("key"), F.lit(0).alias("version"), F.lit("old").alias("name"))
+    twice = parts.where("p_partkey % 5 = 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    return ingestion.upserted(stored, twice.select(F.col("p_partkey").alias("key"), (F.col("p_size") + F.col("k")).cast("int").alias("version"), F.col("p_name").alias("name")))
+
+
+@query("WITH o AS (SELECT source AS tenant_id, source || '/' || sha256(text) AS key FROM documents) SELECT tenant_id, count(DISTINCT key) AS objects FROM o WHERE key NOT IN (SELECT source || '/' || sha256(text) FROM documents WHERE doc_id < 100) GROUP BY tenant_id")
+def object_store_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects by content that aren't among those of the first hundred documents."""
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("tenant_id"), F.col("text").alias("content"))
+    found = stores.new_objects(docs, stores.object_keys(docs.where("doc_id < 100")))
+    return found.groupBy("tenant_id").agg(F.count("*").alias("objects"))
+
+
+@query("WITH s AS (SELECT o_orderkey AS doc_id, k AS status, o_orderdate + to_days(CAST(n AS INTEGER)) AS seen FROM orders, (VALUES ('QUEUED', 0), ('PROCESSED', 2), ('FAILED', 1)) AS v(k, n) WHERE n <= o_orderkey % 3) SELECT doc_id, arg_max(status, seen) AS status, max(seen) AS seen FROM s GROUP BY doc_id")
+def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("d"))
+    steps = F.explode(F.array(*(F.struct(F.lit(s).alias("status"), F.lit(n).alias("n")) for s, n in (("QUEUED", 0), ("PROCESSED", 2), ("FAILED", 1)))))
+    log = orders.withColumn("s", steps).where("s.n <= doc_id % 3").select("doc_id", "s.status", (F.col("d") + F.make_dt_interval(days=F.col("s.n"))).alias("at"), F.lit(None).cast("string").alias("error"))
+    return ingestion.latest_status(log).select("doc_id", "status", F.col("at").alias("seen"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS connection_id, c_nationkey AS workflow_id FROM customer), r AS (SELECT CASE WHEN o_orderpriority < '3' THEN 'github' ELSE 'notion' END AS source, o_orderkey AS id, o_custkey AS connection_id, CASE o_orderstatus WHEN 'O' THEN 'PENDING' ELSE 'PROCESSED' END AS status,
+CASE WHEN o_orderkey % 4 = 0 THEN '  ' ELSE 'text' END AS content FROM orders)
+SELECT source, id, CASE WHEN trim(content) = '' THEN 'PROCESSED' ELSE 'QUEUED' END AS status FROM r JOIN c USING (connection_id) WHERE r.status = 'PENDING' AND workflow_id = 3"""
+)
+def workflow_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customers = tables.table(spark, sf_dir, "orders"), tables.table(spark, sf_dir, "customer")
+    rows = orders.select(
+        "o_orderpriority", F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("connection_id"), F.when(F.col("o_orderstatus") == "O", "PENDING").otherwise("PROCESSED").alias("status"), F.when(F.col("o_orderkey") % 4 == 0, "  ").otherwise("text").alias("content")
+    )
+    first = F.col("o_orderpriority") < "3"
+    return ingestion.staged([("github", rows.where(first)), ("notion", rows.where(~first))], customers.select(F.col("c_custkey").alias("connection_id"), F.col("c_nationkey").alias("workflow_id")), 3)
+
+
+@query("SELECT c_custkey, c_name AS name FROM customer")
+def envelope_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names encrypted with AES-GCM under a key, the tenant as associated data, and decrypted again."""
+    key, aad = F.lit(b"0123456789abcdef"), F.col("c_nationkey").cast("string")
+    sealed = tables.table(spark, sf_dir, "customer").select("c_custkey", aad.alias("aad"), F.aes_encrypt("c_name", key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b"000000000000"), aad).alias("sealed"))
+    return sealed.select("c_custkey", F.aes_decrypt("sealed", key, F.lit("GCM"), F.lit("DEFAULT"), F.col("aad")).cast("string").alias("name"))
+
+
+@query("SELECT c_custkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CASE WHEN n / 1024 < 10 THEN printf('%.1f', floor(n / 1024 * 10 + 0.5) / 10) ELSE CAST(CAST(floor(n / 1024 + 0.5) AS BIGINT) AS VARCHAR) END || ' KB' ELSE CASE WHEN n / 1048576 < 10 THEN printf('%.1f', floor(n / 1048576 * 10 + 0.5) / 10) ELSE CAST(CAST(floor(n / 1048576 + 0.5) AS BIGINT) AS VARCHAR) END || ' MB' END AS label FROM (SELECT c_custkey, c_custkey * c_custkey * 17 AS n FROM customer)")
+def file_size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return tables.table(spark, sf_dir, "customer").select("c_custkey", strings.file_size(key * key * 17).alias("label"))
+
+
+@query("SELECT p_partkey, right(regexp_replace(p_name || '/' || p_brand || ' ' || p_type, '[^A-Za-z0-9_.\\-]', '_', 'g'), 80) AS key FROM part")
+def storage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("p_name", F.lit("/"), "p_brand", F.lit(" "), "p_type")
+    return tables.table(spark, sf_dir, "part").select("p_partkey", strings.safe_key(name).alias("key"))
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS place, CAST((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) - 1) // 3 AS BIGINT) AS batch FROM lineitem")
+def commit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository's commits in order, in batches; line items stand for commits, and three for forty."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"))
+    return tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", place.cast("long").alias("place"), F.floor((place - 1) / 3).cast("long").alias("batch"))

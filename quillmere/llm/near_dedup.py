@@ -171,14 +171,22 @@ def _similar(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int, to
     rep, label, size, minor, own = (rows[c].to_numpy() for c in ("rep", "label", "n_shingles", "minor", "own"))
     left, right, score = [], [], []
 
-    def add(i: np.ndarray, j: np.ndarray) -> None:
+    suppressed: set[int] = set()
+
+    def add(i: np.ndarray, j: np.ndarray, one: bool = False) -> None:
         fits = (label[i] != label[j]) & (minor[i] | minor[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
         i, j = i[fits], j[fits]
         same = (sketch[i] == sketch[j]).sum(axis=1)
-        left.append(i[same >= agree])
-        right.append(j[same >= agree])
-        score.append(same[same >= agree])
+        i, j, same = i[same >= agree], j[same >= agree], same[same >= agree]
+        if one and len(i) > top:  # candidates of one class: the best are enough to hold
+            suppressed.add(int(nodes[i[0]]))
+            best = np.lexsort((rep[j], -same))[:top]
+            i, j, same = i[best], j[best], same[best]
+        left.append(i)
+        right.append(j)
+        score.append(same)
 
+    nodes = rows["node"].to_numpy()
     sizes = np.bincount(group)
     small = np.flatnonzero(sizes[group] <= 64)
     apart = 1
@@ -193,7 +201,8 @@ def _similar(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int, to
         others = members[minor[members]]
         for i in members[own[members]]:
             # A pair that is of the minority on both sides is met from its smaller rep's block.
-            add(np.full(len(others), i), others) if not minor[i] else add(np.full(int((rep[others] > rep[i]).sum()), i), others[rep[others] > rep[i]])
+            met = others if not minor[i] else others[rep[others] > rep[i]]
+            add(np.full(len(met), i), met, one=True)
     i, j, same = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right, score))
     kept, more = np.zeros(len(i), bool), np.zeros(len(i), bool)
     for a, b in ((i, j), (j, i)):  # each class's best candidates
@@ -205,12 +214,11 @@ def _similar(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int, to
         kept[order[place < top]] = True
         more[order[place >= top]] = True
     more &= ~kept
-    nodes = rows["node"].to_numpy()
-    suppressed = np.unique(nodes[i[more]])
-    none = np.full(len(suppressed), -1)
+    crowded = sorted(suppressed | set(nodes[i[more]].tolist()))
+    none = np.full(len(crowded), -1)
     return pd.concat([
         pd.DataFrame({"u": np.maximum(rep[i], rep[j])[kept], "v": np.minimum(rep[i], rep[j])[kept], "more": None}),
-        pd.DataFrame({"u": none, "v": none, "more": suppressed}),
+        pd.DataFrame({"u": none, "v": none, "more": crowded}),
     ]).astype({"more": "Int64"})
 
 

@@ -17,15 +17,20 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 #: Rows of one Arrow batch, where the session has Spark's own default: documents are long, and a worker holds a batch several times.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 256
+#: So that Python workers give memory back to the system between batches.
+WORKER_ENVIRONMENT = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A driver table. Also bounds Arrow batches, and lets local Python workers find this package wherever the driver runs."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.environment.setdefault("PYTHONPATH", REPO)
+    environment = spark.sparkContext.environment
+    if "ARROW_DEFAULT_MEMORY_POOL" not in environment:
+        environment.update(WORKER_ENVIRONMENT)
+        if spark.sparkContext.master.startswith("local["):
+            environment.setdefault("PYTHONPATH", REPO)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

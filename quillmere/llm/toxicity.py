@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmere.llm import support
+
 #: Labelled documents that train the classifier, about, and features that it may weigh.
 SAMPLE_DOCS, FEATURES = 16_000, 4_096
 #: Evidence that a feature needs: its distance from the base rate in standard deviations.
@@ -154,26 +156,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                     swapped.append(sorted({f for w in words for f in features_of(SWAPS.get(w, w))}) if named else None)
                 yield pd.DataFrame({"toxic": some["toxic"], "found": found, "swapped": swapped})
 
-    table = sample.mapInPandas(featured, "toxic int, found array<string>, swapped array<string>").persist()
-    try:
-        n, positive = table.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-        p = positive / n if n else 0.0
-        counts = table.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("df"), F.sum("toxic").alias("t")).where("df >= 4")
-        z = F.abs(F.col("t") - F.col("df") * p) / F.sqrt(F.col("df") * max(p * (1 - p), 1e-9))
-        chosen = counts.select("f", z.alias("z")).where(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), "f").limit(FEATURES)
-        names = sorted({r.f for r in chosen.collect()} | SWAPS.keys())
-        index = table.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})  # at most FEATURES and the names
-
-        def indexed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            of = index.value
-            for batch in batches:
-                keep = lambda x: None if x is None else [of[f] for f in x if f in of]
-                yield pd.DataFrame({"found": batch["found"].map(keep), "swapped": batch["swapped"].map(keep), "toxic": batch["toxic"]})
-
-        # Bounded: about SAMPLE_DOCS rows of chosen features.
-        data = table.mapInPandas(indexed, "found array<int>, swapped array<int>, toxic int").collect()
-    finally:
-        table.unpersist()
+    table = support.materialise(sample.mapInPandas(featured, "toxic int, found array<string>, swapped array<string>"), "features")
+    n, positive = table.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    p = positive / n if n else 0.0
+    counts = table.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("df"), F.sum("toxic").alias("t")).where("df >= 4")
+    z = F.abs(F.col("t") - F.col("df") * p) / F.sqrt(F.col("df") * max(p * (1 - p), 1e-9))
+    chosen = counts.select("f", z.alias("z")).where(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), "f").limit(FEATURES)
+    names = sorted({r.f for r in chosen.collect()} | SWAPS.keys())
+    index = table.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})  # at most FEATURES and the names
+
+    def indexed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = index.value
+        for batch in batches:
+            keep = lambda x: None if x is None else [of[f] for f in x if f in of]
+            yield pd.DataFrame({"found": batch["found"].map(keep), "swapped": batch["swapped"].map(keep), "toxic": batch["toxic"]})
+
+    # Bounded: about SAMPLE_DOCS rows of chosen features.
+    data = table.mapInPandas(indexed, "found array<int>, swapped array<int>, toxic int").collect()
     ordered = sorted(((list(r.found), None if r.swapped is None else list(r.swapped), r.toxic) for r in data), key=lambda r: (r[0], r[1] or [], r[2]))
     bias, weights = fit(ordered, len(names))
     return Model(bias, {f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-6})

@@ -298,7 +298,7 @@ def train(pages: DataFrame) -> np.ndarray:
     def described(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [b for page in batch["html"] for b in blocks_of(page)[:200] if b.element.says]
-            yield pd.DataFrame({"x": [features(b) for b in found], "says": [b.element.says for b in found]})
+            yield pd.DataFrame({"x": pd.Series([features(b) for b in found], dtype=object), "says": pd.Series([b.element.says for b in found], dtype="int32")})
 
     rows = picked.select(F.coalesce("html", F.lit("")).alias("html")).mapInPandas(described, "x array<double>, says int").collect()
     rows = sorted((list(r.x), r.says) for r in rows)

@@ -119,7 +119,19 @@ def fit(rows: list[tuple[list[int], list[int] | None, int]], n_features: int) ->
     c_row, c_col = sparse([sorted(a) + sorted(b) for a, b in both])
     c_val = np.array([v for a, b in both for v in [-1.0] * len(a) + [1.0] * len(b)])
     w, b, n, m = np.zeros(n_features), start, len(y), max(1, len(both))
-    v, vb, rate = w.copy(), b, 8.0 / max(8.0, len(col) / n)
+    v, vb = w.copy(), b
+    # Steps of one over the largest curvature, found by power iteration over the weights and the bias, can't diverge.
+    x, xb, curvature = np.random.default_rng(0).normal(size=n_features), 1.0, 1.0
+    for _ in range(30):
+        z = (xb + np.bincount(row, x[col], n)) / (4 * n)
+        y_, yb = np.bincount(col, z[row], n_features) + RIDGE * x, z.sum()
+        if len(both):
+            change = np.bincount(c_row, c_val * x[c_col], len(both))
+            y_ = y_ + FAIRNESS * np.bincount(c_col, c_val * change[c_row], n_features) / m
+        curvature = float(np.sqrt(y_ @ y_ + yb * yb) / max(np.sqrt(x @ x + xb * xb), 1e-300))
+        scale = max(float(np.sqrt(y_ @ y_ + yb * yb)), 1e-300)
+        x, xb = y_ / scale, yb / scale
+    rate = 1 / (1.2 * curvature)
     for step in range(STEPS):
         z = b + np.bincount(row, w[col], n)
         error = (1 / (1 + np.exp(-z)) - y) / n

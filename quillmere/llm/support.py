@@ -54,11 +54,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again, which cuts its lineage."""
+def materialise(df: DataFrame, name: str, compression: str = "uncompressed") -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again, which cuts its lineage.
+
+    Most of these tables hold hashes, which don't compress; codecs would only take buffers outside the executors' heap.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                     swapped.append(sorted({f for w in words for f in features_of(SWAPS.get(w, w))}) if named else None)
                 yield pd.DataFrame({"toxic": some["toxic"], "found": found, "swapped": swapped})
 
-    table = support.materialise(sample.mapInPandas(featured, "toxic int, found array<string>, swapped array<string>"), "features")
+    table = support.materialise(sample.mapInPandas(featured, "toxic int, found array<string>, swapped array<string>"), "features", "snappy")
     n, positive = table.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     p = positive / n if n else 0.0
     counts = table.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("df"), F.sum("toxic").alias("t")).where("df >= 4")

@@ -67,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = support.materialise(docs, f"stage-{name}")
+            docs = support.materialise(docs, f"stage-{name}", "snappy")
     return docs

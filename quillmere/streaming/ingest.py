@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,9 +89,23 @@ def drained(query: StreamingQuery, seconds: int = 300) -> None:
         raise TimeoutError(f"the stream has not ended in {seconds} s")
 
 
-def to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All available input of a stream in a table of the driver's memory, for small results such as those of tests."""
-    drained(stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start())
-    return stream.sparkSession.table(name)
-
+def to_memory(stream: DataFrame, name: str, mode: str = "append", timed: bool = False) -> DataFrame:
+    """All available input of a stream in a table of the driver's memory, for small results such as those of tests.
 
+    timed: for state with a time to live, whose batches go on without new input, so that the query has to be stopped.
+    """
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode)
+    if timed:
+        query, seen, end = writer.start(), -1, time.monotonic() + 120
+        while query.isActive and time.monotonic() < end:
+            done = query.lastProgress
+            if done and done["batchId"] > seen >= 0 and done["numInputRows"] == 0:
+                break
+            seen = done["batchId"] if done else seen
+            time.sleep(0.2)
+        query.stop()
+        if query.exception():
+            raise query.exception()
+    else:
+        drained(writer.trigger(availableNow=True).start())
+    return stream.sparkSession.table(name)

@@ -52,5 +52,5 @@ def test_bucket_state(spark, tmp_path):
     (folder / "0.json").write_text("\n".join(json.dumps({"doc_id": d, "band": 0, "bucket": b}) for d, b in ((3, "x"), (5, "x"), (4, "y"))))
     (folder / "1.json").write_text(json.dumps({"doc_id": 9, "band": 0, "bucket": "x"}))
     stream = spark.readStream.schema("doc_id long, band int, bucket string").option("maxFilesPerTrigger", 1).json(str(folder))
-    found = {(r.doc_id, r["first"]) for r in ingest.to_memory(ingest.bucket_matches(stream), "bucket_matches").collect()}
+    found = {(r.doc_id, r["first"]) for r in ingest.to_memory(ingest.bucket_matches(stream), "bucket_matches", timed=True).collect()}
     assert found == {(5, 3), (9, 3)} or found == {(3, 9), (5, 9)}

@@ -99,11 +99,16 @@ class Model:
 
 
 def fit(rows: list[tuple[list[int], list[int] | None, int]], n_features: int) -> tuple[float, np.ndarray]:
-    """Bias and weights from rows of (features, features after swapping or None, label), by accelerated gradient steps.
+    """solve() on rows of (features, features after swapping or None, label)."""
+    found = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]), np.array([i for r in rows for i in r[0]], np.int64)
+    return solve(*found, np.array([r[2] for r in rows], float), [(r[0], r[1]) for r in rows if r[1] is not None], n_features)
+
+
+def solve(row: np.ndarray, col: np.ndarray, y: np.ndarray, swapped: list[tuple[list[int], list[int]]], n_features: int) -> tuple[float, np.ndarray]:
+    """Bias and weights by accelerated gradient steps, from the features col of each row, labels y, and pairs of features before and after swapping.
 
     Without both labels the weights are zero and the bias is that of the smoothed base rate.
     """
-    y = np.array([r[2] for r in rows], float)
     base = (y.sum() + 0.5) / (len(y) + 1)
     start = float(np.log(base / (1 - base)))
     if len(y) == 0 or y.min() == y.max() or not n_features:
@@ -112,9 +117,7 @@ def fit(rows: list[tuple[list[int], list[int] | None, int]], n_features: int) ->
     def sparse(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
 
-    row, col = sparse([r[0] for r in rows])
-    swapped = [r for r in rows if r[1] is not None]
-    both = [(set(r[0]) - set(r[1]), set(r[1]) - set(r[0])) for r in swapped]
+    both = [(set(x) - set(z), set(z) - set(x)) for x, z in swapped]
     # The change of the log-odds is linear in the weights: +1 for features that swapping brings, -1 for those it takes away.
     c_row, c_col = sparse([sorted(a) + sorted(b) for a, b in both])
     c_val = np.array([v for a, b in both for v in [-1.0] * len(a) + [1.0] * len(b)])
@@ -155,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     one = one.where(learnable(F.col("doc_id")))
     share = min(1 << 20, max(1, int(SAMPLE_DOCS / max(one.count(), 1) * (1 << 20))))
     picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(picked).join(one.where(picked), "doc_id").select("text", "toxic")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(picked).join(one.where(picked), "doc_id").select("doc_id", "text", "toxic")
 
     def featured(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -166,9 +169,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                     found.append(sorted({f for w in words for f in features_of(w)}))
                     named = words & SWAPS.keys()
                     swapped.append(sorted({f for w in words for f in features_of(SWAPS.get(w, w))}) if named else None)
-                yield pd.DataFrame({"toxic": some["toxic"], "found": found, "swapped": swapped})
+                yield pd.DataFrame({"doc_id": some["doc_id"], "toxic": some["toxic"], "found": found, "swapped": swapped})
 
-    table = support.materialise(sample.mapInPandas(featured, "toxic int, found array<string>, swapped array<string>"), "features", "snappy")
+    table = support.materialise(sample.mapInPandas(featured, "doc_id long, toxic int, found array<string>, swapped array<string>"), "features", "snappy")
     n, positive = table.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     p = positive / n if n else 0.0
     counts = table.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("df"), F.sum("toxic").alias("t")).where("df >= 4")
@@ -181,12 +184,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         of = index.value
         for batch in batches:
             keep = lambda x: None if x is None else [of[f] for f in x if f in of]
-            yield pd.DataFrame({"found": batch["found"].map(keep), "swapped": batch["swapped"].map(keep), "toxic": batch["toxic"]})
-
-    # Bounded: about SAMPLE_DOCS rows of chosen features.
-    data = table.mapInPandas(indexed, "found array<int>, swapped array<int>, toxic int").collect()
-    ordered = sorted(((list(r.found), None if r.swapped is None else list(r.swapped), r.toxic) for r in data), key=lambda r: (r[0], r[1] or [], r[2]))
-    bias, weights = fit(ordered, len(names))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "found": batch["found"].map(keep), "swapped": batch["swapped"].map(keep), "toxic": batch["toxic"]})
+
+    # Bounded: about SAMPLE_DOCS rows of chosen features, as Arrow arrays.
+    data = table.mapInPandas(indexed, "doc_id long, found array<int>, swapped array<int>, toxic int").orderBy("doc_id", "found").toArrow()
+    found, swapped = data["found"], data["swapped"]
+    size = np.array([len(x) for chunk in found.chunks for x in chunk], np.int64)
+    col = np.concatenate([np.empty(0, np.int64), *(chunk.flatten().to_numpy(zero_copy_only=False) for chunk in found.chunks)]).astype(np.int64)
+    named = [(found[int(i)].as_py(), swapped[int(i)].as_py()) for i in np.flatnonzero(swapped.is_valid().to_numpy())]
+    bias, weights = solve(np.repeat(np.arange(len(size)), size), col, np.array(data["toxic"].to_pylist(), float), named, len(names))
     return Model(bias, {f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-6})
 
 

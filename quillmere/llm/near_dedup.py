@@ -32,7 +32,7 @@ MISS = 1e-4
 #: A node with more classes is branched further, for as many levels, before it is compared in blocks.
 LARGE, MORE_LEVELS, BLOCK = 2048, 6, 1024
 #: So many candidates of each class are confirmed one by one in the first round and the second; if more are left, their nodes are compared exactly.
-ROUNDS = (1, 8)
+ROUNDS = (1, 4)
 #: Sketches may agree by so many standard deviations less than the threshold asks.
 DEVIATIONS = 4
 
@@ -198,11 +198,9 @@ def _similar(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int, to
         apart += 1
     for g in np.flatnonzero(sizes > 64):
         members = np.flatnonzero(group == g)
-        others = members[minor[members]]
-        for i in members[own[members]]:
-            # A pair that is of the minority on both sides is met from its smaller rep's block.
-            met = others if not minor[i] else others[rep[others] > rep[i]]
-            add(np.full(len(met), i), met, one=True)
+        mine = members[own[members]]
+        for i in members[minor[members]]:
+            add(np.full(len(mine), i), mine, one=True)
     i, j, same = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right, score))
     kept, more = np.zeros(len(i), bool), np.zeros(len(i), bool)
     for a, b in ((i, j), (j, i)):  # each class's best candidates
@@ -216,8 +214,9 @@ def _similar(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int, to
     more &= ~kept
     crowded = sorted(suppressed | set(nodes[i[more]].tolist()))
     none = np.full(len(crowded), -1)
+    pairs = np.unique(np.stack([np.maximum(rep[i], rep[j])[kept], np.minimum(rep[i], rep[j])[kept]], 1), axis=0)
     return pd.concat([
-        pd.DataFrame({"u": np.maximum(rep[i], rep[j])[kept], "v": np.minimum(rep[i], rep[j])[kept], "more": None}),
+        pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "more": None}),
         pd.DataFrame({"u": none, "v": none, "more": crowded}),
     ]).astype({"more": "Int64"})
 

@@ -137,21 +137,67 @@ def lsh_buckets(signatures: DataFrame, bands: int = 16, rows: int = 8) -> DataFr
     return signatures.select("doc_id", F.posexplode(parts).alias("band", "bucket"))
 
 
+#: Parts of a bucket's members, smallest first, that are compared one after another.
+PARTS = (1 / 4096, 1 / 256, 1 / 16)
+#: Members on each side of one block of comparisons.
+BLOCK = 512
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, bands: int = 16, rows: int = 8) -> DataFrame:
-    """doc_id and canonical: the smallest document that meets this one as the first of a bucket and is similar enough; else itself.
+    """doc_id and canonical: the smallest document that shares a bucket with this one and is similar enough; else itself.
+
+    The similarity is that of the whole shingle sets. Documents of the same text are one class, under the smallest. Classes are
+    compared with the first of their buckets, then with the other members in parts that grow, always only with those smaller than what
+    has been found, so that a group of copies costs its size and yet no pair is left out that could change the result.
+    """
+    keyed = docs.select("doc_id", F.sha2("text", 256).alias("key"))
+    classes = _cut(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
+    hashes = docs.select("doc_id", F.transform(shingles(F.col("text")), shingle_hash).alias("h"))
+    buckets = _cut(lsh_buckets(minhash(hashes, bands * rows), bands, rows).join(classes.select("doc_id"), "doc_id"))
+    stats = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.percentile_approx("doc_id", list(PARTS), 10000).alias("bounds")).where("n > 1")
+    members = _cut(buckets.join(stats, ["band", "bucket"]))
+    texts = _cut(docs.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id"))
+    best = _cut(members.select("doc_id", F.col("doc_id").alias("canonical")).distinct())
+    for part in range(len(PARTS) + 2):
+        pairs = _cut(_pairs(members, best, part))
+        if pairs.isEmpty():
+            continue
+        other = texts.select(F.col("doc_id").alias("other"), F.col("text").alias("text2"))
+        sets = pairs.join(texts, "doc_id").join(other, "other").select("doc_id", "other", shingles(F.col("text")).alias("s"), shingles(F.col("text2")).alias("s2"))
+        common = F.size(F.array_intersect("s", "s2"))
+        similar = sets.where(common >= threshold * (F.size("s") + F.size("s2") - common)).groupBy("doc_id").agg(F.min("other").alias("other"))
+        best = _cut(best.join(similar, "doc_id", "left").select("doc_id", F.least("canonical", "other").alias("canonical")))
+    found = classes.join(best, "doc_id", "left").select("key", F.coalesce("canonical", "doc_id").alias("canonical"))
+    return keyed.join(found, keyed.key.eqNullSafe(found.key)).select("doc_id", "canonical")
+
+
+def _cut(frame: DataFrame) -> DataFrame:
+    """The frame's rows without its lineage, in the shared folder where there is one."""
+    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.localCheckpoint()
+
+
+def _pairs(members: DataFrame, best: DataFrame, part: int) -> DataFrame:
+    """doc_id, other: members of a bucket and those of one part of it that are smaller than the best found; part 0 is the first member.
 
-    Only pairs of a document with its bucket's first are tested, so that a group of copies costs its size. The similarity is that of the whole shingle sets.
+    Both sides are dealt out in blocks, so that no bucket gathers in one task.
     """
-    own = docs.select("doc_id", shingles(F.col("text")).alias("s"))
-    hashes = own.select("doc_id", F.transform("s", shingle_hash).alias("h"))
-    buckets = lsh_buckets(minhash(hashes, bands * rows), bands, rows)
-    first = buckets.groupBy("band", "bucket").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    pairs = buckets.join(first, ["band", "bucket"]).where("doc_id > first").select("doc_id", "first").distinct()
-    other = own.select(F.col("doc_id").alias("first"), F.col("s").alias("s2"))
-    common = F.size(F.array_intersect("s", "s2"))
-    similar = pairs.join(own, "doc_id").join(other, "first").where(common >= threshold * (F.size("s") + F.size("s2") - common))
-    best = similar.groupBy("doc_id").agg(F.min("first").alias("first"))
-    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("first", "doc_id").alias("canonical"))
+    after = F.lit(None) if part == 0 else F.col("first") if part == 1 else F.col("bounds")[part - 2]
+    last = part == len(PARTS) + 1
+    until = F.col("first") if part == 0 else F.lit(None) if last else F.col("bounds")[part - 1]
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    every, own = F.sequence(F.lit(0), blocks - 1), F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    low = F.col("first") if part == 0 else after
+    asking = members.join(best, "doc_id").where(low < F.col("canonical"))
+    if part:
+        asking = asking.where("n > 2")
+    if part and not last:
+        asking = asking.where(after < until)
+    left = asking.select("band", "bucket", "doc_id", "canonical", own.alias("a"), F.explode(every).alias("b"))
+    asked = members.where(F.col("doc_id") == F.col("first")) if part == 0 else members.where(F.col("doc_id") > after)
+    if part and not last:
+        asked = asked.where(F.col("doc_id") <= until)
+    right = asked.select("band", "bucket", F.col("doc_id").alias("other"), own.alias("b"), F.explode(every).alias("a"))
+    return left.join(right, ["band", "bucket", "a", "b"]).where("other < canonical").select("doc_id", "other").distinct()
 
 
 # --- secrets ----------------------------------------------------------------------------------------------------

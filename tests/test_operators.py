@@ -136,3 +136,39 @@ def test_tenant_isolation(spark, tmp_path):
         stores.tenant("no/slash")
     objects = spark.createDataFrame([("a", b"x"), ("a", b"x"), ("b", b"x")], "tenant_id string, content binary")
     assert stores.new_objects(objects, stores.object_keys(objects.where("tenant_id = 'b'"))).count() == 1
+
+
+def test_near_duplicates_beyond_a_buckets_first(spark, monkeypatch):
+    import random
+    from itertools import combinations
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+
+    def edited(n):
+        words = list(base)
+        for i in rng.sample(range(400), n):
+            words[i] = f"e{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    # The smallest document is under .85 to most others, though it shares buckets with them; others are alike.
+    rows = [(0, edited(30)), *((i, edited(rng.choice((2, 6, 12, 22)))) for i in range(1, 40)), (40, " ".join(base)), (41, " ".join(base)), (42, "other words"), (43, "other words")]
+    monkeypatch.setattr(text, "BLOCK", 8)
+    monkeypatch.setattr(text, "PARTS", (1 / 16, 1 / 4))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    buckets = {}
+    for r in text.lsh_buckets(text.minhash(docs.select("doc_id", F.transform(text.shingles(F.col("text")), text.shingle_hash).alias("h")))).collect():
+        buckets.setdefault((r.band, r.bucket), []).append(r.doc_id)
+    met = {p for ids in buckets.values() for p in combinations(sorted(ids), 2)}
+    sets = {d: {tuple(t.split()[i : i + 3]) for i in range(max(1, len(t.split()) - 2))} for d, t in rows}
+    wanted = {d: d for d in sets}
+    for a, b in sorted(met, reverse=True):
+        if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b]):
+            wanted[b] = min(wanted[b], a)
+    first = {}
+    for ids in buckets.values():
+        for d in ids:
+            first.setdefault(d, set()).add(min(ids))
+    found = {r.doc_id: r.canonical for r in text.near_duplicates(docs).collect()}
+    assert found == wanted
+    assert any(wanted[d] != d and wanted[d] not in first[d] for d in sets)  # comparisons with the first alone would miss these

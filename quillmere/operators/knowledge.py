@@ -41,16 +41,24 @@ def reconcile(candidates: DataFrame, known: DataFrame, subject: float = 0.6, sam
 
 
 def merged_candidates(candidates: DataFrame, same: float = 0.6, most: int = 12) -> DataFrame:
-    """Of a document's candidates the most confident of each subject and type, at most ``most``: taken one after another, so a group at a time."""
-    tokens = candidates.withColumn("t", subject_tokens(F.col("title")))
+    """Of a document's candidates the most confident of each subject and type, at most ``most``: taken one after another, so a group at a time.
+
+    Of equal subjects of a type only the first can be taken; without subject words, which are like nothing, the first ``most``. The others don't reach the group.
+    """
+    words = subject_tokens(F.col("title"))
+    subject = lambda joined: F.unhex(F.md5(joined))  # noqa: E731  shorter than the words in the shuffle
+    order = Window.partitionBy("doc_id", "type", "_s").orderBy(F.desc("confidence"), "id")
+    first = candidates.withColumn("_s", subject(F.array_join(F.sort_array(words), " "))).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    tokens = first.where((F.col("_n") == 1) | (F.col("_s") == subject(F.lit("")))).drop("_s", "_n").withColumn("t", F.array_join(words, " "))
 
     def merge(rows):
-        kept = []
+        kept, taken = [], []
         for r in rows.sort_values(["confidence", "id"], ascending=[False, True]).itertuples():
-            own = set(r.t)
-            if any(r.type == k.type and (len(own & set(k.t)) / min(len(own), len(k.t)) if min(len(own), len(k.t)) >= 2 else float(bool(own) and own == set(k.t))) >= same for k in kept):
+            own = set(r.t.split())
+            if any(r.type == kind and (len(own & k) / min(len(own), len(k)) if min(len(own), len(k)) >= 2 else float(bool(own) and own == k)) >= same for kind, k in taken):
                 continue
             kept.append(r)
+            taken.append((r.type, own))
             if len(kept) == most:
                 break
         return rows[rows["id"].isin([k.id for k in kept])].drop(columns="t")

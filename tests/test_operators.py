@@ -172,3 +172,13 @@ def test_near_duplicates_beyond_a_buckets_first(spark, monkeypatch):
     found = {r.doc_id: r.canonical for r in text.near_duplicates(docs).collect()}
     assert found == wanted
     assert any(wanted[d] != d and wanted[d] not in first[d] for d in sets)  # comparisons with the first alone would miss these
+
+
+def test_merge_candidates_takes_lines_of_whole_documents(spark, tmp_path):
+    from quillmere.plans import catalog
+
+    lines = ["budget plan"] * 30 + [""] * 20 + ["travel costs next"] + ["plan budget"] * 5 + ["hiring of new people"]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.id: r.title for r in catalog.queries()["merge_candidates"](spark, str(tmp_path)).collect()}
+    # Confidences: travel .7 (line 50), budget .1 (line 0), the rest 0: eleven places, of which blank lines take what is left.
+    assert found == {50: "travel costs next", 0: "budget plan"} | {i: "" for i in range(30, 40)}

@@ -2,13 +2,13 @@
 
 Each tree branches a document from its root: a node picks, by its own hash, BRANCHES of the document's
 minwise values and sends it to one child for each, so that documents meet in a child as often as
-they are similar. After DEPTH levels unrelated documents are apart. Nodes that hold several documents
-are compared: first against one leader, then, for what stays apart, all against all by sketches, with
-large nodes branched further before. Independent trees are repeated until the expected share of pairs
-at the threshold that never meet falls below MISS. Whatever is found is confirmed on full shingle sets.
+they are similar. Branching starts with DEPTH levels at once and goes on wherever a node is still large. The classes
+of a small node are compared exhaustively by sketches, and what agrees enough is confirmed on full shingle sets. Independent
+trees are repeated until the expected share of pairs at the threshold that meet in no node of the deepest level falls below MISS.
 
-Equal sets are one class from the start, and classes that are already connected aren't compared again, so
-a group of thousands of copies costs little more than its size.
+Equal sets are one class from the start. Where a node has many candidates, as in a group of near copies, each class first
+names one of them; classes that this connects aren't compared again, and what stays apart is compared
+on full sets, in tiles of at most BLOCK by BLOCK classes. So a group of thousands of copies costs little more than its size.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.llm import support
@@ -29,12 +29,12 @@ COORDINATES = 128  # minwise values of a document
 BRANCHES = 2
 DEPTH = 3
 MISS = 1e-4
-#: A node with more classes is branched further, for as many levels, before it is compared in blocks.
-LARGE, MORE_LEVELS, BLOCK = 2048, 6, 1024
-#: So many candidates of each class are confirmed one by one in the first round and the second; if more are left, their nodes are compared exactly.
-ROUNDS = (1, 4)
-#: Sketches may agree by so many standard deviations less than the threshold asks.
+#: A node with more classes is branched further, for as many levels; what is large even then is compared in tiles.
+LARGE, MORE_LEVELS, BLOCK = 1024, 6, 256
+#: Sketches may agree by so many standard deviations less than the threshold asks; 3e-5 of the pairs at the threshold fall below, besides MISS.
 DEVIATIONS = 4
+#: Document ids that may be broadcast, to read the texts of candidates without shuffling all others; of more, the texts are shuffled.
+BROADCAST_IDS = 250_000
 
 _MULTIPLIERS = np.random.default_rng(20_240_607).integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _POSITIONS = np.random.default_rng(77).integers(1, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,9 +86,9 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
 
 
 def trees_for(threshold: float, miss: float = MISS) -> int:
-    """Trees that leave at most ``miss`` of the pairs at the threshold without a common node."""
+    """Trees that leave at most ``miss`` of the pairs at the threshold without a common node at the deepest level."""
     apart = 0.0
-    for _ in range(DEPTH):
+    for _ in range(DEPTH + MORE_LEVELS):
         apart = (1 - threshold * (1 - apart)) ** BRANCHES
     return max(1, math.ceil(math.log(miss) / math.log(apart)))
 
@@ -125,13 +125,13 @@ def described(docs: DataFrame, k: int, trees: int) -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
                 "n_shingles": [len(s) for s in sets],
-                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets],
+                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                 "nodes": list(leaves(values, trees).astype(np.int64)),
                 "sketch": [row.tobytes() for row in (values >> np.uint64(56)).astype(np.uint8) ^ (values >> np.uint64(20)).astype(np.uint8)],
             })
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        describe, "doc_id long, n_shingles long, digest string, nodes array<long>, sketch binary"
+        describe, "doc_id long, n_shingles long, digest binary, nodes array<long>, sketch binary"
     )
 
 
@@ -145,102 +145,125 @@ def components(edges: DataFrame) -> DataFrame:
     """u, v of any links to: node and label, the smallest node that it is connected to. Alternates large and small stars."""
     edges = support.materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     while True:
-        both = support.materialise(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = support.materialise(_join_skewed(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = _join_skewed(large, least, "u")
         new = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         new = support.materialise(new.distinct(), "edges")
-        if new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty():
-            break
+        done = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
+        support.discard(edges, large)
         edges = new
+        if done:
+            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
 
 
-def _group_numbers(rows: pd.DataFrame) -> np.ndarray:
-    node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
-    return np.concatenate([[0], np.cumsum((node[1:] != node[:-1]) | (block[1:] != block[:-1]))])
+def _sketches(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, COORDINATES)
 
 
-def _similar(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int, top: int) -> pd.DataFrame:
-    """Candidate pairs in each group of rows, which stand together: small groups all at once, large ones row by row."""
-    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, COORDINATES)
-    rep, label, size, minor, own = (rows[c].to_numpy() for c in ("rep", "label", "n_shingles", "minor", "own"))
-    left, right, score = [], [], []
+def _whole_groups(batches: Iterable[pd.DataFrame], *keys: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches cut so that rows of one group, which stand together, stay together; with their group numbers."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        group = _group_numbers(rows, keys)
+        whole = np.flatnonzero(group == group[-1])[0]  # the last group may go on in the next batch
+        held = rows.iloc[whole:]
+        if whole:
+            yield rows.iloc[:whole].reset_index(drop=True), group[:whole]
+    if held is not None and len(held):
+        yield held.reset_index(drop=True), _group_numbers(held, keys)
 
-    suppressed: set[int] = set()
 
-    def add(i: np.ndarray, j: np.ndarray, one: bool = False) -> None:
-        fits = (label[i] != label[j]) & (minor[i] | minor[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+def _group_numbers(rows: pd.DataFrame, keys: tuple[str, ...]) -> np.ndarray:
+    values = rows[list(keys)].to_numpy()
+    return np.concatenate([[0], np.cumsum((values[1:] != values[:-1]).any(axis=1))])
+
+
+def _candidates(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int) -> pd.DataFrame:
+    """Candidate pairs u > v of different labels in each group, which is a small node or a block of a large one with its leader.
+
+    All of a node's candidates if they are at most twice its classes; else one for each class, and a row with the node in more.
+    In a large node only the leader, its smallest class, is compared with the others, and the node is in more anyway.
+    """
+    sketch, node = _sketches(rows), rows["node"].to_numpy()
+    rep, label, size, large = (rows[c].to_numpy() for c in ("rep", "label", "n_shingles", "large"))
+    left, right, score = [], [], []
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        fits = (label[i] != label[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
         i, j = i[fits], j[fits]
         same = (sketch[i] == sketch[j]).sum(axis=1)
-        i, j, same = i[same >= agree], j[same >= agree], same[same >= agree]
-        if one and len(i) > top:  # candidates of one class: the best are enough to hold
-            suppressed.add(int(nodes[i[0]]))
-            best = np.lexsort((rep[j], -same))[:top]
-            i, j, same = i[best], j[best], same[best]
-        left.append(i)
-        right.append(j)
-        score.append(same)
-
-    nodes = rows["node"].to_numpy()
+        enough = same >= agree
+        left.append(i[enough])
+        right.append(j[enough])
+        score.append(same[enough])
+
     sizes = np.bincount(group)
-    small = np.flatnonzero(sizes[group] <= 64)
+    at = np.flatnonzero((sizes[group] <= 64) & ~large)
     apart = 1
-    at = small[: len(small) - apart]
-    while len(at):
+    while len(at):  # small groups all at once: neighbours, then rows two apart, and so on
         at = at[at + apart < len(group)]
         at = at[group[at + apart] == group[at]]
-        add(at, at + apart)
+        for k in range(0, len(at), 65_536):
+            add(at[k : k + 65_536], at[k : k + 65_536] + apart)
         apart += 1
-    for g in np.flatnonzero(sizes > 64):
+    for g in np.flatnonzero((sizes > 64) | (np.bincount(group, large) > 0)):
         members = np.flatnonzero(group == g)
-        mine = members[own[members]]
-        for i in members[minor[members]]:
-            add(np.full(len(mine), i), mine, one=True)
+        if large[members[0]]:
+            first = members[np.argmin(rep[members])]
+            add(np.full(len(members) - 1, first), members[members != first])
+            continue
+        for k, i in enumerate(members[:-1]):
+            add(np.full(len(members) - 1 - k, i), members[k + 1 :])
     i, j, same = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right, score))
-    kept, more = np.zeros(len(i), bool), np.zeros(len(i), bool)
-    for a, b in ((i, j), (j, i)):  # each class's best candidates
-        order = np.lexsort((rep[b], -same, rep[a]))
-        first = np.ones(len(order), bool)
-        first[1:] = rep[a][order][1:] != rep[a][order][:-1]
-        starts = np.flatnonzero(first)
-        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-        kept[order[place < top]] = True
-        more[order[place >= top]] = True
-    more &= ~kept
-    crowded = sorted(suppressed | set(nodes[i[more]].tolist()))
-    none = np.full(len(crowded), -1)
-    pairs = np.unique(np.stack([np.maximum(rep[i], rep[j])[kept], np.minimum(rep[i], rep[j])[kept]], 1), axis=0)
+    crowded = (np.bincount(group[i], minlength=len(sizes)) > 2 * sizes) | (np.bincount(group, large) > 0)
+    # In crowded nodes each class takes the smallest one that it is surely like, or else the one that it is most like.
+    some = crowded[group[i]]
+    a, b, s = np.concatenate([i[some], j[some]]), np.concatenate([j[some], i[some]]), np.concatenate([same[some]] * 2)
+    sure = s >= COORDINATES * percent / 100 + COORDINATES / 32
+    order = np.lexsort((rep[b], np.where(sure, 0, -s), ~sure, a))
+    first = np.ones(len(order), bool)
+    first[1:] = a[order][1:] != a[order][:-1]
+    a, b = a[order][first], b[order][first]
+    i, j = np.concatenate([i[~some], a]), np.concatenate([j[~some], b])
+    pairs = np.unique(np.stack([np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])], 1), axis=0)
+    more = np.unique(node[crowded[group]])
+    none = np.full(len(more), -1)
     return pd.concat([
         pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "more": None}),
-        pd.DataFrame({"u": none, "v": none, "more": crowded}),
+        pd.DataFrame({"u": none, "v": none, "more": more}),
     ]).astype({"more": "Int64"})
 
 
 def _links(rows: pd.DataFrame, percent: int, agree: int) -> list[tuple[int, int]]:
-    """Links between classes of different labels in one node's block, on full sets; what is connected on the way isn't compared again.
+    """Links between classes of different labels in one tile, on full sets; what is connected on the way isn't compared again.
 
-    The Jaccard distance is a metric, so classes whose distances to a pivot differ by more than a link allows needn't be compared.
-    A pair that shares several nodes is compared in the smallest of them.
+    Each row of the tile's side 0 is held against each of its side 1. The Jaccard distance is a metric, so classes whose distances to
+    a pivot differ by more than a link allows needn't be compared. A pair that shares several nodes is compared in the smallest of them.
     """
-    rows = rows.reset_index(drop=True)
-    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, COORDINATES)
-    rep, label, size, minor, own = (rows[c].to_numpy() for c in ("rep", "label", "n_shingles", "minor", "own"))
+    sketch = _sketches(rows)
+    rep, label, size, minor, side = (rows[c].to_numpy() for c in ("rep", "label", "n_shingles", "minor", "side"))
     node = int(rows["node"].iloc[0])
     mine = [frozenset(x) for x in rows["mine"]]
-    sets = [frozenset(x.tolist()) for x in rows["set"]]
-    some = sketch[np.linspace(0, len(rows) - 1, min(len(rows), 64)).astype(int)]
-    agreement = np.array([(some == x).mean() for x in sketch])
-    pivot = int(np.argmax(agreement))
+    sets = [np.asarray(x) for x in rows["set"]]  # sorted
+    own, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(own) or not len(others):
+        return []
 
     def similarity(i: int, j: int) -> tuple[int, int]:
-        common = len(sets[i] & sets[j])
+        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
         return common, len(sets[i]) + len(sets[j]) - common
 
+    agreement = (sketch[others][:, None, :] == sketch[others[np.linspace(0, len(others) - 1, min(len(others), 16)).astype(int)]][None]).mean(axis=(1, 2))
+    pivot = int(others[np.argmax(agreement)])
     away = np.array([1 - (c / u if u else 0) for c, u in (similarity(i, pivot) for i in range(len(rows)))])
     parent: dict[int, int] = {}
 
@@ -250,8 +273,7 @@ def _links(rows: pd.DataFrame, percent: int, agree: int) -> list[tuple[int, int]
         return x
 
     out = []
-    others = np.flatnonzero(minor)
-    for i in np.flatnonzero(own):
+    for i in own:
         js = others if not minor[i] else others[rep[others] > rep[i]]
         js = js[(label[js] != label[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))]
         js = js[np.abs(away[js] - away[i]) <= 1 - percent / 100 + 1e-9]
@@ -268,76 +290,71 @@ def _links(rows: pd.DataFrame, percent: int, agree: int) -> list[tuple[int, int]
     return out
 
 
-def _whole_groups(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Batches cut so that rows of one node and block, which stand together, stay together; with their group numbers."""
-    held = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if not len(rows):
-            continue
-        group = _group_numbers(rows)
-        whole = np.flatnonzero(group == group[-1])[0]  # the last node may go on in the next batch
-        held = rows.iloc[whole:]
-        if whole:
-            yield rows.iloc[:whole], group[:whole]
-    if held is not None and len(held):
-        yield held, _group_numbers(held)
-
-
 class _Join:
-    """One run over the classes of equal sets: who shares a node, what was tested, what is connected."""
+    """One run over the classes of equal sets: who shares a node, and what is connected."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int):
         self.docs, self.classes, self.k, self.percent = docs, classes, k, percent
         self.spark = docs.sparkSession
         t = percent / 100
         self.agree = max(0, math.floor(COORDINATES * (t - DEVIATIONS * math.sqrt(t * (1 - t) / COORDINATES))))
-        none = self.spark.createDataFrame([], "u long, v long")
-        self.edges, self.tested, self.labels = none, none, None
+        self.labels = self.spark.createDataFrame([], "node long, label long")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """doc_id and set of the wanted documents, from their texts."""
+        """rep and set (sorted) of the wanted classes, from their documents' texts."""
         k = self.k
+        wanted = support.materialise(wanted.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+        if wanted.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
 
         def shingled(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shingles = Shingles(k)
             for batch in batches:
                 for i in range(0, len(batch), 200):
                     some = batch.iloc[i : i + 200]
-                    yield pd.DataFrame({"doc_id": some["doc_id"], "set": [shingles(t).astype(np.int64) for t in some["text"]]})
+                    sets = [shingles(t) for t in some["text"]]
+                    digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                    yield pd.DataFrame({"rep": some["doc_id"], "digest": digests, "set": [np.sort(s.astype(np.int64)) for s in sets]})
 
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-        return support.materialise(texts.mapInPandas(shingled, "doc_id long, set array<long>").distinct(), "sets")
-
-    def verify(self, pairs: DataFrame) -> None:
-        """Adds links for the pairs u > v whose full sets are similar enough."""
-        pairs = support.materialise(pairs.distinct(), "pairs")
-        sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+        found = texts.mapInPandas(shingled, "rep long, digest binary, set array<long>")
+        # A class is known by the smallest doc_id with its set; rows that share a doc_id can have several texts.
+        return support.materialise(found.dropDuplicates(["rep", "digest"]).drop("digest"), "sets")
 
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of the pairs u > v whose full sets are similar enough."""
         # The larger id's set comes by a plain join, as each id is u of few pairs; leaders are v of very many.
         count, total = pairs.groupBy("v").agg(F.count("*").alias("_n")), pairs.count()
-        of_v = sets.select(F.col("doc_id").alias("v"), F.col("set").alias("set_v")).join(count, "v")
-        with_u = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("set_u")), "u")
+        of_v = sets.select(F.col("rep").alias("v"), F.col("set").alias("set_v")).join(count, "v")
+        with_u = pairs.join(sets.select(F.col("rep").alias("u"), F.col("set").alias("set_u")), "u")
         both = support.join_counted(with_u, of_v, "v", "_n", total, share=50)
         common = F.size(F.array_intersect("set_u", "set_v"))
         union = F.size("set_u") + F.size("set_v") - common
-        found = support.materialise(both.where(100 * common >= self.percent * union).select("u", "v").distinct(), "links")
-        self.tested = support.materialise(self.tested.unionByName(pairs.select("u", "v")), "tested")
-        self.linked(found)
+        return both.where(100 * common >= self.percent * union).select("u", "v").distinct()
 
     def shared(self, nodes: DataFrame) -> DataFrame:
-        """Of node, rep and n_shingles, the rows of nodes that hold several classes, with their number and smallest rep."""
-        nodes = support.materialise(nodes, "nodes")
-        several = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("rep", "n_shingles")).alias("leader")).where("n > 1")
-        return support.materialise(support.join_counted(nodes, several, "node", "n", nodes.count()), "shared")
+        """Of node and rep, the rows of nodes that hold several classes."""
+        several = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        return support.materialise(support.join_counted(nodes, several, "node", "n", nodes.count()).select("node", "rep"), "shared")
 
     def apart(self, shared: DataFrame) -> DataFrame:
-        """Rows of shared nodes with more than one label, with label and most, the label that most of the node's classes have."""
-        labelled = shared.join(self.labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        labelled = support.materialise(labelled.select("node", "rep", "n_shingles", "n", "label"), "labelled")
+        """Rows of shared nodes with more than one label: node, rep, n_shingles, sketch, label, the node's n and minors.
+
+        minor says that a class hasn't the label that most of its node's classes have; minors counts these.
+        """
+        own = self.classes.select("rep", "n_shingles", "sketch").join(self.labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+        own = own.withColumn("label", F.coalesce("label", "rep"))
+        labelled = support.materialise(shared.join(own.select("rep", "label"), "rep"), "labelled")
         by = labelled.groupBy("node", "label").agg(F.count("*").alias("c"))
-        several = by.groupBy("node").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.sum("c").alias("n")).where("labels > 1")
-        return support.materialise(support.join_counted(labelled.drop("n"), several, "node", "n", labelled.count()), "apart")
+        several = (
+            by.groupBy("node").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.sum("c").alias("n"), F.max("c").alias("c"))
+            .where("labels > 1").select("node", "most", "n", (F.col("n") - F.col("c")).alias("minors"))
+        )
+        rows = support.join_counted(labelled, several, "node", "n", labelled.count())
+        rows = rows.select("node", "rep", "label", "n", "minors", (F.col("label") != F.col("most")).alias("minor"))
+        out = support.materialise(rows.join(own.select("rep", "n_shingles", "sketch"), "rep"), "apart")
+        support.discard(labelled)
+        return out
 
     def branched(self, large: DataFrame) -> DataFrame:
         """The classes of large nodes in these nodes' children."""
@@ -347,90 +364,93 @@ class _Join:
             values = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, COORDINATES).astype(np.uint64)
             return pd.Series(list(_children(node.to_numpy().astype(np.uint64)[:, None], values).astype(np.int64)))
 
-        with_sketch = large.join(self.classes.select("rep", "sketch"), "rep")
-        return with_sketch.select("rep", "n_shingles", F.explode(children("node", "sketch")).alias("node"))
+        return large.select("rep", F.explode(children("node", "sketch")).alias("node"))
 
-    def dealt(self, apart: DataFrame, *carried: DataFrame) -> DataFrame:
-        """Rows of nodes dealt out in blocks, with sketches and what carried has for each rep.
-
-        Every class is in its own block; those without the node's most frequent label, which must be compared to all, are in the others too.
-        """
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-        rows = (
-            apart.select("node", "rep", "label", "n_shingles", (F.col("label") != F.col("most")).alias("minor"), own.alias("own"), blocks.alias("blocks"))
-            .withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-            .withColumn("own", F.col("own") == F.col("block")).drop("blocks").join(self.classes.select("rep", "sketch"), "rep")
-        )
-        for more in carried:
-            rows = rows.join(more, "rep")
-        return rows.repartition("node", "block").sortWithinPartitions("node", "block", "rep")
-
-    def compared(self, apart: DataFrame, top: int) -> DataFrame:
-        """Pairs u > v of different labels in a node whose sketches agree enough: for each class its best ``top``.
-
-        Rows with more name nodes where some class has more candidates than that.
-        """
+    def compared(self, apart: DataFrame) -> DataFrame:
+        """Candidate pairs u > v of nodes, and in more the nodes that have further ones; see _candidates()."""
         percent, agree = self.percent, self.agree
+        large = F.col("n") > LARGE
+        blocks = F.when(large, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int")
+        leaders = apart.where(large).groupBy("node").agg(F.min("rep").alias("leader"))
+        is_leader = F.col("leader").isNotNull() & (F.col("leader") == F.col("rep"))
+        where = F.when(is_leader, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(_block("rep", blocks)))
+        rows = apart.join(leaders, "node", "left").select("node", "rep", "label", "n_shingles", "sketch", large.alias("large"), F.explode(where).alias("block"))
 
         def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows, group in _whole_groups(batches):
-                yield _similar(rows, group, percent, agree, top)
+            for some, group in _whole_groups(batches, "node", "block"):
+                yield _candidates(some, group, percent, agree)
 
-        return self.dealt(apart).mapInPandas(compare, "u long, v long, more long")
+        dealt = rows.repartition("node", "block").sortWithinPartitions("node", "block", "rep")
+        return support.materialise(dealt.mapInPandas(compare, "u long, v long, more long"), "compared")
 
-    def exact(self, apart: DataFrame, crowded: DataFrame) -> None:
-        """Adds the links in crowded nodes, compared there on full sets, so that no pair without a link leaves its task."""
+    def exact(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """The links in nodes of rows, compared on full sets in tiles, so that no pair without a link leaves its task.
+
+        A node's classes are dealt out in blocks, its minor ones in parts as well, and a tile is a block with a part.
+        """
         percent, agree = self.percent, self.agree
-        rows = support.materialise(apart.join(crowded, "node"), "crowded")
         mine = rows.groupBy("rep").agg(F.collect_set("node").alias("mine"))  # at most as many as a class has nodes
-        sets = self.sets(rows.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
+        blocks, parts = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("minors") / BLOCK).cast("int")
+        here = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(_block("rep", blocks).alias("block"), p.alias("part"), F.lit(0).alias("side")))
+        there = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(b.alias("block"), _block("label", parts).alias("part"), F.lit(1).alias("side")))
+        dealt = rows.withColumn("tile", F.explode(F.when(F.col("minor"), F.concat(here, there)).otherwise(here)))
+        dealt = dealt.select("node", "rep", "label", "n_shingles", "sketch", "minor", "tile.*").join(mine, "rep").join(sets, "rep")
 
         def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for some, group in _whole_groups(batches):
+            for some, group in _whole_groups(batches, "node", "block", "part"):
                 for g in range(group[0], group[-1] + 1):
-                    yield pd.DataFrame(_links(some[group == g], percent, agree), columns=["u", "v"])
+                    yield pd.DataFrame(_links(some[group == g].reset_index(drop=True), percent, agree), columns=["u", "v"])
 
-        found = self.dealt(rows, mine, sets).mapInPandas(compare, "u long, v long")
-        self.linked(support.materialise(found, "links"))
+        dealt = dealt.repartition("node", "block", "part").sortWithinPartitions("node", "block", "part", "side", "rep")
+        return dealt.mapInPandas(compare, "u long, v long")
 
     def linked(self, found: DataFrame) -> None:
-        self.edges = support.materialise(self.edges.unionByName(found), "all-links")
-        self.labels = support.materialise(components(self.edges), "labels")
-
-    def run(self) -> DataFrame | None:
-        """node and label of all classes that are linked; None if there are none."""
-        nodes = self.classes.select("rep", "n_shingles", F.explode("nodes").alias("node"))
-        shared = self.shared(nodes)
-        # First each class against the smallest leader of its nodes.
-        fits = F.expr(f"100 * least(n_shingles, leader.n_shingles) >= {self.percent} * greatest(n_shingles, leader.n_shingles)")
-        first = shared.where((F.col("leader.rep") < F.col("rep")) & fits).groupBy("rep").agg(F.min("leader.rep").alias("v"))
-        self.verify(first.select(F.col("rep").alias("u"), "v"))
-        level = shared
+        """Takes links into the labels: components of the labels that they connect, so that old links aren't gone through again."""
+        found = support.materialise(found, "links")
+        before = self.labels
+        of = lambda side: before.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        between = found.join(of("u"), "u", "left").join(of("v"), "v", "left")
+        between = between.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
+        new = support.materialise(components(between), "new-labels")
+        moved = _join_skewed(before, new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+        moved = moved.select("node", F.coalesce("to", "label").alias("label")).unionByName(new)
+        # A label that moves is a node of both; the moved row and the new one agree, as before holds a row for each label.
+        self.labels = support.materialise(moved.groupBy("node").agg(F.min("label").alias("label")), "labels")
+        support.discard(found, new, before)
+
+    def run(self) -> DataFrame:
+        """node and label of all classes that are linked."""
+        level = self.shared(self.classes.select("rep", F.explode("nodes").alias("node")))
         for deeper in range(MORE_LEVELS + 1):
             apart = self.apart(level)
-            last = deeper == MORE_LEVELS
-            crowded = None
-            for top in ROUNDS:
-                small = apart if last else apart.where(F.col("n") <= LARGE)
-                found = support.materialise(self.compared(small, top), "compared")
-                new = support.materialise(found.where("more IS NULL").select("u", "v").distinct().join(self.tested, ["u", "v"], "left_anti"), "new")
-                if not new.isEmpty():
-                    self.verify(new)
-                    apart = self.apart(level)
-                crowded = support.materialise(found.where("more IS NOT NULL").select(F.col("more").alias("node")).distinct(), "crowded-nodes")
-                if crowded.isEmpty():
-                    break
-            else:
-                self.exact(apart, crowded)
-                apart = self.apart(level)
-            large = apart.where(F.col("n") > LARGE)
-            if last or large.isEmpty():
+            found = self.compared(apart)
+            pairs = support.materialise(found.where("more IS NULL").select("u", "v").distinct(), "pairs")
+            sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("rep")))
+            self.linked(self.verified(pairs, sets))
+            crowded = found.where("more IS NOT NULL").select(F.col("more").alias("node")).distinct()
+            left = support.materialise(level.join(crowded, "node", "left_semi"), "crowded")
+            support.discard(apart, pairs, level, found)
+            open_ = self.apart(left)
+            support.discard(left)
+            small = open_.where(F.col("n") <= LARGE)
+            if not small.isEmpty():
+                self.linked(self.exact(small, sets))
+            support.discard(sets)
+            large = open_.where(F.col("n") > LARGE)
+            if large.isEmpty():
+                break
+            if deeper == MORE_LEVELS:
+                self.linked(self.exact(large, self.sets(large)))
                 break
             level = self.shared(self.branched(large))
+            support.discard(open_)
         return self.labels
 
 
+def _block(key: str, of: Column) -> Column:
+    return F.pmod(F.xxhash64(key), of).cast("int")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; documents are linked if 100 |A and B| >= percent |A or B|.
 
@@ -447,9 +467,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("nodes").alias("nodes"), F.any_value("sketch").alias("sketch")),
         "classes",
     )
+    members = support.materialise(rows.select("doc_id", "n_shingles", "digest"), "members")
+    support.discard(rows)
     labels = _Join(docs, classes, k, percent).run()
     named = classes.select("digest", "rep", "n").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     named = support.materialise(named.select("digest", "n", F.coalesce("label", "rep").alias("component_id")), "named")
-    linked = support.join_counted(some.select("doc_id", "n_shingles", "digest"), named, "digest", "n", total)
-    alone = rows.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n_shingles", "component_id").unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    support.discard(classes, labels)
+    linked = support.join_counted(members.where("digest IS NOT NULL AND doc_id IS NOT NULL"), named, "digest", "n", total).select("doc_id", "n_shingles", "component_id")
+    alone = members.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 _own_folder: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 #: Rows of one Arrow batch, where the session has Spark's own default: documents are long, and a worker holds a batch several times.
@@ -62,15 +64,30 @@ def materialise(df: DataFrame, name: str, compression: str = "uncompressed") ->
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing to come reads; other frames are left alone."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            _delete(df.sparkSession, path)
+            _written[:] = [x for x in _written if x[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def forget(spark: SparkSession, keep: int = 0) -> None:
     """Deletes tables that materialise() wrote, but for the last keep; results that read them end."""
     own = [x for x in _written if x[0] is spark]
     for item in own[: len(own) - keep]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(item[1])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, item[1])
         _written.remove(item)
 
 

@@ -50,6 +50,21 @@ def test_group_of_near_copies_equals_brute_force(spark):
     assert run(spark, rows) == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("levels", [0, 2])
+def test_large_nodes_equal_brute_force(spark, monkeypatch, levels):
+    """Nodes over LARGE are branched further, and compared in tiles of several blocks and parts where branching ends."""
+    monkeypatch.setattr(near_dedup, "LARGE", 12)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "MORE_LEVELS", levels)
+    rng = random.Random(8)
+    rows = []
+    for family in range(3):
+        base = [f"w{family}-{rng.randrange(4000)}" for _ in range(120)]
+        rows += [(1000 * family + i, edited(base, rng.choice([0, 1, 3, 4, 6, 9, 14]), rng)) for i in range(60)]
+    rng.shuffle(rows)
+    assert run(spark, rows) == brute(rows, 3, 85)
+
+
 def test_edge_cases(spark):
     rows = [
         (1, None), (2, ""), (3, " \t\n\x0b\x0c\r "), (4, "one"), (5, "ONE"), (6, "one two"), (7, "one  TWO\n"), (8, "two one"),
@@ -70,7 +85,7 @@ def test_empty_table_and_clashing_columns(spark):
 def test_trees_reach_the_target(threshold):
     trees = near_dedup.trees_for(threshold)
     apart = 0.0
-    for _ in range(near_dedup.DEPTH):
+    for _ in range(near_dedup.DEPTH + near_dedup.MORE_LEVELS):
         apart = (1 - threshold * (1 - apart)) ** near_dedup.BRANCHES
     assert apart**trees <= near_dedup.MISS
 

@@ -2,7 +2,7 @@
 
 Each tree branches a document from its root: a node picks, by its own hash, BRANCHES of the document's
 minwise values and sends it to one child for each, so that documents meet in a child as often as
-they are similar. Branching starts with DEPTH levels at once and goes on wherever a node is still large. The classes
+they are similar. Branching starts with DEPTH levels at once and goes on wherever a node is still large, unless its classes are much alike. The classes
 of a small node are compared exhaustively by sketches, and what agrees enough is confirmed on full shingle sets. Independent
 trees are repeated until the expected share of pairs at the threshold that meet in no node of the deepest level falls below MISS.
 
@@ -31,6 +31,8 @@ DEPTH = 3
 MISS = 1e-4
 #: A node with more classes is branched further, for as many levels; what is large even then is compared in tiles.
 LARGE, MORE_LEVELS, BLOCK = 1024, 6, 256
+#: A large node isn't branched if at least this share of its classes agree with its leader.
+DENSE = 0.05
 #: Sketches may agree by so many standard deviations less than the threshold asks; 3e-5 of the pairs at the threshold fall below, besides MISS.
 DEVIATIONS = 4
 #: Document ids that may be broadcast, to read the texts of candidates without shuffling all others; of more, the texts are shuffled.
@@ -135,27 +137,24 @@ def described(docs: DataFrame, k: int, trees: int) -> DataFrame:
     )
 
 
-def _join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """right has a row for each key; its hot keys are broadcast."""
-    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    return support.join_counted(left, right.join(counts, key), key, "_n", left.count(), how).drop("_n")
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """u, v of any links to: node and label, the smallest node that it is connected to. Alternates large and small stars."""
-    edges = support.materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    """u, v of any links to: node and label, the smallest node that it is connected to. Alternates large and small stars.
+
+    A node with very many links makes one side of a join uneven, never both, so that Spark can split its partition.
+    """
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = support.materialise(_join_skewed(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = support.materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = _join_skewed(large, least, "u")
-        new = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        new = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         new = support.materialise(new.distinct(), "edges")
-        done = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
         support.discard(edges, large)
         edges = new
-        if done:
+        # Stars are left when no node has two smaller neighbours, or one smaller and one larger.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 OR below = 1 AND above = 1").isEmpty():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
@@ -191,7 +190,8 @@ def _candidates(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int)
     """Candidate pairs u > v of different labels in each group, which is a small node or a block of a large one with its leader.
 
     All of a node's candidates if they are at most twice its classes; else one for each class, and a row with the node in more.
-    In a large node only the leader, its smallest class, is compared with the others, and the node is in more anyway.
+    In a large node only the leader, its smallest class, is compared with the others, and the node is in more anyway; alike
+    counts those that agree with it.
     """
     sketch, node = _sketches(rows), rows["node"].to_numpy()
     rep, label, size, large = (rows[c].to_numpy() for c in ("rep", "label", "n_shingles", "large"))
@@ -224,7 +224,8 @@ def _candidates(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int)
         for k, i in enumerate(members[:-1]):
             add(np.full(len(members) - 1 - k, i), members[k + 1 :])
     i, j, same = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right, score))
-    crowded = (np.bincount(group[i], minlength=len(sizes)) > 2 * sizes) | (np.bincount(group, large) > 0)
+    found = np.bincount(group[i], minlength=len(sizes))
+    crowded = (found > 2 * sizes) | (np.bincount(group, large) > 0)
     # In crowded nodes each class takes the smallest one that it is surely like, or else the one that it is most like.
     some = crowded[group[i]]
     a, b, s = np.concatenate([i[some], j[some]]), np.concatenate([j[some], i[some]]), np.concatenate([same[some]] * 2)
@@ -235,11 +236,11 @@ def _candidates(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int)
     a, b = a[order][first], b[order][first]
     i, j = np.concatenate([i[~some], a]), np.concatenate([j[~some], b])
     pairs = np.unique(np.stack([np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])], 1), axis=0)
-    more = np.unique(node[crowded[group]])
+    more = np.flatnonzero(crowded)
     none = np.full(len(more), -1)
     return pd.concat([
-        pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "more": None}),
-        pd.DataFrame({"u": none, "v": none, "more": more}),
+        pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "more": None, "alike": 0}),
+        pd.DataFrame({"u": none, "v": none, "more": node[np.searchsorted(group, more + group[0])], "alike": found[more]}),
     ]).astype({"more": "Int64"})
 
 
@@ -335,10 +336,10 @@ class _Join:
     def shared(self, nodes: DataFrame) -> DataFrame:
         """Of node and rep, the rows of nodes that hold several classes."""
         several = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        return support.materialise(support.join_counted(nodes, several, "node", "n", nodes.count()).select("node", "rep"), "shared")
+        return support.materialise(nodes.join(several, "node").select("node", "rep"), "shared")
 
     def apart(self, shared: DataFrame) -> DataFrame:
-        """Rows of shared nodes with more than one label: node, rep, n_shingles, sketch, label, the node's n and minors.
+        """Rows of shared nodes with more than one label, with n_shingles, sketch, label, and the node's n and minors.
 
         minor says that a class hasn't the label that most of its node's classes have; minors counts these.
         """
@@ -350,8 +351,7 @@ class _Join:
             by.groupBy("node").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.sum("c").alias("n"), F.max("c").alias("c"))
             .where("labels > 1").select("node", "most", "n", (F.col("n") - F.col("c")).alias("minors"))
         )
-        rows = support.join_counted(labelled, several, "node", "n", labelled.count())
-        rows = rows.select("node", "rep", "label", "n", "minors", (F.col("label") != F.col("most")).alias("minor"))
+        rows = labelled.join(several, "node").select(*shared.columns, "label", "n", "minors", (F.col("label") != F.col("most")).alias("minor"))
         out = support.materialise(rows.join(own.select("rep", "n_shingles", "sketch"), "rep"), "apart")
         support.discard(labelled)
         return out
@@ -367,7 +367,7 @@ class _Join:
         return large.select("rep", F.explode(children("node", "sketch")).alias("node"))
 
     def compared(self, apart: DataFrame) -> DataFrame:
-        """Candidate pairs u > v of nodes, and in more the nodes that have further ones; see _candidates()."""
+        """Candidate pairs u > v of nodes, and in more the nodes that have further ones, with alike; see _candidates()."""
         percent, agree = self.percent, self.agree
         large = F.col("n") > LARGE
         blocks = F.when(large, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int")
@@ -381,7 +381,7 @@ class _Join:
                 yield _candidates(some, group, percent, agree)
 
         dealt = rows.repartition("node", "block").sortWithinPartitions("node", "block", "rep")
-        return support.materialise(dealt.mapInPandas(compare, "u long, v long, more long"), "compared")
+        return support.materialise(dealt.mapInPandas(compare, "u long, v long, more long, alike long"), "compared")
 
     def exact(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
         """The links in nodes of rows, compared on full sets in tiles, so that no pair without a link leaves its task.
@@ -407,12 +407,14 @@ class _Join:
     def linked(self, found: DataFrame) -> None:
         """Takes links into the labels: components of the labels that they connect, so that old links aren't gone through again."""
         found = support.materialise(found, "links")
+        if found.isEmpty():
+            return
         before = self.labels
         of = lambda side: before.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
         between = found.join(of("u"), "u", "left").join(of("v"), "v", "left")
         between = between.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
         new = support.materialise(components(between), "new-labels")
-        moved = _join_skewed(before, new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+        moved = before.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
         moved = moved.select("node", F.coalesce("to", "label").alias("label")).unionByName(new)
         # A label that moves is a node of both; the moved row and the new one agree, as before holds a row for each label.
         self.labels = support.materialise(moved.groupBy("node").agg(F.min("label").alias("label")), "labels")
@@ -427,22 +429,25 @@ class _Join:
             pairs = support.materialise(found.where("more IS NULL").select("u", "v").distinct(), "pairs")
             sets = self.sets(pairs.select(F.explode(F.array("u", "v")).alias("rep")))
             self.linked(self.verified(pairs, sets))
-            crowded = found.where("more IS NOT NULL").select(F.col("more").alias("node")).distinct()
-            left = support.materialise(level.join(crowded, "node", "left_semi"), "crowded")
+            crowded = found.where("more IS NOT NULL").groupBy(F.col("more").alias("node")).agg(F.sum("alike").alias("alike"))
+            left = support.materialise(level.join(crowded, "node"), "crowded")
             support.discard(apart, pairs, level, found)
             open_ = self.apart(left)
             support.discard(left)
-            small = open_.where(F.col("n") <= LARGE)
-            if not small.isEmpty():
-                self.linked(self.exact(small, sets))
-            support.discard(sets)
-            large = open_.where(F.col("n") > LARGE)
-            if large.isEmpty():
-                break
+            # Branching parts what is unlike. A large node of classes that are much alike stays together, so it is compared as it is.
+            apart_enough = (F.col("n") > LARGE) & (F.col("alike") < DENSE * F.col("n"))
             if deeper == MORE_LEVELS:
-                self.linked(self.exact(large, self.sets(large)))
+                apart_enough = F.lit(False)
+            here = open_.where(~apart_enough)
+            if not here.isEmpty():
+                more = here.where(F.col("n") > LARGE).join(sets.select("rep"), "rep", "left_anti")  # of small nodes, all that have a candidate are there
+                all_sets = sets if more.isEmpty() else sets.unionByName(self.sets(more))
+                self.linked(self.exact(here, all_sets))
+            support.discard(sets)
+            further = open_.where(apart_enough)
+            if further.isEmpty():
                 break
-            level = self.shared(self.branched(large))
+            level = self.shared(self.branched(further))
             support.discard(open_)
         return self.labels
 

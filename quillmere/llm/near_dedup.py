@@ -343,16 +343,15 @@ class _Join:
 
         minor says that a class hasn't the label that most of its node's classes have; minors counts these.
         """
-        own = self.classes.select("rep", "n_shingles", "sketch").join(self.labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-        own = own.withColumn("label", F.coalesce("label", "rep"))
-        labelled = support.materialise(shared.join(own.select("rep", "label"), "rep"), "labelled")
+        labels = self.labels.select(F.col("node").alias("rep"), "label")
+        labelled = support.materialise(shared.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
         by = labelled.groupBy("node", "label").agg(F.count("*").alias("c"))
         several = (
             by.groupBy("node").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"), F.sum("c").alias("n"), F.max("c").alias("c"))
             .where("labels > 1").select("node", "most", "n", (F.col("n") - F.col("c")).alias("minors"))
         )
         rows = labelled.join(several, "node").select(*shared.columns, "label", "n", "minors", (F.col("label") != F.col("most")).alias("minor"))
-        out = support.materialise(rows.join(own.select("rep", "n_shingles", "sketch"), "rep"), "apart")
+        out = support.materialise(rows.join(self.classes.select("rep", "n_shingles", "sketch"), "rep"), "apart")
         support.discard(labelled)
         return out
 

@@ -163,16 +163,17 @@ def same_text(positives: DataFrame, snapshot: DataFrame, docs: DataFrame) -> Dat
     """
     key = ["text_sha256", "n_bytes"]
     pairs = positives.join(snapshot.select(*key, F.col("rep").alias("old"), F.col("n").alias("old_n")), key)
-    wanted = pairs.select(F.explode(F.array("rep", "old")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    texts = texts.select("doc_id", normalised(F.col("text")).alias("t"))
+    # Ids are matched null-safely: texts of rows without doc_id are fetched as well.
+    wanted = pairs.select(F.explode(F.array("rep", "old")).alias("wanted")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.wanted), "left_semi").select("doc_id", normalised(F.col("text")).alias("t"))
     # Rows that share a doc_id can have several texts; the digest picks the right one.
     texts = texts.withColumn("text_sha256", F.sha2("t", 256)).dropDuplicates(["doc_id", "text_sha256"])
-    new = texts.select(F.col("doc_id").alias("rep"), "text_sha256", F.col("t").alias("new_t"))
-    old = texts.select(F.col("doc_id").alias("old"), "text_sha256", F.col("t").alias("old_t"))
+    new = texts.select(F.col("doc_id").alias("new_id"), F.col("text_sha256").alias("new_sha"), F.col("t").alias("new_t"))
+    old = texts.select(F.col("doc_id").alias("old_id"), F.col("text_sha256").alias("old_sha"), F.col("t").alias("old_t"))
     return (
-        pairs.join(new, ["rep", "text_sha256"])
-        .join(old, ["old", "text_sha256"])
+        pairs.join(new, F.col("rep").eqNullSafe(F.col("new_id")) & (F.col("text_sha256") == F.col("new_sha")))
+        .join(old, F.col("old").eqNullSafe(F.col("old_id")) & (F.col("text_sha256") == F.col("old_sha")))
         .where(F.col("new_t").cast("binary") == F.col("old_t").cast("binary"))
         .select(*key, "rep", "n", "old", "old_n")
     )

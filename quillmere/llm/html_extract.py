@@ -3,8 +3,9 @@
 A page's blocks of text are nodes. A classifier's costs of calling a block content or boilerplate are its terminal
 capacities; neighbours, and blocks near each other in the DOM, are joined by edges whose capacity it costs to part them.
 The maximum flow's cut is the cheapest labelling. The classifier is a logistic model of a block's own text, fitted on
-a bounded sample of the pages, where the elements around a block (article, nav, ...) serve as labels;
-these elements also weigh in on the costs directly.
+a bounded sample of the blocks that lie in elements which say what they are (article, nav, ...). What the elements around a block say is
+one more term of its cost. All terms are bounded so that a block's neighbours can outweigh what its own text and surroundings say,
+as where a paragraph of an article has a misleading class, or where a page has no telling elements at all.
 """
 
 from __future__ import annotations
@@ -20,18 +21,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PAGES = 1_000
-#: Costs: of what the elements around a block say, of parting neighbours, and of parting blocks of one element.
-LANDMARK, ADJACENT, NEAR = 8.0, 1.0, 0.5
+SAMPLE_PAGES, SAMPLE_BLOCKS = 1_000, 40_000
+#: Bounds of a block's costs: what elements around it say, what its own element's class says, and what its text says.
+LANDMARK, OWN_CLASS, TEXT = 4.0, 1.5, 2.0
+#: Capacities between neighbours in one element (less the farther they are in the DOM), and between the next blocks of one element.
+ADJACENT, NEAR = 2.5, 0.5
 #: How much of an edge's capacity is left between blocks whose surroundings speak against each other.
-OPPOSED = 0.05
+OPPOSED = 0.25
 
 #: Kinds of HTML elements, and words in class and id that tell what an element is for.
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "option", "button", "title", "xmp"}
+RAW = {"script", "style", "noscript", "template", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "option", "button", "title", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
     "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img",
+    "svg", "g", "text", "tspan", "path", "math", "mi", "mn", "mo", "mrow", "msup", "msub", "mfrac", "msqrt", "mtext", "semantics",
 }
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 CONTENT = {"article", "main"}
@@ -52,12 +56,18 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
 
+#: Elements that hold one block, whose class speaks for that block only.
+SINGLE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "span", "blockquote", "pre", "figcaption", "caption"}
+HEADINGS = {"h1", "h2", "h3"}
+
+
 @dataclass
 class Element:
     tag: str
     parent: Element | None
     depth: int
-    says: int  # 1: inside an article or the like; -1: inside boilerplate; 0: neither
+    says: float  # from 1, inside an article or the like, to -1, inside boilerplate; what its own class says counts less; 0: nothing
+    aside: bool = False  # in the header of an article, where headings alone belong to it
 
 
 @dataclass
@@ -71,25 +81,30 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
-def _says(tag: str, attributes: str, parent: Element | None) -> int:
-    before = parent.says if parent else 0
-    if before < 0 or tag in ("html", "body"):
-        return before
+def _child(tag: str, attributes: str, parent: Element) -> Element:
+    """An element inside parent, with what it and those around it say: the innermost that says something counts, and boilerplate stays boilerplate."""
+    before, out = parent.says, Element(tag, parent, parent.depth + 1, parent.says, parent.aside)
+    if before <= -1 or tag in ("html", "body"):
+        return out
     found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     role = found.get("role", "").lower()
     if tag in BOILERPLATE or role in BOILERPLATE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
-        return -1
-    if tag in CONTENT or role in ("main", "article"):
-        return 1
-    if tag == "header":
-        return before or -1  # of the page, unless it is an article's
-    words = set(_TOKEN.findall((found.get("class", "") + " " + found.get("id", "")).lower()))
-    bad, good = words & BOILERPLATE_WORDS, words & CONTENT_WORDS
-    if bad and not good:
-        return -1
-    return 1 if good and not bad else before
+        out.says = -1
+    elif tag in CONTENT or role in ("main", "article"):
+        out.says, out.aside = 1, False
+    elif tag == "header":
+        out.says, out.aside = (before, True) if before > 0 else (-1, False)
+    else:
+        words = set(_TOKEN.findall((found.get("class", "") + " " + found.get("id", "")).lower()))
+        bad, good = words & BOILERPLATE_WORDS, words & CONTENT_WORDS
+        own = OWN_CLASS / LANDMARK if tag in SINGLE else 1
+        if bad and not good:
+            out.says = -own
+        elif good and not bad:
+            out.says = max(own, before)
+    return out
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -132,9 +147,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag in INLINE or tag in ("input", "embed"):
             if tag in ("br", "img", "wbr", "input"):
                 block.parts.append(" " if tag != "wbr" else "")
-            elif not closing and attributes and tag == "span" and _says(tag, attributes, now) != now.says:
+            elif not closing and attributes and tag == "span" and (own := _child(tag, attributes, now)).says != now.says:
                 # Rare: an inline element that says what it is. It counts as an element of its own.
-                now = Element(tag, now, now.depth + 1, _says(tag, attributes, now))
+                now = own
                 end_block(now)
             elif closing and now.tag == tag:
                 now = now.parent
@@ -159,7 +174,7 @@ def blocks_of(page: str) -> list[Block]:
             while open_.parent and open_.tag not in ("li", "ul", "ol"):
                 open_ = open_.parent
             now = open_.parent if open_.tag == "li" and open_.parent else now
-        now = Element(tag, now, now.depth + 1, _says(tag, attributes, now))
+        now = _child(tag, attributes, now)
         end_block(now)
     end_block(root)
     return out
@@ -235,54 +250,78 @@ def cut(surplus: list[float], edges: list[tuple[int, int, float]]) -> list[bool]
             near[i] = {}
     open_ = [i for i in range(n) if side[i] is None]
     if open_:
-        # Source n for content, sink n + 1: shortest augmenting paths from all nodes with a surplus.
-        flow: dict[int, dict[int, float]] = {i: dict(near[i]) for i in open_}
-        flow[n] = {i: surplus[i] for i in open_ if surplus[i] > 0}
-        flow[n + 1] = {}
-        for i in open_:
-            flow[i][n] = 0.0
-            flow[i][n + 1] = max(0.0, -surplus[i])
-            flow[n + 1][i] = 0.0
-        while True:
-            came, queue = {n: n}, deque([n])
-            while queue and n + 1 not in came:
-                i = queue.popleft()
-                for j, c in flow[i].items():
-                    if c > 1e-12 and j not in came:
-                        came[j] = i
-                        queue.append(j)
-            if n + 1 not in came:
-                break
-            path, j = [], n + 1
-            while j != n:
-                path.append((came[j], j))
-                j = came[j]
-            least = min(flow[i][j] for i, j in path)
-            for i, j in path:
-                flow[i][j] -= least
-                flow[j][i] = flow[j].get(i, 0.0) + least
-        for i in open_:
-            side[i] = i in came
+        for i in _reached(open_, surplus, near):
+            side[i] = True
     return [bool(s) for s in side]
 
 
-def labelled(blocks: list[Block], weights: np.ndarray) -> list[bool]:
-    """Which blocks are content."""
-    if not blocks:
-        return []
+def _reached(nodes: list[int], surplus: list[float], near: list[dict[int, float]]) -> set[int]:
+    """Nodes on the source's side of a minimum cut: those that residual capacities still reach when no flow can be added.
+
+    The source feeds nodes with a positive surplus, the others drain to the sink. Flow is added along shortest paths, a
+    layered network at a time, each of which is searched through with arcs that lead nowhere taken off.
+    """
+    left = {i: dict(near[i]) for i in nodes}
+    supply = {i: surplus[i] for i in nodes if surplus[i] > 0}
+    drain = {i: -surplus[i] for i in nodes if surplus[i] < 0}
+    tiny = 1e-12
+    while True:
+        level = {i: 0 for i, c in supply.items() if c > tiny}
+        queue = deque(level)
+        while queue:
+            i = queue.popleft()
+            for j, c in left[i].items():
+                if c > tiny and j not in level:
+                    level[j] = level[i] + 1
+                    queue.append(j)
+        if not any(c > tiny and i in level for i, c in drain.items()):
+            return set(level)
+        ahead = {i: [j for j, c in left[i].items() if c > tiny and level.get(j) == level[i] + 1] for i in level}
+        for start in [i for i in supply if supply[i] > tiny]:
+            path = [start]
+            while path and supply[start] > tiny:
+                i = path[-1]
+                if drain.get(i, 0.0) > tiny:
+                    amount = min([supply[start], drain[i], *(left[a][b] for a, b in zip(path, path[1:]))])
+                    supply[start] -= amount
+                    drain[i] -= amount
+                    for a, b in zip(path, path[1:]):
+                        left[a][b] -= amount
+                        left[b][a] = left[b].get(a, 0.0) + amount
+                    cut_at = next((k for k, (a, b) in enumerate(zip(path, path[1:])) if left[a][b] <= tiny), None)
+                    path = path if cut_at is None else path[: cut_at + 1]
+                    continue
+                while ahead[i] and left[i][ahead[i][-1]] <= tiny:
+                    ahead[i].pop()
+                if ahead[i]:
+                    path.append(ahead[i][-1])
+                else:
+                    path.pop()
+                    if path:
+                        ahead[path[-1]].pop()
+
+
+def costs(blocks: list[Block], weights: np.ndarray) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Each block's surplus, and the edges between blocks with their capacities; see cut()."""
     x = np.column_stack([np.array([features(b) for b in blocks]), np.ones(len(blocks))])
-    surplus = np.clip(x @ weights, -4, 4) + np.array([LANDMARK * b.element.says for b in blocks])
+    says = [b.element.says if not b.element.aside or b.element.tag in HEADINGS else min(b.element.says, -OWN_CLASS / LANDMARK) for b in blocks]
+    surplus = np.clip(x @ weights, -TEXT, TEXT) + LANDMARK * np.array(says)
     edges = []
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
+        opposed = lambda j: OPPOSED if abs(says[i] - says[j]) > 1.5 else 1  # noqa: B023, E731
         if i:
-            a = blocks[i - 1]
-            edges.append((i - 1, i, ADJACENT / (1 + _distance(a.element, b.element)) * (OPPOSED if a.element.says * b.element.says < 0 else 1)))
+            edges.append((i - 1, i, ADJACENT / max(1, _distance(blocks[i - 1].element, b.element) - 1) * opposed(i - 1)))
         parent = id(b.element.parent)
         if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, NEAR * (OPPOSED if blocks[last[parent]].element.says * b.element.says < 0 else 1)))
+            edges.append((last[parent], i, NEAR * opposed(last[parent])))
         last[parent] = i
-    return cut(surplus.tolist(), edges)
+    return surplus.tolist(), edges
+
+
+def labelled(blocks: list[Block], weights: np.ndarray) -> list[bool]:
+    """Which blocks are content."""
+    return cut(*costs(blocks, weights)) if blocks else []
 
 
 def main_text(page: str | None, weights: np.ndarray = DEFAULT) -> str:
@@ -291,18 +330,24 @@ def main_text(page: str | None, weights: np.ndarray = DEFAULT) -> str:
 
 
 def train(pages: DataFrame) -> np.ndarray:
-    """Weights from the blocks of about SAMPLE_PAGES pages, picked by a hash of page_id, that lie in elements which say what they are."""
+    """Weights from blocks of about SAMPLE_PAGES pages, picked by a hash of page_id, that lie in elements which say what they are.
+
+    At most SAMPLE_BLOCKS of them, those of the smallest hashes of their page and place.
+    """
     total = pages.count()
     picked = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < min(1 << 20, int(SAMPLE_PAGES / max(total, 1) * (1 << 20)) + 1))
 
     def described(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [b for page in batch["html"] for b in blocks_of(page)[:200] if b.element.says]
-            yield pd.DataFrame({"x": pd.Series([features(b) for b in found], dtype=object), "says": pd.Series([b.element.says for b in found], dtype="int32")})
-
-    rows = picked.select(F.coalesce("html", F.lit("")).alias("html")).mapInPandas(described, "x array<double>, says int").collect()
-    rows = sorted((list(r.x), r.says) for r in rows)
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+            for page, html in zip(batch["page_id"], batch["html"]):
+                found = [(i, b) for i, b in enumerate(blocks_of(html)) if abs(b.element.says) == 1]
+                rows = {"page_id": page, "place": [i for i, _ in found], "x": pd.Series([features(b) for _, b in found], dtype=object), "says": [int(b.element.says) for _, b in found]}
+                yield pd.DataFrame(rows).astype({"page_id": "Int64", "place": "int64", "says": "int32"})
+
+    rows = picked.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.mapInPandas(described, "page_id long, place long, x array<double>, says int")
+    rows = rows.orderBy(F.xxhash64("page_id", "place"), "page_id", "place", "x", "says").limit(SAMPLE_BLOCKS).select("x", "says").collect()
+    return fit([list(r.x) for r in rows], [r.says for r in rows])
 
 
 def extract(pages: DataFrame) -> DataFrame:

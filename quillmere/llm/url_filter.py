@@ -4,6 +4,13 @@ Everything after reading the pages runs on one row for each host and path shape,
 labelled as blocked, as allowed, and not at all. The tree is built one level at a time. Under a host's template prefix, a level
 whose literal segments are too many to be names becomes a wildcard. Of the others, each branch is compared with its
 siblings (what follows it, and how its pages are labelled) by a chi-square statistic; those that don't differ merge.
+
+Few pages are labelled, so labels are carried across hosts first: where the labelled pages of a path shape with a literal segment are, on all hosts together
+and smoothed by SMOOTHING pages of the overall share, PURITY blocked (or allowed), the unlabelled pages of that shape count as such in their own
+hosts' trees. A template's purity is the blocked share of its labelled pages, smoothed in the same way.
+
+One host can hold most of the pages. Its rows then make one side of a join uneven, never both: the other has one row for each template
+prefix, or at most KINDS of them, so that Spark can split the partition; sums are taken before rows are shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillmere.llm import support
 
-DEPTH = 8  # segments beyond are one
+DEPTH = 8  # levels of the tree; from the last on, the shapes of all segments together make one
 #: A level is variable if it has so many distinct literals, and so many of them for each page.
 DISTINCT, DISTINCT_SHARE = 12, 0.3
 #: 99th percentiles of chi-square for 1 to 14 degrees of freedom (fixed values).
@@ -90,9 +97,8 @@ def templates(shapes: DataFrame) -> DataFrame:
         kinds = counts.groupBy(*key, "kind").agg(F.sum("c").alias("kind_n"))
         # Chi-square of a branch against its siblings, over the kinds that their parent has.
         cells = branch.join(parent, key).join(kinds, key).join(counts, [*key, "segment", "kind"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        part = F.pow(F.col("c") * F.col("parent_n") - F.col("branch_n") * F.col("kind_n"), F.lit(2)) / (
-            F.col("branch_n") * F.col("kind_n") * (F.col("parent_n") - F.col("branch_n")) * (F.col("parent_n") - F.col("kind_n")) / F.col("parent_n")
-        )
+        c, b, k, n = (F.col(x).cast("double") for x in ("c", "branch_n", "kind_n", "parent_n"))
+        part = F.pow(c * n - b * k, F.lit(2)) / (b * k * (n - b) * (n - k) / n)
         tested = cells.groupBy(*key, "segment", "parent_n", "branches").agg(
             F.sum(F.when((F.col("parent_n") > F.col("branch_n")) & (F.col("parent_n") > F.col("kind_n")), part * (1 - F.col("kind_n") / F.col("parent_n"))).otherwise(0.0)).alias("chi"),
             F.count("*").alias("kinds"),
@@ -108,13 +114,30 @@ def templates(shapes: DataFrame) -> DataFrame:
     return tree
 
 
+def _purity(base: float) -> Column:
+    """Share of blocked pages among the labelled ones of a group, smoothed by SMOOTHING pages of the share base."""
+    return (F.sum("blocked") + SMOOTHING * base) / (F.sum(F.col("blocked") + F.col("allowed")) + SMOOTHING)
+
+
+def carried(shapes: DataFrame, base: float) -> DataFrame:
+    """Rows of templates() with unlabelled pages labelled as those of their shape are on all hosts together, if that is pure."""
+    literal = F.exists("shape", lambda s: ~s.startswith("{"))
+    keyed = shapes.withColumn("key", F.concat_ws("/", "shape"))
+    votes = keyed.where(literal).groupBy("key").agg(F.count("*").alias("hosts"), _purity(base).alias("vote"))
+    joined = support.join_counted(keyed, votes, "key", "hosts", shapes.count(), "left")
+    out, other = {}, F.col("other")
+    for name, pure in (("blocked", F.col("vote") >= PURITY), ("allowed", F.col("vote") <= 1 - PURITY)):
+        out[name] = F.col(name) + F.when(pure, other).otherwise(0)
+    kept = F.when((F.col("vote") >= PURITY) | (F.col("vote") <= 1 - PURITY), 0).otherwise(other)
+    return joined.select("host", "shape", out["blocked"].alias("blocked"), out["allowed"].alias("allowed"), kept.alias("other"), "n")
+
+
 def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and template of every row.
 
     pages: page_id and url; more columns are ignored, repeated rows stay. What a rule blocks or allows is labelled so; labels
-    (page_id, blocked: boolean) adds to that where no rule fits. A template is rejected if the smoothed share of blocked pages
-    among its labelled ones reaches PURITY; without labels its share is that of all labelled pages. A null url, or
-    one without ://, has an empty host and path, and no rule fits it.
+    (page_id, blocked: boolean) adds to that where no rule fits. Where no rule decides, a page is blocked if its template's smoothed
+    purity reaches PURITY. A null url, or one without ://, has an empty host and path, and no rule fits it.
     """
     host, path = parsed(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
@@ -123,19 +146,20 @@ def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None)
         own = labels.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max("blocked").alias("blocked"))
         rows = rows.join(own, "page_id", "left").withColumn("label", F.coalesce("label", F.when(F.col("blocked"), "block").when(~F.col("blocked"), "allow"))).drop("blocked")
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    shape = F.transform(F.slice(segments, 1, DEPTH), _shape)
-    shape = F.when(F.size(segments) > DEPTH, F.concat(F.slice(shape, 1, DEPTH - 1), F.array(F.lit("{deep}")))).otherwise(shape)
+    shape = F.transform(segments, _shape)
+    rest = F.array_join(F.slice(shape, DEPTH, F.greatest(F.size(shape), F.lit(1))), "/")
+    shape = F.when(F.size(shape) > DEPTH, F.concat(F.slice(shape, 1, DEPTH - 1), F.array(rest))).otherwise(shape)
     rows = support.materialise(rows.withColumn("shape", shape), "urls")
     key = F.concat_ws("/", "host", F.concat_ws("/", "shape")).alias("place")
     shapes = rows.groupBy("host", "shape").agg(
         F.count_if(F.col("label") == "block").alias("blocked"), F.count_if(F.col("label") == "allow").alias("allowed"), F.count_if(F.col("label").isNull()).alias("other"), F.count("*").alias("n")
     )
-    tree = templates(support.materialise(shapes, "shapes"))
-    base = tree.agg((F.sum("blocked") / F.greatest(F.sum(F.col("blocked") + F.col("allowed")), F.lit(1))).alias("p")).first().p or 0.0
-    purity = (F.sum("blocked") + SMOOTHING * base) / (F.sum(F.col("blocked") + F.col("allowed")) + SMOOTHING)
-    judged = tree.groupBy("host", "template").agg(purity.alias("purity"))
+    shapes = support.materialise(shapes, "shapes")
+    base = shapes.agg((F.sum("blocked") / F.greatest(F.sum(F.col("blocked") + F.col("allowed")), F.lit(1))).alias("p")).first().p or 0.0
+    tree = templates(support.materialise(carried(shapes, base), "carried"))
+    judged = tree.groupBy("host", "template").agg(_purity(base).alias("purity"))
     found = tree.join(judged, ["host", "template"]).select(key, "n", "template", F.when(F.col("purity") >= PURITY, "block").otherwise("allow").alias("own"))
-    # Two shapes can make one string only if a segment holds a slash, which none does.
+    # Two shapes can make one string only if their segments from DEPTH on do, and then they are the same.
     found = support.materialise(found, "judged")
     joined = support.join_counted(rows.withColumn("place", key), found, "place", "n", rows.count())
     return joined.select("page_id", "host", "path", F.col("rule.name").alias("rule"), F.coalesce(F.col("rule.verdict"), "own").alias("verdict"), "template")

@@ -172,6 +172,8 @@ def test_exact_groups(spark):
         assert sorted((str(r.doc_id), r.keep_id, r.group_size, r.text_sha256) for r in found) == want
         assert all(r.kept == (r.doc_id == r.keep_id) for r in found)
     assert exact_dedup.deduplicate(spark.createDataFrame([], DOCS), F.lit(True)).count() == 0
+    across = exact_dedup.deduplicate(spark.createDataFrame([(5, "same"), (None, "SAME"), (None, "other"), (None, "Other")], DOCS), F.col("doc_id").isNotNull() | (F.col("text") == "other"))
+    assert sorted(map(str, ((r.doc_id, r.keep_id, r.group_size, r.kept) for r in across.collect()))) == sorted(map(str, [(5, 5, 2, True), (None, 5, 2, False), (None, None, 2, True), (None, None, 2, True)]))
 
 
 # --- nearest neighbours -----------------------------------------------------------------------------------------
@@ -215,6 +217,90 @@ def test_url_rules_and_templates(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
 
 
+def test_url_columns_and_rule_verdicts_equal_sql(spark):
+    """Host, path, rule and the rules' verdicts by plain SQL; no row is lost, and some pages without a rule are blocked."""
+    import duckdb
+
+    from quillmere.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    found = queries.op6_url_templates(spark, sf).toPandas()
+    rules = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in queries.URL_RULES)
+    want = duckdb.sql(f"""
+        WITH rules AS (SELECT * FROM (VALUES {rules}) AS v(h, p, verdict)),
+        u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM '{sf}/pages.parquet'),
+        hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                      regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u)
+        SELECT page_id, host, path, h || p AS rule, verdict FROM hp LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+        QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) = 1""").df()
+    both = found.merge(want, on="page_id", suffixes=("", "_sql"))
+    assert len(both) == len(found) == len(want) and (both.host == both.host_sql).all() and (both.path == both.path_sql).all()
+    assert (both.rule.fillna("") == both.rule_sql.fillna("")).all() and (both.verdict == both.verdict_sql)[both.rule.notna()].all()
+
+
+def test_labels_reach_other_hosts(spark):
+    """Shapes that rules block on other hosts are blocked on a host without labels, and those that they allow are not."""
+    rules = [url_filter.Rule("bad.org", "/spam/", "block"), url_filter.Rule("bad.org", "/news/", "allow")]
+    rows = [(1000 * h + 100 * s + i, f"http://{host}/{kind}/{i}") for h, host in enumerate(("bad.org", "other.org")) for s, kind in enumerate(("spam", "news", "misc")) for i in range(50)]
+    found = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert {(r.host, r.path.split("/")[1], r.rule is None, r.verdict) for r in found} == {
+        ("bad.org", "spam", False, "block"), ("bad.org", "news", False, "allow"), ("bad.org", "misc", True, "allow"),
+        ("other.org", "spam", True, "block"), ("other.org", "news", True, "allow"), ("other.org", "misc", True, "allow"),
+    }
+
+
+def brute_templates(shapes):
+    """The tree by plain loops: rows of (host, segments, blocked, allowed, other) to their templates."""
+    kind = lambda s: "end" if s is None else "number" if s.startswith("{n}") else "token" if s.startswith("{") else "file" if "." in s else "word"
+    at = {i: "" for i in range(len(shapes))}
+    for level in range(max((len(s[1]) for s in shapes), default=0)):
+        nodes = defaultdict(list)
+        for i, (host, segments, *_) in enumerate(shapes):
+            if len(segments) > level:
+                nodes[host, at[i]].append(i)
+        for rows in nodes.values():
+            table = defaultdict(Counter)
+            for i in rows:
+                segments = shapes[i][1]
+                after = kind(segments[level + 1] if len(segments) > level + 1 else None)
+                for name, c in zip(("blocked", "allowed", "other"), shapes[i][2:]):
+                    if c:
+                        table[segments[level]][after, name] += c
+            total, kinds = sum(sum(c.values()) for c in table.values()), sum(table.values(), Counter())
+            for i in rows:
+                own = table[shapes[i][1][level]]
+                b, chi = sum(own.values()), 0.0
+                for k, n in kinds.items():
+                    if total > b and total > n:
+                        chi += (own[k] * total - b * n) ** 2 / (b * n * (total - b) * (total - n) / total) * (1 - n / total)
+                critical = url_filter.CRITICAL[min(max(len(kinds) - 1, 1), len(url_filter.CRITICAL)) - 1]
+                variable = len(table) >= url_filter.DISTINCT and len(table) >= url_filter.DISTINCT_SHARE * total
+                at[i] += "/" + ("{*}" if variable or len(table) > 1 and chi < critical else shapes[i][1][level])
+    return at
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(2)
+    shapes = {}
+    for _ in range(400):
+        segments = tuple(rng.choice(["a", "b", "c", "{n}", "x.html", f"s{rng.randrange(40)}"]) for _ in range(rng.randrange(0, 4)))
+        shapes[f"h{rng.randrange(3)}", segments] = (rng.choice([0, 0, 5, 20]), rng.choice([0, 0, 3]), rng.randrange(1, 30))
+    rows = [(h, list(s), b, a, o, a + b + o) for (h, s), (b, a, o) in shapes.items()]
+    found = url_filter.templates(spark.createDataFrame(rows, "host string, shape array<string>, blocked long, allowed long, other long, n long")).collect()
+    want = brute_templates([r[:5] for r in rows])
+    assert {(r.host, tuple(r.shape)): r.template for r in found} == {(r[0], tuple(r[1])): want[i] for i, r in enumerate(rows)}
+
+
+def test_templates_of_huge_and_deep_hosts(spark):
+    shapes = [("h", [k, "{n}"], 0, 0, 5_000_000, 5_000_000) for k in ("a", "b")] + [("h", [k, "{n}"], n, 0, 0, n) for k, n in (("c", 10_000_000), ("d", 7))]
+    found = url_filter.templates(spark.createDataFrame(shapes, "host string, shape array<string>, blocked long, allowed long, other long, n long"))
+    assert found.count() == 4
+    deep = [(i, "http://h/" + "a/" * 30 + f"{'good' if i % 2 else 'bad'}/{i}") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(60)], "page_id long, blocked boolean")
+    rows = url_filter.judge(spark.createDataFrame([(*r, "x", 1) for r in deep + deep[:1]], "page_id long, url string, host string, n long"), [], labels).collect()
+    assert len(rows) == 81 and {r.verdict for r in rows if r.page_id % 2} == {"allow"} and {r.verdict for r in rows if r.page_id % 2 == 0} == {"block"}
+
+
 def test_impure_templates_are_rejected(spark):
     rows = [(i, f"http://a.org/buy/{i}") for i in range(60)] + [(100 + i, f"http://a.org/news/story{i}") for i in range(60)]
     labels = spark.createDataFrame([(i, True) for i in range(0, 40)] + [(100 + i, False) for i in range(40)], "page_id long, blocked boolean")
@@ -236,6 +322,46 @@ def test_main_text(spark):
     assert html_extract.extract(rows.limit(0)).count() == 0
 
 
+LONG = "This is a sentence of the story, which goes on for a while, as stories do. It has another sentence, and more words."
+
+
+def page_of(body):
+    return f"<html><body>{body}</body></html>"
+
+
+def test_pages_without_landmarks():
+    """The classifier's costs and the edges alone part links from paragraphs."""
+    menu = "".join(f"<div><a href=/{i}>Item {i}</a></div>" for i in range(6))
+    page = page_of(f"<div><div>{menu}</div><div><p>{LONG}</p><p>Short one.</p><p>{LONG}</p><p>{LONG}</p></div><div><a href=/x>Imprint</a> <a href=/y>About</a></div></div>")
+    assert html_extract.main_text(page).split("\n") == [LONG, "Short one.", LONG, LONG]
+
+
+def test_misleading_class_is_outweighed_by_its_neighbours():
+    page = page_of(f"<nav><a href=/>Home</a></nav><article><p>{LONG}</p><p class='related'>Why so?</p><p>{LONG}</p></article><div class='related'><p><a href=/z>Other story</a></p></div>")
+    blocks = html_extract.blocks_of(page)
+    surplus, edges = html_extract.costs(blocks, html_extract.DEFAULT)
+    own = [s > 0 for s in surplus]
+    assert html_extract.cut(surplus, edges) != own  # the cut changes a block that its own costs would drop
+    assert html_extract.main_text(page) == f"{LONG}\nWhy so?\n{LONG}"
+
+
+def test_headers_of_articles_keep_headings_alone():
+    page = page_of(f"<header><h1>Site</h1></header><article><header><h1>Title of the story</h1><ul><li><a href=/a>Share</a></li></ul></header><p>{LONG}</p><p>x <svg><text>figure</text></svg> <math><mi>y</mi></math></p></article>")
+    assert html_extract.main_text(page) == f"Title of the story\n{LONG}\nx figure y"
+
+
+def test_whole_small_pages_equal_brute_force():
+    """All labellings of a page's blocks by their costs: the text has one of the cheapest."""
+    rng = random.Random(4)
+    for _ in range(60):
+        parts = [rng.choice([f"<p>{LONG}</p>", "<p>Short.</p>", "<p class=promo>Short too</p>", "<div><a href=/>Link</a></div>", "<aside>Aside</aside>", f"<article><p>{LONG}</p><p>And so.</p></article>", f"<div class=comments><p>{LONG}</p></div>"]) for _ in range(5)]
+        blocks = html_extract.blocks_of(page_of("".join(parts)))
+        surplus, edges = html_extract.costs(blocks, html_extract.DEFAULT)
+        cost = lambda s: sum(max(0, x) for x, y in zip(surplus, s) if not y) + sum(max(0, -x) for x, y in zip(surplus, s) if y) + sum(c for a, b, c in edges if s[a] != s[b])  # noqa: B023, E731
+        best = min(cost([bool(k >> i & 1) for i in range(len(blocks))]) for k in range(2 ** len(blocks)))
+        assert cost(html_extract.labelled(blocks, html_extract.DEFAULT)) == pytest.approx(best)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(-4, 4), min_size=1, max_size=7), st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(0, 5)), max_size=12))
 def test_cut_is_the_cheapest_labelling(surplus, edges):

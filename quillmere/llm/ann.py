@@ -2,8 +2,9 @@
 
 Coarse centroids and codebooks are fitted on a bounded sample; every vector is indexed. A query looks at
 the cells whose centroids promise most, sums asymmetric distance tables over the codes in them, and takes the exact
-inner product, on the original vectors, of the best. How many cells it looks at is measured on the sample,
-against brute force there. Equal vectors are indexed once, with the smallest of their ids, more than any result can hold.
+inner product, on the original vectors, of the best. How many cells it looks at, and whether centroids are ranked by inner product or by
+distance, is measured on the sample, against brute force there: clustered vectors need few cells, isotropic ones many. The first cells give each query
+a bound, and of the other cells only what reaches it leaves its task. Equal vectors are indexed once, with the smallest of their ids, more than any result can hold.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from quillmere.llm import support
 SAMPLE = 20_000  # vectors that centroids and codebooks are fitted on
 PARTS, CODES = 16, 256
 MOST_CELLS = 4_096
-RECALL = 0.99  # of brute force on the sample, which the number of cells looked at has to reach
+RECALL = 0.97  # of brute force on the sample, which the number of cells looked at has to reach
+FIRST = 4  # cells that are looked at before the others, for a bound that their vectors have to reach
 RERANKED = 10  # times k codes whose exact product is taken, in each block of a cell
 BLOCK, QUERY_BLOCK = 8_192, 4_096
 SALTS = 64
@@ -33,6 +35,10 @@ class Codec:
     cells: np.ndarray  # cells x dimensions
     books: np.ndarray  # parts x codes x width
     probes: int
+    less: np.ndarray  # what each centroid's inner product is lowered by, to rank cells
+
+    def promised(self, q: np.ndarray) -> np.ndarray:
+        return self.cells @ q - self.less
 
     @property
     def width(self) -> int:
@@ -75,20 +81,22 @@ def fit(sample: np.ndarray, total: int, k: int) -> Codec:
     """Cells, codebooks and the number of cells to look at, from sampled vectors of a table with ``total`` of them."""
     rng = np.random.default_rng(0)
     sample = sample[np.lexsort(sample.T[::-1])]
-    n_cells = int(max(1, min(MOST_CELLS, np.sqrt(total), len(sample) // 8)))
+    n_cells = int(max(1, min(MOST_CELLS, 2 * np.sqrt(total), len(sample) // 8)))
     cells = _kmeans(sample, n_cells, rng)
     own = _nearest(sample, cells)
     width = -(-sample.shape[1] // PARTS)
-    codec = Codec(cells, np.zeros((PARTS, CODES, width)), n_cells)
+    codec = Codec(cells, np.zeros((PARTS, CODES, width)), n_cells, np.zeros(n_cells))
     rest = codec.parts(sample - cells[own])
     codec.books = np.stack([_kmeans(rest[:, j], CODES, rng, 8) for j in range(PARTS)])
     # Where the true neighbours of some sampled vectors lie in the order of promised cells.
     asked = sample[rng.choice(len(sample), min(len(sample), 300), replace=False)]
-    order = np.argsort(np.argsort(-(asked @ cells.T), axis=1), axis=1)
     products = asked @ sample.T
     best = np.argpartition(-products, min(k, len(sample) - 1), axis=1)[:, : k + 1]
-    places = np.take_along_axis(order, own[best], axis=1)
-    codec.probes = int(min(n_cells, np.quantile(places, RECALL) + 1))
+    for less in (np.zeros(n_cells), (cells**2).sum(1) / 2):
+        order = np.argsort(np.argsort(-(asked @ cells.T - less), axis=1), axis=1)
+        probes = int(min(n_cells, np.quantile(np.take_along_axis(order, own[best], axis=1), RECALL) + 1))
+        if probes < codec.probes:
+            codec.probes, codec.less = probes, less
     return codec
 
 
@@ -139,26 +147,28 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def looked_at(v: pd.Series) -> pd.Series:
-        cells, probes = codec.value.cells, codec.value.probes
-        filled = np.array([known.value.get(c, (0, 0))[1] for c in range(len(cells))])
+        probes = codec.value.probes
+        filled = np.array([known.value.get(c, (0, 0))[1] for c in range(len(codec.value.cells))])
         out = []
         for q in v:
-            order = np.argsort(-(cells @ q), kind="stable")
+            order = np.argsort(-codec.value.promised(q), kind="stable")
             enough = int(np.searchsorted(np.cumsum(filled[order]), 4 * k + 1)) + 1  # cells until there are candidates enough
             out.append([int(c) for c in order[: max(probes, enough)] if filled[c]])
         return pd.Series(out)
 
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
-    asked = support.materialise(asked.withColumn("cell", F.explode(looked_at("q"))), "asked")
+    asked = support.materialise(asked.select("query_id", "q", F.posexplode(looked_at("q")).alias("place", "cell")), "asked")
     parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_parts"))
     blocks = {c: -(-n // BLOCK) for c, (n, _) in sizes.items()}
     block_table = spark.createDataFrame(sorted(blocks.items()), "cell int, blocks int").join(parts, "cell")
     block_table = F.broadcast(support.materialise(block_table, "blocks"))  # a row for each cell
-    left = (
-        asked.join(block_table, "cell")
-        .withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
+
+    def dealt(some: DataFrame) -> DataFrame:
+        return (
+            some.join(block_table, "cell").withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "q_part", "query_id", "q", "bound")
+        )
+
     right = (
         index.join(block_table, "cell")
         .withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
@@ -175,12 +185,14 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             ids = held["ids"].to_numpy()
             first = np.array([x[0] for x in ids])
             cell = of.cells[int(held["cell"].iloc[0])]
-            for query, q in zip(queries["query_id"], queries["q"]):
+            for query, q, bound in zip(queries["query_id"], queries["q"], queries["bound"]):
                 near = cell @ q + of.tables(q).ravel()[flat].sum(axis=1)
                 some = np.lexsort((first, -near))[: RERANKED * k] if len(near) <= RERANKED * k else np.argpartition(-near, RERANKED * k)[: RERANKED * k]
                 exact = (v[some] * q).sum(axis=1)
                 best, kept = np.lexsort((first[some], -exact)), 0
                 for i in best:
+                    if exact[i] < bound:
+                        break
                     own = [x for x in ids[some[i]] if x != query]
                     out += [(query, x, exact[i]) for x in own]
                     kept += len(own)
@@ -189,6 +201,16 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     key = ["cell", "block", "q_part"]
-    found = left.select(*key, "query_id", "q").groupBy(*key).cogroup(right.select(*key, "ids", "v", "code").groupBy(*key)).applyInPandas(look, "query_id long, vec_id long, score double")
+    held = right.select(*key, "ids", "v", "code")
+
+    def looked(some: DataFrame) -> DataFrame:
+        return dealt(some).groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(look, "query_id long, vec_id long, score double")
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda found: found.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+    nothing = F.lit(float("-inf"))
+    first = support.materialise(best(looked(asked.where(F.col("place") < FIRST).withColumn("bound", nothing))), "first")
+    bounds = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    later = asked.where(F.col("place") >= FIRST).join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", nothing))
+    found = first.select("query_id", "vec_id", "score").unionByName(looked(later))
+    return best(found).select("query_id", "rank", "vec_id", "score")

@@ -4,9 +4,9 @@ A plan says how many sequences hold which combination of lengths. It depends on
 which has at most one entry for each length, so it is made on the driver in bounded memory; pieces
 then find their places by their rank among those of equal length, in parallel.
 
-Combinations come from exact-complement hashing: single lengths, pair sums and triple sums are
-indexed by their sum, and the gap that a length leaves is filled by the combination with exactly that
-sum, as many times as all its lengths are available. What no combination fills is placed best-fit:
+Combinations come from exact-complement hashing: tables that are looked up by a sum hold how many single lengths,
+pairs and triples of available lengths have it. The gap that a length leaves is looked up in them, a combination with exactly
+that sum is read off by looking up what each of its lengths leaves, and it is used as many times as all its lengths are available. What no combination fills is placed best-fit:
 longest first, into the smallest gap that takes it.
 """
 
@@ -30,6 +30,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Rows of equal length that one task ranks, about.
 RANKED_ROWS = 200_000
+#: Parts of each length at least.
+SALTS = 16
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -59,24 +61,33 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
 
 
 class _Sums:
-    """How many pieces of each length are left, with an index of the sums of two available lengths."""
+    """How many pieces of each length are left, with the number of available lengths and of ordered pairs and triples of them by their sum."""
 
     def __init__(self, histogram: dict[int, int], capacity: int):
         self.left = np.zeros(capacity + 1, np.int64)
         for n, count in histogram.items():
             self.left[n] = count
         self.have = self.left > 0
-        self.pairs = np.zeros(capacity + 1, np.int64)  # ordered pairs of available lengths with each sum
-        for a in np.flatnonzero(self.have):
+        self.pairs, self.triples = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+        lengths = np.flatnonzero(self.have)
+        for a in lengths:
             self.pairs[a:] += self.have[: capacity + 1 - a]
+        for a in lengths:
+            self.triples[a:] += self.pairs[: capacity + 1 - a]
 
     def take(self, lengths: Iterable[int], times: int) -> None:
+        size = len(self.left)
         for n, c in Counter(lengths).items():
             self.left[n] -= c * times
             if not self.left[n]:
-                self.pairs[n:] -= 2 * self.have[: len(self.pairs) - n]
-                if 2 * n < len(self.pairs):
+                # Combinations with n go: those with it at each place, less what that counts twice, and so on.
+                self.triples[n:] -= 3 * self.pairs[: size - n]
+                self.pairs[n:] -= 2 * self.have[: size - n]
+                if 2 * n < size:
+                    self.triples[2 * n :] += 3 * self.have[: size - 2 * n]
                     self.pairs[2 * n] += 1
+                if 3 * n < size:
+                    self.triples[3 * n] -= 1
                 self.have[n] = False
 
     def _fits(self, used: Counter[int], *lengths: int) -> bool:
@@ -90,6 +101,8 @@ class _Sums:
             return (gap,)
         if found := self._pair(gap, used, gap):
             return found
+        if not self.triples[gap]:
+            return ()
         firsts = np.flatnonzero(self.have[: gap + 1] & (self.pairs[gap::-1] > 0))
         for a in firsts[::-1].tolist():
             if found := self._pair(gap - a, used + Counter((a,)), a):
@@ -171,8 +184,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = cut.sparkSession
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    salts = max(1, min(4096, max(histogram.values(), default=0) // RANKED_ROWS + 1))
-    salts = max(salts, 16 if sum(histogram.values()) > 10_000 else 1)
+    salts = max(SALTS, max(histogram.values(), default=0) // RANKED_ROWS + 1)
     slots = defaultdict(list)  # of each length: first rank, sequence less rank, offset
     base = 0
     taken: Counter[int] = Counter()
@@ -191,7 +203,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = (
         salted.withColumn("r", rank)
-        .join(F.broadcast(before), ["length", "salt"])  # at most capacity x salts rows
+        .join(before, ["length", "salt"])  # dealt out by the window's keys already
         .withColumn("r", F.col("r") - 1 + F.col("before"))
     )
     # Its size is that of the plan: some slots for each of at most capacity lengths, however many pieces there are.

@@ -66,6 +66,38 @@ def test_plan_places_everything(capacity, histogram):
     assert sum(t for _, t in plan) >= math.ceil(sum(n * c for n, c in histogram.items()) / capacity)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_plan_is_close_to_the_optimum(lengths):
+    """Against all ways to pack a few pieces: best-fit decreasing's bound, and exactly the optimum where exact combinations fill all sequences."""
+
+    def fewest(todo, gaps, best):
+        if len(gaps) >= best:
+            return best
+        if not todo:
+            return len(gaps)
+        n, rest = todo[0], todo[1:]
+        for i in range(len(gaps)):
+            if gaps[i] >= n and gaps[i] not in gaps[:i]:
+                best = fewest(rest, gaps[:i] + [gaps[i] - n] + gaps[i + 1 :], best)
+        return fewest(rest, gaps + [20 - n], best)
+
+    optimum = fewest(sorted(lengths, reverse=True), [], len(lengths) + 1)
+    assert optimum <= sum(t for _, t in packing.plan(Counter(lengths), 20)) <= 11 * optimum / 9 + 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(1, 40), min_size=1, max_size=12), st.randoms())
+def test_sums_are_those_of_the_available_lengths(lengths, rng):
+    sums = packing._Sums({n: 1 for n in lengths}, 40)
+    left = set(lengths)
+    for n in rng.sample(sorted(lengths), len(lengths)):
+        sums.take((n,), 1)
+        left.discard(n)
+        pairs, triples = Counter(a + b for a in left for b in left), Counter(a + b + c for a in left for b in left for c in left)
+        assert all(sums.pairs[k] == pairs[k] and sums.triples[k] == triples[k] for k in range(41))
+
+
 def test_plan_fills_gaps_exactly():
     assert packing.plan({6: 3, 4: 3}, 10) == [((6, 4), 3)]
     assert packing.plan({7: 2, 2: 2, 1: 2}, 10) == [((7, 2, 1), 2)]

@@ -85,3 +85,21 @@ def staged(sources: list[tuple[str, DataFrame]], connections: DataFrame, workflo
         part = rows.where("status = 'PENDING'").join(own, "connection_id").select(F.lit(name).alias("source"), "id", F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "PROCESSED").otherwise("QUEUED").alias("status"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# --- sealed columns ---------------------------------------------------------------------------------------------
+
+
+def tenant_key(tenant: Column, master: str) -> Column:
+    """A tenant's 256-bit key, derived from a master secret; without the secret none can be made again."""
+    return F.unhex(F.sha2(F.concat_ws("|", F.lit(master), F.sha2(F.concat_ws("|", F.lit(master), tenant), 256)), 256))
+
+
+def sealed(value: Column, key: Column, tenant: Column) -> Column:
+    """AES-GCM under a random nonce, which stands before the ciphertext; the tenant is authenticated with it."""
+    return F.aes_encrypt(value, key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(""), tenant)
+
+
+def opened(value: Column, key: Column, tenant: Column) -> Column:
+    """The sealed string; null where key, tenant or bytes don't fit."""
+    return F.try_aes_decrypt(value, key, F.lit("GCM"), F.lit("DEFAULT"), tenant).cast("string")

@@ -28,14 +28,25 @@ def same_subject(a: Column, b: Column) -> Column:
 def reconcile(candidates: DataFrame, known: DataFrame, subject: float = 0.6, same: float = 0.85) -> DataFrame:
     """id, action, known_id: skip, update or create, by the first known block of the type with that subject.
 
-    Both have id, type, title and body, known also recency (smaller is first). Only blocks that share a title word meet, so
-    that a type's blocks aren't all paired; a candidate without title words can match nothing.
+    Both have id, type, title and body, known also recency (smaller is first). Two subjects are the same if they share a part of the smaller
+    one's words, so one of that one's rarest words is shared: only blocks that meet in such a word are compared, and words that
+    many titles have bring few together. A candidate without title words can match nothing. Bodies are compared with the chosen block's alone.
     """
-    c = candidates.select("id", "type", subject_tokens(F.col("title")).alias("t"), subject_tokens(F.col("body")).alias("b"))
-    k = known.select(F.col("id").alias("known_id"), "type", "recency", subject_tokens(F.col("title")).alias("kt"), subject_tokens(F.col("body")).alias("kb"))
-    met = c.select("id", "type", F.explode("t").alias("w")).join(k.select("known_id", "type", F.explode("kt").alias("w")), ["type", "w"]).select("id", "known_id").distinct()
+    c = candidates.select("id", "type", subject_tokens(F.col("title")).alias("t"))
+    k = known.select(F.col("id").alias("known_id"), "type", "recency", subject_tokens(F.col("title")).alias("kt"))
+    new, old = c.select("id", "type", F.size("t").alias("n"), F.explode("t").alias("w")), k.select("known_id", "type", F.size("kt").alias("n"), F.explode("kt").alias("w"))
+    df = new.select("type", "w").unionByName(old.select("type", "w")).groupBy("type", "w").agg(F.count("*").alias("df"))
+
+    def rare(words: DataFrame, key: str) -> DataFrame:
+        """So many of a title's rarest words that no other title can share ``subject`` of its words without one of them."""
+        place = F.row_number().over(Window.partitionBy(key).orderBy("df", "w"))
+        return words.join(df, ["type", "w"]).withColumn("_p", place).where(F.col("_p") <= F.col("n") - F.ceil(F.lit(subject) * F.col("n")) + 1).select(key, "type", "w")
+
+    met = rare(new, "id").join(old, ["type", "w"]).select("id", "known_id").unionByName(rare(old, "known_id").join(new, ["type", "w"]).select("id", "known_id")).distinct()
     matched = met.join(c, "id").join(k.drop("type"), "known_id").where(same_subject(F.col("t"), F.col("kt")) >= subject)
-    first = matched.withColumn("_p", F.row_number().over(Window.partitionBy("id").orderBy("recency", "known_id"))).where("_p = 1")
+    first = matched.groupBy("id").agg(F.min_by("known_id", F.struct("recency", "known_id")).alias("known_id"))
+    bodies = lambda frame, key, name: frame.select(F.col("id").alias(key), subject_tokens(F.col("body")).alias(name))
+    first = first.join(bodies(candidates, "id", "b"), "id").join(bodies(known, "known_id", "kb"), "known_id")
     found = first.select("id", "known_id", F.when(jaccard(F.col("b"), F.col("kb")) >= same, "skip").otherwise("update").alias("action"))
     return c.select("id").join(found, "id", "left").select("id", F.coalesce("action", F.lit("create")).alias("action"), "known_id")
 

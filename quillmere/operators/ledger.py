@@ -136,7 +136,12 @@ def margins(usage: DataFrame, credits: DataFrame, monthly_price: float, pack_pri
 
 
 def idempotent(incoming: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Rows to append: usable ones (a key, a finite quantity of at least zero), one for each key, and none that the ledger has."""
-    usable = incoming.where("idempotency_key IS NOT NULL AND idempotency_key <> '' AND quantity IS NOT NULL AND quantity >= 0")
-    once = usable.dropDuplicates(["idempotency_key"])
+    """Rows to append: usable ones (a key, a finite quantity of at least zero), of each key the smallest, and none that the ledger has.
+
+    Rows are compared column by column, so that the same one is kept whatever order they come in.
+    """
+    quantity = F.col("quantity").cast("double")
+    usable = incoming.where((F.col("idempotency_key") != "") & ~F.isnan(quantity) & (quantity >= 0) & (quantity < float("inf")))
+    rest = [c for c in incoming.columns if c != "idempotency_key"]
+    once = usable.groupBy("idempotency_key").agg(F.min(F.struct(*rest)).alias("_row")).select("idempotency_key", "_row.*").select(*incoming.columns)
     return once if ledger is None else once.join(ledger.select("idempotency_key"), "idempotency_key", "left_anti")

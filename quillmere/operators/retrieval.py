@@ -27,7 +27,7 @@ WRITE_VERBS = r"\b(add|update|write|record|note|log|append|save|store|put|insert
 QUERY_SIGNALS = r"\b(what|who|when|where|why|how|which|show me|find|list|search|summari[sz]e for me|tell me|do (i|we) have|did (i|we))\b"
 PEOPLE = r"\bwho(m|se)?\b|\b(devs?|developers?|engineers?|team|teammates?|members?|staff|colleagues?|people|everyone|roster|assignees?|owners?)\b"
 CODE_NOUNS = r"\b(code|file|function|method|class|module|component|endpoint|route|handler|config|schema|test|script|api|pipeline|repo|repository)\b"
-CODE_PLACES = r"\b(where|which file|what file|implementation|implemented|defined|declared|source code|code ?base)\b"
+CODE_PLACES = r"\b(where|which file|what file|show me the (code|file|function|class)|implementation|implemented|defined|declared|source code|code ?base|in the (repo|repository|code)|function|method|class|module|import|export)\b"
 BLOCK_TYPES = (
     ("decision", r"\b(decided|decision|agreed|final(ised|ized)?|approved)\b"),
     ("meeting_summary", r"\b(meeting|standup|sync|call)\b"),

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillmere.operators import graph
+from quillmere.sources import staging
+
 #: Fixed values of the text rules.
 OCR_REPAIRS = (
     (r"\b0([A-Za-z])", "O$1"), (r"([A-Za-z])0\b", "$1O"), (r"\bl\b", "I"), (r"\brn\b", "m"), (r"(\w)rn(\w)", "$1m$2"), (r"\bvv\b", "w"),
@@ -116,8 +119,8 @@ def permutations(n: int = 128) -> list[tuple[int, int]]:
     return out
 
 
-def minhash(hashes: DataFrame, n: int = 128) -> DataFrame:
-    """doc_id and signature from doc_id and h (array of 31-bit shingle hashes)."""
+def minhash(hashes: DataFrame, n: int = 128, *carried: str) -> DataFrame:
+    """doc_id, signature and the carried columns from doc_id and h (array of 31-bit shingle hashes)."""
     import numpy as np
 
     pairs = permutations(n)
@@ -128,7 +131,7 @@ def minhash(hashes: DataFrame, n: int = 128) -> DataFrame:
         for some in h:
             yield pd.Series([((a * np.asarray(x, np.int64) + b) % 2147483647).min(axis=1) for x in some])
 
-    return hashes.select("doc_id", sign("h").alias("signature"))
+    return hashes.select("doc_id", sign("h").alias("signature"), *carried)
 
 
 def lsh_buckets(signatures: DataFrame, bands: int = 16, rows: int = 8) -> DataFrame:
@@ -137,67 +140,47 @@ def lsh_buckets(signatures: DataFrame, bands: int = 16, rows: int = 8) -> DataFr
     return signatures.select("doc_id", F.posexplode(parts).alias("band", "bucket"))
 
 
-#: Parts of a bucket's members, smallest first, that are compared one after another.
-PARTS = (1 / 4096, 1 / 256, 1 / 16)
 #: Members on each side of one block of comparisons.
 BLOCK = 512
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, bands: int = 16, rows: int = 8) -> DataFrame:
-    """doc_id and canonical: the smallest document that shares a bucket with this one and is similar enough; else itself.
+    """doc_id and canonical, the smallest document of its class: links lead between documents that share a bucket and are similar enough.
 
-    The similarity is that of the whole shingle sets. Documents of the same text are one class, under the smallest. Classes are
-    compared with the first of their buckets, then with the other members in parts that grow, always only with those smaller than what
-    has been found, so that a group of copies costs its size and yet no pair is left out that could change the result.
+    The similarity is that of the whole shingle sets, kept as 64-bit hashes. Documents of the same text are one entry, under the smallest. Entries are
+    compared with the first of their buckets; then, in buckets whose members aren't all of one class by now, each member outside the bucket's largest class is
+    compared with all others of other classes, in blocks. So a group of copies costs its size, and no link is left out that could join two classes.
     """
     keyed = docs.select("doc_id", F.sha2("text", 256).alias("key"))
-    classes = _cut(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
-    hashes = docs.select("doc_id", F.transform(shingles(F.col("text")), shingle_hash).alias("h"))
-    buckets = _cut(lsh_buckets(minhash(hashes, bands * rows), bands, rows).join(classes.select("doc_id"), "doc_id"))
-    stats = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.percentile_approx("doc_id", list(PARTS), 10000).alias("bounds")).where("n > 1")
-    members = _cut(buckets.join(stats, ["band", "bucket"]))
-    texts = _cut(docs.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id"))
-    best = _cut(members.select("doc_id", F.col("doc_id").alias("canonical")).distinct())
-    for part in range(len(PARTS) + 2):
-        pairs = _cut(_pairs(members, best, part))
-        if pairs.isEmpty():
-            continue
-        other = texts.select(F.col("doc_id").alias("other"), F.col("text").alias("text2"))
-        sets = pairs.join(texts, "doc_id").join(other, "other").select("doc_id", "other", shingles(F.col("text")).alias("s"), shingles(F.col("text2")).alias("s2"))
+    entries = staging.written(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "entries")
+    shingled = docs.select("doc_id", shingles(F.col("text")).alias("s")).select("doc_id", F.transform("s", shingle_hash).alias("h"), F.transform("s", lambda x: F.xxhash64(x)).alias("set"))
+    hashed = staging.written(minhash(shingled, bands * rows, "set").join(entries.select("doc_id"), "doc_id"), "hashed")
+    buckets = lsh_buckets(hashed, bands, rows).select("doc_id", F.xxhash64("band", "bucket").alias("bucket"))
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    members = staging.written(buckets.join(several, "bucket"), "members")
+    sets = hashed.select("doc_id", "set")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        u, v = sets.select(F.col("doc_id").alias("u"), F.col("set").alias("s")), sets.select(F.col("doc_id").alias("v"), F.col("set").alias("s2"))
         common = F.size(F.array_intersect("s", "s2"))
-        similar = sets.where(common >= threshold * (F.size("s") + F.size("s2") - common)).groupBy("doc_id").agg(F.min("other").alias("other"))
-        best = _cut(best.join(similar, "doc_id", "left").select("doc_id", F.least("canonical", "other").alias("canonical")))
-    found = classes.join(best, "doc_id", "left").select("key", F.coalesce("canonical", "doc_id").alias("canonical"))
-    return keyed.join(found, keyed.key.eqNullSafe(found.key)).select("doc_id", "canonical")
-
-
-def _cut(frame: DataFrame) -> DataFrame:
-    """The frame's rows without its lineage, in the shared folder where there is one."""
-    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.localCheckpoint()
-
-
-def _pairs(members: DataFrame, best: DataFrame, part: int) -> DataFrame:
-    """doc_id, other: members of a bucket and those of one part of it that are smaller than the best found; part 0 is the first member.
-
-    Both sides are dealt out in blocks, so that no bucket gathers in one task.
-    """
-    after = F.lit(None) if part == 0 else F.col("first") if part == 1 else F.col("bounds")[part - 2]
-    last = part == len(PARTS) + 1
-    until = F.col("first") if part == 0 else F.lit(None) if last else F.col("bounds")[part - 1]
+        return pairs.join(u, "u").join(v, "v").where(common >= threshold * (F.size("s") + F.size("s2") - common)).select("u", "v")
+
+    first = linked(members.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct())
+    links = staging.written(first, "links")
+    labels = graph.components(links).withColumnRenamed("node", "doc_id")
+    own = members.join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    own = staging.written(own, "labelled")
+    sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    own = own.join(mixed, "bucket")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    every, own = F.sequence(F.lit(0), blocks - 1), F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    low = F.col("first") if part == 0 else after
-    asking = members.join(best, "doc_id").where(low < F.col("canonical"))
-    if part:
-        asking = asking.where("n > 2")
-    if part and not last:
-        asking = asking.where(after < until)
-    left = asking.select("band", "bucket", "doc_id", "canonical", own.alias("a"), F.explode(every).alias("b"))
-    asked = members.where(F.col("doc_id") == F.col("first")) if part == 0 else members.where(F.col("doc_id") > after)
-    if part and not last:
-        asked = asked.where(F.col("doc_id") <= until)
-    right = asked.select("band", "bucket", F.col("doc_id").alias("other"), own.alias("b"), F.explode(every).alias("a"))
-    return left.join(right, ["band", "bucket", "a", "b"]).where("other < canonical").select("doc_id", "other").distinct()
+    block, every = F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
+    minor = own.where("label <> most").select("bucket", F.col("doc_id").alias("a"), F.col("label").alias("la"), block.alias("x"), F.explode(every).alias("y"))
+    others = own.select("bucket", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.explode(every).alias("x"), block.alias("y"))
+    rest = minor.join(others, ["bucket", "x", "y"]).where("la <> lb").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    classes = graph.components(links.unionByName(linked(rest))).withColumnRenamed("node", "doc_id")
+    found = entries.join(classes, "doc_id", "left").select("key", F.coalesce("label", "doc_id").alias("canonical"))
+    return keyed.join(found, keyed.key.eqNullSafe(found.key)).select("doc_id", "canonical")
 
 
 # --- secrets ----------------------------------------------------------------------------------------------------
@@ -213,14 +196,14 @@ def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, kind, value, token of each distinct secret in a text."""
     found = F.concat(
         F.transform(F.regexp_extract_all("text", F.lit(SECRET_LINE), F.lit(0)), lambda v: F.struct(F.lit("SECRET_VALUE").alias("kind"), v.alias("value"))),
-        F.transform(F.regexp_extract_all("text", F.lit(BEARER), F.lit(0)), lambda v: F.struct(F.lit("BEARER_TOKEN").alias("kind"), v.alias("value"))),
+        F.transform(F.regexp_extract_all("text", F.lit(BEARER), F.lit(0)), lambda v: F.struct(F.lit("API_KEY").alias("kind"), v.alias("value"))),
     )
     return docs.select("doc_id", F.explode(F.array_distinct(found)).alias("f")).select("doc_id", "f.kind", "f.value", stable_token(F.col("f.kind"), F.col("f.value")).alias("token"))
 
 
 def masked(text: Column) -> Column:
     """Secrets replaced by their kind; whole lines first."""
-    return F.regexp_replace(F.regexp_replace(text, SECRET_LINE, "[SECRET_VALUE]"), BEARER, "[BEARER_TOKEN]")
+    return F.regexp_replace(F.regexp_replace(text, SECRET_LINE, "[SECRET_VALUE]"), BEARER, "[API_KEY]")
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 #: The kinds that are counted, with the names of their features.
 COUNTED = {
-    "commit": "n_commits", "pr_opened": "n_prs_opened", "pr_merged": "n_prs_merged", "doc_edited": "n_docs_edited", "message": "n_messages",
+    "commit": "n_commits", "pr_opened": "n_prs_opened", "pr_merged": "n_prs_merged", "doc_created": "n_docs_created", "doc_edited": "n_docs_edited", "message": "n_messages",
     "task_assigned": "n_tasks_assigned", "task_completed": "n_tasks_completed", "task_reopened": "n_tasks_reopened", "decision": "n_decisions",
 }
 

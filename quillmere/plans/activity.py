@@ -13,7 +13,7 @@ from quillmere.sources.tables import EVENTS_SQL
 _BASE_SQL = """base AS (
   SELECT tenant_id, CAST(date_trunc('{unit}', ts) AS DATE) AS bucket,
     count(*) FILTER (kind = 'commit') AS n_commits, count(*) FILTER (kind = 'pr_opened') AS n_prs_opened, count(*) FILTER (kind = 'pr_merged') AS n_prs_merged,
-    count(*) FILTER (kind = 'doc_edited') AS n_docs_edited, count(*) FILTER (kind = 'message') AS n_messages, count(*) FILTER (kind = 'task_assigned') AS n_tasks_assigned,
+    count(*) FILTER (kind = 'doc_created') AS n_docs_created, count(*) FILTER (kind = 'doc_edited') AS n_docs_edited, count(*) FILTER (kind = 'message') AS n_messages, count(*) FILTER (kind = 'task_assigned') AS n_tasks_assigned,
     count(*) FILTER (kind = 'task_completed') AS n_tasks_completed, count(*) FILTER (kind = 'task_reopened') AS n_tasks_reopened, count(*) FILTER (kind = 'decision') AS n_decisions,
     avg(CASE WHEN hour(ts) < 9 OR hour(ts) >= 18 THEN 1.0 ELSE 0.0 END) AS after_hours_ratio, avg(CASE WHEN isodow(ts) >= 6 THEN 1.0 ELSE 0.0 END) AS weekend_ratio,
     coalesce(quantile_cont(review_delay_s, 0.5), 0.0) AS median_review_delay, coalesce(max(review_delay_s), 0.0) AS max_review_delay
@@ -33,7 +33,7 @@ isl AS (SELECT *, sum(observed) OVER (PARTITION BY tenant_id ORDER BY bucket) AS
 
 @query(
     f"""{_WEEKLY_SQL}
-SELECT tenant_id, bucket, n_docs_edited, n_messages, n_tasks_assigned, n_tasks_completed, n_tasks_reopened, n_decisions,
+SELECT tenant_id, bucket, n_docs_created, n_docs_edited, n_messages, n_tasks_assigned, n_tasks_completed, n_tasks_reopened, n_decisions,
   round(after_hours_ratio, 6) AS after_hours_ratio, round(weekend_ratio, 6) AS weekend_ratio, round(median_review_delay, 6) AS median_review_delay, round(max_review_delay, 6) AS max_review_delay,
   CASE WHEN observed = 1 THEN round(CASE WHEN n_tasks_assigned = 0 THEN 0.0 ELSE n_tasks_completed / n_tasks_assigned END, 6) END AS completion_rate,
   active_actors, round(top_actor_share, 6) AS top_actor_share, round(actor_entropy, 6) AS actor_entropy, observed,
@@ -43,7 +43,7 @@ FROM isl"""
 def weekly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = weekly.weekly_features(tables.activity_events(spark, sf_dir))
     rounded = [F.round(c, 6).alias(c) for c in ("after_hours_ratio", "weekend_ratio", "median_review_delay", "max_review_delay", "completion_rate", "top_actor_share", "actor_entropy")]
-    counts = ["n_docs_edited", "n_messages", "n_tasks_assigned", "n_tasks_completed", "n_tasks_reopened", "n_decisions", "active_actors", "observed", "weeks_since_last_event"]
+    counts = ["n_docs_created", "n_docs_edited", "n_messages", "n_tasks_assigned", "n_tasks_completed", "n_tasks_reopened", "n_decisions", "active_actors", "observed", "weeks_since_last_event"]
     return found.select("tenant_id", "bucket", *counts, *rounded)
 
 

@@ -88,10 +88,11 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_BUCKETS_SQL}, f AS (SELECT *, min(doc_id) OVER (PARTITION BY band, bucket) AS first FROM bk), pr AS (SELECT DISTINCT doc_id, first FROM f WHERE doc_id > first),
-j AS (SELECT pr.doc_id, pr.first, len(list_intersect(a.s, b.s)) AS c, len(a.s) AS la, len(b.s) AS lb FROM pr JOIN sh a ON pr.doc_id = a.doc_id JOIN sh b ON pr.first = b.doc_id),
-best AS (SELECT doc_id, min(first) AS first FROM j WHERE c >= 0.85 * (la + lb - c) GROUP BY doc_id)
-SELECT d.doc_id, coalesce(first, d.doc_id) AS canonical FROM documents d LEFT JOIN best USING (doc_id)"""
+    f"""WITH RECURSIVE {_BUCKETS_SQL}, pr AS (SELECT DISTINCT a.doc_id AS u, b.doc_id AS v FROM bk a JOIN bk b ON a.band = b.band AND a.bucket = b.bucket AND a.doc_id > b.doc_id),
+j AS (SELECT u, v, len(list_intersect(a.s, b.s)) AS c, len(a.s) AS la, len(b.s) AS lb FROM pr JOIN sh a ON u = a.doc_id JOIN sh b ON v = b.doc_id),
+li AS (SELECT u, v FROM j WHERE c >= 0.85 * (la + lb - c)), e AS (SELECT u AS a, v AS b FROM li UNION ALL SELECT v, u FROM li),
+r(doc_id, other) AS (SELECT a, b FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT d.doc_id, least(d.doc_id, coalesce(m, d.doc_id)) AS canonical FROM documents d LEFT JOIN (SELECT doc_id, min(other) AS m FROM r GROUP BY doc_id) USING (doc_id)"""
 )
 def near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.near_duplicates(_docs(spark, sf_dir))
@@ -114,20 +115,20 @@ def _with_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.concat_ws("\n", "text", line).alias("text"))
 
 
-@query(f"WITH {_LINES_SQL} SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{_SECRET}', '[SECRET_VALUE]', 'g'), '{_BEARER}', '[BEARER_TOKEN]', 'g')) AS digest FROM t")
+@query(f"WITH {_LINES_SQL} SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{_SECRET}', '[SECRET_VALUE]', 'g'), '{_BEARER}', '[API_KEY]', 'g')) AS digest FROM t")
 def pii_secret_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_secrets(spark, sf_dir).select("doc_id", F.md5(text.masked(F.col("text"))).alias("digest"))
 
 
 @query(
-    f"""WITH {_LINES_SQL}, f AS (SELECT DISTINCT doc_id, 'SECRET_VALUE' AS kind, unnest(regexp_extract_all(text, '{_SECRET}')) AS value FROM t UNION SELECT doc_id, 'BEARER_TOKEN', unnest(regexp_extract_all(text, '{_BEARER}')) FROM t)
+    f"""WITH {_LINES_SQL}, f AS (SELECT DISTINCT doc_id, 'SECRET_VALUE' AS kind, unnest(regexp_extract_all(text, '{_SECRET}')) AS value FROM t UNION SELECT doc_id, 'API_KEY', unnest(regexp_extract_all(text, '{_BEARER}')) FROM t)
 SELECT doc_id, kind, value, kind || '_' || lpad(CAST(CAST(('0x' || substr(sha256(kind || '|' || value), 1, 8)) AS BIGINT) % 1000000 AS VARCHAR), 6, '0') AS token FROM f"""
 )
 def pii_stable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.secrets(_with_secrets(spark, sf_dir))
 
 
-@query(f"WITH {_LINES_SQL} SELECT kind, count(*) AS n FROM (SELECT DISTINCT doc_id, 'SECRET_VALUE' AS kind, unnest(regexp_extract_all(text, '{_SECRET}')) AS v FROM t UNION SELECT doc_id, 'BEARER_TOKEN', unnest(regexp_extract_all(text, '{_BEARER}')) FROM t) GROUP BY kind")
+@query(f"WITH {_LINES_SQL} SELECT kind, count(*) AS n FROM (SELECT DISTINCT doc_id, 'SECRET_VALUE' AS kind, unnest(regexp_extract_all(text, '{_SECRET}')) AS v FROM t UNION SELECT doc_id, 'API_KEY', unnest(regexp_extract_all(text, '{_BEARER}')) FROM t) GROUP BY kind")
 def pii_entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.secrets(_with_secrets(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"))
 

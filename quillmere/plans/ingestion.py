@@ -119,12 +119,14 @@ def workflow_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingestion.staged([("github", rows.where(first)), ("notion", rows.where(~first))], customers.select(F.col("c_custkey").alias("connection_id"), F.col("c_nationkey").alias("workflow_id")), 3)
 
 
-@query("SELECT c_custkey, c_name AS name FROM customer")
+@query("SELECT c_custkey, c_name AS name, 28 + strlen(c_name) AS sealed_bytes, true AS hidden FROM customer")
 def envelope_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names encrypted with AES-GCM under a key, the tenant as associated data, and decrypted again."""
-    key, aad = F.lit(b"0123456789abcdef"), F.col("c_nationkey").cast("string")
-    sealed = tables.table(spark, sf_dir, "customer").select("c_custkey", aad.alias("aad"), F.aes_encrypt("c_name", key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b"000000000000"), aad).alias("sealed"))
-    return sealed.select("c_custkey", F.aes_decrypt("sealed", key, F.lit("GCM"), F.lit("DEFAULT"), F.col("aad")).cast("string").alias("name"))
+    """Names sealed with AES-GCM and opened again: a key for each tenant, the tenant as associated data, and a random nonce that is stored with each row."""
+    tenant = F.col("c_nationkey").cast("string")
+    customers = tables.table(spark, sf_dir, "customer").select("c_custkey", "c_name", tenant.alias("tenant"), ingestion.tenant_key(tenant, "master secret of this demonstration").alias("key"))
+    sealed = customers.withColumn("sealed", ingestion.sealed(F.col("c_name"), F.col("key"), F.col("tenant")))
+    hidden = ~F.contains("sealed", F.encode("c_name", "UTF-8"))
+    return sealed.select("c_custkey", ingestion.opened(F.col("sealed"), F.col("key"), F.col("tenant")).alias("name"), F.octet_length("sealed").cast("long").alias("sealed_bytes"), hidden.alias("hidden"))
 
 
 @query("SELECT c_custkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CASE WHEN n / 1024 < 10 THEN printf('%.1f', floor(n / 1024 * 10 + 0.5) / 10) ELSE CAST(CAST(floor(n / 1024 + 0.5) AS BIGINT) AS VARCHAR) END || ' KB' ELSE CASE WHEN n / 1048576 < 10 THEN printf('%.1f', floor(n / 1048576 * 10 + 0.5) / 10) ELSE CAST(CAST(floor(n / 1048576 + 0.5) AS BIGINT) AS VARCHAR) END || ' MB' END AS label FROM (SELECT c_custkey, c_custkey * c_custkey * 17 AS n FROM customer)")

@@ -26,11 +26,11 @@ def knowledge_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_CLOSURE_SQL}, p AS (SELECT p_partkey AS source, (p_partkey * 7) % 63 + 1 AS target FROM part WHERE p_partkey BETWEEN 1 AND 63)
+    f"""{_CLOSURE_SQL}, p AS (SELECT p_partkey AS source, (p_partkey * 7) % 63 + 1 AS target FROM part)
 SELECT source, target, CASE WHEN source = target THEN 'self' WHEN (source, target) IN (SELECT (source, target) FROM edges) THEN 'duplicate' WHEN (source, target) IN (SELECT (node, upstream) FROM up WHERE node <> upstream) THEN 'cycle' END AS reason FROM p"""
 )
 def cycle_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    proposed = tables.table(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 63").select(F.col("p_partkey").alias("source"), ((F.col("p_partkey") * 7) % 63 + 1).alias("target"))
+    proposed = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source"), ((F.col("p_partkey") * 7) % 63 + 1).alias("target"))
     return graph.link_refusals(proposed, tables.part_edges(spark, sf_dir))
 
 
@@ -43,28 +43,29 @@ def layered_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE v AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 < 9 AND o_orderkey + 1 <= (SELECT max(o_orderkey) FROM orders) THEN o_orderkey + 1 END AS superseded_by FROM orders WHERE o_orderkey < 3000),
+    """WITH RECURSIVE v AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 < 9 AND o_orderkey + 1 <= (SELECT max(o_orderkey) FROM orders) THEN o_orderkey + 1 END AS superseded_by FROM orders),
 w(id, head, steps) AS (SELECT id, id, 0 FROM v UNION ALL SELECT w.id, superseded_by, steps + 1 FROM w JOIN v ON w.head = v.id WHERE superseded_by IS NOT NULL)
 SELECT id, arg_max(head, steps) AS head, max(steps) AS steps FROM w GROUP BY id"""
 )
 def supersession_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders stand for versions: each is replaced by the next but for every tenth."""
-    orders = tables.table(spark, sf_dir, "orders").where("o_orderkey < 3000")
-    by = F.when(F.col("o_orderkey") % 10 < 9, F.col("o_orderkey") + 1)
+    orders = tables.table(spark, sf_dir, "orders")
+    orders = orders.crossJoin(F.broadcast(orders.agg(F.max("o_orderkey").alias("last"))))  # one row
+    by = F.when((F.col("o_orderkey") % 10 < 9) & (F.col("o_orderkey") < F.col("last")), F.col("o_orderkey") + 1)
     return graph.heads(orders.select(F.col("o_orderkey").alias("id"), by.alias("superseded_by")))
 
 
 _ST = ", ".join(f"'{w}'" for w in knowledge.STOP_WORDS)
 _TOK = f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({{}}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda t: length(t) > 2 AND t NOT IN ({_ST})))"
-_BLOCKS_SQL = f"""bl AS (SELECT doc_id AS id, lang AS type, string_split(text, chr(10))[1] AS title, left(text, 400) AS body FROM documents),
-ca AS (SELECT id, type, {_TOK.format('title')} AS t, {_TOK.format('body')} AS b FROM bl WHERE id % 2 = 1 AND id < 400), kn AS (SELECT id AS known_id, type, {_TOK.format('title')} AS kt, {_TOK.format('body')} AS kb FROM bl WHERE id % 2 = 0 AND id < 400)"""
+_BLOCKS_SQL = f"""bl AS (SELECT doc_id AS id, lang AS type, string_split(text, chr(10))[1] AS title, text AS body FROM documents),
+ca AS (SELECT id, type, {_TOK.format('title')} AS t, {_TOK.format('body')} AS b FROM bl WHERE id % 2 = 1), kn AS (SELECT id AS known_id, type, {_TOK.format('title')} AS kt, {_TOK.format('body')} AS kb FROM bl WHERE id % 2 = 0)"""
 _OVER = "CASE WHEN least(len(t), len(kt)) < 2 THEN CASE WHEN len(t) = 0 OR len(kt) = 0 THEN 0 ELSE len(list_intersect(t, kt)) / (len(t) + len(kt) - len(list_intersect(t, kt))) END ELSE len(list_intersect(t, kt)) / least(len(t), len(kt)) END"
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The first 400 documents' first lines and beginnings stand for blocks: the odd ones are new, the even ones known."""
-    docs = tables.table(spark, sf_dir, "documents").where("doc_id < 400")
-    blocks = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.left("text", F.lit(400)).alias("body"), F.col("doc_id").alias("recency"))
+    """The documents stand for blocks, with their first lines as titles: the odd ones are new, the even ones known."""
+    docs = tables.table(spark, sf_dir, "documents")
+    blocks = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("text").alias("body"), F.col("doc_id").alias("recency"))
     return blocks.where("id % 2 = 1"), blocks.where("id % 2 = 0")
 
 

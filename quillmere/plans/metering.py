@@ -85,7 +85,7 @@ SELECT tenant_id, round(used, 6) AS used, round(mean_7d, 6) AS mean_7d, round(pr
   CASE WHEN included <= 0 THEN 'on_track' WHEN projected > included THEN 'over' WHEN projected > included * 0.9 THEN 'near' ELSE 'on_track' END AS state FROM p"""
 )
 def usage_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    included = _balances(spark, sf_dir).select("tenant_id", (F.col("granted").cast("double") / 10).alias("included"))
+    included = _balances(spark, sf_dir).select("tenant_id", (F.col("granted").cast("double") / 30).alias("included"))
     found = ledger.projection(tables.usage_ledger(spark, sf_dir), included, START, NOW, END)
     return found.select("tenant_id", F.round("used", 6).alias("used"), F.round("mean_7d", 6).alias("mean_7d"), F.round("projected", 6).alias("projected"), "state")
 
@@ -138,11 +138,11 @@ def paused_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_BALANCE_SQL}, t AS (SELECT tenant_id, CAST(floor(100 * CAST(spent AS DOUBLE) / (CAST(granted AS DOUBLE) / 10)) AS BIGINT) AS percent, unnest([50, 75, 90, 100]) AS threshold FROM bal WHERE granted > 0)
+    f"""WITH {_BALANCE_SQL}, t AS (SELECT tenant_id, CAST(floor(100 * CAST(spent AS DOUBLE) / (CAST(granted AS DOUBLE) / 30)) AS BIGINT) AS percent, unnest([50, 75, 90, 100]) AS threshold FROM bal WHERE granted > 0)
 SELECT tenant_id, threshold, percent FROM t WHERE percent >= threshold AND NOT (tenant_id = 3 AND threshold = 50)"""
 )
 def alerts_fired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spent = _balances(spark, sf_dir).select("tenant_id", "spent", (F.col("granted").cast("double") / 10).alias("included"))
+    spent = _balances(spark, sf_dir).select("tenant_id", "spent", (F.col("granted").cast("double") / 30).alias("included"))
     fired = spark.range(1).select(F.lit(3).cast("long").alias("tenant_id"), F.lit(50).alias("threshold"))
     return ledger.alerts(spent, [50, 75, 90], fired)
 

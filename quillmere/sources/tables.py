@@ -42,9 +42,8 @@ def credit_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, target: a binary forest over the first 64 parts with one edge back, so that there is a cycle."""
-    parts = table(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 63")
-    tree = parts.select(F.expr("p_partkey div 2").alias("source"), F.col("p_partkey").alias("target")).where("source > 0")
+    """source, target: a binary forest over the parts with one edge back, so that there is a cycle."""
+    tree = table(spark, sf_dir, "part").select(F.expr("p_partkey div 2").alias("source"), F.col("p_partkey").alias("target")).where("source > 0")
     return tree.unionByName(spark.range(1).select(F.lit(40).cast("long").alias("source"), F.lit(5).cast("long").alias("target")))
 
 
@@ -67,6 +66,6 @@ CREDITS_SQL = """credits AS (
   FROM orders
 )"""
 EDGES_SQL = """edges AS (
-  SELECT p_partkey // 2 AS source, p_partkey AS target FROM part WHERE p_partkey BETWEEN 1 AND 63 AND p_partkey // 2 > 0
+  SELECT p_partkey // 2 AS source, p_partkey AS target FROM part WHERE p_partkey // 2 > 0
   UNION ALL SELECT 40, 5
 )"""

@@ -154,7 +154,6 @@ def test_near_duplicates_beyond_a_buckets_first(spark, monkeypatch):
     # The smallest document is under .85 to most others, though it shares buckets with them; others are alike.
     rows = [(0, edited(30)), *((i, edited(rng.choice((2, 6, 12, 22)))) for i in range(1, 40)), (40, " ".join(base)), (41, " ".join(base)), (42, "other words"), (43, "other words")]
     monkeypatch.setattr(text, "BLOCK", 8)
-    monkeypatch.setattr(text, "PARTS", (1 / 16, 1 / 4))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     buckets = {}
     for r in text.lsh_buckets(text.minhash(docs.select("doc_id", F.transform(text.shingles(F.col("text")), text.shingle_hash).alias("h")))).collect():
@@ -162,9 +161,10 @@ def test_near_duplicates_beyond_a_buckets_first(spark, monkeypatch):
     met = {p for ids in buckets.values() for p in combinations(sorted(ids), 2)}
     sets = {d: {tuple(t.split()[i : i + 3]) for i in range(max(1, len(t.split()) - 2))} for d, t in rows}
     wanted = {d: d for d in sets}
-    for a, b in sorted(met, reverse=True):
-        if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b]):
-            wanted[b] = min(wanted[b], a)
+    linked = [(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in linked:
+            wanted[a] = wanted[b] = min(wanted[a], wanted[b])
     first = {}
     for ids in buckets.values():
         for d in ids:
@@ -174,6 +174,51 @@ def test_near_duplicates_beyond_a_buckets_first(spark, monkeypatch):
     assert any(wanted[d] != d and wanted[d] not in first[d] for d in sets)  # comparisons with the first alone would miss these
 
 
+def test_layers_of_full_graphs_and_cycles(spark):
+    """Each edge is gone through once, though there are 8 ** 8 paths."""
+    from quillmere.operators import graph
+
+    edges = [(8 * k + i, 8 * (k + 1) + j) for k in range(7) for i in range(8) for j in range(8)] + [(0, 63)]
+    found = {r.node: r.layer for r in graph.layers(spark.createDataFrame(edges, "source long, target long")).collect()}
+    assert found == {n: n // 8 for n in range(64)}
+    with pytest.raises(ValueError):
+        graph.layers(spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "source long, target long"))
+    assert graph.layers(spark.createDataFrame([], "source long, target long")).count() == 0
+
+
+def test_components_and_heads(spark):
+    from quillmere.operators import graph
+
+    edges = [(i + 1, i) for i in range(20)] + [(100, x) for x in range(101, 120)] + [(120, 119), (7, 7)]
+    found = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {i: 0 for i in range(21)} | {i: 100 if i < 119 else 100 for i in range(100, 120)} | {120: 100}
+    versions = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, 9)], "id long, superseded_by long")
+    assert {(r.id, r.head, r.steps) for r in graph.heads(versions).collect()} == {(1, 3, 2), (2, 3, 1), (3, 3, 0), (4, 9, 1)}
+
+
+def test_ledger_takes_finite_quantities_once(spark):
+    from quillmere.operators import ledger
+
+    rows = [("a", 1.0, "x"), ("a", 1.0, "w"), ("b", float("nan"), "x"), ("c", float("inf"), "x"), ("d", -1.0, "x"), ("", 1.0, "x"), (None, 1.0, "x"), ("e", None, "x"), ("f", 0.0, None)]
+    schema = "idempotency_key string, quantity double, note string"
+    for some in (rows, rows[::-1]):
+        assert {tuple(r) for r in ledger.idempotent(spark.createDataFrame(some, schema)).collect()} == {("a", 1.0, "w"), ("f", 0.0, None)}
+
+
+def test_code_questions_and_sealed_columns(spark):
+    from quillmere.operators import ingestion, retrieval
+
+    asks = spark.createDataFrame([("The class in that module",), ("Show me the code of it",), ("where is the office",), ("what is our deployment policy",)], "q string")
+    low = F.lower("q")
+    assert [r.c for r in asks.select((low.rlike(retrieval.CODE_PLACES) & low.rlike(retrieval.CODE_NOUNS)).alias("c")).collect()] == [True, True, False, False]
+    rows = spark.createDataFrame([(i % 2, "same") for i in range(6)], "t int, v string").withColumn("t", F.col("t").cast("string"))
+    key = ingestion.tenant_key(F.col("t"), "secret")
+    sealed = rows.withColumn("s", ingestion.sealed(F.col("v"), key, F.col("t")))
+    assert len({bytes(r.s) for r in sealed.collect()}) == 6
+    other = ingestion.opened(F.col("s"), key, F.lit("9"))
+    assert {(r.a, r.b) for r in sealed.select(ingestion.opened(F.col("s"), key, F.col("t")).alias("a"), other.alias("b")).collect()} == {("same", None)}
+
+
 def test_merge_candidates_takes_lines_of_whole_documents(spark, tmp_path):
     from quillmere.plans import catalog
 

@@ -1,38 +1,26 @@
-"""Licence scan of a file tree: sparse TF-IDF cosine to licence statements, then inheritance from the nearest directory.
+"""Licence scan of a file tree: sparse TF-IDF cosine to licence templates, then inheritance from the nearest directory.
 
-All of it is joins and aggregations of built-in functions. Terms of the statements are counted in all files for their
-weights. Header lines (those that name a licence or a copyright) and, for licence files, whole texts are compared with the
-statements by joining on terms. A file without a licence of its own takes that of the nearest directory above it with a licence file.
+All of it is joins and aggregations of built-in functions. What is compared with a template is a unit of a file: a line, a
+paragraph (with comment marks taken off, so that a notice wrapped over several comment lines is one), or the whole text. Weights come
+from the number of files that hold a term, over all files and all terms. A file without a licence of its own takes that of the
+nearest directory above it with a licence file.
+
+Which units are compared follows from the weights themselves: a cosine of t needs terms that hold t squared of a template's squared weight, so
+a unit without any of the heaviest terms, which hold more than the rest allows, can't reach it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmere.llm import support
+from quillmere.llm.license_texts import TEMPLATES
 
-#: Licence names with the statements that headers and licence files make.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD style license that can be found in the LICENSE file."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "Released into the public domain under the CC0 1.0 license."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain, see the Unlicense license."),
-)
-#: What makes a line a header line.
-ANCHOR = "licen[sc]e|copyright|spdx|public domain"
 TERM = "[a-z0-9]+"
+#: Marks that begin lines of comments, and what parts paragraphs.
+MARKS, BLANK = r"(?m)^[ \t]*(?://+|#+|/?\*+/?|--+|;+|%+|<!--)[ \t]*", r"\n[ \t\r]*\n"
 HEADER_COSINE, FILE_COSINE = 0.8, 0.45
 
 
@@ -43,38 +31,35 @@ def _terms(text: Column) -> Column:
 def scan(files: DataFrame) -> DataFrame:
     """file_id, path, own_license, own_score, license, inherited_from and file_license_score of every row.
 
-    files: file_id, path (directories separated by /) and text; more columns are ignored. own_license is that of the statement which one of the
-    file's header lines is most like, with a cosine of HEADER_COSINE or more; ties go to the smaller name. A file whose whole text is like a
-    statement by FILE_COSINE or more is a licence file of its directory; of several the best counts, then the smallest name. license is the
+    files: file_id, path (directories separated by /) and text; more columns are ignored. own_license is that of the template which one of the
+    file's lines or paragraphs is most like, with a cosine of HEADER_COSINE or more; ties go to the smaller name. A file whose whole text is like a
+    template by FILE_COSINE or more is a licence file of its directory; of several the best counts, then the smallest name. license is the
     own one, else that of the nearest directory from the file's own upwards, whose path is in inherited_from; else null.
 
     Null and empty texts have no licence of their own; a null path is in the top directory, which has the empty path. Rows
-    that share a file_id are one file with the better of their scores, in each of the rows.
+    that share a file_id are one file with the better of their scores, in each of the rows; each counts as a file for the weights.
     """
     spark = files.sparkSession
     path = F.coalesce(F.col("path"), F.lit(""))
     base = files.select("file_id", path.alias("path"), F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("dir"), F.coalesce("text", F.lit("")).alias("text"))
-    words = _statement_terms(spark)
-    known = sorted({t for _, text in TEMPLATES for t in _python_terms(text)})
-    # How many files hold each term of a statement, over all files; files that share an id count each.
-    held = F.array_intersect(_terms(F.col("text")), F.array(*map(F.lit, known)))
-    df = base.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = base.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = support.materialise(df, "term-files")
     total = files.count()
-    weight = F.ln(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    statements = words.join(df, "term", "left").select("statement", "license", "term", (F.col("tf") * weight).alias("w"), weight.alias("idf"))
-    statements = support.materialise(statements, "statements")  # some terms for each statement
-    norms = statements.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    statements = statements.join(norms, "statement").withColumn("w", F.col("w") / F.col("norm"))
-    idf = statements.select("term", "idf").distinct()
-
-    naming = F.filter(F.split("text", "\n"), lambda line: F.lower(line).rlike(ANCHOR))
-    marked = support.materialise(base.withColumn("headers", naming).where(F.size("headers") > 0).select("file_id", "path", "dir", "text", "headers"), "headers")
-    lines = marked.select("file_id", "dir", F.explode("headers").alias("line")).distinct()
-    whole = marked.select("file_id", "dir", F.col("text").alias("line")).distinct()
-    headers = _cosines(lines, statements, idf, total)
+    templates = _weighed(_template_terms(spark), df, total, "template", "license")
+    norms = templates.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    templates = support.materialise(templates.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("w")), "templates")
+
+    for_header, for_file = _telling(templates, HEADER_COSINE), _telling(templates, FILE_COSINE)  # some terms of the templates
+    marked = base.where(F.arrays_overlap(_terms(F.col("text")), F.array(*map(F.lit, sorted({*for_header, *for_file})))))
+    marked = support.materialise(marked.select("file_id", "dir", "text"), "marked", "snappy")
+    unit = F.array_union(F.split("text", "\n"), F.split(F.regexp_replace("text", MARKS, ""), BLANK))
+    units = marked.select("file_id", "dir", F.explode(unit).alias("unit")).distinct()
+    has = lambda terms: F.arrays_overlap(_terms(F.col("unit")), F.array(*map(F.lit, terms)))
+    headers = _cosines(units.where(has(for_header)), templates, df, total)
     own = headers.where(F.col("score") >= HEADER_COSINE).groupBy("file_id").agg(_best("license", "score").alias("b"))
     own = own.select("file_id", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"))
-    file_like = _cosines(whole, statements, idf, total).where(F.col("score") >= FILE_COSINE)
+    whole = marked.select("file_id", "dir", F.col("text").alias("unit")).distinct().where(has(for_file))
+    file_like = support.materialise(_cosines(whole, templates, df, total).where(F.col("score") >= FILE_COSINE), "licence-files")
     by_dir = support.materialise(file_like.groupBy("dir").agg(_best("license", "score").alias("b")).select(F.col("dir").alias("above"), F.col("b.license").alias("dir_license")), "directories")
 
     # Each directory joins the directories above it on their paths; the deepest with a licence file is the nearest.
@@ -86,9 +71,9 @@ def scan(files: DataFrame) -> DataFrame:
         .groupBy("dir").agg(F.max_by(F.struct("above", "dir_license"), "depth").alias("a"))
     )
     near = places.join(near, "dir", "left").select("dir", "n", F.col("a.above").alias("above"), F.col("a.dir_license").alias("dir_license"))
-    score = support.materialise(file_like.groupBy("file_id").agg(F.max("score").alias("file_license_score")), "licence-files")
+    score = file_like.groupBy("file_id").agg(F.max("score").alias("file_license_score"))
     joined = support.join_counted(base.select("file_id", "path", "dir"), near, "dir", "n", total)
-    joined = joined.join(support.materialise(own, "own"), "file_id", "left").join(score, "file_id", "left")
+    joined = joined.join(support.materialise(own, "own"), "file_id", "left").join(support.materialise(score, "scores"), "file_id", "left")
     inherits = F.col("own_license").isNull()
     return joined.select(
         "file_id", "path", "own_license", "own_score", F.coalesce("own_license", "dir_license").alias("license"),
@@ -96,16 +81,23 @@ def scan(files: DataFrame) -> DataFrame:
     )
 
 
-def _python_terms(text: str) -> list[str]:
-    import re
+def _template_terms(spark: SparkSession) -> DataFrame:
+    table = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, text string")
+    return table.select("template", "license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
+
 
-    return re.findall(TERM, text.lower())
+def _weighed(tf: DataFrame, df: DataFrame, total: int, *key: str) -> DataFrame:
+    """key, term and w, the TF-IDF weight of rows of key, term and tf; terms that no file has weigh most."""
+    idf = F.ln(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    return tf.join(df, "term", "left").select(*key, "term", (F.col("tf") * idf).alias("w"))
 
 
-def _statement_terms(spark: SparkSession) -> DataFrame:
-    rows = [(i, name, text) for i, (name, text) in enumerate(TEMPLATES)]
-    table = spark.createDataFrame(rows, "statement int, license string, text string")
-    return table.select("statement", "license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("statement", "license", "term").agg(F.count("*").alias("tf"))
+def _telling(templates: DataFrame, cosine: float) -> list[str]:
+    """Of each template the heaviest terms, as many as hold over 1 - cosine squared of its squared weight: one of them is in all that reaches the cosine."""
+    order = Window.partitionBy("template").orderBy(F.desc("w"), "term")
+    before = F.sum(F.col("w") * F.col("w")).over(order) - F.col("w") * F.col("w")
+    rows = templates.withColumn("before", before).where(F.col("before") <= 1 - (cosine - 1e-6) ** 2).select("term").distinct().collect()
+    return sorted(r.term for r in rows)
 
 
 def _best(name: str, score: str) -> Column:
@@ -113,18 +105,15 @@ def _best(name: str, score: str) -> Column:
     return F.min_by(F.struct(name, score), F.struct(-F.col(score), F.col(name)))
 
 
-def _cosines(lines: DataFrame, statements: DataFrame, idf: DataFrame, total: int) -> DataFrame:
-    """file_id, dir, license and score (rounded to 6 places) of the lines that share a term with a statement.
-
-    Terms outside the statements weigh as terms that no file has.
-    """
-    numbered = lines.withColumn("id", F.xxhash64("file_id", "line"))
-    rare = F.lit(1.0 + total)
-    tf = numbered.select("file_id", "dir", "id", F.explode(_terms(F.col("line"))).alias("term")).groupBy("file_id", "dir", "id", "term").agg(F.count("*").alias("tf"))
-    weighed = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.ln(rare) + 1))
-    norm = weighed.groupBy("file_id", "dir", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+def _cosines(units: DataFrame, templates: DataFrame, df: DataFrame, total: int) -> DataFrame:
+    """file_id, dir, license and score (rounded to 6 places) of the units that share a term with a template."""
+    numbered = units.withColumn("id", F.xxhash64("file_id", "unit"))
+    key = ["file_id", "dir", "id"]
+    tf = numbered.select(*key, F.explode(_terms(F.col("unit"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    weighed = support.materialise(_weighed(tf, df, total, *key), "unit-terms", "snappy")
+    norm = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = (
-        weighed.join(F.broadcast(statements.select("term", "statement", "license", F.col("w").alias("s"))), "term")
-        .groupBy("file_id", "dir", "id", "statement", "license").agg(F.sum(F.col("w") * F.col("s")).alias("dot"))
+        weighed.join(F.broadcast(templates.select("term", "template", "license", F.col("w").alias("s"))), "term")  # some terms for each template
+        .groupBy(*key, "template", "license").agg(F.sum(F.col("w") * F.col("s")).alias("dot"))
     )
-    return dot.join(norm, ["file_id", "dir", "id"]).select("file_id", "dir", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    return dot.join(norm, key).select("file_id", "dir", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))

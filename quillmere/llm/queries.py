@@ -75,39 +75,27 @@ def _sql_text(text: str) -> str:
 
 
 OP1_SQL = f"""
-WITH statements AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_sql_text(n)}, {_sql_text(t)})" for i, (n, t) in enumerate(licenses.TEMPLATES))}) AS v(statement, license, text)),
+WITH templates AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_sql_text(n)}, {_sql_text(t)})" for i, (n, t) in enumerate(licenses.TEMPLATES))}) AS v(template, license, text)),
 files AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, concat_ws('/', source, lang) AS dir, coalesce(text, '') AS text FROM documents),
 n AS (SELECT count(*) AS total FROM files),
-s_tf AS (
-  SELECT statement, license, term, count(*) AS tf
-  FROM (SELECT statement, license, unnest(regexp_extract_all(lower(text), '{licenses.TERM}')) AS term FROM statements) GROUP BY ALL
-),
-known AS (SELECT DISTINCT term FROM s_tf),
-df AS (
-  SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{licenses.TERM}'))) AS term FROM files)
-  WHERE term IN (SELECT term FROM known) GROUP BY term
-),
-idf AS (SELECT term, ln((1.0 + total) / (1 + coalesce(df, 0))) + 1 AS idf FROM known LEFT JOIN df USING (term), n),
-s_w AS (SELECT statement, license, term, tf * idf AS w FROM s_tf JOIN idf USING (term)),
-s AS (SELECT statement, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY statement)) AS w FROM s_w),
-headers AS (
-  SELECT DISTINCT doc_id, dir, 'line' AS part, line
-  FROM (SELECT doc_id, dir, unnest(string_split(text, chr(10))) AS line FROM files) WHERE regexp_matches(lower(line), '{licenses.ANCHOR}')
-),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{licenses.TERM}'))) AS term FROM files) GROUP BY term),
+s_tf AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), '{licenses.TERM}')) AS term FROM templates) GROUP BY ALL),
+s_w AS (SELECT template, license, term, tf * (ln((1.0 + total) / (1 + coalesce(df, 0))) + 1) AS w FROM s_tf LEFT JOIN df USING (term), n),
+s AS (SELECT template, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS w FROM s_w),
 parts AS (
-  SELECT * FROM headers
-  UNION ALL SELECT doc_id, dir, 'whole', text FROM files WHERE doc_id IN (SELECT doc_id FROM headers)
+  SELECT DISTINCT doc_id, dir, 'unit' AS part, unit FROM (SELECT doc_id, dir, unnest(list_concat(string_split(text, chr(10)), string_split_regex(regexp_replace(text, '{licenses.MARKS}', '', 'g'), '{licenses.BLANK}'))) AS unit FROM files)
+  UNION ALL SELECT doc_id, dir, 'whole', text FROM files
 ),
 tf AS (
-  SELECT doc_id, dir, part, line, term, count(*) AS tf
-  FROM (SELECT *, unnest(regexp_extract_all(lower(line), '{licenses.TERM}')) AS term FROM parts) GROUP BY ALL
+  SELECT doc_id, dir, part, unit, term, count(*) AS tf
+  FROM (SELECT *, unnest(regexp_extract_all(lower(unit), '{licenses.TERM}')) AS term FROM parts) GROUP BY ALL
 ),
-w AS (SELECT tf.*, tf * coalesce(idf, ln(1.0 + total) + 1) AS w FROM tf LEFT JOIN idf USING (term), n),
-norm AS (SELECT doc_id, part, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-dot AS (SELECT doc_id, dir, part, line, statement, license, sum(w.w * s.w) AS dot FROM w JOIN s USING (term) GROUP BY ALL),
-cosine AS (SELECT doc_id, dir, part, license, round(dot / norm, 6) AS score FROM dot JOIN norm USING (doc_id, part, line)),
+w AS (SELECT tf.*, tf * (ln((1.0 + total) / (1 + coalesce(df, 0))) + 1) AS w FROM tf LEFT JOIN df USING (term), n),
+norm AS (SELECT doc_id, part, unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+dot AS (SELECT doc_id, dir, part, unit, template, license, sum(w.w * s.w) AS dot FROM w JOIN s USING (term) GROUP BY ALL),
+cosine AS (SELECT doc_id, dir, part, license, round(dot / norm, 6) AS score FROM dot JOIN norm USING (doc_id, part, unit)),
 own AS (
-  SELECT doc_id, license AS own_license, score AS own_score FROM cosine WHERE part = 'line' AND score >= {licenses.HEADER_COSINE}
+  SELECT doc_id, license AS own_license, score AS own_score FROM cosine WHERE part = 'unit' AND score >= {licenses.HEADER_COSINE}
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
 ),
 file_like AS (SELECT * FROM cosine WHERE part = 'whole' AND score >= {licenses.FILE_COSINE}),

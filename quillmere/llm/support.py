@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmere.sources import staging
+
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-_own_folder: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -36,22 +36,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the setting is empty, as in tests, a local folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="quillmere-"))
-    return "file://" + _own_folder[0]
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing is at; forget() deletes it."""
-    path = f"{shared_folder(spark)}/quillmere/{name}-{uuid.uuid4().hex}"
+    path = f"{staging.folder(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
 

@@ -417,6 +417,23 @@ def test_licences(spark):
     assert licenses.scan(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
 
 
+def test_licence_texts_wrapped_notices_and_spdx(spark):
+    from quillmere.llm import license_texts
+
+    mit = dict(license_texts.TEXTS)["MIT"]
+    wrapped = lambda mark, text, width=8: "\n".join(mark + " ".join(text.split()[i : i + width]) for i in range(0, len(text.split()), width))
+    gpl = license_texts.NOTICES[6][1]
+    code = "\n\n" + "\n".join(f"value{i} = call{i}(x{i})" for i in range(300))
+    files = [
+        (1, "p/LICENSE", mit.replace("MIT License", "MIT License\n\nCopyright (c) 2020 Somebody")), (2, "p/src/a.py", "# SPDX-License-Identifier: MIT" + code), (3, "q/b.c", "/*\n" + wrapped(" * ", gpl) + "\n */" + code),
+        (4, "p/src/deep/c.py", code), (5, "q/d.c", "no words of licences at all, though a license is named" + code), (6, "r/BSD.txt", dict(license_texts.TEXTS)["BSD-3-Clause"]), (6, "r/BSD.txt", None), (7, "r/x", "word " * 50_000),
+    ]
+    frame = spark.createDataFrame([(*f, "t", 1.0, 2) for f in files], "file_id long, path string, text string, term string, w double, n int")
+    found = {r.file_id: (r.own_license, r.license, r.inherited_from) for r in licenses.scan(frame).collect()}
+    assert found[1][1] == "MIT" and found[2] == ("MIT", "MIT", None) and found[3] == ("GPL-3.0", "GPL-3.0", None) and found[4] == (None, "MIT", "p")
+    assert found[5] == (None, None, None) and found[6][1] == "BSD-3-Clause" and found[7] == (None, "BSD-3-Clause", "r")
+
+
 def test_counterfactuals_free_names_of_groups():
     """Names of groups that go along with the label keep their weight without the penalty and lose it with it."""
     rows = []

@@ -61,7 +61,10 @@ TEXTS = (
     ("GPL-2.0", """GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users. This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to using it. You can apply it to your programs, too."""),
 )
 
-#: All that a unit of a file is compared with: name and text.
-TEMPLATES = NOTICES + tuple((name.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {name}") for name in SPDX) + TEXTS + (
-    ("MIT", _MIT), ("BSD-3-Clause", _BSD_3), ("ISC", _ISC),
+#: All that a unit of a file is compared with: name, text, and whether the text is that of a whole licence.
+TEMPLATES = (
+    *((name, text, False) for name, text in NOTICES),
+    *((name.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {name}", False) for name in SPDX),
+    ("MIT", _MIT, False), ("BSD-3-Clause", _BSD_3, False), ("ISC", _ISC, False),
+    *((name, text, True) for name, text in TEXTS),
 )

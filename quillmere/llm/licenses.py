@@ -6,7 +6,7 @@ from the number of files that hold a term, over all files and all terms. A file
 nearest directory above it with a licence file.
 
 Which units are compared follows from the weights themselves: a cosine of t needs terms that hold t squared of a template's squared weight, so
-a unit without any of the heaviest terms, which hold more than the rest allows, can't reach it.
+a unit without any of the template's rarest terms, as many as hold more than the rest allows, can't reach it.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ def scan(files: DataFrame) -> DataFrame:
 
     files: file_id, path (directories separated by /) and text; more columns are ignored. own_license is that of the template which one of the
     file's lines or paragraphs is most like, with a cosine of HEADER_COSINE or more; ties go to the smaller name. A file whose whole text is like a
-    template by FILE_COSINE or more is a licence file of its directory; of several the best counts, then the smallest name. license is the
+    licence's whole text by FILE_COSINE, or like another template by HEADER_COSINE, is a licence file of its directory; of several the best counts, then
+    the smallest name. license is the
     own one, else that of the nearest directory from the file's own upwards, whose path is in inherited_from; else null.
 
     Null and empty texts have no licence of their own; a null path is in the top directory, which has the empty path. Rows
@@ -45,11 +46,12 @@ def scan(files: DataFrame) -> DataFrame:
     df = base.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     df = support.materialise(df, "term-files")
     total = files.count()
-    templates = _weighed(_template_terms(spark), df, total, "template", "license")
+    templates = _weighed(_template_terms(spark), df, total, "template", "license", "least")
     norms = templates.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    templates = support.materialise(templates.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("w")), "templates")
+    templates = templates.join(norms, "template").select("template", "license", "least", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
+    templates = support.materialise(templates, "templates")
 
-    for_header, for_file = _telling(templates, HEADER_COSINE), _telling(templates, FILE_COSINE)  # some terms of the templates
+    for_header, for_file = _telling(templates, F.lit(HEADER_COSINE)), _telling(templates, F.col("least"))  # some terms of the templates
     marked = base.where(F.arrays_overlap(_terms(F.col("text")), F.array(*map(F.lit, sorted({*for_header, *for_file})))))
     marked = support.materialise(marked.select("file_id", "dir", "text"), "marked", "snappy")
     unit = F.array_union(F.split("text", "\n"), F.split(F.regexp_replace("text", MARKS, ""), BLANK))
@@ -59,7 +61,7 @@ def scan(files: DataFrame) -> DataFrame:
     own = headers.where(F.col("score") >= HEADER_COSINE).groupBy("file_id").agg(_best("license", "score").alias("b"))
     own = own.select("file_id", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"))
     whole = marked.select("file_id", "dir", F.col("text").alias("unit")).distinct().where(has(for_file))
-    file_like = support.materialise(_cosines(whole, templates, df, total).where(F.col("score") >= FILE_COSINE), "licence-files")
+    file_like = support.materialise(_cosines(whole, templates, df, total).where("score >= least"), "licence-files")
     by_dir = support.materialise(file_like.groupBy("dir").agg(_best("license", "score").alias("b")).select(F.col("dir").alias("above"), F.col("b.license").alias("dir_license")), "directories")
 
     # Each directory joins the directories above it on their paths; the deepest with a licence file is the nearest.
@@ -82,19 +84,21 @@ def scan(files: DataFrame) -> DataFrame:
 
 
 def _template_terms(spark: SparkSession) -> DataFrame:
-    table = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, text string")
-    return table.select("template", "license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
+    """template, license, least (the cosine that a whole file needs), term and tf."""
+    rows = [(i, name, text, FILE_COSINE if whole else HEADER_COSINE) for i, (name, text, whole) in enumerate(TEMPLATES)]
+    table = spark.createDataFrame(rows, "template int, license string, text string, least double")
+    return table.select("template", "license", "least", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "license", "least", "term").agg(F.count("*").alias("tf"))
 
 
 def _weighed(tf: DataFrame, df: DataFrame, total: int, *key: str) -> DataFrame:
-    """key, term and w, the TF-IDF weight of rows of key, term and tf; terms that no file has weigh most."""
+    """key, term, df and w, the TF-IDF weight of rows of key, term and tf; terms that no file has weigh most."""
     idf = F.ln(F.lit(1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    return tf.join(df, "term", "left").select(*key, "term", (F.col("tf") * idf).alias("w"))
+    return tf.join(df, "term", "left").select(*key, "term", F.coalesce("df", F.lit(0)).alias("df"), (F.col("tf") * idf).alias("w"))
 
 
-def _telling(templates: DataFrame, cosine: float) -> list[str]:
-    """Of each template the heaviest terms, as many as hold over 1 - cosine squared of its squared weight: one of them is in all that reaches the cosine."""
-    order = Window.partitionBy("template").orderBy(F.desc("w"), "term")
+def _telling(templates: DataFrame, cosine: Column) -> list[str]:
+    """Of each template the rarest terms, as many as hold over 1 - cosine squared of its squared weight: one of them is in all that reaches the cosine."""
+    order = Window.partitionBy("template").orderBy("df", "term")
     before = F.sum(F.col("w") * F.col("w")).over(order) - F.col("w") * F.col("w")
     rows = templates.withColumn("before", before).where(F.col("before") <= 1 - (cosine - 1e-6) ** 2).select("term").distinct().collect()
     return sorted(r.term for r in rows)
@@ -106,14 +110,14 @@ def _best(name: str, score: str) -> Column:
 
 
 def _cosines(units: DataFrame, templates: DataFrame, df: DataFrame, total: int) -> DataFrame:
-    """file_id, dir, license and score (rounded to 6 places) of the units that share a term with a template."""
+    """file_id, dir, license, least and score (rounded to 6 places) of the units that share a term with a template."""
     numbered = units.withColumn("id", F.xxhash64("file_id", "unit"))
     key = ["file_id", "dir", "id"]
     tf = numbered.select(*key, F.explode(_terms(F.col("unit"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
-    weighed = support.materialise(_weighed(tf, df, total, *key), "unit-terms", "snappy")
+    weighed = support.materialise(_weighed(tf, df, total, *key).drop("df"), "unit-terms", "snappy")
     norm = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dot = (
-        weighed.join(F.broadcast(templates.select("term", "template", "license", F.col("w").alias("s"))), "term")  # some terms for each template
-        .groupBy(*key, "template", "license").agg(F.sum(F.col("w") * F.col("s")).alias("dot"))
+        weighed.join(F.broadcast(templates.select("term", "template", "license", "least", F.col("w").alias("s"))), "term")  # some terms for each template
+        .groupBy(*key, "template", "license", "least").agg(F.sum(F.col("w") * F.col("s")).alias("dot"))
     )
-    return dot.join(norm, key).select("file_id", "dir", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    return dot.join(norm, key).select("file_id", "dir", "license", "least", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))

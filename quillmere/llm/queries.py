@@ -75,13 +75,13 @@ def _sql_text(text: str) -> str:
 
 
 OP1_SQL = f"""
-WITH templates AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_sql_text(n)}, {_sql_text(t)})" for i, (n, t) in enumerate(licenses.TEMPLATES))}) AS v(template, license, text)),
+WITH templates AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_sql_text(n)}, {_sql_text(t)}, {licenses.FILE_COSINE if whole else licenses.HEADER_COSINE})" for i, (n, t, whole) in enumerate(licenses.TEMPLATES))}) AS v(template, license, text, least)),
 files AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, concat_ws('/', source, lang) AS dir, coalesce(text, '') AS text FROM documents),
 n AS (SELECT count(*) AS total FROM files),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{licenses.TERM}'))) AS term FROM files) GROUP BY term),
-s_tf AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), '{licenses.TERM}')) AS term FROM templates) GROUP BY ALL),
-s_w AS (SELECT template, license, term, tf * (ln((1.0 + total) / (1 + coalesce(df, 0))) + 1) AS w FROM s_tf LEFT JOIN df USING (term), n),
-s AS (SELECT template, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS w FROM s_w),
+s_tf AS (SELECT template, license, least, term, count(*) AS tf FROM (SELECT template, license, least, unnest(regexp_extract_all(lower(text), '{licenses.TERM}')) AS term FROM templates) GROUP BY ALL),
+s_w AS (SELECT template, license, least, term, tf * (ln((1.0 + total) / (1 + coalesce(df, 0))) + 1) AS w FROM s_tf LEFT JOIN df USING (term), n),
+s AS (SELECT template, license, least, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS w FROM s_w),
 parts AS (
   SELECT DISTINCT doc_id, dir, 'unit' AS part, unit FROM (SELECT doc_id, dir, unnest(list_concat(string_split(text, chr(10)), string_split_regex(regexp_replace(text, '{licenses.MARKS}', '', 'g'), '{licenses.BLANK}'))) AS unit FROM files)
   UNION ALL SELECT doc_id, dir, 'whole', text FROM files
@@ -92,13 +92,13 @@ tf AS (
 ),
 w AS (SELECT tf.*, tf * (ln((1.0 + total) / (1 + coalesce(df, 0))) + 1) AS w FROM tf LEFT JOIN df USING (term), n),
 norm AS (SELECT doc_id, part, unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-dot AS (SELECT doc_id, dir, part, unit, template, license, sum(w.w * s.w) AS dot FROM w JOIN s USING (term) GROUP BY ALL),
-cosine AS (SELECT doc_id, dir, part, license, round(dot / norm, 6) AS score FROM dot JOIN norm USING (doc_id, part, unit)),
+dot AS (SELECT doc_id, dir, part, unit, template, license, least, sum(w.w * s.w) AS dot FROM w JOIN s USING (term) GROUP BY ALL),
+cosine AS (SELECT doc_id, dir, part, license, least, round(dot / norm, 6) AS score FROM dot JOIN norm USING (doc_id, part, unit)),
 own AS (
   SELECT doc_id, license AS own_license, score AS own_score FROM cosine WHERE part = 'unit' AND score >= {licenses.HEADER_COSINE}
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
 ),
-file_like AS (SELECT * FROM cosine WHERE part = 'whole' AND score >= {licenses.FILE_COSINE}),
+file_like AS (SELECT * FROM cosine WHERE part = 'whole' AND score >= least),
 by_dir AS (SELECT dir AS above, license AS dir_license FROM file_like QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
 dirs AS (SELECT DISTINCT dir FROM files),
 near AS (

@@ -58,7 +58,7 @@ class Shingles:
     k words all of them are the one shingle; without words the set is empty.
     """
 
-    def __init__(self, k: int, limit: int = 200_000):
+    def __init__(self, k: int, limit: int = 60_000):
         self.k, self._limit, self._known = k, limit, {}
 
     def __call__(self, text: str | None) -> np.ndarray:

@@ -24,7 +24,7 @@ class WordIds:
     emptied when it would hold over ``limit`` parts, which bounds it and changes no id.
     """
 
-    def __init__(self, path: str = WORD_FILE, limit: int = 1_000_000):
+    def __init__(self, path: str = WORD_FILE, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 

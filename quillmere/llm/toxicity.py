@@ -83,7 +83,7 @@ class Model:
         weights, bias = self.weights, self.bias
 
         def score(text: str | None) -> float:
-            if len(seen) > 200_000:
+            if len(seen) > 60_000:
                 seen.clear()
             found: set[str] = set()
             for word in words_of(text):

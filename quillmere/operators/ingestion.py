@@ -103,3 +103,23 @@ def sealed(value: Column, key: Column, tenant: Column) -> Column:
 def opened(value: Column, key: Column, tenant: Column) -> Column:
     """The sealed string; null where key, tenant or bytes don't fit."""
     return F.try_aes_decrypt(value, key, F.lit("GCM"), F.lit("DEFAULT"), tenant).cast("string")
+
+
+# --- rows of connectors -----------------------------------------------------------------------------------------
+
+
+def worth_ingesting(subtype: Column, bot: Column, text: Column) -> Column:
+    """Chat messages that people wrote: no notices, no bots, and more than one character."""
+    missing = lambda c: F.coalesce(c, F.lit("")) == ""
+    return missing(subtype) & missing(bot) & (F.length(F.trim(F.coalesce(text, F.lit("")))) > 1)
+
+
+def chat_time(ts: Column) -> Column:
+    """The instant of seconds with a suffix, such as 1723473000.001200, to the millisecond; null where it is no number."""
+    return F.timestamp_millis(F.floor(ts.try_cast("double") * 1000))
+
+
+def mail_query(since: Column, overlap_s: int = 300) -> Column:
+    """The cursor that an incremental run asks for: seconds since the epoch, some earlier than the last run; null for a first run."""
+    seconds = F.greatest(F.lit(0), F.unix_seconds(since.cast("timestamp")) - overlap_s)
+    return F.when(since.isNotNull(), F.concat(F.lit("after:"), seconds.cast("string")))

@@ -153,3 +153,28 @@ def block_type(prose: Column) -> Column:
     for name, pattern in BLOCK_TYPES:
         found = found.when(F.lower(prose).rlike(pattern), name)
     return found.otherwise("note")
+
+
+# --- scopes and interleaving ------------------------------------------------------------------------------------
+
+
+def scope(mentioned: Column, targets: Column, intent: Column, prose: Column) -> Column:
+    """Sources that a search is limited to, none for all: those that are mentioned as context, else, when reading, those that pages name, else those of the prose."""
+    known = F.array(*map(F.lit, sorted(SOURCE_KEYWORDS)))
+    own, pages = F.array_intersect(mentioned, known), F.array_intersect(targets, known)
+    words = source_intent(prose)
+    fallback = F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, ","))
+    return F.when(F.size(own) > 0, own).when((intent == "QUERY") & (F.size(pages) > 0), pages).otherwise(fallback)
+
+
+def interleaved(found: DataFrame, key: str, source: str, score: str, cap: int, most: int) -> DataFrame:
+    """Adds rank to the first ``most`` rows when sources take turns: each one's best, the source with the best of all first, then each one's second, up to cap.
+
+    Of each source only cap rows go on, so that the turns are taken among few rows.
+    """
+    own = Window.partitionBy(source).orderBy(F.desc(score), key)
+    top = found.withColumn("_turn", F.row_number().over(own)).where(F.col("_turn") <= cap)
+    lead = top.where("_turn = 1").select(source, F.col(score).alias("_lead"), F.col(key).alias("_first"))
+    order = ["_turn", F.desc("_lead"), "_first"]
+    picked = top.join(F.broadcast(lead), source).orderBy(*order).limit(most)  # a row for each source
+    return picked.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_turn", "_lead", "_first")

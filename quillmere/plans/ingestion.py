@@ -146,3 +146,27 @@ def commit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repository's commits in order, in batches; line items stand for commits, and three for forty."""
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"))
     return tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", place.cast("long").alias("place"), F.floor((place - 1) / 3).cast("long").alias("batch"))
+
+
+@query(
+    """WITH m AS (SELECT event_id, CASE WHEN event_type = 'signup' THEN 'channel_join' END AS subtype, CASE WHEN user_id % 11 = 0 THEN 'B1' ELSE '' END AS bot, CASE WHEN event_id % 5 = 0 THEN ' x ' ELSE event_type END AS text,
+CASE WHEN event_id % 7 = 0 THEN 'soon' ELSE CAST(epoch_us(ts) // 1000000 AS VARCHAR) || '.001200' END AS sent FROM events)
+SELECT event_id, CAST(floor(TRY_CAST(sent AS DOUBLE) * 1000) AS BIGINT) AS sent_ms FROM m WHERE subtype IS NULL AND bot = '' AND length(trim(text)) > 1"""
+)
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stand for chat messages: those worth keeping, with their times."""
+    event = F.col("event_id")
+    seconds = F.expr("unix_seconds(cast(ts as timestamp))").cast("string")
+    rows = tables.table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_type") == "signup", "channel_join").alias("subtype"), F.when(F.col("user_id") % 11 == 0, "B1").otherwise("").alias("bot"),
+        F.when(event % 5 == 0, " x ").otherwise(F.col("event_type")).alias("text"), F.when(event % 7 == 0, "soon").otherwise(F.concat(seconds, F.lit(".001200"))).alias("sent"),
+    )
+    kept = rows.where(ingestion.worth_ingesting(F.col("subtype"), F.col("bot"), F.col("text")))
+    return kept.select("event_id", F.unix_millis(ingestion.chat_time(F.col("sent"))).alias("sent_ms"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN 'after:' || greatest(0, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) // 1000 - 300) END AS query FROM orders")
+def mail_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stand for connections with the time of their last run; each ninth has none."""
+    since = F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderdate"))
+    return tables.table(spark, sf_dir, "orders").select("o_orderkey", ingestion.mail_query(since).alias("query"))

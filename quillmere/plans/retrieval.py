@@ -179,3 +179,28 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight distinct citations among the documents, which stand for retrieved ones."""
     found = tables.table(spark, sf_dir, "documents").groupBy("source", F.sha2("text", 256).alias("url")).agg(F.min("doc_id").alias("doc_id"))
     return found.orderBy("doc_id").limit(8).select("doc_id", "source", "url")
+
+
+@query(
+    """WITH s AS (SELECT doc_id, source, (doc_id * 7919 % 10007) / 10007 AS score FROM documents),
+t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS turn, first_value(score) OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS lead, first_value(doc_id) OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS one FROM s),
+r AS (SELECT doc_id, source, row_number() OVER (ORDER BY turn, lead DESC, one) AS rank FROM t WHERE turn <= 3) SELECT * FROM r WHERE rank <= 25"""
+)
+def interleaved_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources take turns in the first 25 documents, with three of each at most; ids make up the scores."""
+    scored = tables.table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") * 7919 % 10007 / 10007).alias("score"))
+    return retrieval.interleaved(scored, "doc_id", "source", "score", 3, 25).select("doc_id", "source", "rank")
+
+
+@query(
+    f"""WITH prompts AS (SELECT conv_id, turn, text AS prose, CASE WHEN turn % 3 = 1 THEN ['slack', 'nowhere'] ELSE [] END AS mentioned, CASE WHEN turn % 2 = 0 THEN ['notion'] ELSE [] END AS targets,
+CASE WHEN turn % 4 = 0 THEN 'WRITE' ELSE 'QUERY' END AS intent FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'slack' WHEN intent = 'QUERY' AND len(targets) > 0 THEN 'notion' ELSE {_source_sql()} END AS scope FROM prompts"""
+)
+def search_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources that each turn of a conversation is limited to; turns' numbers make up mentions and targets."""
+    none, turn = F.array().cast("array<string>"), F.col("turn")
+    mentioned = F.when(turn % 3 == 1, F.array(F.lit("slack"), F.lit("nowhere"))).otherwise(none)
+    targets = F.when(turn % 2 == 0, F.array(F.lit("notion"))).otherwise(none)
+    intent = F.when(turn % 4 == 0, "WRITE").otherwise("QUERY")
+    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(retrieval.scope(mentioned, targets, intent, F.col("text")), ",").alias("scope"))

@@ -119,7 +119,7 @@ def chat_time(ts: Column) -> Column:
     return F.timestamp_millis(F.floor(ts.try_cast("double") * 1000))
 
 
-def mail_query(since: Column, overlap_s: int = 300) -> Column:
+def mail_query(since: Column, overlap_s: int = 120) -> Column:
     """The cursor that an incremental run asks for: seconds since the epoch, some earlier than the last run; null for a first run."""
     seconds = F.greatest(F.lit(0), F.unix_seconds(since.cast("timestamp")) - overlap_s)
     return F.when(since.isNotNull(), F.concat(F.lit("after:"), seconds.cast("string")))

@@ -165,7 +165,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("event_id", F.unix_millis(ingestion.chat_time(F.col("sent"))).alias("sent_ms"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN 'after:' || greatest(0, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) // 1000 - 300) END AS query FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN 'after:' || greatest(0, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) // 1000 - 120) END AS query FROM orders")
 def mail_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders stand for connections with the time of their last run; each ninth has none."""
     since = F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderdate"))

@@ -62,7 +62,7 @@ def test_merged_spans_cover_the_same(spark, rows):
 
 def test_secrets(spark):
     docs = spark.createDataFrame([(1, "password: hunter2\nBearer abcdefghij.k"), (2, None)], "doc_id long, text string")
-    assert {(r.kind, r.value) for r in text.secrets(docs).collect()} == {("SECRET_VALUE", "password: hunter2"), ("BEARER_TOKEN", "Bearer abcdefghij.k")}
+    assert {(r.kind, r.value) for r in text.secrets(docs).collect()} == {("SECRET_VALUE", "password: hunter2"), ("API_KEY", "Bearer abcdefghij.k")}
     assert one(spark, text.masked(F.col("t")), t="x token=abc y") == "x [SECRET_VALUE] y"
 
 

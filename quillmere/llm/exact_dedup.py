@@ -17,6 +17,8 @@ from quillmere.llm import support
 
 #: Distinct digests in one bucket, about; a filter of so many has some 110 kB.
 BUCKET_ROWS = 100_000
+#: Stands for a null doc_id where texts are fetched. A row that has this number itself may be fetched instead, but only with the same digest, and bytes are compared.
+NO_ID = -(2**63)
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -111,6 +113,11 @@ def _key(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def _fetched(doc_id: str) -> Column:
+    """The id that a row's text is fetched by, NO_ID for none, so that joins on it are plain equalities."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+
+
 def normalised(text: Column) -> Column:
     """The text that decides: A-Z lower-cased, null as empty."""
     return support.ascii_lower(F.coalesce(text, F.lit("")))
@@ -163,17 +170,16 @@ def same_text(positives: DataFrame, snapshot: DataFrame, docs: DataFrame) -> Dat
     """
     key = ["text_sha256", "n_bytes"]
     pairs = positives.join(snapshot.select(*key, F.col("rep").alias("old"), F.col("n").alias("old_n")), key)
-    # Ids are matched null-safely: texts of rows without doc_id are fetched as well.
-    wanted = pairs.select(F.explode(F.array("rep", "old")).alias("wanted")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.wanted), "left_semi").select("doc_id", normalised(F.col("text")).alias("t"))
+    pairs = pairs.withColumn("rep_id", _fetched("rep")).withColumn("old_id", _fetched("old"))
+    wanted = pairs.select(F.explode(F.array("rep_id", "old_id")).alias("id")).distinct()
+    texts = docs.select(_fetched("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").select("id", normalised(F.col("text")).alias("t"))
     # Rows that share a doc_id can have several texts; the digest picks the right one.
-    texts = texts.withColumn("text_sha256", F.sha2("t", 256)).dropDuplicates(["doc_id", "text_sha256"])
-    new = texts.select(F.col("doc_id").alias("new_id"), F.col("text_sha256").alias("new_sha"), F.col("t").alias("new_t"))
-    old = texts.select(F.col("doc_id").alias("old_id"), F.col("text_sha256").alias("old_sha"), F.col("t").alias("old_t"))
+    texts = texts.withColumn("text_sha256", F.sha2("t", 256)).dropDuplicates(["id", "text_sha256"])
+    new = texts.select(F.col("id").alias("rep_id"), "text_sha256", F.col("t").alias("new_t"))
+    old = texts.select(F.col("id").alias("old_id"), "text_sha256", F.col("t").alias("old_t"))
     return (
-        pairs.join(new, F.col("rep").eqNullSafe(F.col("new_id")) & (F.col("text_sha256") == F.col("new_sha")))
-        .join(old, F.col("old").eqNullSafe(F.col("old_id")) & (F.col("text_sha256") == F.col("old_sha")))
+        pairs.join(new, ["rep_id", "text_sha256"])
+        .join(old, ["old_id", "text_sha256"])
         .where(F.col("new_t").cast("binary") == F.col("old_t").cast("binary"))
         .select(*key, "rep", "n", "old", "old_n")
     )

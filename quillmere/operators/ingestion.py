@@ -123,3 +123,20 @@ def mail_query(since: Column, overlap_s: int = 120) -> Column:
     """The cursor that an incremental run asks for: seconds since the epoch, some earlier than the last run; null for a first run."""
     seconds = F.greatest(F.lit(0), F.unix_seconds(since.cast("timestamp")) - overlap_s)
     return F.when(since.isNotNull(), F.concat(F.lit("after:"), seconds.cast("string")))
+
+
+def commits_since(commits: DataFrame, cursors: DataFrame, most: int = 500) -> DataFrame:
+    """Commits of repo, sha and at above each repository's cursor (repo, sha), the newest ``most``; all of them where the cursor isn't found.
+
+    Equal times are told apart by sha. The cursor's place is joined, so that no repository's log is walked.
+    """
+    place = cursors.join(commits, ["repo", "sha"]).groupBy("repo").agg(F.max(F.struct("at", "sha")).alias("_cursor"))
+    newer = commits.join(place, "repo", "left").where(F.col("_cursor").isNull() | (F.struct("at", "sha") > F.col("_cursor"))).drop("_cursor")
+    rank = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("at"), F.desc("sha")))
+    return newer.withColumn("place", rank).where(F.col("place") <= most)
+
+
+def claimable(work: DataFrame, now: Column, stale_minutes: int = 10) -> DataFrame:
+    """Of each owner's work (id, owner, status, at) the oldest that waits, or that a run left behind so long ago that it may be taken over."""
+    left = (F.col("status") == "RUNNING") & (F.col("at") < now - F.expr(f"interval {stale_minutes} minutes"))
+    return work.where((F.col("status") == "PENDING") | left).groupBy("owner").agg(F.min(F.struct("at", "id", "status")).alias("w")).select("owner", "w.id", "w.status", "w.at")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,3 +50,35 @@ def momentum(frame: DataFrame, needed: int = 3, most: int = 6) -> DataFrame:
     streak = F.when(F.col("_sign") == 0, 0).otherwise(F.least(place, F.lit(most)))
     named = F.when((F.col("streak") >= needed) & (F.col("_sign") > 0), "rising").when((F.col("streak") >= needed) & (F.col("_sign") < 0), "falling").otherwise("none")
     return islands.withColumn("streak", streak.cast("long")).withColumn("momentum", named)
+
+
+# --- weekly text features ---------------------------------------------------------------------------------------
+
+
+def weekly_text(messages: DataFrame, window: int = 8) -> DataFrame:
+    """tenant_id, week, sentiment_mean, sentiment_std, topic_drift of messages with sentiment and embedding.
+
+    topic_drift is the cosine distance of a week's mean vector from a baseline of the weeks before it, which moves towards
+    each week by one part in ``window``; a first week has none. Weeks, not messages, meet in a tenant's list.
+    """
+    keys = ["tenant_id", "week"]
+    mood = messages.groupBy(*keys).agg(F.avg("sentiment").alias("sentiment_mean"), F.stddev_pop("sentiment").alias("sentiment_std"))
+    parts = messages.select(*keys, F.posexplode("embedding").alias("i", "x")).groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    centroid = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"])
+    weeks = parts.groupBy(*keys).agg(centroid.alias("c")).groupBy("tenant_id").agg(F.array_sort(F.collect_list(F.struct("week", "c"))).alias("weeks"))
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+    def drift(c: Column, b: Column) -> Column:
+        length = lambda v: F.sqrt(dot(v, v)) + 1e-9
+        return F.when(F.size(b) == 0, 0.0).otherwise(1 - dot(c, b) / (length(c) * length(b)))
+
+    def step(acc: Column, w: Column) -> Column:
+        moved = F.when(F.size(acc["base"]) == 0, w["c"]).otherwise(F.zip_with(acc["base"], w["c"], lambda b, c: b * (1 - 1 / window) + c * (1 / window)))
+        row = F.struct(w["week"].alias("week"), drift(w["c"], acc["base"]).alias("topic_drift"))
+        return F.struct(moved.alias("base"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    start = F.struct(F.array().cast("array<double>").alias("base"), F.array().cast("array<struct<week:bigint,topic_drift:double>>").alias("rows"))
+    folded = weeks.select("tenant_id", F.inline(F.aggregate("weeks", start, step, lambda acc: acc["rows"])))
+    return mood.join(folded, keys, "left").select(*keys, "sentiment_mean", "sentiment_std", F.coalesce("topic_drift", F.lit(0.0)).alias("topic_drift"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmere.plans import activity, documents, forecasting, ingestion, knowledge, metering, retrieval  # noqa: F401  they register themselves
+from quillmere.plans import activity, documents, drafts, forecasting, ingestion, knowledge, metering, retrieval  # noqa: F401  they register themselves
 from quillmere.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -10,19 +10,14 @@ from quillmere.operators import retrieval
 from quillmere.plans.registry import query
 from quillmere.sources import tables
 
-PROMPTS = (
-    (1, "What tasks were assigned in notion last week?", False), (2, "From now on, add meeting notes to the brain", True), (3, "Add a note that we decided to ship", True),
-    (4, "Where is the retry handler implemented in the repo?", False), (5, "Who are the devs in the company?", False), (6, "Update the page: what did we agree on pull requests?", True),
-    (7, "summarise for me the e-mails about coding best practises", False), (8, "the Q3 forecast shows a spike", True), (9, "Log the standup call", True), (10, "", False),
-    (11, "Which file has the schema of the knowledge base?", False), (12, "List all documents and google docs on https://www.example.com/a?b=c", False),
-)
-_PROMPTS_SQL = f"prompts(id, prose, target) AS (VALUES {', '.join('(%d, %s, %s)' % (i, chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39), str(t).lower()) for i, p, t in PROMPTS)})"
+_PROMPTS_SQL = "prompts(conv_id, turn, prose, target) AS (SELECT conv_id, turn, text, turn % 2 = 0 FROM conversations)"
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
 _ASKED = ["erer", "thereonth", "the", "thaner"]
 
 
-def _prompts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROMPTS, "id int, prose string, target boolean")
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of all conversations as prompts; every second one names a page."""
+    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prose"), (F.col("turn") % 2 == 0).alias("target"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,10 +102,10 @@ def document_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "documents").select("doc_id", F.array_join(tokens, " ").alias("heading_tokens"))
 
 
-@query(f"WITH {_PROMPTS_SQL} SELECT id, array_to_string(list_distinct_ordered, ' ') AS terms FROM (SELECT id, list_filter(regexp_split_to_array(lower(prose), '[^a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({_STOP})) AS list_distinct_ordered FROM prompts)")
+@query(f"WITH {_PROMPTS_SQL} SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(prose), '[^a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({_STOP})))), ' ') AS terms FROM prompts")
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No term repeats in these prompts, so that the check needs no ordered distinct."""
-    return _prompts(spark).select("id", F.array_join(retrieval.query_terms(F.col("prose")), " ").alias("terms"))
+    """The operator keeps the prompt's order; sorted here, as the check has no ordered distinct."""
+    return _prompts(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_sort(retrieval.query_terms(F.col("prose"))), " ").alias("terms"))
 
 
 def _source_sql() -> str:
@@ -122,28 +117,28 @@ def _source_sql() -> str:
     return f"concat_ws(',', {', '.join(parts)})"
 
 
-@query(f"WITH {_PROMPTS_SQL} SELECT id, {_source_sql()} AS sources FROM prompts")
+@query(f"WITH {_PROMPTS_SQL} SELECT conv_id, turn, {_source_sql()} AS sources FROM prompts")
 def source_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompts(spark).select("id", retrieval.source_intent(F.col("prose")).alias("sources"))
+    return _prompts(spark, sf_dir).select("conv_id", "turn", retrieval.source_intent(F.col("prose")).alias("sources"))
 
 
 @query(
-    f"""WITH {_PROMPTS_SQL}, f AS (SELECT id, target, regexp_matches(lower(prose), '{retrieval.CONFIG_SIGNALS}') AS c, target AND regexp_matches(lower(prose), '{retrieval.WRITE_VERBS}') AS w, regexp_matches(lower(prose), '{retrieval.QUERY_SIGNALS}') AS q FROM prompts)
-SELECT id, CASE WHEN c THEN 'CONFIG' WHEN w THEN 'WRITE' ELSE 'QUERY' END AS intent, CAST(CASE WHEN c THEN CASE WHEN w OR target THEN 0.9 ELSE 0.8 END WHEN w AND NOT q THEN 0.85 WHEN w THEN 0.5 WHEN q THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence FROM f"""
+    f"""WITH {_PROMPTS_SQL}, f AS (SELECT conv_id, turn, target, regexp_matches(lower(prose), '{retrieval.CONFIG_SIGNALS}') AS c, target AND regexp_matches(lower(prose), '{retrieval.WRITE_VERBS}') AS w, regexp_matches(lower(prose), '{retrieval.QUERY_SIGNALS}') AS q FROM prompts)
+SELECT conv_id, turn, CASE WHEN c THEN 'CONFIG' WHEN w THEN 'WRITE' ELSE 'QUERY' END AS intent, CAST(CASE WHEN c THEN CASE WHEN w OR target THEN 0.9 ELSE 0.8 END WHEN w AND NOT q THEN 0.85 WHEN w THEN 0.5 WHEN q THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence FROM f"""
 )
 def intent_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompts(spark).select("id", retrieval.intent(F.col("prose"), F.col("target")).alias("i")).select("id", "i.intent", "i.confidence")
+    return _prompts(spark, sf_dir).select("conv_id", "turn", retrieval.intent(F.col("prose"), F.col("target")).alias("i")).select("conv_id", "turn", "i.intent", "i.confidence")
 
 
-@query(f"WITH {_PROMPTS_SQL} SELECT id, regexp_matches(lower(prose), '{retrieval.PEOPLE}') AS people, regexp_matches(lower(prose), '{retrieval.CODE_PLACES}') AND regexp_matches(lower(prose), '{retrieval.CODE_NOUNS}') AS code FROM prompts")
+@query(f"WITH {_PROMPTS_SQL} SELECT conv_id, turn, regexp_matches(lower(prose), '{retrieval.PEOPLE}') AS people, regexp_matches(lower(prose), '{retrieval.CODE_PLACES}') AND regexp_matches(lower(prose), '{retrieval.CODE_NOUNS}') AS code FROM prompts")
 def people_and_code_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("prose")
-    return _prompts(spark).select("id", low.rlike(retrieval.PEOPLE).alias("people"), (low.rlike(retrieval.CODE_PLACES) & low.rlike(retrieval.CODE_NOUNS)).alias("code"))
+    return _prompts(spark, sf_dir).select("conv_id", "turn", low.rlike(retrieval.PEOPLE).alias("people"), (low.rlike(retrieval.CODE_PLACES) & low.rlike(retrieval.CODE_NOUNS)).alias("code"))
 
 
-@query(f"WITH {_PROMPTS_SQL} SELECT id, CASE {' '.join(f'''WHEN regexp_matches(lower(prose), '{p}') THEN '{n}' ''' for n, p in retrieval.BLOCK_TYPES)} ELSE 'note' END AS type FROM prompts")
+@query(f"WITH {_PROMPTS_SQL} SELECT conv_id, turn, CASE {' '.join(f'''WHEN regexp_matches(lower(prose), '{p}') THEN '{n}' ''' for n, p in retrieval.BLOCK_TYPES)} ELSE 'note' END AS type FROM prompts")
 def block_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompts(spark).select("id", retrieval.block_type(F.col("prose")).alias("type"))
+    return _prompts(spark, sf_dir).select("conv_id", "turn", retrieval.block_type(F.col("prose")).alias("type"))
 
 
 @query(

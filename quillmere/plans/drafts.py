@@ -10,7 +10,7 @@ from quillmere.operators import drafts, ingestion, retrieval, series
 from quillmere.plans.registry import query
 from quillmere.sources import tables
 
-_TITLE_SQL = r"""t AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS s FROM conversations),
+_TITLE_SQL = tables.PROMPTS_SQL + r""", t AS (SELECT *, prose AS text, trim(regexp_replace(prose, '\s+', ' ', 'g'), ' ') AS s FROM prompts),
 n AS (SELECT *, CASE WHEN length(s) <= 60 THEN s WHEN 61 - instr(reverse(left(s, 60)), ' ') > 36 THEN left(s, CAST(60 - instr(reverse(left(s, 60)), ' ') AS BIGINT)) || '…' ELSE left(s, 60) || '…' END AS title FROM t)"""
 _TYPE_SQL = f"CASE {' '.join(f'''WHEN regexp_matches(lower(text), '{p}') THEN '{n}' ''' for n, p in retrieval.BLOCK_TYPES)} ELSE 'note' END"
 _EVENTS_SQL = ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{e}' END" for e, p in drafts.EVENT_SIGNALS.items())
@@ -26,10 +26,10 @@ SELECT conv_id, turn, type, error, CASE WHEN error IS NOT NULL THEN 'rejected' W
 )
 def draft_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of a conversation as a draft; its length makes up the confidence, and every fifth has a type that isn't known."""
-    text, turn, role = F.col("text"), F.col("turn"), F.col("role")
+    text, turn, role = F.col("prose"), F.col("turn"), F.col("role")
     author = F.when(role == "user", "human").when(role == "assistant", "ai").otherwise(role)
-    found = tables.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", "text", strings.truncate_words(strings.squeezed(text), 60).alias("title"), F.when(turn % 5 == 4, "todo").otherwise(retrieval.block_type(text)).alias("type"),
+    found = tables.prompts(spark, sf_dir).select(
+        "conv_id", "turn", "prose", strings.truncate_words(strings.squeezed(text), 60).alias("title"), F.when(turn % 5 == 4, "todo").otherwise(retrieval.block_type(text)).alias("type"),
         (F.length(text) % 130 / 100).alias("confidence"), author.alias("author"),
     )
     error = drafts.draft_error(F.col("type"), F.col("title"), text, F.col("confidence"), F.col("author"))
@@ -38,7 +38,7 @@ def draft_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", drafts.standing_rule(F.col("text")).alias("r")).select("conv_id", "turn", "r.*")
+    return tables.prompts(spark, sf_dir).select("conv_id", "turn", drafts.standing_rule(F.col("prose")).alias("r")).select("conv_id", "turn", "r.*")
 
 
 @query(f"WITH {_RULES_SQL} SELECT conv_id, turn, name, array_to_string(triggers, ',') AS triggers, persistence FROM rules")

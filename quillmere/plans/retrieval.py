@@ -10,14 +10,14 @@ from quillmere.operators import retrieval
 from quillmere.plans.registry import query
 from quillmere.sources import tables
 
-_PROMPTS_SQL = "prompts(conv_id, turn, prose, target) AS (SELECT conv_id, turn, text, turn % 2 = 0 FROM conversations)"
+_PROMPTS_SQL = f"{tables.PROMPTS_SQL.replace('prompts AS', 'p0 AS', 1)}, prompts AS (SELECT conv_id, turn, prose, turn % 2 = 0 AS target FROM p0)"
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
 _ASKED = ["erer", "thereonth", "the", "thaner"]
 
 
 def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns of all conversations as prompts; every second one names a page."""
-    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prose"), (F.col("turn") % 2 == 0).alias("target"))
+    return tables.prompts(spark, sf_dir).withColumn("target", F.col("turn") % 2 == 0)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

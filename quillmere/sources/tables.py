@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 KINDS = {"view": "doc_edited", "click": "message", "signup": "task_assigned", "purchase": "task_completed", "error": "task_reopened"}
 
+#: Openings that the turns of conversations are given, as their own words name no source, event or intent.
+OPENINGS = (
+    "What tasks were assigned in notion last week?", "From now on, add meeting notes to the brain until June.", "Add a note that we decided to ship.", "Where is the retry handler implemented in the repo?",
+    "Who are the devs in the company?", "Update the page: what did we agree on pull requests?", "Summarise for me the e-mails about coding best practises.", "The Q3 forecast shows a spike.",
+    "Log the standup call.", "", "Which file has the schema of the knowledge base?", "Write a weekly digest of all documents and google docs every morning.",
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +28,12 @@ def activity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, role, prose: every turn of every conversation, whole, after one of OPENINGS."""
+    opening = F.element_at(F.array(*map(F.lit, OPENINGS)), ((F.col("conv_id") + F.col("turn")) % len(OPENINGS) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(opening, F.lit(" "), "text").alias("prose"))
+
+
 def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tenant_id, actor, feature, quantity, credits, cost_micros, occurred_at, idempotency_key: a line item is a use."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("tenant_id"))
@@ -69,3 +82,5 @@ EDGES_SQL = """edges AS (
   SELECT p_partkey // 2 AS source, p_partkey AS target FROM part WHERE p_partkey // 2 > 0
   UNION ALL SELECT 40, 5
 )"""
+_OPENINGS_SQL = ", ".join(f"'{o}'" for o in OPENINGS)
+PROMPTS_SQL = f"prompts AS (SELECT conv_id, turn, role, [{_OPENINGS_SQL}][(conv_id + turn) % {len(OPENINGS)} + 1] || ' ' || text AS prose FROM conversations)"

@@ -50,3 +50,20 @@ def fired(rules: DataFrame, events: DataFrame) -> DataFrame:
     """Enabled rules beside the events that set them off: rules of tenant_id, triggers and enabled, events of tenant_id and event."""
     each = rules.where("enabled").withColumn("event", F.explode(F.array_distinct("triggers"))).drop("triggers", "enabled")
     return each.join(events, ["tenant_id", "event"])
+
+
+def candidates(answers: DataFrame) -> DataFrame:
+    """id, place, type, title, body, confidence of the drafts in a model's answers (id, answer): the outermost array of its fenced part, or of all of it.
+
+    Answers that hold no array of JSON give none; entries without a title or a body are left out. Unknown types become learned facts, and a confidence outside 0 to 1, or none, 0.6.
+    """
+    fenced = F.regexp_extract("answer", r"(?si)```(?:json)?\s*(.*?)```", 1)
+    inner = F.regexp_extract(F.when(fenced != "", fenced).otherwise(F.col("answer")), r"(?s)\[.*\]", 0)
+    kind = "array<struct<type: string, title: string, body: string, confidence: string>>"
+    each = answers.select("id", F.posexplode(F.from_json(inner, kind)).alias("place", "d"))
+    sure = F.col("d.confidence").try_cast("double")
+    found = each.select(
+        "id", "place", F.when(F.col("d.type").isin(*BLOCK_TYPES), F.col("d.type")).otherwise("learned_fact").alias("type"), F.left(F.trim("d.title"), F.lit(120)).alias("title"),
+        F.trim("d.body").alias("body"), F.when(sure.between(0, 1), sure).otherwise(0.6).alias("confidence"),
+    )
+    return found.where((F.col("title") != "") & (F.col("body") != ""))

@@ -123,3 +123,43 @@ def narrative(target: Column, change: Column, band: Column, higher_is_worse: Col
     worse = F.when(F.abs(change) < 0.25, "").when(higher_is_worse == (change > 0), ", which is worse").otherwise(", which is better")
     sure = F.when(band < 1.0, "a narrow range").when(band < 2.0, "a moderate range").otherwise("a wide range")
     return F.concat(target, F.lit(": "), magnitude(change), F.when(change > 0, " up").when(change < 0, " down").otherwise(""), worse, F.lit(", with "), sure, F.lit("."))
+
+
+# --- what drives a forecast -------------------------------------------------------------------------------------
+
+
+def attention_drivers(weights: DataFrame, names: list[str], most: int = 8, places: int = 5) -> DataFrame:
+    """key, rank, feature, weight: of each key's steps (key, weights) the features with the largest mean weight, ties by name; weights without a name count for nothing."""
+    each = weights.select("key", F.posexplode("weights").alias("_i", "_w")).where(F.col("_i") < len(names))
+    mean = each.groupBy("key", "_i").agg(F.avg("_w").alias("_mean"))
+    named = mean.select("key", F.get(F.array(*map(F.lit, names)), F.col("_i")).alias("feature"), F.round("_mean", places).alias("weight"))
+    return named.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "feature"))).where(F.col("rank") <= most)
+
+
+def merged_drivers(weights: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, rank, label, weight, share: sizes of weights (key, feature, weight) under one label (feature, label) together; features without a label are left out."""
+    found = weights.join(labels, "feature").groupBy("key", "label").agg(F.sum(F.abs("weight")).alias("weight"))
+    whole = F.sum("weight").over(Window.partitionBy("key"))
+    return found.select("key", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "label")).alias("rank"), "label", "weight", F.when(whole > 0, F.col("weight") / whole).otherwise(0.0).alias("share"))
+
+
+def has_signal(column: str) -> Column:
+    """An aggregate: whether a column's finite values vary."""
+    value = F.col(column).cast("double")
+    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return F.coalesce(F.stddev_pop(finite) > 1e-9, F.lit(False))
+
+
+def matrix_row(columns: list[str]) -> Column:
+    """A row's features as an array of floats in the given order, zero for what is missing."""
+    return F.array(*(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).cast("float") for c in columns))
+
+
+def covariate_code(value: Column, vocabulary: list[str]) -> Column:
+    """The place of a value in its vocabulary from 1 on; 0 for none and unknown ones."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, vocabulary)), value), F.lit(0).cast("long"))
+
+
+def forecast_state(drift_alarm: Column, cold: Column, recent_events: Column) -> Column:
+    """A forecast's state: an alarm counts before all, then a cold start, then whether anything came lately."""
+    return F.when(drift_alarm, "error").when(cold, "cold").when(recent_events > 0, "active").otherwise("live")

@@ -145,3 +145,53 @@ def idempotent(incoming: DataFrame, ledger: DataFrame | None = None) -> DataFram
     rest = [c for c in incoming.columns if c != "idempotency_key"]
     once = usable.groupBy("idempotency_key").agg(F.min(F.struct(*rest)).alias("_row")).select("idempotency_key", "_row.*").select(*incoming.columns)
     return once if ledger is None else once.join(ledger.select("idempotency_key"), "idempotency_key", "left_anti")
+
+
+# --- rows to append ---------------------------------------------------------------------------------------------
+
+#: Per unit of each feature its credits and cost in micros, and how many of what is counted make a unit.
+UNITS = {
+    "meeting_agent": ("minute", 1.0, 9_000, 1), "voice_synthesis": ("kchar", 0.5, 2_400, 1000), "bulk_ingest": ("kdoc", 10.0, 40_000, 1000),
+    "model_retrain": ("run", 200.0, 800_000, 1), "api_request": ("krequest", 2.0, 6_000, 1000),
+}
+
+
+def metered(uses: DataFrame) -> DataFrame:
+    """Ledger rows of uses (tenant_id, feature, counted, idempotency_key): quantity in units, credits and cost_micros; uses of nothing and unknown features give none."""
+    of = lambda i: F.element_at(F.create_map(*(F.lit(x) for f, row in UNITS.items() for x in (f, row[i]))), F.col("feature"))
+    quantity = F.col("counted") / of(3)
+    known = uses.where(F.col("feature").isin(*UNITS) & (F.col("counted") > 0))
+    return known.select("tenant_id", "feature", of(0).alias("unit"), quantity.alias("quantity"), (quantity * of(1)).alias("credits"), F.floor(quantity * of(2) + 0.5).cast("long").alias("cost_micros"), "idempotency_key")
+
+
+def corrections(refunds: DataFrame) -> DataFrame:
+    """Rows that give credits back for an event (tenant_id, feature, event_id, credits): negative credits, no quantity, no cost, one for each event, of several the largest."""
+    good = refunds.where((F.col("credits") > 0) & F.col("event_id").isNotNull())
+    once = good.groupBy("tenant_id", "event_id").agg(F.max(F.struct("credits", "feature")).alias("r"))
+    return once.select(
+        "tenant_id", "r.feature", F.lit(0.0).alias("quantity"), (-F.col("r.credits")).alias("credits"), F.lit(0).cast("long").alias("cost_micros"), F.concat(F.lit("correction:"), "event_id").alias("idempotency_key")
+    )
+
+
+def purchases(events: DataFrame) -> DataFrame:
+    """Credits granted for a provider's events (tenant_id, event_id, credits): positive finite ones, once for each event however often it is delivered."""
+    credits = F.col("credits").cast("double")
+    good = events.where(F.col("event_id").isNotNull() & ~F.isnan(credits) & (credits > 0) & (credits < float("inf")))
+    once = good.groupBy("event_id").agg(F.min(F.struct("tenant_id", "credits")).alias("r"))
+    return once.select("r.tenant_id", F.lit("purchase").alias("kind"), "r.credits", F.col("event_id").alias("idempotency_key"))
+
+
+def ingest_batches(batches: DataFrame, included_docs: Column) -> DataFrame:
+    """Two kinds of rows for batches (tenant_id, batch_id, at, documents) of one period: the whole volume without credits, and what exceeds the tenant's included documents with them.
+
+    What is left of the allowance is what earlier batches, by time and id, didn't use. A batch that comes twice counts once; empty ones give no rows.
+    """
+    once = batches.where(F.col("documents") > 0).groupBy("tenant_id", "batch_id").agg(F.min(F.struct("at", "documents")).alias("b")).select("tenant_id", "batch_id", "b.at", "b.documents")
+    before = F.coalesce(F.sum("documents").over(Window.partitionBy("tenant_id").orderBy("at", "batch_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    excess = F.greatest(F.lit(0), F.col("documents") - F.greatest(F.lit(0), included_docs - before))
+    unit, credits, cost, size = UNITS["bulk_ingest"]
+    row = lambda feature, docs, price, key: F.struct(
+        F.lit(feature).alias("feature"), (docs / size).alias("quantity"), (docs / size * price).alias("credits"), F.floor(docs / size * cost + 0.5).cast("long").alias("cost_micros"), F.concat(F.lit(key), F.col("batch_id").cast("string")).alias("idempotency_key")
+    )
+    rows = F.array(row("connector_sync", F.col("documents"), 0.0, "ingest-volume:"), row("bulk_ingest", F.col("_excess"), credits, "ingest:"))
+    return once.withColumn("_excess", excess).select("tenant_id", F.explode(rows).alias("r")).select("tenant_id", "r.*").where("quantity > 0").withColumn("unit", F.lit(unit))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -178,3 +180,50 @@ def interleaved(found: DataFrame, key: str, source: str, score: str, cap: int, m
     order = ["_turn", F.desc("_lead"), "_first"]
     picked = top.join(F.broadcast(lead), source).orderBy(*order).limit(most)  # a row for each source
     return picked.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_turn", "_lead", "_first")
+
+
+def excerpts(docs: DataFrame, terms: list[str], most: int) -> DataFrame:
+    """doc_id, excerpt: of each whole text the run of lines of at most ``most`` characters with the most hits of terms, the first of equal runs, after the heading if the text has one.
+
+    A line hits once for each term in it; a line that is too long by itself stands alone, whole. Texts that fit come whole; without terms, or of one line, their beginning comes.
+    Nulls count as empty. Runs are found from running sums of the lines' lengths and hits.
+    """
+
+    def best(text: str) -> str:
+        clean = text.strip()
+        if len(clean) <= most:
+            return clean
+        lines = [line for line in clean.split("\n") if line.strip()]
+        if not terms or len(lines) <= 1:
+            return clean[:most]
+        title = lines[0].lstrip("#")
+        heading = title.strip() if title != lines[0] and title[:1].isspace() else ""
+        body = lines[1:] if heading else lines
+        ends = np.cumsum([len(line) + 1 for line in body])
+        hits = np.concatenate(([0], np.cumsum([sum(t in line.lower() for t in terms) for line in body])))
+        starts = np.concatenate(([0], ends[:-1]))
+        stops = np.maximum(np.searchsorted(ends, starts + most, side="right"), np.arange(1, len(body) + 1))
+        first = int(np.argmax(hits[stops] - hits[:-1]))
+        passage = ("… " if first else "") + " ".join(body[first : stops[first]])
+        return f"{heading} — {passage}" if heading else passage
+
+    @F.pandas_udf("string")
+    def excerpt(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(best)
+
+    return docs.select("doc_id", excerpt("text").alias("excerpt"))
+
+
+def catalog_found(catalog: DataFrame, typed: str, most: int = 8) -> DataFrame:
+    """The first entries (place, id, label) whose id or label holds what was typed after an @, all where nothing was."""
+    words = typed.strip().lower().removeprefix("@")
+    found = catalog.where(F.contains(F.lower("id"), F.lit(words)) | F.contains(F.lower("label"), F.lit(words)))
+    return found.orderBy("place").limit(most)
+
+
+def references(refs: Column, prose: Column) -> Column:
+    """Struct of targets, model, context and the prose without labels, from an array of references (type, id, label); repeated ones count once."""
+    once = F.array_distinct(refs)
+    of = lambda kind: F.transform(F.filter(once, lambda r: r["type"] == kind), lambda r: r["id"])
+    bare = F.aggregate(once, prose, lambda t, r: F.replace(t, r["label"], F.lit(" ")))
+    return F.struct(of("page").alias("targets"), F.get(of("model"), 0).alias("model"), of("entity").alias("context"), F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("prose"))

@@ -294,3 +294,64 @@ def extraction_windows(text: Column, short: int = 200, size: int = 12000, overla
     width = F.greatest(F.lit(size), F.ceil(n / most) + overlap).cast("int")
     starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), width - overlap)
     return F.when(n < short, F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(F.transform(starts, lambda s: F.substring(text, s + 1, width)))
+
+
+# --- estimates, tokens resolved, dates ---------------------------------------------------------------------------
+
+
+def jaccard_estimate(a: Column, b: Column) -> Column:
+    """Struct of estimate and sigma from two signatures of one length: the share of equal values, and its standard error."""
+    share = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.size(a)
+    return F.struct(share.alias("estimate"), F.sqrt(share * (1 - share) / F.size(a)).alias("sigma"))
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """doc_id, text with each secret as its token in brackets, and tokens: the map from token to value that resolved() takes.
+
+    Longer values are replaced first, so that one inside another can't break it.
+    """
+    found = secrets(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value", "token")), False).alias("_found"))
+    put = F.aggregate("_found", F.col("text"), lambda t, f: F.replace(t, f["value"], F.concat(F.lit("["), f["token"], F.lit("]"))))
+    tokens = F.map_from_entries(F.transform(F.array_distinct(F.transform("_found", lambda f: f["token"])), lambda t: F.struct(t, F.filter("_found", lambda f: f["token"] == t)[0]["value"])))
+    own = docs.join(found, "doc_id", "left")
+    return own.select("doc_id", F.when(F.col("_found").isNull(), F.col("text")).otherwise(put).alias("text"), F.coalesce(tokens, F.create_map().cast("map<string,string>")).alias("tokens"))
+
+
+def resolved(text: Column, tokens: Column) -> Column:
+    """The text with the values of its tokens in their places again."""
+    return F.aggregate(F.map_entries(tokens), text, lambda t, e: F.replace(t, F.concat(F.lit("["), e["key"], F.lit("]")), e["value"]))
+
+
+def full_year(yy: Column) -> Column:
+    """Years of two digits: from 50 on in the last century, before that in this one."""
+    return F.when(yy >= 50, yy + 1900).otherwise(yy + 2000)
+
+
+def parsed_date(text: Column, era: Column | int = 2000, first: int = 1900, last: int = 2030) -> Column:
+    """The date that a string is, in numbers or with the month's English name; null for others and for years outside first to last.
+
+    Numbers are month, day and year, or day, month and year in documents of an era before 1990 and where the first can't be a month.
+    """
+    own = F.trim(text)
+    digits = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})$"
+    part = lambda i: F.regexp_extract(own, digits, i).try_cast("int")
+    year = F.when(part(3) < 100, full_year(part(3))).otherwise(part(3))
+    era = F.lit(era) if isinstance(era, int) else era
+    day_first = (era < 1990) & (part(2) <= 12) | (part(1) > 12)
+    month, day = F.when(day_first, part(2)).otherwise(part(1)), F.when(day_first, part(1)).otherwise(part(2))
+    iso = F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date")
+    named = F.regexp_replace(F.regexp_replace(own, r"(?<=\d)(st|nd|rd|th)\b", ""), ",", "")
+    tried = [F.try_to_timestamp(named, F.lit(f)).cast("date") for f in ("d MMMM yyyy", "d MMM yyyy", "MMMM d yyyy", "MMM d yyyy")]
+    found = F.when(own.rlike(digits), iso).when(own.rlike(r"^\d{4}-\d{2}-\d{2}"), F.left(own, F.lit(10)).try_cast("date")).otherwise(F.coalesce(*tried))
+    return F.when(F.year(found).between(first, last), found)
+
+
+def repaired(text: Column) -> Column:
+    """Characters of Windows-1252 that were read as control characters, as the ones that they stand for; the five that it lacks stay."""
+    codes = [c for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+    return F.translate(text, "".join(map(chr, codes)), bytes(codes).decode("cp1252"))
+
+
+def decoded(raw: Column, western: Column) -> Column:
+    """Bytes as text: UTF-8 where they are valid, else Windows-1252 for sources that are western, else UTF-8 with replacements."""
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).when(western, F.decode(raw, "windows-1252")).otherwise(F.make_valid_utf8(raw.cast("string")))

@@ -354,4 +354,4 @@ def repaired(text: Column) -> Column:
 
 def decoded(raw: Column, western: Column) -> Column:
     """Bytes as text: UTF-8 where they are valid, else Windows-1252 for sources that are western, else UTF-8 with replacements."""
-    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).when(western, F.decode(raw, "windows-1252")).otherwise(F.make_valid_utf8(raw.cast("string")))
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).when(western, repaired(F.decode(raw, "ISO-8859-1"))).otherwise(F.make_valid_utf8(raw.cast("string")))

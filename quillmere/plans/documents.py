@@ -225,3 +225,47 @@ def namespace_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
 
 
+
+
+_DATES = ("yyyy-MM-dd", "M/d/yyyy", "MM-dd-yy", "d MMMM yyyy", "MMM d, yyyy", "M.d.yyyy")
+
+
+@query(
+    """SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE o_orderdate END) AS INTEGER) AS epoch_days,
+CASE WHEN o_orderkey % 7 < 6 AND day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) WHEN o_orderkey % 7 < 6 THEN CAST(o_orderdate AS DATE) END AS day_first FROM orders"""
+)
+def dates_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of orders written in six ways, and beyond the years that count; and as documents of the eighties write numbers."""
+    way = F.col("o_orderkey") % 7
+    known = [F.when(way == i, F.date_format("o_orderdate", f)) for i, f in enumerate(_DATES)]
+    written = F.coalesce(*known, F.concat(F.lit("2031-"), F.date_format("o_orderdate", "MM-dd")))
+    numbers = F.when(way < 6, F.date_format("o_orderdate", "M/d/yyyy"))
+    return tables.table(spark, sf_dir, "orders").select("o_orderkey", F.unix_date(text.parsed_date(written)).alias("epoch_days"), text.parsed_date(numbers, 1985).alias("day_first"))
+
+
+@query(f"WITH {_LINES_SQL} SELECT doc_id, sha256(text) AS digest, doc_id % 3 < 2 AS hidden FROM t")
+def tokens_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets as tokens and back: the texts as they were, and whether each secret was away in between."""
+    docs = _with_secrets(spark, sf_dir)
+    found = text.tokenised(docs)
+    gone = (F.size("tokens") > 0) & F.forall(F.map_values("tokens"), lambda v: ~F.contains(F.col("text"), v))
+    return found.select("doc_id", F.sha2(text.resolved(F.col("text"), F.col("tokens")), 256).alias("digest"), gone.alias("hidden"))
+
+
+@query(
+    f"""WITH {_MINHASH_SQL}, a AS (SELECT s.doc_id, s.signature AS x, t.signature AS y FROM sig s JOIN sig t ON s.doc_id // 2 * 2 + 1 = t.doc_id), j AS (SELECT doc_id, len(list_filter(list_zip(x, y), lambda z: z[1] = z[2])) / 128 AS estimate FROM a)
+SELECT doc_id, estimate, round(sqrt(estimate * (1 - estimate) / 128), 9) AS sigma FROM j"""
+)
+def signature_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against the next odd one, by their signatures."""
+    own = _signatures(spark, sf_dir)
+    other = own.select(F.col("doc_id").alias("_id"), F.col("signature").alias("_other"))
+    found = own.join(other, F.expr("doc_id div 2 * 2 + 1") == F.col("_id")).select("doc_id", text.jaccard_estimate(F.col("signature"), F.col("_other")).alias("j"))
+    return found.select("doc_id", "j.estimate", F.round("j.sigma", 9).alias("sigma"))
+
+
+@query("SELECT doc_id, sha256(text || ' “–”') AS digest FROM documents")
+def bytes_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with typographic marks that were read as control characters, from bytes and repaired."""
+    broken = F.concat("text", F.lit(" \x93\x96\x94"))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.repaired(text.decoded(F.encode(broken, "UTF-8"), F.lit(False))), 256).alias("digest"))

@@ -226,3 +226,49 @@ def ks_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.abs(share("a") - share("b")).alias("d")).agg(F.round(F.max("d"), 6).alias("ks"))
 
 
+
+
+_STEPS = [f"feature_{i:02d}" for i in range(20)]
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("key"), F.transform("embedding", lambda v: v.cast("double")).alias("weights"))
+
+
+@query(
+    """WITH w AS (SELECT vec_id % 50 AS key, unnest(range(20)) AS i, CAST(unnest(embedding[1:20]) AS DOUBLE) AS w FROM embeddings), m AS (SELECT key, 'feature_' || lpad(CAST(i AS VARCHAR), 2, '0') AS feature, round(avg(w), 5) AS weight FROM w GROUP BY ALL)
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY weight DESC, feature) AS rank, feature, weight FROM m QUALIFY rank <= 8"""
+)
+def attention_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as the attention of steps, fifty sequences; the first twenty places have names."""
+    found = forecast.attention_drivers(_steps(spark, sf_dir), _STEPS)
+    return found.select("key", F.col("rank").cast("long").alias("rank"), "feature", "weight")
+
+
+@query(
+    """WITH m AS (SELECT l_suppkey AS key, CASE WHEN l_linenumber IN (1, 2) THEN 'Season' WHEN l_linenumber = 3 THEN 'Reviews' WHEN l_linenumber = 4 THEN 'Meetings' END AS label, sum(abs(l_quantity - 25)) AS weight FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL)
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY weight DESC, label) AS rank, label, CAST(weight AS DOUBLE) AS weight, CASE WHEN sum(weight) OVER (PARTITION BY key) > 0 THEN CAST(weight AS DOUBLE) / CAST(sum(weight) OVER (PARTITION BY key) AS DOUBLE) ELSE 0 END AS share FROM m"""
+)
+def merged_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as weights of features by number: the first two are one season, those after the fourth have no label."""
+    items = tables.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_linenumber").alias("feature"), (F.col("l_quantity") - 25).cast("double").alias("weight"))
+    labels = spark.createDataFrame([(1, "Season"), (2, "Season"), (3, "Reviews"), (4, "Meetings")], "feature int, label string")
+    return forecast.merged_drivers(items, labels).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT event_type, stddev_pop(CASE WHEN event_type = 'click' THEN 1 ELSE value END) > 1e-9 AS signal FROM events GROUP BY 1")
+def signal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = F.when(F.col("event_type") == "click", 1.0).otherwise(F.col("value"))
+    return tables.table(spark, sf_dir, "events").withColumn("value", flat).groupBy("event_type").agg(forecast.has_signal("value").alias("signal"))
+
+
+@query(
+    """SELECT event_id, coalesce(CAST(value AS FLOAT), 0) AS first, coalesce(CAST(CASE WHEN event_id % 3 > 0 THEN user_id END AS FLOAT), 0) AS second, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 0 END AS code,
+CASE WHEN event_id % 5 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'cold' WHEN user_id % 2 = 0 THEN 'live' ELSE 'active' END AS state FROM events"""
+)
+def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rows of a matrix of two features, one with gaps, with a code for their type and a state of their forecast."""
+    events = tables.table(spark, sf_dir, "events").withColumn("u", F.when(F.col("event_id") % 3 > 0, F.col("user_id").cast("double")).otherwise(float("nan")))
+    state = forecast.forecast_state(F.col("event_id") % 5 == 0, F.col("event_id") % 3 == 0, F.col("user_id") % 2)
+    row = events.select("event_id", forecast.matrix_row(["value", "u"]).alias("m"), forecast.covariate_code(F.col("event_type"), ["view", "click"]).alias("code"), state.alias("state"))
+    return row.select("event_id", F.get("m", 0).alias("first"), F.get("m", 1).alias("second"), F.col("code").cast("int").alias("code"), "state")

@@ -236,3 +236,51 @@ def price_book_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecast_metering(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenants = tables.credit_ledger(spark, sf_dir).select("tenant_id").distinct().withColumn("target", F.explode(F.array(*map(F.lit, TARGETS))))
     return tenants.select("tenant_id", "target", F.concat_ws(":", F.lit("forecast"), "tenant_id", "target", F.lit("1998-08")).alias("idempotency_key"), F.lit(50.0).alias("credits"))
+
+
+_USES = ("meeting_agent", "voice_synthesis", "bulk_ingest", "model_retrain", "api_request", "unknown")
+
+
+@query(
+    f"""WITH u AS (SELECT o_custkey % 20 AS tenant_id, {list(_USES)}[o_orderkey % 6 + 1] AS feature, o_orderkey % 500 AS counted, 'use:' || o_orderkey AS idempotency_key FROM orders),
+p AS (FROM (VALUES ('meeting_agent', 'minute', 1.0, 9000, 1), ('voice_synthesis', 'kchar', 0.5, 2400, 1000), ('bulk_ingest', 'kdoc', 10.0, 40000, 1000), ('model_retrain', 'run', 200.0, 800000, 1), ('api_request', 'krequest', 2.0, 6000, 1000)) AS v(feature, unit, credits, cost, size))
+SELECT tenant_id, u.feature, unit, counted / size AS quantity, CAST(counted / size * p.credits AS DOUBLE) AS credits, CAST(floor(counted / size * cost + 0.5) AS BIGINT) AS cost_micros, idempotency_key FROM u JOIN p USING (feature) WHERE counted > 0"""
+)
+def metered_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as uses of five features, each in its own unit, and of one that isn't known."""
+    key = F.col("o_orderkey")
+    feature = F.element_at(F.array(*map(F.lit, _USES)), (key % 6 + 1).cast("int"))
+    return ledger.metered(tables.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("tenant_id"), feature.alias("feature"), (key % 500).alias("counted"), F.concat(F.lit("use:"), key).alias("idempotency_key")))
+
+
+@query(
+    """WITH r AS (SELECT l_suppkey % 20 AS tenant_id, l_orderkey, max(l_quantity - 10) AS credits FROM lineitem GROUP BY ALL)
+SELECT tenant_id, 'voice_synthesis' AS feature, -CAST(credits AS DOUBLE) AS credits, 'correction:' || l_orderkey AS idempotency_key FROM r WHERE credits > 0"""
+)
+def credit_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as requests to give credits back for an order, several for one, some of nothing."""
+    items = tables.table(spark, sf_dir, "lineitem")
+    asked = items.select((F.col("l_suppkey") % 20).alias("tenant_id"), F.lit("voice_synthesis").alias("feature"), F.col("l_orderkey").alias("event_id"), (F.col("l_quantity") - 10).cast("double").alias("credits"))
+    return ledger.corrections(asked).select("tenant_id", "feature", "credits", "idempotency_key")
+
+
+@query("SELECT o_custkey % 20 AS tenant_id, 'purchase' AS kind, CAST(o_totalprice AS DOUBLE) AS credits, o_orderkey AS idempotency_key FROM orders WHERE o_orderkey % 9 > 1")
+def purchases_fulfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as payments that are delivered twice; some of nothing, some of no number."""
+    key = F.col("o_orderkey")
+    credits = F.when(key % 9 == 0, 0.0).when(key % 9 == 1, float("nan")).otherwise(F.col("o_totalprice").cast("double"))
+    once = tables.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("tenant_id"), key.alias("event_id"), credits.alias("credits"))
+    return ledger.purchases(once.unionByName(once))
+
+
+@query(
+    """WITH b AS (SELECT o_custkey % 20 AS tenant_id, o_orderkey AS batch_id, o_orderdate AS made, o_orderkey % 700 AS documents FROM orders WHERE o_orderkey % 700 > 0),
+r AS (SELECT *, coalesce(sum(documents) OVER (PARTITION BY tenant_id ORDER BY made, batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+e AS (SELECT *, greatest(0, documents - greatest(0, 5000 - before)) AS excess FROM r)
+SELECT tenant_id, 'connector_sync' AS feature, documents / 1000 AS quantity, 0.0::DOUBLE AS credits, CAST(floor(documents / 1000 * 40000 + 0.5) AS BIGINT) AS cost_micros, 'ingest-volume:' || batch_id AS idempotency_key, 'kdoc' AS unit FROM e
+UNION ALL SELECT tenant_id, 'bulk_ingest', excess / 1000, excess / 1000 * 10, CAST(floor(excess / 1000 * 40000 + 0.5) AS BIGINT), 'ingest:' || batch_id, 'kdoc' FROM e WHERE excess > 0"""
+)
+def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as batches of documents, of which a tenant has 5,000 free."""
+    orders = tables.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("tenant_id"), F.col("o_orderkey").alias("batch_id"), F.col("o_orderdate").alias("at"), (F.col("o_orderkey") % 700).alias("documents"))
+    return ledger.ingest_batches(orders, F.lit(5000))

@@ -199,3 +199,19 @@ def search_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = F.when(turn % 2 == 0, F.array(F.lit("notion"))).otherwise(none)
     intent = F.when(turn % 4 == 0, "WRITE").otherwise("QUERY")
     return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(retrieval.scope(mentioned, targets, intent, F.col("text")), ",").alias("scope"))
+
+
+_EXCERPT_CHARS = 300
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS clean FROM documents), s AS (SELECT doc_id, list_filter(string_split(clean, chr(10)), lambda l: trim(l) <> '') AS lines FROM d WHERE length(clean) > {_EXCERPT_CHARS}),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM s WHERE len(lines) > 1),
+h AS (SELECT *, CAST(contains(lower(line), 'the') AS INT) + CAST(contains(lower(line), 'ing') AS INT) AS hits, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS stop, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start FROM l),
+w AS (SELECT a.doc_id, a.i, sum(b.hits) AS score, string_agg(b.line, ' ' ORDER BY b.i) AS passage FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.i >= a.i AND (b.i = a.i OR b.stop - a.start <= {_EXCERPT_CHARS}) GROUP BY ALL),
+p AS (SELECT doc_id, CASE WHEN i > 0 THEN '… ' ELSE '' END || passage AS excerpt FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) = 1)
+SELECT doc_id, coalesce(p.excerpt, left(clean, {_EXCERPT_CHARS})) AS excerpt FROM d LEFT JOIN p USING (doc_id)"""
+)
+def best_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document the lines that answer to two terms best."""
+    return retrieval.excerpts(tables.table(spark, sf_dir, "documents"), ["the", "ing"], _EXCERPT_CHARS)

@@ -243,7 +243,7 @@ def dates_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "orders").select("o_orderkey", F.unix_date(text.parsed_date(written)).alias("epoch_days"), text.parsed_date(numbers, 1985).alias("day_first"))
 
 
-@query(f"WITH {_LINES_SQL} SELECT doc_id, sha256(text) AS digest, doc_id % 3 < 2 AS hidden FROM t")
+@query(f"WITH {_LINES_SQL} SELECT doc_id, sha256(text) AS digest, regexp_matches(text, '{_SECRET}') OR regexp_matches(text, '{_BEARER}') AS hidden FROM t")
 def tokens_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets as tokens and back: the texts as they were, and whether each secret was away in between."""
     docs = _with_secrets(spark, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import ann, byte_bpe, exact_dedup, html_extract, licenses, near_dedup, packing, token_store, toxicity, url_filter
+from quillmere.llm import ann, byte_bpe, exact_dedup, filter_audit, html_extract, licenses, near_dedup, packing, token_store, toxicity, url_filter
 from quillmere.llm.support import read
 
 
@@ -66,8 +66,16 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_best_fit_packing, op4_exact_dedup, op5_ivf_pq_search, op6_url_templates, op7_html_mincut, op8_byte_bpe, op9_minhash_near_dedup, op10_token_store)}
+    every = (
+        op1_license_scan, op2_toxicity, op3_best_fit_packing, op4_exact_dedup, op5_ivf_pq_search, op6_url_templates, op7_html_mincut, op8_byte_bpe,
+        op9_minhash_near_dedup, op10_token_store, op13_filter_interactions,
+    )
+    return {f.__name__: f for f in every}
 
 
 def _sql_text(text: str) -> str:
@@ -122,5 +130,38 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+OP13_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents
+),
+f AS (
+  SELECT doc_id, part, [
+    len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(first_id < doc_id, false)] AS fails
+  FROM t
+),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT f.*, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 3, 4, 5]) AS k),
+orders AS (
+  SELECT '' AS filter_order, []::INT[] AS ks
+  UNION ALL SELECT filter_order || letter, list_append(ks, k) FROM orders, letters WHERE NOT list_contains(ks, k)
+),
+full_orders AS (SELECT * FROM orders WHERE len(ks) = 5),
+s AS (SELECT filter_order, step, ks[step] AS k, ks[1 : step - 1] AS earlier FROM full_orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+sets AS (SELECT part, fails, count(*) AS docs, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM d GROUP BY ALL),
+w AS (SELECT *, fails[k] AS bad, list_bool_or(list_transform(list_append(earlier, 6), lambda e: coalesce(fails[e], false))) AS gone FROM sets, s),
+r AS (
+  SELECT part, filter_order, step, k, coalesce(sum(docs) FILTER (WHERE NOT bad AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(docs) FILTER (WHERE bad AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(docs) FILTER (WHERE bad AND gone), 0)::BIGINT AS redundant, coalesce(sum(docs) FILTER (WHERE bad AND len(list_filter(fails, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE bad AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE bad AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM w GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op1_license_scan": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op13_filter_interactions": OP13_SQL}

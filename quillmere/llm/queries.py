@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import ann, byte_bpe, exact_dedup, filter_audit, html_extract, licenses, near_dedup, packing, token_store, toxicity, url_filter
+from quillmere.llm import alignment, ann, byte_bpe, exact_dedup, filter_audit, html_extract, licenses, near_dedup, packing, quality, token_store, toxicity, url_filter
 from quillmere.llm.support import read
 
 
@@ -66,6 +66,14 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op11_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.links(read(spark, sf_dir, "documents"))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -73,7 +81,7 @@ def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_license_scan, op2_toxicity, op3_best_fit_packing, op4_exact_dedup, op5_ivf_pq_search, op6_url_templates, op7_html_mincut, op8_byte_bpe,
-        op9_minhash_near_dedup, op10_token_store, op13_filter_interactions,
+        op9_minhash_near_dedup, op10_token_store, op11_subword_quality, op12_token_alignment, op13_filter_interactions,
     )
     return {f.__name__: f for f in every}
 

@@ -5,9 +5,11 @@ labelled as blocked, as allowed, and not at all. The tree is built one level at
 whose literal segments are too many to be names becomes a wildcard. Of the others, each branch is compared with its
 siblings (what follows it, and how its pages are labelled) by a chi-square statistic; those that don't differ merge.
 
-Few pages are labelled, so labels are carried across hosts first: where the labelled pages of a path shape with a literal segment are, on all hosts together
+Few pages are labelled, so labels are carried across hosts first: where the labelled pages of a path shape are, on all hosts together
 and smoothed by SMOOTHING pages of the overall share, PURITY blocked (or allowed), the unlabelled pages of that shape count as such in their own
-hosts' trees. A template's purity is the blocked share of its labelled pages, smoothed in the same way.
+hosts' trees. That asks for evidence that the path decides and not the host: the shape has several literal segments, or it is labelled on
+a host that has both labels; and the hosts that it is labelled on are at least half of those that have it, so that a generic shape carries nothing.
+A template's purity is the blocked share of its labelled pages, smoothed in the same way; a template without any abstains, and its pages are allowed.
 
 One host can hold most of the pages. Its rows then make one side of a join uneven, never both: the other has one row for each template
 prefix, or at most KINDS of them, so that Spark can split the partition; sums are taken before rows are shuffled.
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 
 from quillmere.llm import support
 
-DEPTH = 8  # levels of the tree; from the last on, the shapes of all segments together make one
 #: A level is variable if it has so many distinct literals, and so many of them for each page.
 DISTINCT, DISTINCT_SHARE = 12, 0.3
 #: 99th percentiles of chi-square for 1 to 14 degrees of freedom (fixed values).
@@ -78,11 +79,22 @@ def _kind(shape: Column) -> Column:
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """Adds template to rows of host, shape (array of segments), blocked, allowed, other and n (their sum)."""
-    tree = shapes.withColumn("template", F.lit(""))
-    deepest = tree.agg(F.max(F.size("shape")).alias("d")).first().d or 0
-    key = ["host", "template"]
-    for level in range(min(deepest, DEPTH)):
+    """Adds template to rows of host, shape (array of segments), blocked, allowed, other and n (their sum).
+
+    A shape that is alone under its template prefix has nothing to be compared with: its other segments follow as they
+    are. So there are as many levels as two shapes of a host have in common, whatever the length of paths.
+    """
+    open_ = support.materialise(shapes.withColumn("template", F.lit("")), "tree")
+    key, level, done = ["host", "template"], 0, []
+    while True:
+        alone = open_.groupBy(*key).agg(F.count("*").alias("shapes"))
+        marked = open_.join(alone, key).withColumn("shapes", F.when(F.size("shape") <= level, 1).otherwise(F.col("shapes")))
+        marked = support.materialise(marked, "level")
+        rest = F.transform(F.slice("shape", level + 1, F.greatest(F.size("shape"), F.lit(1))), lambda s: F.concat(F.lit("/"), s))
+        done.append(marked.where("shapes = 1").drop("shapes").withColumn("template", F.concat("template", F.array_join(rest, ""))))
+        tree = marked.where("shapes > 1").drop("shapes")
+        if tree.isEmpty():
+            break
         at = tree.withColumn("segment", F.try_element_at("shape", F.lit(level + 1)))
         here = at.where("segment IS NOT NULL")
         after = _kind(F.try_element_at("shape", F.lit(level + 2)))
@@ -107,11 +119,13 @@ def templates(shapes: DataFrame) -> DataFrame:
         variable = (F.col("branches") >= DISTINCT) & (F.col("branches") >= DISTINCT_SHARE * F.col("parent_n"))
         similar = (F.col("branches") > 1) & (F.col("chi") < critical)
         named = tested.select(*key, "segment", F.when(variable | similar, "{*}").otherwise(F.col("segment")).alias("name"))
-        tree = support.materialise(
-            at.join(named, [*key, "segment"], "left").withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "name"), F.lit("")))).drop("segment", "name"),
-            "tree",
-        )
-    return tree
+        named = at.join(named, [*key, "segment"], "left").withColumn("template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "name"), F.lit(""))))
+        open_ = support.materialise(named.drop("segment", "name"), "tree")
+        level += 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.select(*shapes.columns, "template")
 
 
 def _purity(base: float) -> Column:
@@ -120,24 +134,31 @@ def _purity(base: float) -> Column:
 
 
 def carried(shapes: DataFrame, base: float) -> DataFrame:
-    """Rows of templates() with unlabelled pages labelled as those of their shape are on all hosts together, if that is pure."""
-    literal = F.exists("shape", lambda s: ~s.startswith("{"))
+    """Rows of templates() with unlabelled pages labelled as those of their shape are on all hosts together, if that is pure and says something of the path."""
     keyed = shapes.withColumn("key", F.concat_ws("/", "shape"))
-    votes = keyed.where(literal).groupBy("key").agg(F.count("*").alias("hosts"), _purity(base).alias("vote"))
+    both = shapes.groupBy("host").agg(((F.sum("blocked") > 0) & (F.sum("allowed") > 0)).alias("both"))
+    labelled = (F.col("blocked") + F.col("allowed")) > 0
+    literals = F.size(F.filter("shape", lambda s: ~s.startswith("{")))
+    told = keyed.where(literals > 0).join(both, "host").groupBy("key").agg(
+        F.count("*").alias("hosts"), F.count_if(labelled).alias("labelled"), F.max(labelled & F.col("both")).alias("of_path"), F.max(literals).alias("literals"), _purity(base).alias("vote")
+    )
+    votes = told.select("key", "hosts", F.when((2 * F.col("labelled") >= F.col("hosts")) & (F.col("of_path") | ((F.col("literals") > 1) & (F.col("labelled") > 1))), F.col("vote")).alias("vote"))
     joined = support.join_counted(keyed, votes, "key", "hosts", shapes.count(), "left")
     out, other = {}, F.col("other")
     for name, pure in (("blocked", F.col("vote") >= PURITY), ("allowed", F.col("vote") <= 1 - PURITY)):
         out[name] = F.col(name) + F.when(pure, other).otherwise(0)
     kept = F.when((F.col("vote") >= PURITY) | (F.col("vote") <= 1 - PURITY), 0).otherwise(other)
-    return joined.select("host", "shape", out["blocked"].alias("blocked"), out["allowed"].alias("allowed"), kept.alias("other"), "n")
+    own = labelled.alias("own")
+    return joined.select("host", "shape", out["blocked"].alias("blocked"), out["allowed"].alias("allowed"), kept.alias("other"), "n", own)
 
 
 def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict and template of every row.
+    """page_id, host, path, rule, verdict, template and evidence of every row.
 
     pages: page_id and url; more columns are ignored, repeated rows stay. What a rule blocks or allows is labelled so; labels
     (page_id, blocked: boolean) adds to that where no rule fits. Where no rule decides, a page is blocked if its template's smoothed
-    purity reaches PURITY. A null url, or one without ://, has an empty host and path, and no rule fits it.
+    purity reaches PURITY. evidence is rule, template (labelled pages of its own), carried (labels of its shape on other hosts only) or none, which allows.
+    A null url, or one without ://, has an empty host and path, and no rule fits it; a null page_id is a page like any other.
     """
     host, path = parsed(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
@@ -147,8 +168,6 @@ def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None)
         rows = rows.join(own, "page_id", "left").withColumn("label", F.coalesce("label", F.when(F.col("blocked"), "block").when(~F.col("blocked"), "allow"))).drop("blocked")
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     shape = F.transform(segments, _shape)
-    rest = F.array_join(F.slice(shape, DEPTH, F.greatest(F.size(shape), F.lit(1))), "/")
-    shape = F.when(F.size(shape) > DEPTH, F.concat(F.slice(shape, 1, DEPTH - 1), F.array(rest))).otherwise(shape)
     rows = support.materialise(rows.withColumn("shape", shape), "urls")
     key = F.concat_ws("/", "host", F.concat_ws("/", "shape")).alias("place")
     shapes = rows.groupBy("host", "shape").agg(
@@ -157,9 +176,13 @@ def judge(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None)
     shapes = support.materialise(shapes, "shapes")
     base = shapes.agg((F.sum("blocked") / F.greatest(F.sum(F.col("blocked") + F.col("allowed")), F.lit(1))).alias("p")).first().p or 0.0
     tree = templates(support.materialise(carried(shapes, base), "carried"))
-    judged = tree.groupBy("host", "template").agg(_purity(base).alias("purity"))
-    found = tree.join(judged, ["host", "template"]).select(key, "n", "template", F.when(F.col("purity") >= PURITY, "block").otherwise("allow").alias("own"))
-    # Two shapes can make one string only if their segments from DEPTH on do, and then they are the same.
+    judged = tree.groupBy("host", "template").agg(_purity(base).alias("purity"), F.sum(F.col("blocked") + F.col("allowed")).alias("told"), F.max("own").alias("own"))
+    evidence = F.when(F.col("told") == 0, "none").when(F.col("own"), "template").otherwise("carried")
+    verdict = F.when((F.col("told") > 0) & (F.col("purity") >= PURITY), "block").otherwise("allow")
+    found = tree.drop("own").join(judged, ["host", "template"]).select(key, "n", "template", verdict.alias("own"), evidence.alias("evidence"))
     found = support.materialise(found, "judged")
     joined = support.join_counted(rows.withColumn("place", key), found, "place", "n", rows.count())
-    return joined.select("page_id", "host", "path", F.col("rule.name").alias("rule"), F.coalesce(F.col("rule.verdict"), "own").alias("verdict"), "template")
+    return joined.select(
+        "page_id", "host", "path", F.col("rule.name").alias("rule"), F.coalesce(F.col("rule.verdict"), "own").alias("verdict"), "template",
+        F.when(F.col("rule").isNotNull(), "rule").otherwise(F.col("evidence")).alias("evidence"),
+    )

@@ -333,6 +333,16 @@ def test_templates_of_huge_and_deep_hosts(spark):
     assert len(rows) == 81 and {r.verdict for r in rows if r.page_id % 2} == {"allow"} and {r.verdict for r in rows if r.page_id % 2 == 0} == {"block"}
 
 
+def test_templates_without_labels_abstain_and_generic_shapes_carry_nothing(spark):
+    """Where nine tenths of the labelled pages are blocked, pages that share nothing with them are allowed, and so are those of a generic shape on an ordinary host."""
+    rules = [url_filter.Rule("net", "/", "block")]
+    urls = [f"http://a{i % 3}.net/es/{i}" for i in range(30)] + [f"http://u{i}.example.org/docs/guide/page-{'abcdefghij'[i]}" for i in range(10)]
+    urls += [f"http://blog{h}.example.org/es/{i}" for h in range(4) for i in range(10)] + [None, "no scheme"]
+    rows = [(i if i % 7 else None, u, 3, "x") for i, u in enumerate(urls)]
+    found = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, n int, host string"), rules).collect()
+    assert len(found) == len(urls) and {(r.evidence, r.verdict) for r in found} == {("rule", "block"), ("none", "allow")}
+
+
 def test_impure_templates_are_rejected(spark):
     rows = [(i, f"http://a.org/buy/{i}") for i in range(60)] + [(100 + i, f"http://a.org/news/story{i}") for i in range(60)]
     labels = spark.createDataFrame([(i, True) for i in range(0, 40)] + [(100 + i, False) for i in range(40)], "page_id long, blocked boolean")

@@ -36,4 +36,17 @@ def test_empty_documents(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     found = {name.split("_")[0] for name in queries.queries()}
-    assert found == {f"op{n}" for n in range(1, 11)} and set(queries.oracle_sql()) <= set(queries.queries())
+    assert found == {f"op{n}" for n in range(1, 14)} and set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_rows_that_share_a_doc_id_are_documents_of_their_own(spark):
+    columns = spark.read.parquet(f"{SF}/documents.parquet").columns
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(5, "alpha beta"), (9, "Alpha beta"), (5, "wholly other text"), (None, "no id"), (7, near), (8, near + " end"), (8, "apart from that"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1.0, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, number string")
+    kept = corpus_pipeline.exact_dedup_stage(spark, docs, SF)
+    assert kept.columns == columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(rows[1:], key=str)
+    kept = corpus_pipeline.near_dedup_stage(spark, kept, SF)
+    assert kept.columns == columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([r for r in rows[1:] if r != rows[5]], key=str)

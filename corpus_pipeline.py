@@ -30,19 +30,25 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     docs = _columns(spark, docs, sf_dir)
     middle = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("m")).first().m
     found = exact_dedup.deduplicate(docs, F.col("doc_id") <= F.lit(middle))
-    return _without(docs, found.where("NOT kept").select("doc_id"))
+    digest = F.sha2(support.ascii_lower(F.coalesce("text", F.lit(""))), 256)  # as deduplicate() has it
+    dropped = support.materialise(found.where("NOT kept").select("doc_id", "text_sha256").distinct(), "dropped")
+    return docs.withColumn("text_sha256", digest).join(dropped, ["doc_id", "text_sha256"], "left_anti").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id."""
-    docs = _columns(spark, docs, sf_dir)
-    found = near_dedup.near_duplicates(docs, k=5, percent=80)
-    return _without(docs, found.where("NOT kept").select("doc_id"))
-
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id.
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the dropped doc_ids; rows that share a doc_id count as one document, and a null doc_id stays."""
-    return docs.join(support.materialise(dropped.distinct(), "dropped"), "doc_id", "left_anti")
+    Rows that share a doc_id are documents of their own, each judged by its text; so is a row without one.
+    """
+    docs = _columns(spark, docs, sf_dir)
+    rows, ids, known = docs.agg(F.count("*"), F.count_distinct("doc_id"), F.count("doc_id")).first()
+    if rows == ids == known:
+        numbered = docs.withColumn("number", F.col("doc_id").cast("long"))
+    else:  # numbers in the order of doc_ids, fixed by writing them
+        numbered = support.materialise(docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id").withColumn("number", F.monotonically_increasing_id()), "numbered", "snappy")
+    found = near_dedup.near_duplicates(numbered.select(F.col("number").alias("doc_id"), "text"), k=5, percent=80)
+    dropped = support.materialise(found.where("NOT kept").select(F.col("doc_id").alias("number")), "dropped")
+    return numbered.join(dropped, "number", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

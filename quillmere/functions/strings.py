@@ -55,8 +55,32 @@ def safe_key(name: Column) -> Column:
     return F.right(F.regexp_replace(name, r"[^A-Za-z0-9_.\-]", "_"), F.lit(80))
 
 
+#: What stands in fields of owners without being a person.
+NOT_PEOPLE = ("not stated", "unknown", "unassigned", "none", "n/a", "-", "you", "ai")
+#: Names of the assistant that writes into the same fields.
+ASSISTANTS = ("assistant", "assistant ai")
+
+
+def tidy_name(name: Column) -> Column:
+    """Without quotes around it, with single spaces."""
+    return F.regexp_replace(F.regexp_replace(F.trim(name), r"""^["']|["']$""", ""), r"\s+", " ")
+
+
+def is_person(name: Column, assistants: tuple[str, ...] = ASSISTANTS) -> Column:
+    """Whether a field names a person: at most four words with a capital, or a handle; no mailbox, identifier, sentence or stand-in. null: no."""
+    v = F.regexp_replace(name, r"^\s+|\s+$", "")
+    refused = [
+        v == "", F.length(v) > 60, F.lower(v).isin(*NOT_PEOPLE, *assistants), v.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), v.contains("@"), F.size(F.split(v, r"\s+")) > 4,
+        ~v.rlike("[A-Z]") & ~(v.rlike(r"^\S+$") & v.rlike("[-_.]")), v.rlike(r"[a-z]{2,}\.$"),
+    ]
+    found = refused[0]
+    for more in refused[1:]:
+        found = found | more
+    return F.coalesce(~found, F.lit(False))
+
+
 def owner_names(text: Column) -> Column:
-    """Names on lines such as ``Owner: A, B and C``."""
+    """Names of people on lines such as ``Owner: A, B and C``."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?i)^\s*(owner|owners|assignee|assigned to|lead|author|responsible|maintainer)\s*:"))
     names = F.flatten(F.transform(lines, lambda x: F.split(F.regexp_replace(x, r"^[^:]*:", ""), r"(?i),| and ")))
-    return F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n.rlike(r"^[\p{L}][\p{L}.'\- ]{1,59}$") & n.rlike(r"\p{Lu}") & (F.size(F.split(n, " ")) <= 4))
+    return F.transform(F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: is_person(n)), tidy_name)

@@ -63,12 +63,12 @@ def daily(usage: DataFrame, start: str, end: str) -> DataFrame:
 def top_consumers(usage: DataFrame, start: str, end: str, top: int = 8) -> DataFrame:
     """Each tenant's ``top`` actors with their largest feature and their share of all actors' credits. Two aggregations, whatever the number of actors shown."""
     by_feature = within(usage, "occurred_at", start, end).groupBy("tenant_id", "actor", "feature").agg(F.sum("credits").alias("c"))
-    largest = F.max_by(F.struct("feature"), F.struct("c", F.negate(F.ascii("feature")), F.negate(F.ascii(F.substring("feature", 2, 1)))))
-    by_actor = by_feature.groupBy("tenant_id", "actor").agg(F.sum("c").alias("credits"), largest.alias("f"), F.max("c").alias("top_credits"))
+    largest = F.min_by("feature", F.struct(-F.col("c"), "feature"))  # of equal ones the smaller name
+    by_actor = by_feature.groupBy("tenant_id", "actor").agg(F.sum("c").alias("credits"), largest.alias("top_feature"))
     totals = by_actor.groupBy("tenant_id").agg(F.sum("credits").alias("total"), F.count("*").alias("actors"))
     ranked = by_actor.withColumn("rank", F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc("credits"), "actor"))).where(F.col("rank") <= top)
     return ranked.join(totals, "tenant_id").select(
-        "tenant_id", "rank", "actor", "credits", F.col("f.feature").alias("top_feature"), (F.col("credits").cast("double") / F.col("total").cast("double")).alias("share"), F.greatest(F.lit(0), F.col("actors") - top).alias("more")
+        "tenant_id", "rank", "actor", "credits", "top_feature", (F.col("credits").cast("double") / F.col("total").cast("double")).alias("share"), F.greatest(F.lit(0), F.col("actors") - top).alias("more")
     )
 
 
@@ -149,19 +149,55 @@ def idempotent(incoming: DataFrame, ledger: DataFrame | None = None) -> DataFram
 
 # --- rows to append ---------------------------------------------------------------------------------------------
 
-#: Per unit of each feature its credits and cost in micros, and how many of what is counted make a unit.
-UNITS = {
-    "meeting_agent": ("minute", 1.0, 9_000, 1), "voice_synthesis": ("kchar", 0.5, 2_400, 1000), "bulk_ingest": ("kdoc", 10.0, 40_000, 1000),
-    "model_retrain": ("run", 200.0, 800_000, 1), "api_request": ("krequest", 2.0, 6_000, 1000),
-}
+#: How many of what is counted make a unit, for units of a thousand.
+SIZES = {"kchar": 1000, "kdoc": 1000, "krequest": 1000}
+#: Features that are never charged.
+UNMETERED = ("chat", "search", "forecast_view", "brain_view", "connector_sync")
+
+
+def cost_micros(quantity: Column, per_unit: Column) -> Column:
+    """Cost in micro-USD: the quantity is rounded to millionths first, then what is below one micro is cut off. Exact, in whole numbers."""
+    scaled = F.floor(quantity.cast("double") * 1_000_000 + 0.5).cast("decimal(20,0)")
+    return F.floor(scaled * per_unit.cast("decimal(12,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("long")
 
 
 def metered(uses: DataFrame) -> DataFrame:
-    """Ledger rows of uses (tenant_id, feature, counted, idempotency_key): quantity in units, credits and cost_micros; uses of nothing and unknown features give none."""
-    of = lambda i: F.element_at(F.create_map(*(F.lit(x) for f, row in UNITS.items() for x in (f, row[i]))), F.col("feature"))
+    """Ledger rows of uses (tenant_id, feature, counted, idempotency_key): quantity in units, credits and cost_micros; uses of nothing and unknown features give none.
+
+    counted: minutes of a meeting, characters spoken, documents beyond the allowance, targets of a month, runs, requests.
+    """
+    rows = {name: (unit, credits, cost, SIZES.get(unit, 1)) for name, unit, credits, cost, *_ in PRICE_BOOK}
+    of = lambda i: F.element_at(F.create_map(*(F.lit(x) for f, row in rows.items() for x in (f, row[i]))), F.col("feature"))
     quantity = F.col("counted") / of(3)
-    known = uses.where(F.col("feature").isin(*UNITS) & (F.col("counted") > 0))
-    return known.select("tenant_id", "feature", of(0).alias("unit"), quantity.alias("quantity"), (quantity * of(1)).alias("credits"), F.floor(quantity * of(2) + 0.5).cast("long").alias("cost_micros"), "idempotency_key")
+    known = uses.where(F.col("feature").isin(*rows) & (F.col("counted") > 0))
+    return known.select("tenant_id", "feature", of(0).alias("unit"), quantity.alias("quantity"), (quantity * of(1)).alias("credits"), cost_micros(quantity, of(2)).alias("cost_micros"), "idempotency_key")
+
+
+def unmetered(uses: DataFrame) -> DataFrame:
+    """Ledger rows of uses that nobody is charged for, one for each key: zero credits, what they did cost, and metadata that says so.
+
+    uses: tenant_id, feature (one of UNMETERED, others give no row), quantity and unit (null: one run), cost_micros, metadata (map of strings, or null) and
+    idempotency_key. Of rows with one key the smallest is taken, compared by their columns; rows without a key or with a cost below zero give none.
+    """
+    good = uses.where(F.col("feature").isin(*UNMETERED) & (F.col("idempotency_key") != "") & (F.coalesce("cost_micros", F.lit(0)) >= 0))
+    told = F.map_concat(F.coalesce("metadata", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.create_map(F.lit("unmetered"), F.lit("true")))
+    shown = F.to_json(F.map_from_entries(F.sort_array(F.map_entries(F.map_filter(told, lambda k, v: v.isNotNull())))))
+    rows = good.select(
+        "tenant_id", "feature", F.coalesce(F.col("quantity").cast("double"), F.lit(1.0)).alias("quantity"), F.coalesce("unit", F.lit("run")).alias("unit"), F.lit(0.0).alias("credits"),
+        F.coalesce(F.col("cost_micros").cast("long"), F.lit(0)).alias("cost_micros"), shown.alias("metadata"), "idempotency_key",
+    )
+    rest = [c for c in rows.columns if c != "idempotency_key"]
+    return rows.groupBy("idempotency_key").agg(F.min(F.struct(*rest)).alias("r")).select("r.*", "idempotency_key")
+
+
+def model_calls(calls: DataFrame) -> DataFrame:
+    """Calls of a language model (tenant_id, request_id, surface, model, input_tokens, output_tokens, cost_micros) as unmetered uses: searches count as search, all others as chat."""
+    told = F.map_from_entries(F.array(*(F.struct(F.lit(name), F.col(name).cast("string")) for name in ("model", "input_tokens", "output_tokens", "surface"))))
+    rows = calls.select(
+        "tenant_id", F.when(F.col("surface") == "search", "search").otherwise("chat").alias("feature"), F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("string").alias("unit"), "cost_micros",
+        told.alias("metadata"), F.concat(F.lit("llm:"), F.col("request_id").cast("string")).alias("idempotency_key"),
+    )
+    return unmetered(rows)
 
 
 def corrections(refunds: DataFrame) -> DataFrame:
@@ -189,9 +225,10 @@ def ingest_batches(batches: DataFrame, included_docs: Column) -> DataFrame:
     once = batches.where(F.col("documents") > 0).groupBy("tenant_id", "batch_id").agg(F.min(F.struct("at", "documents")).alias("b")).select("tenant_id", "batch_id", "b.at", "b.documents")
     before = F.coalesce(F.sum("documents").over(Window.partitionBy("tenant_id").orderBy("at", "batch_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     excess = F.greatest(F.lit(0), F.col("documents") - F.greatest(F.lit(0), included_docs - before))
-    unit, credits, cost, size = UNITS["bulk_ingest"]
+    _, unit, credits, cost, *_ = next(row for row in PRICE_BOOK if row[0] == "bulk_ingest")
+    size = SIZES[unit]
     row = lambda feature, docs, price, key: F.struct(
-        F.lit(feature).alias("feature"), (docs / size).alias("quantity"), (docs / size * price).alias("credits"), F.floor(docs / size * cost + 0.5).cast("long").alias("cost_micros"), F.concat(F.lit(key), F.col("batch_id").cast("string")).alias("idempotency_key")
+        F.lit(feature).alias("feature"), (docs / size).alias("quantity"), (docs / size * price).alias("credits"), cost_micros(docs / size, F.lit(cost)).alias("cost_micros"), F.concat(F.lit(key), F.col("batch_id").cast("string")).alias("idempotency_key")
     )
     rows = F.array(row("connector_sync", F.col("documents"), 0.0, "ingest-volume:"), row("bulk_ingest", F.col("_excess"), credits, "ingest:"))
     return once.withColumn("_excess", excess).select("tenant_id", F.explode(rows).alias("r")).select("tenant_id", "r.*").where("quantity > 0").withColumn("unit", F.lit(unit))

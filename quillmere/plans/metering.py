@@ -238,21 +238,38 @@ def forecast_metering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenants.select("tenant_id", "target", F.concat_ws(":", F.lit("forecast"), "tenant_id", "target", F.lit("1998-08")).alias("idempotency_key"), F.lit(50.0).alias("credits"))
 
 
-_USES = ("meeting_agent", "voice_synthesis", "bulk_ingest", "model_retrain", "api_request", "unknown")
+_USES = ("meeting_agent", "voice_synthesis", "bulk_ingest", "forecast_target", "model_retrain", "api_request", "unknown")
 
 
 @query(
-    f"""WITH u AS (SELECT o_custkey % 20 AS tenant_id, {list(_USES)}[o_orderkey % 6 + 1] AS feature, o_orderkey % 500 AS counted, 'use:' || o_orderkey AS idempotency_key FROM orders),
-p AS (FROM (VALUES ('meeting_agent', 'minute', 1.0, 9000, 1), ('voice_synthesis', 'kchar', 0.5, 2400, 1000), ('bulk_ingest', 'kdoc', 10.0, 40000, 1000), ('model_retrain', 'run', 200.0, 800000, 1), ('api_request', 'krequest', 2.0, 6000, 1000)) AS v(feature, unit, credits, cost, size))
-SELECT tenant_id, u.feature, unit, counted / size AS quantity, CAST(counted / size * p.credits AS DOUBLE) AS credits, CAST(floor(counted / size * cost + 0.5) AS BIGINT) AS cost_micros, idempotency_key FROM u JOIN p USING (feature) WHERE counted > 0"""
+    f"""WITH u AS (SELECT o_custkey % 20 AS tenant_id, {list(_USES)}[o_orderkey % 7 + 1] AS feature, o_orderkey % 500 AS counted, 'use:' || o_orderkey AS idempotency_key FROM orders),
+p AS (FROM (VALUES ('meeting_agent', 'minute', 1.0, 9000, 1), ('voice_synthesis', 'kchar', 0.5, 2400, 1000), ('bulk_ingest', 'kdoc', 10.0, 40000, 1000), ('forecast_target', 'month', 50.0, 120000, 1), ('model_retrain', 'run', 200.0, 800000, 1), ('api_request', 'krequest', 2.0, 6000, 1000)) AS v(feature, unit, credits, cost, size))
+SELECT tenant_id, u.feature, unit, counted / size AS quantity, CAST(counted / size * p.credits AS DOUBLE) AS credits, CAST(CAST(floor(counted / size * 1000000 + 0.5) AS BIGINT) * cost // 1000000 AS BIGINT) AS cost_micros, idempotency_key FROM u JOIN p USING (feature) WHERE counted > 0"""
 )
 def metered_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as uses of five features, each in its own unit, and of one that isn't known."""
+    """Orders as uses of six features, each in its own unit, and of one that isn't known."""
     key = F.col("o_orderkey")
-    feature = F.element_at(F.array(*map(F.lit, _USES)), (key % 6 + 1).cast("int"))
+    feature = F.element_at(F.array(*map(F.lit, _USES)), (key % 7 + 1).cast("int"))
     return ledger.metered(tables.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("tenant_id"), feature.alias("feature"), (key % 500).alias("counted"), F.concat(F.lit("use:"), key).alias("idempotency_key")))
 
 
+@query(
+    """WITH c AS (SELECT conv_id % 20 AS tenant_id, conv_id || ':' || turn AS request_id, CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'chat' END AS surface, length(text) AS n FROM conversations),
+m AS (SELECT tenant_id, CASE WHEN surface = 'search' THEN 'search' ELSE 'chat' END AS feature, 1.0::DOUBLE AS quantity, 'run' AS unit, 0.0::DOUBLE AS credits, n * 3 AS cost_micros,
+  '{"input_tokens":"' || n // 4 || '","model":"m' || tenant_id % 2 || '"' || CASE WHEN surface IS NULL THEN '' ELSE ',"surface":"' || surface || '"' END || ',"unmetered":"true"}' AS metadata, 'llm:' || request_id AS idempotency_key FROM c)
+SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY tenant_id, feature, cost_micros, metadata) = 1"""
+)
+def model_calls_unmetered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as calls of a model, each reported twice: the customer is charged nothing, and the cost reaches the ledger."""
+    turns = tables.table(spark, sf_dir, "conversations")
+    tenant, size = F.col("conv_id") % 20, F.length("text")
+    calls = turns.select(
+        tenant.alias("tenant_id"), F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.when(F.col("turn") % 3 == 0, "search").when(F.col("turn") % 3 == 1, "chat").alias("surface"),
+        F.concat(F.lit("m"), tenant % 2).alias("model"), F.expr("length(text) div 4").alias("input_tokens"), F.lit(None).cast("long").alias("output_tokens"), (size * 3).cast("long").alias("cost_micros"),
+    )
+    return ledger.model_calls(calls.unionByName(calls))
+
+
 @query(
     """WITH r AS (SELECT l_suppkey % 20 AS tenant_id, l_orderkey, max(l_quantity - 10) AS credits FROM lineitem GROUP BY ALL)
 SELECT tenant_id, 'voice_synthesis' AS feature, -CAST(credits AS DOUBLE) AS credits, 'correction:' || l_orderkey AS idempotency_key FROM r WHERE credits > 0"""
@@ -277,8 +294,8 @@ def purchases_fulfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH b AS (SELECT o_custkey % 20 AS tenant_id, o_orderkey AS batch_id, o_orderdate AS made, o_orderkey % 700 AS documents FROM orders WHERE o_orderkey % 700 > 0),
 r AS (SELECT *, coalesce(sum(documents) OVER (PARTITION BY tenant_id ORDER BY made, batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
 e AS (SELECT *, greatest(0, documents - greatest(0, 5000 - before)) AS excess FROM r)
-SELECT tenant_id, 'connector_sync' AS feature, documents / 1000 AS quantity, 0.0::DOUBLE AS credits, CAST(floor(documents / 1000 * 40000 + 0.5) AS BIGINT) AS cost_micros, 'ingest-volume:' || batch_id AS idempotency_key, 'kdoc' AS unit FROM e
-UNION ALL SELECT tenant_id, 'bulk_ingest', excess / 1000, excess / 1000 * 10, CAST(floor(excess / 1000 * 40000 + 0.5) AS BIGINT), 'ingest:' || batch_id, 'kdoc' FROM e WHERE excess > 0"""
+SELECT tenant_id, 'connector_sync' AS feature, documents / 1000 AS quantity, 0.0::DOUBLE AS credits, CAST(CAST(floor(documents / 1000 * 1000000 + 0.5) AS BIGINT) * 40000 // 1000000 AS BIGINT) AS cost_micros, 'ingest-volume:' || batch_id AS idempotency_key, 'kdoc' AS unit FROM e
+UNION ALL SELECT tenant_id, 'bulk_ingest', excess / 1000, excess / 1000 * 10, CAST(CAST(floor(excess / 1000 * 1000000 + 0.5) AS BIGINT) * 40000 // 1000000 AS BIGINT), 'ingest:' || batch_id, 'kdoc' FROM e WHERE excess > 0"""
 )
 def ingest_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as batches of documents, of which a tenant has 5,000 free."""

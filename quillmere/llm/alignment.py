@@ -14,9 +14,10 @@ import os
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmere.llm import support
@@ -24,12 +25,14 @@ from quillmere.llm import support
 A_FILE = public_tokenizers.path("byte_bpe_50k.json")
 B_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
-#: Documents of one bucket, about; a task holds at most one bucket's stretches and tokens, and spills what doesn't fit.
-BUCKET_DOCS = 4_096
+#: Bytes of text of one bucket, about; a task holds one bucket's aligned stretches (few times that) and spills what else doesn't fit.
+BUCKET_BYTES = 48 << 20
 #: Pairs whose counts are broadcast (16 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 #: A space that both tokenizers cut at: the patterns of A attach it to what follows, and no piece of B has a space after another character.
 BOUNDARY = r"(?<=[\x21-\x7E\p{L}\p{N}]) (?=[\x21-\x7E\p{L}\p{N}])"
+#: Some of these characters; stretches that begin and end with them can be encoded in one call.
+_PRINTING = r"[!-~\u00c0-\u024f]"
 _SPACE = "▁"
 
 
@@ -52,11 +55,16 @@ class Encoder:
         self._a.encode_special_tokens = True
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         at = byte_of_character()
-        self.a_bytes = {i: bytes(at[c] for c in token) for token, i in self._a.get_vocab(with_added_tokens=False).items() if all(c in at for c in token)}
-        self.b_bytes = {i: self._piece(self._b.id_to_piece(i)) for i in range(self._b.get_piece_size())}
-        pieces = (self._b.id_to_piece(i) for i in range(self._b.get_piece_size()))
+        vocabulary = self._a.get_vocab(with_added_tokens=False)
+        a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            a_bytes[i] = bytes(at[c] for c in token) if all(c in at for c in token) else b""
+        pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         if any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in pieces):
             raise ValueError("pieces with inner spaces: stretches can't be aligned by themselves")
+        self._sides = [(encode, parts, np.array([len(x) for x in parts], np.int64)) for encode, parts in ((self._a_ids, a_bytes), (self._b_ids, [self._piece(p) for p in pieces]))]
+        self._inner = re.compile(_PRINTING + r"$")
+        self._first = re.compile(_PRINTING)
 
     @staticmethod
     def _piece(piece: str) -> bytes:
@@ -64,94 +72,148 @@ class Encoder:
             return bytes([int(piece[3:5], 16)])
         return piece.replace(_SPACE, " ").encode()
 
-    def __call__(self, stretches: list[str]) -> Iterator[tuple[list[int] | None, list[int] | None, list[int] | None, list[int] | None]]:
-        """Ids and lengths of A, then of B; all None where joined bytes differ from space and stretch."""
-        found = zip(stretches, self._a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False), self._b.encode(stretches, num_threads=1))
-        for text, a, b in found:
-            own = b" " + text.encode("utf-8", "surrogatepass")
-            a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a.ids], [self.b_bytes[i] for i in b]
-            if b"".join(a_parts) == own == b"".join(b_parts) and all(a_parts) and all(b_parts):
-                yield a.ids, [len(x) for x in a_parts], b, [len(x) for x in b_parts]
-            else:
-                yield None, None, None, None
+    def _a_ids(self, text: str) -> list[int]:
+        return self._a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+
+    def _b_ids(self, text: str) -> list[int]:
+        return self._b.encode(text, num_threads=1)
+
+    def _whole(self, text: str, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None:
+        """For A and B the ids of a text with a space before it, their lengths, and how many ids end at or before each of ends; None where a tokenizer changes the text."""
+        own, out = b" " + text.encode("utf-8", "surrogatepass"), []
+        for encode, parts, sizes in self._sides:
+            ids = np.array(encode(text), np.int32)
+            size = sizes[ids]
+            if not len(ids) or size.min() == 0 or b"".join([parts[i] for i in ids.tolist()]) != own:
+                return None
+            at = np.cumsum(size)
+            upto = np.searchsorted(at, ends, "right")
+            if not np.array_equal(at[upto - 1], ends):  # a token spans two stretches: can't be, as both tokenizers cut there
+                return None
+            out.append((ids, size, upto))
+        return out
+
+    def __call__(self, stretches: list[str]) -> tuple[np.ndarray, ...]:
+        """Place of the stretch, is_a, id and length of all tokens, in the order of stretches, A's before B's; none where joined bytes differ from space and stretch.
+
+        Stretches that begin and end with printing characters are encoded together, parted by spaces, and by themselves where that fails.
+        """
+        together = [i for i, s in enumerate(stretches) if self._first.match(s) and self._inner.search(s)]
+        blocks = [together] if together else []
+        single = sorted({*range(len(stretches))} - {*together})
+        rows: list[tuple[np.ndarray, ...]] = []
+        while blocks or single:
+            block = blocks.pop() if blocks else [single.pop()]
+            found = self._whole(" ".join([stretches[i] for i in block]), np.cumsum([1 + len(stretches[i].encode("utf-8", "surrogatepass")) for i in block]))
+            if found is None:
+                single += block if len(block) > 1 else []
+                continue
+            for is_a, (ids, size, upto) in zip((True, False), found):
+                rows.append((np.repeat(np.array(block), np.diff(upto, prepend=0)), np.full(len(ids), is_a), ids, size.astype(np.int32)))
+        if not rows:
+            return np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int32), np.empty(0, np.int32)
+        place, is_a, ids, size = (np.concatenate(x) for x in zip(*rows))
+        order = np.argsort(2 * place + ~is_a, kind="stable")
+        return place[order], is_a[order], ids[order], size[order]
 
 
 _of_worker: dict[tuple[str, str], Encoder] = {}
 
 
 def _tokens(a_file: str, b_file: str):
-    @F.pandas_udf("a array<int>, a_size array<int>, b array<int>, b_size array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """A column of texts as structs of is_a, id and size, A's tokens before B's; none where a tokenizer changes the text."""
+
+    @F.arrow_udf("array<struct<is_a:boolean,id:int,size:int>>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _of_worker.get((a_file, b_file)) or _of_worker.setdefault((a_file, b_file), Encoder(a_file, b_file))
         for some in batches:
-            yield pd.DataFrame(encoder(some.tolist()), columns=["a", "a_size", "b", "b_size"])
+            place, is_a, ids, size = encoder(some.to_pylist())
+            counts = np.bincount(place, minlength=len(some))
+            offsets = pa.array([0, *np.cumsum(counts).tolist()], pa.int32())
+            yield pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(is_a), pa.array(ids), pa.array(size)], ["is_a", "id", "size"]))
 
-    return encoded
+    return encoded.asNondeterministic()  # so that it isn't moved to where stretches still repeat
 
 
-def align(units: DataFrame, keys: list[str], a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
+def align(units: DataFrame, keys: list[str], a_file: str = A_FILE, b_file: str = B_FILE, partitions: int | None = None) -> DataFrame:
     """Aligns each unit's tokens: keys, n_a, n_b, n_groups, groups (strings in order) and links; units without tokens have no row.
 
-    units: keys and text, which isn't empty and whose space before is left out. A partitioning by some of the keys serves all steps.
+    units: keys and text, which isn't empty and whose space before is left out. With partitions, tokens are dealt to as many by the last key, and stay there.
     links: pairs of ids as a * 2^32 + b, each once in a group, with their number of occurrences there.
     """
-    tokens = units.select(*keys, _tokens(a_file, b_file)("text").alias("t")).where("t.a IS NOT NULL")
-    sides = [F.arrays_zip(F.array_repeat(F.lit(x == "a"), F.size(f"t.{x}")), f"t.{x}", f"t.{x}_size") for x in ("a", "b")]
-    rows = tokens.select(*keys, F.posexplode(F.concat(*(s.cast("array<struct<is_a:boolean,id:int,size:int>>") for s in sides))).alias("pos", "t")).select(*keys, "pos", "t.*")
-    along = Window.partitionBy(*keys, "is_a").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = rows.select(*keys, "is_a", "id", F.sum("size").over(along).cast("int").alias("end"))
+    tokens = units.select(*keys, _tokens(a_file, b_file)("text").alias("t"))
+    if partitions:  # Spark doesn't know that tokens lie as their texts do
+        tokens = tokens.repartition(partitions, keys[-1])
+    # A number that sorts faster than a text; it need only tell units of one task apart.
+    tokens = tokens.select(F.monotonically_increasing_id().alias("unit"), *keys, "t")
+    unit = ["unit", *keys]
+    rows = tokens.select(*unit, F.posexplode("t").alias("pos", "t")).select(*unit, "pos", "t.*")
+    along = Window.partitionBy(*unit, "is_a").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.select(*unit, "is_a", "id", F.sum("size").over(along).cast("int").alias("end"))
     # The equality of unit and end as a grouping: a side has each end once, so that a row is an end of A, of B, or of both.
-    met = ends.groupBy(*keys, "end").agg(F.max(F.when(F.col("is_a"), F.col("id"))).alias("a"), F.max(F.when(~F.col("is_a"), F.col("id"))).alias("b"))
+    met = ends.groupBy(*unit, "end").agg(F.max(F.when(F.col("is_a"), F.col("id"))).alias("a"), F.max(F.when(~F.col("is_a"), F.col("id"))).alias("b"))
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    before = Window.partitionBy(*keys).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    grouped = met.select(*keys, "end", "a", "b", F.coalesce(F.sum(cut).over(before), F.lit(0)).cast("int").alias("gid"))
+    before = Window.partitionBy(*unit).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = met.select(*unit, "end", "a", "b", F.coalesce(F.sum(cut).over(before), F.lit(0)).cast("int").alias("gid"), cut.alias("cut"))
+    held = grouped.groupBy(*unit).agg(
+        F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.sum("cut").alias("n_groups"), F.sort_array(F.collect_list(F.struct("end", "gid", "a", "b"))).alias("ends")
+    )
 
-    def ids(side: str) -> Column:
-        in_order = F.sort_array(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))
-        return F.transform(in_order, lambda x: x[side]).alias(side)
+    def of(side: str, gid: Column) -> Column:
+        return F.transform(F.filter("ends", lambda r: (r["gid"] == gid) & r[side].isNotNull()), lambda r: r[side])
 
-    groups = grouped.groupBy(*keys, "gid").agg(ids("a"), ids("b"))
+    gids = F.sequence(F.lit(0), (F.col("n_groups") - 1).cast("int"))
+    groups = held.select(*keys, "n_a", "n_b", "n_groups", F.transform(gids, lambda g: F.struct(of("a", g).alias("a"), of("b", g).alias("b"))).alias("groups"))
 
-    def decimal(side: str) -> Column:
-        return F.array_join(F.transform(side, lambda x: x.cast("string")), ",")
+    def decimal(ids: Column) -> Column:
+        return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
 
     def link(x: Column, y: Column, n: Column) -> Column:
         return F.struct((F.shiftleft(x.cast("long"), 32) + y).alias("pair"), n.cast("long").alias("n"))
 
-    def times(side: str, one: Column) -> Column:
-        return F.size(F.filter(side, lambda y: y == one)).cast("long")
+    def times(ids: Column, one: Column) -> Column:
+        return F.size(F.filter(ids, lambda y: y == one)).cast("long")
 
-    several = F.flatten(F.transform(F.array_distinct("a"), lambda x: F.transform(F.array_distinct("b"), lambda y: link(x, y, times("a", x) * times("b", y)))))
-    single = F.array(link(F.col("a")[0], F.col("b")[0], F.lit(1)))
-    one_each = (F.size("a") == 1) & (F.size("b") == 1)
-    linked = groups.select(
-        *keys, "gid", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(decimal("a"), F.lit("|"), decimal("b")).alias("ids"), F.when(one_each, single).otherwise(several).alias("links")
-    )
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("gid", "ids"))), lambda g: g["ids"]), ";")
-    return linked.groupBy(*keys).agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), joined.alias("groups"), F.flatten(F.collect_list("links")).alias("links")
-    )
+    def pairs(g: Column) -> Column:
+        several = F.flatten(F.transform(F.array_distinct(g["a"]), lambda x: F.transform(F.array_distinct(g["b"]), lambda y: link(x, y, times(g["a"], x) * times(g["b"], y)))))
+        return F.when((F.size(g["a"]) == 1) & (F.size(g["b"]) == 1), F.array(link(g["a"][0], g["b"][0], F.lit(1)))).otherwise(several)
+
+    texts = F.array_join(F.transform("groups", lambda g: F.concat(decimal(g["a"]), F.lit("|"), decimal(g["b"]))), ";")
+    return groups.select(*keys, "n_a", "n_b", "n_groups", texts.alias("groups"), F.flatten(F.transform("groups", pairs)).alias("links"))
+
+
+def spread(spark: SparkSession, n: int, most: int = 4_096) -> list[int] | None:
+    """n numbers that Spark's hash deals to n different partitions; None for many partitions, where even loads matter less than the list."""
+    if n > most:
+        return None
+    labels: dict[int, int] = {}
+    for r in spark.range(40 * n).select(F.col("id").cast("int").alias("label")).select("label", F.expr(f"pmod(hash(label), {n})").alias("at")).collect():  # at most 40 * most
+        labels.setdefault(r["at"], r["label"])
+    return [labels[k] for k in range(n)] if len(labels) == n else None
 
 
-def document_groups(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+def document_groups(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """For every row of docs: row (a number of its own), doc_id, n_a, n_b, n_groups, groups_sha256 and links (pair, n), as a written table.
 
     Null and empty texts, and texts that a tokenizer changes, have zeros, '' and no links. Rows are told apart by their numbers,
     so that repeated rows and null doc_ids are documents of their own.
     """
     spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
-    buckets = max(1, -(-docs.count() // bucket_docs))
-    # One column, so that both uses below read the same shuffle.
+    buckets = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
+    # One column, and explosions that infer no filters, so that both uses below read the same shuffle.
     whole = F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), text)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(buckets)).cast("int").alias("bucket"), whole.alias("whole")).repartition(buckets, "bucket")
+    bucket, labels = F.pmod(F.xxhash64("doc_id", text), F.lit(buckets)).cast("int"), spread(spark, buckets)
+    if labels:
+        bucket = F.element_at(F.array(*map(F.lit, labels)), bucket + 1)
+    dealt = docs.select(bucket.alias("bucket"), whole.alias("whole")).repartition(buckets, "bucket")
     stretches = F.split(F.expr("substring(whole, locate(':', whole) + 1)"), BOUNDARY)
-    units = dealt.select("bucket", F.explode(stretches).alias("text")).where("text != ''").distinct()
-    aligned = align(units, ["text", "bucket"], a_file, b_file)
+    units = dealt.select("bucket", F.explode_outer(stretches).alias("text")).where("text != ''").distinct()
+    aligned = align(units, ["text", "bucket"], a_file, b_file, buckets)
     doc_id = F.expr("cast(nullif(substring_index(whole, ':', 1), '') AS long)")
     numbered = dealt.select("bucket", "whole", F.monotonically_increasing_id().alias("row"))
-    parts = numbered.select("bucket", "row", doc_id.alias("doc_id"), F.posexplode(stretches).alias("pos", "text"))
+    parts = numbered.select("bucket", "row", doc_id.alias("doc_id"), F.posexplode_outer(stretches).alias("pos", "text"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "groups"))), lambda g: g["groups"]), ";")
-    found = parts.join(aligned, ["text", "bucket"], "left").groupBy("row", "bucket").agg(
+    found = parts.join(aligned.hint("shuffle_hash"), ["text", "bucket"], "left").groupBy("row", "bucket").agg(
         F.max("doc_id").alias("doc_id"), F.max(F.col("n_a").isNull()).alias("none"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum("n_groups").alias("n_groups"),
         joined.alias("groups"), F.flatten(F.collect_list("links")).alias("links"),
     )
@@ -159,13 +221,16 @@ def document_groups(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE,
     counts = [F.when(F.col("none"), zero).otherwise(F.col(x)).alias(x) for x in ("n_a", "n_b", "n_groups")]
     digest = F.when(F.col("none"), F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256")
     found = found.select("row", "doc_id", *counts, digest, F.when(F.col("none"), F.slice("links", 1, 0)).otherwise(F.col("links")).alias("links"))
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")  # stretches and documents of a bucket are joined where they lie
+    # Stretches and documents of a bucket are joined where they lie, and groups are made from the order that windows leave.
+    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         return support.materialise(found, "aligned", "zstd")
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -177,13 +242,13 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return support.materialise(counts.select("*", a_id).join(most, "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "counted")
 
 
-def links(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, bucket_docs: int = BUCKET_DOCS, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+def links(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, bucket_bytes: int = BUCKET_BYTES, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of docs (doc_id, text; further columns are left out).
 
     n_links are all pairs of occurrences in a common group, n_best those of them whose pair of ids is in as many documents as any of its A
     id, count_sum the sum of these numbers of documents. Of an empty table nothing comes back.
     """
-    found = document_groups(docs, a_file, b_file, bucket_docs)
+    found = document_groups(docs, a_file, b_file, bucket_bytes)
     counts = pair_counts(found)
     each = found.select("row", F.inline("links"))
     if counts.count() <= broadcast_pairs:

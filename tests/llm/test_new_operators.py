@@ -79,7 +79,7 @@ def test_alignment_equals_brute_force_on_odd_texts(spark):
     expected = brute_alignment([r[:2] for r in rows])
     assert plain(alignment.links(frame)) == expected
     # many buckets, and counts joined by a shuffle
-    assert plain(alignment.links(frame, bucket_docs=3, broadcast_pairs=0)) == expected
+    assert plain(alignment.links(frame, bucket_bytes=3000, broadcast_pairs=0)) == expected
     assert alignment.links(frame.limit(0)).count() == 0
 
 

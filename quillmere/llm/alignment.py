@@ -121,16 +121,16 @@ _of_worker: dict[tuple[str, str], Encoder] = {}
 
 
 def _tokens(a_file: str, b_file: str):
-    """A column of texts as structs of is_a, id and size, A's tokens before B's; none where a tokenizer changes the text."""
+    """A column of texts as tokens, A's before B's; none where a tokenizer changes the text. A token is one number: size * 2^32 + id * 2 + (1 for A)."""
 
-    @F.arrow_udf("array<struct<is_a:boolean,id:int,size:int>>")
+    @F.arrow_udf("array<long>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _of_worker.get((a_file, b_file)) or _of_worker.setdefault((a_file, b_file), Encoder(a_file, b_file))
         for some in batches:
             place, is_a, ids, size = encoder(some.to_pylist())
             counts = np.bincount(place, minlength=len(some))
             offsets = pa.array([0, *np.cumsum(counts).tolist()], pa.int32())
-            yield pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(is_a), pa.array(ids), pa.array(size)], ["is_a", "id", "size"]))
+            yield pa.ListArray.from_arrays(offsets, pa.array((size.astype(np.int64) << 32) + (ids.astype(np.int64) << 1) + is_a))
 
     return encoded.asNondeterministic()  # so that it isn't moved to where stretches still repeat
 
@@ -147,7 +147,8 @@ def align(units: DataFrame, keys: list[str], a_file: str = A_FILE, b_file: str =
     # A number that sorts faster than a text; it need only tell units of one task apart.
     tokens = tokens.select(F.monotonically_increasing_id().alias("unit"), *keys, "t")
     unit = ["unit", *keys]
-    rows = tokens.select(*unit, F.posexplode("t").alias("pos", "t")).select(*unit, "pos", "t.*")
+    rows = tokens.select(*unit, F.posexplode("t").alias("pos", "t"))
+    rows = rows.select(*unit, "pos", (F.col("t") % 2 == 1).alias("is_a"), (F.shiftright("t", 1) % (1 << 31)).cast("int").alias("id"), F.shiftright("t", 32).cast("int").alias("size"))
     along = Window.partitionBy(*unit, "is_a").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.select(*unit, "is_a", "id", F.sum("size").over(along).cast("int").alias("end"))
     # The equality of unit and end as a grouping: a side has each end once, so that a row is an end of A, of B, or of both.

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.operators import mail
+from quillmere.operators import chat, mail
 from quillmere.plans.registry import query
 from quillmere.sources import queue, staging, tables, vectors
 
@@ -86,3 +86,40 @@ def vectors_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = vectors.sent(points, lambda: vectors.TableSink(at, 1, lambda c: "busy" if int(c) % 97 == 0 else None))
     vectors.sent(points.join(first.where("error IS NOT NULL").select("chunk_id"), "chunk_id"), lambda: vectors.TableSink(at, 2))
     return vectors.contents(spark, at).select(F.col("chunk_id").cast("long").alias("vec_id"), "version", F.round(F.element_at("vector", 1), 6).alias("first"))
+
+
+_CHANGES = """ch AS (SELECT 'c' AS connection_id, 'ch' || user_id % 7 AS channel_id, 'n' || event_id % 4 AS channel_name, (event_id // 3) || '.000100' AS message_ts,
+  CASE WHEN (event_id // 3) % 4 > 0 THEN ((event_id // 3) - (event_id // 3) % 4) || '.000100' END AS thread_ts, 'u' || user_id % 50 AS author_id, event_type || ' ' || event_id AS text, event_id AS seq FROM events
+  WHERE event_type <> 'signup' AND event_id % 13 > 0),
+fo AS (SELECT *, min(event) OVER w AS first, max(event) OVER w AS last FROM (SELECT *, seq AS event FROM ch) WINDOW w AS (PARTITION BY connection_id, channel_id, message_ts))"""
+
+
+def _chat_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes of chat messages: three with neighbouring ids are one message, if they are in one channel; four messages make a thread."""
+    event, number = F.col("event_id"), F.expr("event_id div 3")
+    ts = lambda n: F.concat(n.cast("string"), F.lit(".000100"))
+    rows = tables.table(spark, sf_dir, "events").select(
+        F.lit("c").alias("connection_id"), F.concat(F.lit("ch"), F.col("user_id") % 7).alias("channel_id"), F.concat(F.lit("n"), event % 4).alias("channel_name"), ts(number).alias("ts"),
+        F.when(number % 4 > 0, ts(number - number % 4)).alias("thread_ts"), F.concat(F.lit("u"), F.col("user_id") % 50).alias("user"), F.concat_ws(" ", "event_type", event).alias("text"),
+        F.when(F.col("event_type") == "signup", "channel_join").alias("subtype"), F.when(event % 13 == 0, "B").alias("bot_id"), event.alias("seq"),
+    )
+    return chat.changes(rows)
+
+
+@query(
+    f"""WITH {_CHANGES}
+SELECT channel_id, message_ts, max(thread_ts) FILTER (WHERE event = first) AS thread_ts, max(author_id) FILTER (WHERE event = first) AS author_id, max(text) FILTER (WHERE event = last) AS text,
+  max(author_id) FILTER (WHERE event = last) AS author_name, max(channel_name) FILTER (WHERE event = last) AS channel_name, min(event) < max(event) AS edited FROM fo GROUP BY channel_id, message_ts"""
+)
+def chat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as their changes leave them: thread and author of the first, text and names of the last."""
+    return chat.folded(_chat_changes(spark, sf_dir)).select("channel_id", "message_ts", "thread_ts", "author_id", "text", "author_name", "channel_name", "edited")
+
+
+@query(
+    f"""WITH {_CHANGES}, m AS (SELECT channel_id, message_ts, coalesce(max(thread_ts) FILTER (WHERE event = first), message_ts) AS thread, max(author_id || ': ' || text) FILTER (WHERE event = last) AS line FROM fo GROUP BY channel_id, message_ts)
+SELECT channel_id, thread, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY CAST(message_ts AS DECIMAL(20, 6)))) AS document FROM m GROUP BY channel_id, thread"""
+)
+def chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads as documents: replies after their question, all as last edited."""
+    return chat.threads(chat.folded(_chat_changes(spark, sf_dir))).select("channel_id", "thread", "n", F.md5("document").alias("document"))

@@ -26,7 +26,7 @@ A_FILE = public_tokenizers.path("byte_bpe_50k.json")
 B_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Bytes of text of one bucket, about; a task holds one bucket's aligned stretches (few times that) and spills what else doesn't fit.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 12 << 20
 #: Pairs whose counts are broadcast (16 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 #: A space that both tokenizers cut at: the patterns of A attach it to what follows, and no piece of B has a space after another character.

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.operators import chat, mail
+from quillmere.operators import chat, mail, markdown
 from quillmere.plans.registry import query
 from quillmere.sources import queue, staging, tables, vectors
 
@@ -123,3 +123,24 @@ SELECT channel_id, thread, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY
 def chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads as documents: replies after their question, all as last edited."""
     return chat.threads(chat.folded(_chat_changes(spark, sf_dir))).select("channel_id", "thread", "n", F.md5("document").alias("document"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, 'heading,paragraph,list,table,quote,rule,code' AS kinds, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS paragraph, lang AS heading, source || ',second' AS items, doc_id || '|' || length(text) AS cells, 'py:# none' AS code,
+  'bold:' || source || ',text: by ,mention:@' || lang AS spans FROM d WHERE trim(text) <> ''"""
+)
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as answers: each whole text is a paragraph among blocks of all kinds, whose parts come back; and a line's inline spans."""
+    text = F.coalesce("text", F.lit(""))
+    answer = F.concat(
+        F.lit("## "), "lang", F.lit("\n\n"), text, F.lit("\n\n- "), "source", F.lit("\n- second\n\n| id | size |\n|---|:--|\n| "), "doc_id", F.lit(" | "), F.length(text), F.lit(" |\n\n> said\n\n---\n\n```py\n# none```\n"),
+    )
+    docs = tables.table(spark, sf_dir, "documents").where(F.trim(text) != "")
+    line = F.concat(F.lit("**"), "source", F.lit("** by @"), "lang")
+    found = docs.select("doc_id", markdown.blocks(answer).alias("b"), markdown.spans(line).alias("s"))
+    one = lambda kind: F.filter("b", lambda x: x["type"] == kind)[0]
+    return found.select(
+        "doc_id", F.array_join(F.transform("b", lambda x: x["type"]), ",").alias("kinds"), F.md5(one("paragraph")["text"]).alias("paragraph"), one("heading")["text"].alias("heading"), F.array_join(one("list")["items"], ",").alias("items"),
+        F.array_join(one("table")["rows"][0], "|").alias("cells"), F.concat_ws(":", one("code")["language"], one("code")["code"]).alias("code"), F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["type"], x["text"])), ",").alias("spans"),
+    )

@@ -26,7 +26,7 @@ A_FILE = public_tokenizers.path("byte_bpe_50k.json")
 B_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Bytes of text of one bucket, about; a task holds one bucket's aligned stretches (few times that) and spills what else doesn't fit.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 32 << 20
 #: Pairs whose counts are broadcast (16 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 #: A space that both tokenizers cut at: the patterns of A attach it to what follows, and no piece of B has a space after another character.
@@ -212,7 +212,9 @@ def document_groups(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE,
     aligned = align(units, ["text", "bucket"], a_file, b_file, buckets)
     doc_id = F.expr("cast(nullif(substring_index(whole, ':', 1), '') AS long)")
     numbered = dealt.select("bucket", "whole", F.monotonically_increasing_id().alias("row"))
-    parts = numbered.select("bucket", "row", doc_id.alias("doc_id"), F.posexplode_outer(stretches).alias("pos", "text"))
+    parts = numbered.select("bucket", "row", doc_id.alias("doc_id"), F.posexplode_outer(stretches).alias("at", "text"))
+    # Numbered by a window, whose order the join keeps: so narrow rows are sorted and not those with aligned stretches.
+    parts = parts.select("bucket", "row", "doc_id", "text", F.row_number().over(Window.partitionBy("row", "bucket").orderBy("at")).alias("pos"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "groups"))), lambda g: g["groups"]), ";")
     found = parts.join(aligned.hint("shuffle_hash"), ["text", "bucket"], "left").groupBy("row", "bucket").agg(
         F.max("doc_id").alias("doc_id"), F.max(F.col("n_a").isNull()).alias("none"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum("n_groups").alias("n_groups"),

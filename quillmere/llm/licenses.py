@@ -21,7 +21,9 @@ from quillmere.llm.license_texts import TEMPLATES
 TERM = "[a-z0-9]+"
 #: Marks that begin lines of comments, and what parts paragraphs.
 MARKS, BLANK = r"(?m)^[ \t]*(?://+|#+|/?\*+/?|--+|;+|%+|<!--)[ \t]*", r"\n[ \t\r]*\n"
-HEADER_COSINE, FILE_COSINE = 0.8, 0.45
+HEADER_COSINE, FILE_COSINE = 0.8, 0.8
+#: A whole text this near to a template is that text, whatever notices stand in it.
+VERBATIM = 0.995
 
 
 def _terms(text: Column) -> Column:
@@ -33,9 +35,9 @@ def scan(files: DataFrame) -> DataFrame:
 
     files: file_id, path (directories separated by /) and text; more columns are ignored. own_license is that of the template which one of the
     file's lines or paragraphs is most like, with a cosine of HEADER_COSINE or more; ties go to the smaller name. A file whose whole text is like a
-    licence's whole text by FILE_COSINE, or like another template by HEADER_COSINE, is a licence file of its directory; of several the best counts, then
-    the smallest name. license is the
-    own one, else that of the nearest directory from the file's own upwards, whose path is in inherited_from; else null.
+    template by FILE_COSINE is a licence file of its directory. Where its text is the template's, by VERBATIM, that is its licence and its own one; else a notice in it
+    goes before what the whole text is most like, as licences share most of their wording. Of a directory's several licence files the one with the best score counts, then
+    the smallest name. license is the own one, else that of the nearest directory from the file's own upwards, whose path is in inherited_from; else null.
 
     Null and empty texts have no licence of their own; a null path is in the top directory, which has the empty path. Rows
     that share a file_id are one file with the better of their scores, in each of the rows; each counts as a file for the weights.
@@ -59,10 +61,17 @@ def scan(files: DataFrame) -> DataFrame:
     has = lambda terms: F.arrays_overlap(_terms(F.col("unit")), F.array(*map(F.lit, terms)))
     headers = _cosines(units.where(has(for_header)), templates, df, total)
     own = headers.where(F.col("score") >= HEADER_COSINE).groupBy("file_id").agg(_best("license", "score").alias("b"))
-    own = own.select("file_id", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score"))
+    own = support.materialise(own.select("file_id", F.col("b.license").alias("own_license"), F.col("b.score").alias("own_score")), "notices")
     whole = marked.select("file_id", "dir", F.col("text").alias("unit")).distinct().where(has(for_file))
-    file_like = support.materialise(_cosines(whole, templates, df, total).where("score >= least"), "licence-files")
+    likest = _cosines(whole, templates, df, total).where("score >= least").groupBy("file_id", "dir").agg(_best("license", "score").alias("b"))
+    verbatim = F.col("b.score") >= VERBATIM
+    file_like = likest.join(own, "file_id", "left").select(
+        "file_id", "dir", F.col("b.score").alias("score"), F.when(verbatim, F.col("b.license")).otherwise(F.coalesce("own_license", "b.license")).alias("license"), verbatim.alias("verbatim")
+    )
+    file_like = support.materialise(file_like, "licence-files")
     by_dir = support.materialise(file_like.groupBy("dir").agg(_best("license", "score").alias("b")).select(F.col("dir").alias("above"), F.col("b.license").alias("dir_license")), "directories")
+    texts = file_like.where("verbatim").groupBy("file_id").agg(_best("license", "score").alias("t"))
+    own = own.join(texts, "file_id", "full").select("file_id", F.coalesce("t.license", "own_license").alias("own_license"), F.coalesce("t.score", "own_score").alias("own_score"))
 
     # Each directory joins the directories above it on their paths; the deepest with a licence file is the nearest.
     places = support.materialise(base.groupBy("dir").agg(F.count("*").alias("n")), "places")

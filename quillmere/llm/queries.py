@@ -110,11 +110,17 @@ w AS (SELECT tf.*, tf * (ln((1.0 + total) / (1 + coalesce(df, 0))) + 1) AS w FRO
 norm AS (SELECT doc_id, part, unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
 dot AS (SELECT doc_id, dir, part, unit, template, license, least, sum(w.w * s.w) AS dot FROM w JOIN s USING (term) GROUP BY ALL),
 cosine AS (SELECT doc_id, dir, part, license, least, round(dot / norm, 6) AS score FROM dot JOIN norm USING (doc_id, part, unit)),
-own AS (
+notice AS (
   SELECT doc_id, license AS own_license, score AS own_score FROM cosine WHERE part = 'unit' AND score >= {licenses.HEADER_COSINE}
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
 ),
-file_like AS (SELECT * FROM cosine WHERE part = 'whole' AND score >= least),
+likest AS (
+  SELECT doc_id, dir, license, score FROM cosine WHERE part = 'whole' AND score >= least
+  QUALIFY row_number() OVER (PARTITION BY doc_id, dir ORDER BY score DESC, license) = 1
+),
+file_like AS (SELECT doc_id, dir, score, CASE WHEN score >= {licenses.VERBATIM} THEN license ELSE coalesce(own_license, license) END AS license FROM likest LEFT JOIN notice USING (doc_id)),
+verbatim AS (SELECT doc_id, license, score FROM likest WHERE score >= {licenses.VERBATIM} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+own AS (SELECT doc_id, coalesce(license, own_license) AS own_license, coalesce(score, own_score) AS own_score FROM notice FULL JOIN verbatim USING (doc_id)),
 by_dir AS (SELECT dir AS above, license AS dir_license FROM file_like QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
 dirs AS (SELECT DISTINCT dir FROM files),
 near AS (

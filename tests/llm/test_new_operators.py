@@ -181,3 +181,32 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(names) == columns
     expected = sorted((tuple(r[names.index(c)] for c in columns) for r in found.fetchall()), key=str)
     assert sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=str) == expected
+
+
+# --- whole licence texts ----------------------------------------------------------------------------------------
+
+
+def whole_texts():
+    from importlib import resources
+
+    return {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in (resources.files("quillmere.llm") / "license_data").iterdir()}
+
+
+@pytest.mark.parametrize("size", [100, 2000])
+def test_files_inherit_the_right_licence_from_complete_texts(spark, size):
+    """Each standard text as X/LICENSE beside a file without a notice, among few and among many other files; some with a copyright line before, as people put them."""
+    from quillmere.llm import licenses
+
+    files = []
+    for name, text in sorted(whole_texts().items()):
+        files += [(f"{name}/LICENSE", text), (f"{name}/src/x.c", "int main() { return 0; }"), (f"{name}-owned/LICENSE", "Copyright (c) 2024 Somebody\n\n" + text), (f"{name}-owned/x.c", "int y;")]
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. */\nint x;"
+    files += [("GPL-3.0/other.c", mpl), ("plain/readme", "nothing of the kind"), (None, None), ("plain/empty", "")]
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(size).collect()]
+    files += [(f"docs/{i}", t) for i, t in enumerate(docs)]
+    frame = spark.createDataFrame([(i, p, t, "clash") for i, (p, t) in enumerate(files)], "file_id long, path string, text string, license string")
+    found = {r.path: r for r in licenses.scan(frame).collect()}
+    wrong = [(n, found[f"{n}/src/x.c"].license, found[f"{n}/LICENSE"].own_license, found[f"{n}-owned/x.c"].license) for n in whole_texts()
+             if not found[f"{n}/src/x.c"].license == found[f"{n}/LICENSE"].own_license == found[f"{n}-owned/x.c"].license == n]
+    assert wrong == []
+    assert found["GPL-3.0/src/x.c"].inherited_from == "GPL-3.0" and found["GPL-3.0/other.c"].license == "MPL-2.0" and found["plain/readme"].license is found["plain/empty"].license is None

@@ -26,7 +26,7 @@ A_FILE = public_tokenizers.path("byte_bpe_50k.json")
 B_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Bytes of text of one bucket, about; a task holds one bucket's aligned stretches (few times that) and spills what else doesn't fit.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 10 << 20
 #: Pairs whose counts are broadcast (16 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 #: A space that both tokenizers cut at: the patterns of A attach it to what follows, and no piece of B has a space after another character.
@@ -63,6 +63,8 @@ class Encoder:
         if any(re.search(f"[^{_SPACE}]{_SPACE}", p) for p in pieces):
             raise ValueError("pieces with inner spaces: stretches can't be aligned by themselves")
         self._sides = [(encode, parts, np.array([len(x) for x in parts], np.int64)) for encode, parts in ((self._a_ids, a_bytes), (self._b_ids, [self._piece(p) for p in pieces]))]
+        if any(len(sizes) > 1 << 17 or sizes.max() >= 1 << 13 for _, _, sizes in self._sides):
+            raise ValueError("a vocabulary beyond 2^17 tokens, or tokens of 8,192 bytes, don't fit the numbers that tokens are dealt as")
         self._inner = re.compile(_PRINTING + r"$")
         self._first = re.compile(_PRINTING)
 
@@ -121,16 +123,16 @@ _of_worker: dict[tuple[str, str], Encoder] = {}
 
 
 def _tokens(a_file: str, b_file: str):
-    """A column of texts as tokens, A's before B's; none where a tokenizer changes the text. A token is one number: size * 2^32 + id * 2 + (1 for A)."""
+    """A column of texts as tokens, A's before B's; none where a tokenizer changes the text. A token is one number: size * 2^18 + id * 2 + (1 for A)."""
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _of_worker.get((a_file, b_file)) or _of_worker.setdefault((a_file, b_file), Encoder(a_file, b_file))
         for some in batches:
             place, is_a, ids, size = encoder(some.to_pylist())
             counts = np.bincount(place, minlength=len(some))
             offsets = pa.array([0, *np.cumsum(counts).tolist()], pa.int32())
-            yield pa.ListArray.from_arrays(offsets, pa.array((size.astype(np.int64) << 32) + (ids.astype(np.int64) << 1) + is_a))
+            yield pa.ListArray.from_arrays(offsets, pa.array((size << 18) + (ids << 1) + is_a.astype(np.int32)))
 
     return encoded.asNondeterministic()  # so that it isn't moved to where stretches still repeat
 
@@ -148,9 +150,11 @@ def align(units: DataFrame, keys: list[str], a_file: str = A_FILE, b_file: str =
     tokens = tokens.select(F.monotonically_increasing_id().alias("unit"), *keys, "t")
     unit = ["unit", *keys]
     rows = tokens.select(*unit, F.posexplode("t").alias("pos", "t"))
-    rows = rows.select(*unit, "pos", (F.col("t") % 2 == 1).alias("is_a"), (F.shiftright("t", 1) % (1 << 31)).cast("int").alias("id"), F.shiftright("t", 32).cast("int").alias("size"))
-    along = Window.partitionBy(*unit, "is_a").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = rows.select(*unit, "is_a", "id", F.sum("size").over(along).cast("int").alias("end"))
+    # A's tokens come first and are as long together as the text with its space, and so are B's after them: one running sum gives the ends of both.
+    along = Window.partitionBy(*unit).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    is_a, length = F.col("t") % 2 == 1, F.octet_length("text") + 1
+    run = F.sum(F.shiftright("t", 18)).over(along).cast("int")
+    ends = rows.select(*unit, is_a.alias("is_a"), (F.shiftright("t", 1) % (1 << 17)).alias("id"), (run - F.when(is_a, 0).otherwise(length)).alias("end"))
     # The equality of unit and end as a grouping: a side has each end once, so that a row is an end of A, of B, or of both.
     met = ends.groupBy(*unit, "end").agg(F.max(F.when(F.col("is_a"), F.col("id"))).alias("a"), F.max(F.when(~F.col("is_a"), F.col("id"))).alias("b"))
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")

@@ -2,10 +2,10 @@
 
 A page's blocks of text are nodes. A classifier's costs of calling a block content or boilerplate are its terminal
 capacities; neighbours, and blocks near each other in the DOM, are joined by edges whose capacity it costs to part them.
-The maximum flow's cut is the cheapest labelling. The classifier is a logistic model of a block's own text, fitted on
-a bounded sample of the blocks that lie in elements which say what they are (article, nav, ...). What the elements around a block say is
-one more term of its cost. All terms are bounded so that a block's neighbours can outweigh what its own text and surroundings say,
-as where a paragraph of an article has a misleading class, or where a page has no telling elements at all.
+The maximum flow's cut is the cheapest labelling. The classifier is a logistic model of a block's own text and of what the elements around it
+say (article, nav, ...), fitted on a bounded sample of the blocks that lie in elements which say what they are. Each of these is learnt from twice, as it is and
+with what its elements say hidden, so that the model knows texts by themselves, for pages that have no telling elements. All terms are bounded so that a block's
+neighbours can outweigh what its own text and its own class say; blocks whose texts are unlike hold to each other less.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ SAMPLE_PAGES, SAMPLE_BLOCKS = 1_000, 40_000
 LANDMARK, OWN_CLASS, TEXT = 4.0, 1.5, 2.0
 #: Capacities between neighbours in one element (less the farther they are in the DOM), and between the next blocks of one element.
 ADJACENT, NEAR = 2.5, 0.5
-#: How much of an edge's capacity is left between blocks whose surroundings speak against each other.
-OPPOSED = 0.25
+#: How much of an edge's capacity is left between blocks whose surroundings speak against each other, and between texts that are quite unlike.
+OPPOSED, UNLIKE = 0.25, 0.1
+#: How strongly weights are held to DEFAULT, for each row that they are fitted on.
+RIDGE = 0.01
 
 #: Kinds of HTML elements, and words in class and id that tell what an element is for.
 RAW = {"script", "style", "noscript", "template", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "option", "button", "title", "xmp"}
@@ -195,17 +197,19 @@ def features(block: Block) -> list[float]:
     ]
 
 
-#: Weights of the features and the bias, where a table has too few labelled blocks to fit them.
-DEFAULT = np.array([4.0, -4.0, 1.0, 1.0, -1.0, -0.5, 0.5, -1.0, -1.5])
+#: Weights of the features, the bias, and what surrounding elements say, where a table has too few labelled blocks to fit them.
+DEFAULT = np.array([4.0, -4.0, 1.0, 1.0, -1.0, -0.5, 0.5, -1.0, -1.5, LANDMARK])
 
 
 def fit(rows: list[list[float]], says: list[int]) -> np.ndarray:
-    """Weights and bias of a logistic model by damped Newton steps with a ridge towards DEFAULT."""
+    """DEFAULT's weights by damped Newton steps of a logistic model, with a ridge towards DEFAULT. Each row counts as it is and with says hidden."""
     y = np.array([s > 0 for s in says], float)
     if len(y) < 50 or y.min() == y.max():
         return DEFAULT
     x = np.column_stack([np.array(rows), np.ones(len(rows))])
-    w, ridge = DEFAULT.copy(), 1.0
+    x = np.vstack([np.column_stack([x, np.array(says, float)]), np.column_stack([x, np.zeros(len(x))])])
+    y = np.concatenate([y, y])
+    w, ridge = DEFAULT.copy(), max(1.0, RIDGE * len(y))
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + ridge * (w - DEFAULT)
@@ -304,17 +308,19 @@ def _reached(nodes: list[int], surplus: list[float], near: list[dict[int, float]
 def costs(blocks: list[Block], weights: np.ndarray) -> tuple[list[float], list[tuple[int, int, float]]]:
     """Each block's surplus, and the edges between blocks with their capacities; see cut()."""
     x = np.column_stack([np.array([features(b) for b in blocks]), np.ones(len(blocks))])
-    says = [b.element.says if not b.element.aside or b.element.tag in HEADINGS else min(b.element.says, -OWN_CLASS / LANDMARK) for b in blocks]
-    surplus = np.clip(x @ weights, -TEXT, TEXT) + LANDMARK * np.array(says)
+    says = [b.element.says if not b.element.aside or b.element.tag in HEADINGS else -1 for b in blocks]
+    surplus = np.clip(x @ weights[:-1], -TEXT, TEXT) + min(max(weights[-1], TEXT), LANDMARK) * np.array(says)
+    # By length, links and sentence marks: what a menu and a paragraph differ in.
+    unlike = lambda i, j: 1 - (1 - UNLIKE) * min(1.0, float(np.abs(x[i, :3] - x[j, :3]).sum()))
     edges = []
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         opposed = lambda j: OPPOSED if abs(says[i] - says[j]) > 1.5 else 1  # noqa: B023, E731
         if i:
-            edges.append((i - 1, i, ADJACENT / max(1, _distance(blocks[i - 1].element, b.element) - 1) * opposed(i - 1)))
+            edges.append((i - 1, i, ADJACENT / max(1, _distance(blocks[i - 1].element, b.element) - 1) * opposed(i - 1) * unlike(i, i - 1)))
         parent = id(b.element.parent)
         if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, NEAR * opposed(last[parent])))
+            edges.append((last[parent], i, NEAR * opposed(last[parent]) * unlike(i, last[parent])))
         last[parent] = i
     return surplus.tolist(), edges
 

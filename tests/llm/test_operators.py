@@ -392,6 +392,31 @@ def test_headers_of_articles_keep_headings_alone():
     assert html_extract.main_text(page) == f"Title of the story\n{LONG}\nx figure y"
 
 
+@pytest.fixture(scope="module")
+def trained(spark):
+    return html_extract.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def test_pages_of_plain_elements_by_trained_weights(spark, trained):
+    """Without any telling element the text alone decides, as trained with elements hidden; bylines in an article's header go, headings stay; extract() does the same."""
+    plain = page_of(f"<div>Home About</div><div>{LONG}</div><div>{LONG} More.</div><div>{LONG} Yet more.</div><div>Privacy | Terms</div>")
+    byline = page_of(f"<article><header><h1>Title of it</h1><p>By A. B., 3 May</p></header><p>{LONG}</p><p>Why so?</p><p>{LONG}</p></article>")
+    want = [f"{LONG}\n{LONG} More.\n{LONG} Yet more.", f"Title of it\n{LONG}\nWhy so?\n{LONG}"]
+    assert [html_extract.main_text(p, trained) for p in (plain, byline)] == want
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    more = spark.createDataFrame([(-1, "u", plain, "x"), (-2, "u", byline, "x"), (None, None, plain, "x")], "page_id long, url string, html string, text string")
+    found = html_extract.extract(pages.unionByName(more, allowMissingColumns=True)).where("page_id IS NULL OR page_id < 0").collect()
+    assert {(r.page_id, r.text) for r in found} == {(-1, want[0]), (-2, want[1]), (None, want[0])}
+
+
+def test_text_and_neighbours_outweigh_landmarks_of_a_class(trained):
+    """Paragraphs that a class calls promotion, in the midst of an article: the class speaks against them, and the cut keeps them."""
+    page = page_of(f"<article>{''.join(f'<p>{LONG}</p><p class=promo>{LONG}</p>' for _ in range(3))}<p>{LONG}</p></article>")
+    blocks = html_extract.blocks_of(page)
+    says, kept = [b.element.says for b in blocks], html_extract.labelled(blocks, trained)
+    assert sum(k != (s > 0) for k, s in zip(kept, says)) == 3 and all(kept)
+
+
 def test_whole_small_pages_equal_brute_force():
     """All labellings of a page's blocks by their costs: the text has one of the cheapest."""
     rng = random.Random(4)

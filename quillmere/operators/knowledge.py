@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmere.sources import staging
+
 #: Words that don't tell subjects apart.
 STOP_WORDS = "the a an and or of to in on for with is are was were be by at from that this it as".split()
 
@@ -29,22 +31,31 @@ def reconcile(candidates: DataFrame, known: DataFrame, subject: float = 0.6, sam
     """id, action, known_id: skip, update or create, by the first known block of the type with that subject.
 
     Both have id, type, title and body, known also recency (smaller is first). Two subjects are the same if they share a part of the smaller
-    one's words, so one of that one's rarest words is shared: only blocks that meet in such a word are compared, and words that
+    one's words, so one of that one's rarest words is shared: only titles that meet in such a word are compared, each once however many blocks have it, and words that
     many titles have bring few together. A candidate without title words can match nothing. Bodies are compared with the chosen block's alone.
     """
-    c = candidates.select("id", "type", subject_tokens(F.col("title")).alias("t"))
-    k = known.select(F.col("id").alias("known_id"), "type", "recency", subject_tokens(F.col("title")).alias("kt"))
-    new, old = c.select("id", "type", F.size("t").alias("n"), F.explode("t").alias("w")), k.select("known_id", "type", F.size("kt").alias("n"), F.explode("kt").alias("w"))
-    df = new.select("type", "w").unionByName(old.select("type", "w")).groupBy("type", "w").agg(F.count("*").alias("df"))
+    def titled(frame: DataFrame) -> DataFrame:
+        words = frame.withColumn("t", F.array_sort(subject_tokens(F.col("title"))))
+        return words.withColumn("title_key", F.unhex(F.sha2(F.concat_ws(" ", "type", F.array_join("t", " ")), 256)))
+
+    c = titled(candidates).select("id", "type", "title_key", "t")
+    # Titles of the same words are one, and of the known blocks that have it the first by recency stands for all.
+    new = c.groupBy("title_key").agg(F.first("type").alias("type"), F.first("t").alias("t"))
+    old = titled(known).groupBy("title_key").agg(F.first("type").alias("type"), F.first("t").alias("kt"), F.min(F.struct("recency", F.col("id").alias("known_id"))).alias("k")).withColumnRenamed("title_key", "known_key")
+    new, old = staging.written(new, "new-titles"), staging.written(old, "known-titles")
+    n_words = new.select("title_key", "type", F.size("t").alias("n"), F.explode("t").alias("w"))
+    o_words = old.select("known_key", "type", F.size("kt").alias("n"), F.explode("kt").alias("w"))
+    df = n_words.select("type", "w").unionByName(o_words.select("type", "w")).groupBy("type", "w").agg(F.count("*").alias("df"))
 
     def rare(words: DataFrame, key: str) -> DataFrame:
         """So many of a title's rarest words that no other title can share ``subject`` of its words without one of them."""
         place = F.row_number().over(Window.partitionBy(key).orderBy("df", "w"))
         return words.join(df, ["type", "w"]).withColumn("_p", place).where(F.col("_p") <= F.col("n") - F.ceil(F.lit(subject) * F.col("n")) + 1).select(key, "type", "w")
 
-    met = rare(new, "id").join(old, ["type", "w"]).select("id", "known_id").unionByName(rare(old, "known_id").join(new, ["type", "w"]).select("id", "known_id")).distinct()
-    matched = met.join(c, "id").join(k.drop("type"), "known_id").where(same_subject(F.col("t"), F.col("kt")) >= subject)
-    first = matched.groupBy("id").agg(F.min_by("known_id", F.struct("recency", "known_id")).alias("known_id"))
+    met = rare(n_words, "title_key").join(o_words, ["type", "w"]).select("title_key", "known_key").unionByName(rare(o_words, "known_key").join(n_words, ["type", "w"]).select("title_key", "known_key")).distinct()
+    matched = met.join(new.drop("type"), "title_key").join(old.drop("type"), "known_key").where(same_subject(F.col("t"), F.col("kt")) >= subject)
+    chosen = matched.groupBy("title_key").agg(F.min("k").alias("k")).select("title_key", "k.known_id")
+    first = c.select("id", "title_key").join(chosen, "title_key").select("id", "known_id")
     bodies = lambda frame, key, name: frame.select(F.col("id").alias(key), subject_tokens(F.col("body")).alias(name))
     first = first.join(bodies(candidates, "id", "b"), "id").join(bodies(known, "known_id", "kb"), "known_id")
     found = first.select("id", "known_id", F.when(jaccard(F.col("b"), F.col("kb")) >= same, "skip").otherwise("update").alias("action"))

@@ -258,3 +258,12 @@ def test_largest_feature_of_equal_ones_is_the_smaller_name(spark):
     for order in (rows, rows[::-1]):
         usage = spark.createDataFrame(order, "tenant_id int, actor string, feature string, quantity int, credits int").withColumn("occurred_at", F.lit("2026-01-02").cast("timestamp_ntz"))
         assert [r.top_feature for r in ledger.top_consumers(usage, "2026-01-01", "2026-02-01").collect()] == ["meeting_agent"]
+
+
+def test_common_titles_are_compared_once(spark):
+    """Many candidates and many known blocks of one title: each candidate gets the most recent known one, without all pairs of them."""
+    rows = lambda n, at: [(at + i, "t", "Weekly report of sales", f"body {'abc'[i % 3] * 4} words", i) for i in range(n)]
+    schema = "id long, type string, title string, body string, recency long"
+    new, known = spark.createDataFrame(rows(3000, 0) + [(9001, "u", "weekly sales report", "x", 0), (9002, "t", "the", "x", 0), (9003, "t", None, None, 0)], schema), spark.createDataFrame(rows(3000, 10_000), schema)
+    found = {r.id: (r.action, r.known_id) for r in knowledge.reconcile(new, known).collect()}
+    assert len(found) == 3003 and {found[i] for i in range(3000)} == {("skip", 10_000), ("update", 10_000)} and found[9001] == found[9002] == found[9003] == ("create", None)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmere.plans import activity, connectors, documents, drafts, forecasting, ingestion, knowledge, landed, metering, retrieval  # noqa: F401  they register themselves
+from quillmere.plans import activity, connectors, documents, drafts, forecasting, guards, ingestion, knowledge, landed, metering, retrieval  # noqa: F401  they register themselves
 from quillmere.plans.registry import ORACLES, QUERIES, Query
 
 

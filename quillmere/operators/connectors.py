@@ -37,11 +37,29 @@ PLAIN_EXTENSIONS = (
     "css", "scss", "less", "graphql", "gql", "prisma", "vue", "svelte",
 )
 NAMED_FILES = {"dockerfile": "text", "makefile": "text", "procfile": "text", "readme": "markdown"}
-EXCLUDED = (
-    r"(?i)(^|/)(node_modules|\.git|\.next|dist|build|out|coverage|vendor|__pycache__|\.venv|venv|target|generated|migrations?)/|\.min\.(js|css)$|\.(lock|lockb|snap|map)$"
-    r"|(^|/)(package-lock\.json|pnpm-lock\.yaml|yarn\.lock|poetry\.lock|Cargo\.lock|Gemfile\.lock|composer\.lock)$"
-    r"|\.(png|jpe?g|gif|svg|ico|webp|bmp|pdf|zip|gz|tar|jar|war|so|dylib|dll|exe|bin|wasm|woff2?|ttf|eot|mp[34]|mov|avi)$"
+#: Paths that aren't indexed, whatever the case of their letters.
+EXCLUDED_PATHS = (
+    r"(^|/)node_modules/",
+    r"(^|/)\.git/",
+    r"(^|/)\.next/",
+    r"(^|/)dist/",
+    r"(^|/)build/",
+    r"(^|/)out/",
+    r"(^|/)coverage/",
+    r"(^|/)vendor/",
+    r"(^|/)__pycache__/",
+    r"(^|/)\.venv/",
+    r"(^|/)venv/",
+    r"(^|/)target/",
+    r"(^|/)generated/",
+    r"(^|/)migrations?/",
+    r"\.min\.(js|css)$",
+    r"\.(lock|lockb)$",
+    r"(^|/)(package-lock\.json|pnpm-lock\.yaml|yarn\.lock|poetry\.lock|Cargo\.lock|Gemfile\.lock|composer\.lock)$",
+    r"\.(png|jpe?g|gif|svg|ico|webp|bmp|pdf|zip|gz|tar|jar|war|so|dylib|dll|exe|bin|wasm|woff2?|ttf|eot|mp[34]|mov|avi)$",
+    r"\.(snap|map)$",
 )
+EXCLUDED = "(?i)" + "|".join(EXCLUDED_PATHS)
 #: Where code is cut first, by language; other languages are cut at blank lines, lines and spaces only.
 BOUNDARIES = {
     "python": ("\nclass ", "\ndef ", "\n\tdef "),

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.operators import chat, mail, markdown
+from quillmere.operators import chat, mail, markdown, uploads, wiki
 from quillmere.plans.registry import query
 from quillmere.sources import queue, staging, tables, vectors
 
@@ -144,3 +144,52 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.array_join(F.transform("b", lambda x: x["type"]), ",").alias("kinds"), F.md5(one("paragraph")["text"]).alias("paragraph"), one("heading")["text"].alias("heading"), F.array_join(one("list")["items"], ",").alias("items"),
         F.array_join(one("table")["rows"][0], "|").alias("cells"), F.concat_ws(":", one("code")["language"], one("code")["code"]).alias("code"), F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["type"], x["text"])), ",").alias("spans"),
     )
+
+
+@query(
+    """WITH p AS (SELECT doc_id, '# Page ' || doc_id || CASE WHEN trim(coalesce(text, '')) = '' THEN '' ELSE chr(10) || chr(10) || trim(text) END AS document FROM documents),
+s AS (SELECT *, TIMESTAMP '2026-01-01' + to_days(CAST(doc_id % 5 + CASE WHEN doc_id % 4 = 0 THEN 10 ELSE 0 END AS INT)) AS edited_at FROM p WHERE length(trim(substr(document, length('# Page ' || doc_id) + 1), ' ' || chr(9) || chr(10) || chr(13))) >= 10)
+SELECT 'p' || doc_id AS page_id, edited_at, md5(document || CASE WHEN doc_id % 4 = 0 THEN ' edited' ELSE '' END) AS document, max(edited_at) OVER () AS cursor FROM s"""
+)
+def wiki_synced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as wiki pages in two syncs, the second run twice: a quarter was edited since, the rest is older than the cursor."""
+    store = wiki.Store(spark, f"{staging.folder(spark)}/wiki-{uuid.uuid4().hex}")
+    docs, none = tables.table(spark, sf_dir, "documents"), F.lit(None).cast("string")
+
+    def listed(edited: bool) -> DataFrame:
+        late = F.col("doc_id") % 4 == 0
+        day = F.col("doc_id") % 5 + (F.when(late, 10).otherwise(0) if edited else F.lit(0))
+        text = F.trim(F.coalesce("text", F.lit("")))
+        body = F.when(F.lit(edited) & late & (text != ""), F.concat(text, F.lit(" edited"))).otherwise(text)
+        at = F.expr("timestamp'2026-01-01 00:00:00'") + F.make_dt_interval(day.cast("int"))
+        return docs.select(
+            F.lit("c").alias("connection_id"), F.concat(F.lit("p"), "doc_id").alias("page_id"), at.alias("edited_at"), F.concat(F.lit("Page "), "doc_id").alias("title"), none.alias("properties"), body.alias("body"),
+            none.alias("comments"), none.alias("author"), none.alias("url"),
+        )
+
+    store.sync(0, listed(False))
+    for _ in range(2):
+        store.sync(1, listed(True))
+    return store.pages().join(store.cursors(), "connection_id").select("page_id", F.col("edited_at").cast("timestamp_ntz").alias("edited_at"), F.md5("document").alias("document"), F.col("cursor").cast("timestamp_ntz").alias("cursor"))
+
+
+_CLEAN = "trim(regexp_replace(regexp_replace(replace(regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', ' ', 'g'), chr(173), ''), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))"
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, ['txt', 'md', 'pdf', 'exe', 'csv', 'docx'][doc_id % 6 + 1] AS ext, CASE WHEN doc_id % 10 < 9 THEN text END AS text FROM documents),
+c AS (SELECT *, CASE WHEN ext = 'exe' THEN 'unsupported' WHEN coalesce(text, '') = '' THEN 'empty' END AS refused, {_CLEAN} AS clean FROM f),
+e AS (SELECT *, coalesce(refused, CASE WHEN ext IN ('pdf', 'docx') THEN 'could not read text from this file' WHEN trim(regexp_replace(coalesce(clean, ''), '\\s+', ' ', 'g')) = '' THEN 'no readable text found in this file' END) AS error FROM c)
+SELECT doc_id, CASE WHEN refused IS NOT NULL THEN 'REFUSED' WHEN error IS NOT NULL THEN 'FAILED' ELSE 'QUEUED' END AS status, error, CASE WHEN error IS NULL THEN md5(clean) END AS text, CASE WHEN error IS NULL THEN length(clean) ELSE 0 END AS chars,
+  CASE WHEN refused IS NULL AND doc_id % 5 > 0 THEN 'u/' || sha256(text) || '/my_file_' || doc_id || '.' || ext END AS storage_key FROM e"""
+)
+def uploads_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as uploaded files of six kinds, some without bytes, and each fifth in a western encoding."""
+    doc_id, text = F.col("doc_id"), F.col("text")
+    ext = F.element_at(F.array(*map(F.lit, ("txt", "md", "pdf", "exe", "csv", "docx"))), (doc_id % 6 + 1).cast("int"))
+    western = (doc_id % 5 == 0) & text.rlike(r"^[\x00-\xFF]*$")
+    content = F.when(western, F.encode(F.when(western, text), "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    files = tables.table(spark, sf_dir, "documents").select("doc_id", F.lit("u").alias("user_id"), F.concat(F.lit("my file "), doc_id, F.lit("."), ext).alias("name"), F.when(doc_id % 10 < 9, content).alias("content"))
+    found = uploads.uploaded(files)
+    number = F.regexp_extract("name", r"(\d+)", 1).cast("long")
+    return found.select(number.alias("doc_id"), "status", "error", F.md5("text").alias("text"), F.col("chars").cast("long").alias("chars"), F.when(number % 5 > 0, F.col("storage_key")).alias("storage_key"))

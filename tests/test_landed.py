@@ -1,10 +1,12 @@
 import base64
+import datetime as dt
 import json
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from quillmere.operators import mail
+from quillmere.operators import mail, uploads, wiki
 from quillmere.sources import vectors
 
 
@@ -87,3 +89,53 @@ def test_a_call_that_raises_fails_its_points_alone(spark):
     points = spark.createDataFrame([(f"c{i}", [1.0], None) for i in range(10)], "chunk_id string, vector array<double>, payload string").repartition(1)
     found = {r.chunk_id: r.error for r in vectors.sent(points, Broken, size=5).collect()}
     assert len(found) == 10 and sum(e is not None for e in found.values()) == 5 and found["c3"] == "ConnectionError: lost"
+
+
+def pages(spark, *rows):
+    return spark.createDataFrame([("c", p, dt.datetime(2026, 1, day), p.upper(), None, body, None, "a", None, "clash") for p, day, body in rows],
+                                 "connection_id string, page_id string, edited_at timestamp, title string, properties string, body string, comments string, author string, url string, status string")
+
+
+def shown(store):
+    return {(r.page_id, r.edited_at.day, r.document, r.status) for r in store.pages().collect()}, [r.cursor.day for r in store.cursors().collect()]
+
+
+def test_a_killed_wiki_batch_run_again_gives_equal_tables_and_cursor(spark, tmp_path):
+    first = pages(spark, ("a", 1, "the first text of a"), ("b", 2, "the first text of b"), ("b", 1, "an older listing"), ("c", 3, "short"))
+    second = pages(spark, ("a", 1, "the first text of a"), ("b", 4, "the second text of b"), ("d", 5, None))
+    whole, killed = wiki.Store(spark, str(tmp_path / "whole")), wiki.Store(spark, str(tmp_path / "killed"))
+    assert whole.cursors().count() == whole.pages().count() == 0
+
+    def die():
+        raise KeyboardInterrupt
+
+    for batch, listed in enumerate((first, second)):
+        whole.sync(batch, listed)
+        with pytest.raises(KeyboardInterrupt):
+            killed.sync(batch, listed, before_commit=die)
+        assert killed.last() == batch - 1
+        assert killed.sync(batch, listed) and not killed.sync(batch, listed)
+    assert shown(whole) == shown(killed) == ({("a", 1, "# A\n\nthe first text of a", "PENDING"), ("b", 4, "# B\n\nthe second text of b", "PENDING")}, [4])
+    assert [r.page_id for r in killed.to_queue(1).collect()] == ["b"]
+    again = pages(spark, ("b", 4, "unchanged"), ("a", 2, "older than the cursor"))
+    assert whole.sync(2, again) and whole.to_queue(2).count() == 0 and shown(whole) == shown(killed)
+    with pytest.raises(ValueError, match="is next"):
+        whole.sync(9, again)
+    assert [r.skipped for r in wiki.changed_pages(pages(spark, ("b", 4, "x")), whole.pages(), whole.cursors().limit(0)).collect()] == ["unchanged"]
+
+
+def test_uploads_of_a_folder(spark, tmp_path):
+    folder = tmp_path / "up"
+    folder.mkdir()
+    for name, content in {"plain.txt": "hello  there".encode(), "café +1.md": "naïve – “q”".encode("cp1252"), "blank.txt": b" \n ", "scan.pdf": b"%PDF", "run.exe": b"MZ", "none.csv": b"", "copy.txt": "hello  there".encode()}.items():
+        (folder / name).write_bytes(content)
+    rows = {r.name: r for r in uploads.uploaded(uploads.landed(spark, str(folder), "u1")).collect()}
+    assert {n: (r.status, r.error) for n, r in rows.items()} == {
+        "plain.txt": ("QUEUED", None), "copy.txt": ("QUEUED", None), "café +1.md": ("QUEUED", None), "blank.txt": ("FAILED", uploads.NO_TEXT), "scan.pdf": ("FAILED", uploads.UNREADABLE), "run.exe": ("REFUSED", "unsupported"),
+    }
+    assert rows["plain.txt"].text == "hello there" and rows["café +1.md"].text == "naïve – “q”"
+    assert rows["run.exe"].storage_key is None and rows["plain.txt"].storage_key.split("/")[1] == rows["copy.txt"].storage_key.split("/")[1] and rows["scan.pdf"].storage_key.startswith("u1/")
+    empty = uploads.uploaded(spark.createDataFrame([("u1", "none.csv", bytearray()), ("u1", "none.txt", None), ("u1", None, bytearray(b"x"))], "user_id string, name string, content binary")).collect()
+    assert [(r.status, r.error) for r in empty] == [("REFUSED", "empty"), ("REFUSED", "empty"), ("REFUSED", "unsupported")]
+    sent = uploads.payloads(uploads.uploaded(uploads.landed(spark, str(folder), "u1"))).collect()
+    assert len(sent) == 3 and {r.namespace for r in sent} == {"u1:upload"}

@@ -90,6 +90,22 @@ def projection(usage: DataFrame, included: DataFrame, start: str, now: str, end:
     return found.withColumn("state", projection_state(F.col("projected"), F.col("included")))
 
 
+def projected_words(projected: DataFrame, now: str) -> DataFrame:
+    """Adds to projection(): sentence, and exhausted_at, when an allowance that will be exceeded is used up at the present pace; null for others, and now if it is by now."""
+    over, spare, share = F.col("projected") - F.col("included"), F.col("included") - F.col("projected"), F.col("projected") / F.col("included") * 100
+    plain = lambda x: F.regexp_replace(F.format_string("%.2f", half_up(x)), r"\.?0+$", "")
+    sentence = (
+        F.when(F.col("included") <= 0, "Nothing metered this period. Chat, search, and forecasts are included and never use credits.")
+        .when(F.col("state") == "over", F.concat(F.lit("Projected to exceed by about "), plain(over), F.lit(" credits.")))
+        .when(F.col("state") == "near", F.concat(F.lit("Close — projected to use about "), F.floor(share + 0.5).cast("string"), F.lit("% of your allowance.")))
+        .otherwise(F.concat(F.lit("On track — about "), plain(spare), F.lit(" credits to spare.")))
+    )
+    left, instant = F.col("included") - F.col("used"), F.lit(now).cast("timestamp_ntz")
+    later = instant + F.make_dt_interval(secs=F.floor(F.greatest(left, F.lit(0.0)) / F.col("mean_7d") * 86400).cast("decimal(18,6)"))
+    exhausted = F.when((F.col("state") == "over") & (F.col("mean_7d") > 0), F.when(left <= 0, instant).otherwise(later))
+    return projected.select("*", sentence.alias("sentence"), exhausted.alias("exhausted_at"))
+
+
 def receipts(usage: DataFrame, tenant: int, before: tuple[str, str] | None, limit: int) -> DataFrame:
     """A page of a tenant's rows, newest first, after the cursor (time, key); one row more than asked for tells that there is another page."""
     own = usage.where(F.col("tenant_id") == tenant)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.functions import strings
-from quillmere.operators import graph, knowledge
+from quillmere.operators import graph, knowledge, people
 from quillmere.plans.registry import query
 from quillmere.sources import tables
-from quillmere.sources.tables import EDGES_SQL
+from quillmere.sources.tables import EDGES_SQL, PROMPTS_SQL
 
 _CLOSURE_SQL = f"""WITH RECURSIVE {EDGES_SQL}, up(node, upstream) AS (SELECT target, source FROM edges UNION SELECT up.node, e.source FROM up JOIN edges e ON up.upstream = e.target)"""
 
@@ -158,3 +158,30 @@ def people_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = _owned(spark, sf_dir).select("doc_id", "source", F.explode(strings.owner_names(F.col("text"))).alias("name"))
     found = knowledge.attribution(work.withColumn("title", F.col("doc_id")).withColumn("owns", F.lit(True)))
     return found.select("key", "name", "items", F.size(F.split("sources", ",")).cast("long").alias("sources"))
+
+
+@query(
+    f"""WITH {_OWNED}, w AS (SELECT source, name, 'doc ' || doc_id || CASE WHEN doc_id % 7 = 0 THEN ' ' || repeat('long', 20) ELSE '' END AS title, doc_id % 3 > 0 AS owns FROM n),
+g AS (SELECT source, lower(trim(name)) AS key, min(trim(name)) AS name, bool_or(owns) AS owns, list_sort(list(DISTINCT title)) AS items FROM w GROUP BY ALL),
+r AS (SELECT *, array_to_string(list_transform(items[1:3], lambda i: CASE WHEN length(i) > 48 THEN rtrim(left(i, 47)) || '…' ELSE i END), '; ') || CASE WHEN len(items) > 3 THEN ' +' || (len(items) - 3) || ' more' ELSE '' END AS shown,
+  bool_or(owns) OVER (PARTITION BY source) AS any_owner FROM g)
+SELECT source, string_agg('**' || name || '**', ', ' ORDER BY -len(items), name) FILTER (WHERE owns OR NOT any_owner) || chr(10) || chr(10) || '| Person | Items | Assigned work |' || chr(10) || '| --- | --- | --- |' || chr(10)
+  || string_agg('| ' || name || ' | ' || len(items) || ' | ' || shown || ' |', chr(10) ORDER BY -len(items), name) FILTER (WHERE owns OR NOT any_owner)
+  || coalesce(chr(10) || chr(10) || 'Also appearing as document authors (may include workspaces or bots, not only people): ' || string_agg(name, ', ' ORDER BY -len(items), name) FILTER (WHERE NOT owns AND any_owner) || '.', '') AS roster FROM r GROUP BY source"""
+)
+def people_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roster of each source: who is named in fields of its documents, with the documents as items."""
+    doc_id = F.col("doc_id")
+    title = F.concat(F.lit("doc "), doc_id, F.when(doc_id % 7 == 0, F.concat(F.lit(" "), F.repeat(F.lit("long"), F.lit(20)))).otherwise(""))
+    work = _owned(spark, sf_dir).select("source", F.explode(strings.owner_names(F.col("text"))).alias("name"), title.alias("title"), (doc_id % 3 > 0).alias("owns"))
+    return people.roster(people.people(work, "source"), "source")
+
+
+@query(
+    f"""WITH {PROMPTS_SQL}, t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(prose), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT regexp_full_match(w, '{people.VOCABULARY}') AND NOT regexp_full_match(w, '{people.GENERIC}')) AS terms FROM prompts)
+SELECT conv_id, turn, len(terms) AS n, array_to_string(terms, ' ') AS terms, len(terms) = 0 AS everyone FROM t"""
+)
+def question_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each prompt asks about once its words for people are taken away."""
+    found = tables.prompts(spark, sf_dir).select("conv_id", "turn", people.subject_terms(F.col("prose")).alias("t"), people.asks_for_everyone(F.col("prose")).alias("everyone"))
+    return found.select("conv_id", "turn", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("terms"), "everyone")

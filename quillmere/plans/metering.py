@@ -90,6 +90,25 @@ def usage_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tenant_id", F.round("used", 6).alias("used"), F.round("mean_7d", 6).alias("mean_7d"), F.round("projected", 6).alias("projected"), "state")
 
 
+@query(
+    f"""WITH {_BALANCE_SQL}, u AS (SELECT tenant_id, CAST(sum(CASE WHEN occurred_at >= TIMESTAMP '{START}' THEN credits ELSE 0 END) AS DOUBLE) AS used,
+  CAST(sum(CASE WHEN occurred_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY THEN credits ELSE 0 END) AS DOUBLE) / 7 AS mean_7d
+  FROM usage WHERE occurred_at < TIMESTAMP '{NOW}' AND (occurred_at >= TIMESTAMP '{START}' OR occurred_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY) GROUP BY 1),
+p AS (SELECT u.tenant_id, used, mean_7d, CAST(granted AS DOUBLE) / 10 * (u.tenant_id % 4) AS included, used + mean_7d * 12.0 AS projected FROM u JOIN bal ON u.tenant_id = bal.tenant_id),
+st AS (SELECT *, CASE WHEN included <= 0 THEN 'on_track' WHEN projected > included THEN 'over' WHEN projected > included * 0.9 THEN 'near' ELSE 'on_track' END AS state FROM p)
+SELECT tenant_id, state, CASE WHEN included <= 0 THEN 'Nothing metered this period. Chat, search, and forecasts are included and never use credits.'
+  WHEN state = 'over' THEN 'Projected to exceed by about ' || regexp_replace(printf('%.2f', floor((projected - included) * 100 + 0.5) / 100), '\\.?0+$', '') || ' credits.'
+  WHEN state = 'near' THEN 'Close — projected to use about ' || CAST(floor(projected / included * 100 + 0.5) AS BIGINT) || '% of your allowance.'
+  ELSE 'On track — about ' || regexp_replace(printf('%.2f', floor((included - projected) * 100 + 0.5) / 100), '\\.?0+$', '') || ' credits to spare.' END AS sentence,
+  CASE WHEN state = 'over' AND mean_7d > 0 THEN CASE WHEN included <= used THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '{NOW}' + to_seconds(floor((included - used) / mean_7d * 86400)) END END AS exhausted_at FROM st"""
+)
+def usage_outlook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the projection means in words, and when allowances that will be exceeded are used up; a quarter of the tenants have none."""
+    included = _balances(spark, sf_dir).select("tenant_id", (F.col("granted").cast("double") / 10 * (F.col("tenant_id") % 4)).alias("included"))
+    found = ledger.projected_words(ledger.projection(tables.usage_ledger(spark, sf_dir), included, START, NOW, END), NOW)
+    return found.select("tenant_id", "state", "sentence", "exhausted_at")
+
+
 _CURSOR = ("1999-01-01", "5")
 
 

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmere.functions import strings
-from quillmere.operators import graph, ingestion, knowledge, ledger, retrieval, text
+from quillmere.operators import graph, ingestion, knowledge, ledger, people, retrieval, text
 from quillmere.sources import stores
 
 
@@ -267,3 +267,22 @@ def test_common_titles_are_compared_once(spark):
     new, known = spark.createDataFrame(rows(3000, 0) + [(9001, "u", "weekly sales report", "x", 0), (9002, "t", "the", "x", 0), (9003, "t", None, None, 0)], schema), spark.createDataFrame(rows(3000, 10_000), schema)
     found = {r.id: (r.action, r.known_id) for r in knowledge.reconcile(new, known).collect()}
     assert len(found) == 3003 and {found[i] for i in range(3000)} == {("skip", 10_000), ("update", 10_000)} and found[9001] == found[9002] == found[9003] == ("create", None)
+
+
+def test_rosters(spark):
+    rows = [("Ada Obi", "Living map", True), ("ada obi", "Admin page", False), ("Bob", "x" * 60, True), ("Cleo", "note", False), (" ", "t", True), (None, "t", True)] + [("Bob", f"task {i}", True) for i in range(4)]
+    found = people.roster(people.people(spark.createDataFrame([("s", *r) for r in rows], "source string, name string, title string, owns boolean"), "source"), "source").first().roster
+    assert found == (
+        "**Bob**, **Ada Obi**\n\n| Person | Items | Assigned work |\n| --- | --- | --- |\n| Bob | 5 | task 0; task 1; task 2 +2 more |\n| Ada Obi | 2 | Admin page; Living map |"
+        "\n\nAlso appearing as document authors (may include workspaces or bots, not only people): Cleo."
+    )
+    assert one(spark, people.item_list(F.array(F.repeat(F.lit("y"), F.lit(60))))) == "y" * 47 + "…" and one(spark, people.item_list(F.array().cast("array<string>"))) == "—"
+    for question, terms in (("Who are the devs in the company?", []), ("Who made the edit of coding best practices?", ["edit", "coding", "best", "practices"]), (None, []), ("WHO works on PR 12 now?", [])):
+        assert one(spark, people.subject_terms(F.col("q").cast("string")), q=question) == terms and one(spark, people.asks_for_everyone(F.col("q").cast("string")), q=question) == (terms == [])
+
+
+def test_outlook(spark):
+    rows = spark.createDataFrame([(1, 0.0, 1.0, 5.0, 0.0), (2, 90.0, 10.0, 150.0, 100.0), (3, 120.0, 10.0, 150.0, 100.0), (4, 10.0, 1.0, 95.0, 100.0), (5, 10.0, 1.0, 20.125, 100.0)], "tenant_id int, used double, mean_7d double, projected double, included double")
+    found = {r.tenant_id: r for r in ledger.projected_words(rows.withColumn("state", ledger.projection_state(F.col("projected"), F.col("included"))), "2026-01-01 00:00:00").collect()}
+    assert [(str(found[i].exhausted_at) if found[i].exhausted_at else None) for i in range(1, 6)] == [None, "2026-01-02 00:00:00", "2026-01-01 00:00:00", None, None]
+    assert [found[i].sentence for i in range(2, 6)] == ["Projected to exceed by about 50 credits."] * 2 + ["Close — projected to use about 95% of your allowance.", "On track — about 79.88 credits to spare."]

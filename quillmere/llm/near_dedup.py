@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm import support
+from quillmere.llm import support, tokens
 
 COORDINATES = 128  # minwise values of a document
 BRANCHES = 2
@@ -120,6 +120,7 @@ def described(docs: DataFrame, k: int, trees: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, its nodes and one byte of each minwise value."""
 
     def describe(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens.release()
         shingles = Shingles(k)
         for batch in (b.iloc[i : i + 1000] for b in batches for i in range(0, len(b), 1000)):
             sets = [shingles(t) for t in batch["text"]]

@@ -117,3 +117,8 @@ def word_ids(path: str = WORD_FILE) -> WordIds:
     if path not in _of_worker:
         _of_worker[path] = WordIds(path)
     return _of_worker[path]
+
+
+def release() -> None:
+    """Gives back what this Python process remembers of words; for tasks of other work, which a worker may go on to."""
+    _of_worker.clear()

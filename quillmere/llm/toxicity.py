@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm import support
+from quillmere.llm import support, tokens
 
 #: Labelled documents that train the classifier, about, and features that it may weigh.
 SAMPLE_DOCS, FEATURES = 16_000, 4_096
@@ -161,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(picked).join(one.where(picked), "doc_id").select("doc_id", "text", "toxic")
 
     def featured(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens.release()
         for batch in batches:
             for i in range(0, len(batch), 200):
                 some, found, swapped = batch.iloc[i : i + 200], [], []
@@ -207,6 +208,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tup
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens.release()
         value = shared.value.scorer()
         for some in texts:
             yield some.map(value).astype(float)

@@ -198,6 +198,13 @@ def without_header(chunk: Column) -> Column:
     return F.regexp_replace(chunk, r"\A# [^\n]*\n(repository:[^\n]*\n)?\n*", "")
 
 
+def blob_url(repository: Column, path: Column, line: Column) -> Column:
+    """Where a chunk of code is read: the file at its repository's head, at the line it begins with; null without a repository or a path."""
+    at = F.when(line > 0, F.concat(F.lit("#L"), line.cast("string"))).otherwise("")
+    named = (F.coalesce(repository, F.lit("")) != "") & (F.coalesce(path, F.lit("")) != "")
+    return F.when(named, F.concat(F.lit("https://github.com/"), repository, F.lit("/blob/HEAD/"), path, F.coalesce(at, F.lit(""))))
+
+
 # --- wiki pages -------------------------------------------------------------------------------------------------
 
 
@@ -254,6 +261,11 @@ def issue_state(state: Column, merged_at: Column) -> Column:
     return F.when(merged_at.isNotNull(), "merged").otherwise(state)
 
 
+def issues(listed: DataFrame) -> DataFrame:
+    """Rows of a listing of issues that are issues: a listing also has the shadows of pull requests, which name their pull_request and are synced by themselves."""
+    return listed.where(F.col("pull_request").isNull()).drop("pull_request")
+
+
 def discussions(threads: DataFrame, comments: DataFrame) -> DataFrame:
     """id, document, comments of each thread (id, title, body): its text and then its comments (id, at, author, body) in order of time, author and body, one paragraph each."""
     said = comments.where(F.trim(_text(F.col("body"))) != "").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "author", "body"))).alias("_said"))

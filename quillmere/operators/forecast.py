@@ -160,6 +160,11 @@ def covariate_code(value: Column, vocabulary: list[str]) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, vocabulary)), value), F.lit(0).cast("long"))
 
 
+def covariate_value(code: Column, vocabulary: list[str]) -> Column:
+    """The value of covariate_code(); null for 0 and for places that the vocabulary doesn't have."""
+    return F.try_element_at(F.array(*map(F.lit, vocabulary)), F.when(code > 0, code.cast("int")))
+
+
 def forecast_state(drift_alarm: Column, cold: Column, recent_events: Column) -> Column:
     """A forecast's state: an alarm counts before all, then a cold start, then whether anything came lately."""
     return F.when(drift_alarm, "error").when(cold, "cold").when(recent_events > 0, "active").otherwise("live")

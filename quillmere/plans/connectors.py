@@ -143,10 +143,22 @@ def commit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("repo").agg(F.count("*").alias("n"), F.max("place").alias("last"))
 
 
-@query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'merged' ELSE lower(o_orderstatus) END AS state, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'merged' ELSE lower(o_orderstatus) END AS state, count(*) AS n FROM orders WHERE o_orderkey % 5 > 0 GROUP BY 1")
 def issue_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderdate"))
-    return tables.table(spark, sf_dir, "orders").groupBy(connectors.issue_state(F.lower("o_orderstatus"), merged).alias("state")).agg(F.count("*").alias("n"))
+    """Orders as listed issues, each fifth the shadow of a pull request."""
+    merged, shadow = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderdate")), F.when(F.col("o_orderkey") % 5 == 0, "url")
+    listed = connectors.issues(tables.table(spark, sf_dir, "orders").withColumn("pull_request", shadow))
+    return listed.groupBy(connectors.issue_state(F.lower("o_orderstatus"), merged).alias("state")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 6 > 0 THEN 'https://github.com/' || source || '/' || lang || '/blob/HEAD/src/f' || doc_id || '.py' || CASE WHEN doc_id % 4 > 0 THEN '#L' || doc_id ELSE '' END END AS url FROM documents"""
+)
+def code_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of code, with the place that a citation leads to; each sixth has no repository, each fourth no line."""
+    doc_id = F.col("doc_id")
+    repository = F.when(doc_id % 6 > 0, F.concat_ws("/", "source", "lang"))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", connectors.blob_url(repository, F.concat(F.lit("src/f"), doc_id, F.lit(".py")), F.when(doc_id % 4 > 0, doc_id)).alias("url"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 99 ELSE c_nationkey END AS tenant_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey")

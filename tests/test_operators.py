@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmere.functions import strings
-from quillmere.operators import graph, ingestion, knowledge, ledger, people, retrieval, text
+from quillmere.operators import forecast, graph, ingestion, knowledge, ledger, people, retrieval, text
 from quillmere.sources import stores
 
 
@@ -286,3 +286,10 @@ def test_outlook(spark):
     found = {r.tenant_id: r for r in ledger.projected_words(rows.withColumn("state", ledger.projection_state(F.col("projected"), F.col("included"))), "2026-01-01 00:00:00").collect()}
     assert [(str(found[i].exhausted_at) if found[i].exhausted_at else None) for i in range(1, 6)] == [None, "2026-01-02 00:00:00", "2026-01-01 00:00:00", None, None]
     assert [found[i].sentence for i in range(2, 6)] == ["Projected to exceed by about 50 credits."] * 2 + ["Close — projected to use about 95% of your allowance.", "On track — about 79.88 credits to spare."]
+
+
+def test_covariates_there_and_back(spark):
+    words = ["north", "south"]
+    rows = spark.createDataFrame([("north",), ("south",), ("west",), (None,)], "v string").withColumn("c", forecast.covariate_code(F.col("v"), words))
+    found = rows.select("c", forecast.covariate_value(F.col("c"), words).alias("v"), forecast.covariate_value(F.lit(9), words).alias("w")).collect()
+    assert [(r.c, r.v, r.w) for r in found] == [(1, "north", None), (2, "south", None), (0, None, None), (0, None, None)]

@@ -162,10 +162,15 @@ def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.length(text.ocr_repair(F.col("text"))).alias("n"), F.md5(text.ocr_repair(F.col("text"))).alias("digest"))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '\b(0?[1-9]|[12]\d|3[01])/(0?[1-9]|1[0-2])/((?:19|20)\d\d)\b', '\3-\2-\1', 'g') AS text FROM (SELECT doc_id, 'seen ' || (doc_id % 35) || '/' || (doc_id % 14) || '/' || (1985 + doc_id % 40) || ', v1.2.34' AS text FROM documents)")
+_DATES_SQL = "'seen ' || (doc_id % 35) || '/' || (doc_id % 14) || '/' || (1985 + doc_id % 40) || ', v1.2.34'"
+
+
+@query(rf"SELECT doc_id, length(text) AS n, md5(text) AS digest FROM (SELECT doc_id, regexp_replace({_DATES_SQL} || ' ' || text || chr(10) || {_DATES_SQL}, '\b(0?[1-9]|[12]\d|3[01])/(0?[1-9]|1[0-2])/((?:19|20)\d\d)\b', '\3-\2-\1', 'g') AS text FROM documents)")
 def date_rewrite_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts between dates of which some are none."""
     made = F.concat(F.lit("seen "), F.col("doc_id") % 35, F.lit("/"), F.col("doc_id") % 14, F.lit("/"), F.col("doc_id") % 40 + 1985, F.lit(", v1.2.34"))
-    return _docs(spark, sf_dir).select("doc_id", text.iso_dates(made).alias("text"))
+    whole = _docs(spark, sf_dir).select("doc_id", text.iso_dates(F.concat(made, F.lit(" "), "text", F.lit("\n"), made)).alias("text"))
+    return whole.select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word_count, length(text) AS n FROM documents")

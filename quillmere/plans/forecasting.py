@@ -141,12 +141,21 @@ def worst_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s(a, b) AS (SELECT a, b FROM (SELECT unnest(['insufficient_data', 'ok', 'drifting', 'alarm']) AS a), (SELECT unnest(['insufficient_data', 'ok', 'drifting', 'alarm']) AS b)),
-r AS (SELECT a, b, greatest(list_position(['insufficient_data', 'ok', 'drifting', 'alarm'], a), list_position(['insufficient_data', 'ok', 'drifting', 'alarm'], b)) AS k FROM s) SELECT a, b, ['insufficient_data', 'ok', 'drifting', 'alarm'][k] AS status FROM r"""
+    f"""WITH {_DAYS_SQL}, b AS (SELECT tenant_id, bucket, n, avg(n) OVER w AS mean, count(*) OVER w AS seen, after_hours FROM d WINDOW w AS (PARTITION BY tenant_id ORDER BY bucket ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+s AS (SELECT tenant_id, bucket, CASE WHEN seen < 4 THEN 'insufficient_data' WHEN abs(n - mean) > 0.2 * mean THEN 'alarm' WHEN abs(n - mean) > 0.1 * mean THEN 'drifting' ELSE 'ok' END AS coverage,
+  CASE WHEN after_hours > 0.7 THEN 'alarm' WHEN after_hours > 0.6 THEN 'drifting' WHEN n < 2 THEN 'insufficient_data' ELSE 'ok' END AS stability FROM b)
+SELECT tenant_id, bucket, coverage, stability, ['insufficient_data', 'ok', 'drifting', 'alarm'][greatest(list_position(['insufficient_data', 'ok', 'drifting', 'alarm'], coverage), list_position(['insufficient_data', 'ok', 'drifting', 'alarm'], stability))] AS status FROM s"""
 )
 def drift_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in ("insufficient_data", "ok", "drifting", "alarm")], "a string")
-    return names.crossJoin(names.withColumnRenamed("a", "b")).select("a", "b", forecast.worst_status(F.col("a"), F.col("b")).alias("status"))
+    """Of every tenant's day two statuses, of its events against the eight days before and of its work after hours, and the worse of them."""
+    before = Window.partitionBy("tenant_id").orderBy("bucket").rowsBetween(-8, -1)
+    days = _days(spark, sf_dir).withColumn("mean", F.avg("n").over(before)).withColumn("seen", F.count("*").over(before))
+    off = F.abs(F.col("n") - F.col("mean"))
+    coverage = F.when(F.col("seen") < 4, "insufficient_data").when(off > 0.2 * F.col("mean"), "alarm").when(off > 0.1 * F.col("mean"), "drifting").otherwise("ok")
+    hours = F.col("after_hours")
+    stability = F.when(hours > 0.7, "alarm").when(hours > 0.6, "drifting").when(F.col("n") < 2, "insufficient_data").otherwise("ok")
+    found = days.select("tenant_id", "bucket", coverage.alias("coverage"), stability.alias("stability"))
+    return found.withColumn("status", forecast.worst_status(F.col("coverage"), F.col("stability")))
 
 
 @query(f"WITH {_NAIVE_SQL}, h4 AS (SELECT tenant_id, median(n) AS med FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY bucket DESC) <= 4) GROUP BY tenant_id) SELECT fc.tenant_id, round(p50 - med, 6) AS change FROM fc JOIN h4 ON fc.tenant_id = h4.tenant_id WHERE step = 6")

@@ -236,6 +236,21 @@ def test_ann_recall_ties_and_invalid_vectors(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in few) == [(0, 1, 1), (0, 2, 20), (20, 1, 0), (20, 2, 1)]
 
 
+def test_ann_recall_of_queries_unlike_the_vectors(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(30, 32))
+    v = centres[rng.integers(30, size=6000)] + 0.2 * rng.normal(size=(6000, 32))
+    asked = np.arange(0, 6000, 20)
+    v[asked] = rng.normal(size=(300, 32))
+    found = defaultdict(set)
+    for r in ann.search(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect():
+        found[r.query_id].add(r.vec_id)
+    products = v[asked] @ v.T
+    products[np.arange(300), asked] = -np.inf
+    best = np.argpartition(-products, 20, axis=1)[:, :20]
+    assert np.mean([len(found[q] & set(b)) / 20 for q, b in zip(asked, best)]) >= 0.9
+
+
 # --- URLs, pages, licences, toxicity ----------------------------------------------------------------------------
 
 

@@ -34,13 +34,15 @@ def display_clean(text: Column) -> Column:
     return squeezed(text)
 
 
-def file_size(n: Column) -> Column:
-    """B, KB, MB or GB; one decimal below ten."""
+def file_size(n: Column, largest: str = "GB") -> Column:
+    """B, KB, MB or GB, or the largest of them that is wanted; one decimal below ten."""
     found = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for unit, size in (("KB", 1024), ("MB", 1024**2), ("GB", 1024**3)):
         x = n / size
         text = F.concat(F.when(x < 10, F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10)).otherwise(F.floor(x + 0.5).cast("string")), F.lit(f" {unit}"))
-        found = found.when(n < size * 1024, text) if unit != "GB" else found.otherwise(text)
+        found = found.when(n < size * 1024, text) if unit != largest else found.otherwise(text)
+        if unit == largest:
+            break
     return found
 
 

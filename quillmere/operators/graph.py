@@ -11,17 +11,22 @@ from quillmere.sources import staging
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """node, upstream: all that a node depends on over source -> target edges, itself excluded; cycles are safe.
 
-    Paths double in length with each round, so that the number of rounds is the logarithm of the longest; it ends when nothing is new.
+    Ways double in length with each round, so that the number of rounds is the logarithm of the longest; it ends when nothing is new. A round joins
+    the ends of ways of just 2^i edges to all pairs that are so far apart at most, so that in a forest each pair is found once, and only new pairs are written.
     """
-    found = staging.written(edges.select(F.col("target").alias("node"), F.col("source").alias("upstream")).distinct(), "closure")
-    size = found.count()
+    exact = staging.written(edges.select(F.col("target").alias("node"), F.col("source").alias("upstream")).distinct(), "ways")
+    found = exact
     for _ in range(rounds):
-        step = found.alias("a").join(found.alias("b"), F.col("a.upstream") == F.col("b.node")).select("a.node", "b.upstream")
-        grown = staging.written(found.unionByName(step).distinct(), "closure")
-        staging.discard(found)
-        found, before, size = grown, size, grown.count()
-        if size == before:
+        ahead = exact.select("node", F.col("upstream").alias("_via"))
+        behind = lambda pairs: pairs.select(F.col("node").alias("_via"), "upstream").hint("merge")
+        step = ahead.join(behind(found), "_via").select("node", "upstream").distinct()
+        new = staging.written(step.join(found.hint("merge"), ["node", "upstream"], "left_anti"), "closure")
+        if new.isEmpty():
             break
+        longer = staging.written(ahead.join(behind(exact), "_via").select("node", "upstream").distinct(), "ways")
+        if exact is not found:
+            staging.discard(exact)
+        exact, found = longer, found.unionByName(new)
     return found.where("node <> upstream")
 
 
@@ -37,17 +42,17 @@ def link_refusals(proposed: DataFrame, edges: DataFrame) -> DataFrame:
 def layers(edges: DataFrame) -> DataFrame:
     """node, layer of an acyclic graph: the longest way to a node from one without inputs. Raises ValueError if there is a cycle.
 
-    Nodes without inputs are taken off, layer by layer, so that every edge is gone through once however many paths there are.
+    Nodes without inputs are taken off, layer by layer, so that every edge is gone through once however many paths there are. No layer goes through the driver.
     """
     left = staging.written(edges.select("source", "target").distinct(), "edges")
     nodes = staging.written(left.select(F.col("source").alias("node")).union(left.select("target")).distinct(), "nodes")
     done, layer = None, 0
     while not nodes.isEmpty():
-        free = staging.written(nodes.join(left.select(F.col("target").alias("node")), "node", "left_anti"), "free")
+        free = staging.written(nodes.join(left.select(F.col("target").alias("node")).hint("merge"), "node", "left_anti"), "free")
         if free.isEmpty():
             raise ValueError("the graph has a cycle")
-        rest = staging.written(nodes.join(free, "node", "left_anti"), "nodes")
-        kept = staging.written(left.join(free.select(F.col("node").alias("source")), "source", "left_anti"), "edges")
+        rest = staging.written(nodes.join(free.hint("merge"), "node", "left_anti"), "nodes")
+        kept = staging.written(left.join(free.select(F.col("node").alias("source")).hint("merge"), "source", "left_anti"), "edges")
         staging.discard(nodes, left)
         nodes, left = rest, kept
         own = free.withColumn("layer", F.lit(layer))

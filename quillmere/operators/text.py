@@ -128,8 +128,17 @@ def minhash(hashes: DataFrame, n: int = 128, *carried: str) -> DataFrame:
     @F.pandas_udf("array<long>")
     def sign(h: Iterator[pd.Series]) -> Iterator[pd.Series]:
         a, b = (np.array(x, np.int64)[:, None] for x in zip(*pairs))
+        prime = 2147483647
+
+        def least(x: np.ndarray) -> np.ndarray:
+            y = a * np.asarray(x, np.int64) + b
+            y = (y & prime) + (y >> 31)  # modulo 2^31 - 1 by folding, which divides nothing
+            y = (y & prime) + (y >> 31)
+            y[y == prime] = 0
+            return y.min(axis=1)
+
         for some in h:
-            yield pd.Series([((a * np.asarray(x, np.int64) + b) % 2147483647).min(axis=1) for x in some])
+            yield pd.Series([least(x) for x in some])
 
     return hashes.select("doc_id", sign("h").alias("signature"), *carried)
 

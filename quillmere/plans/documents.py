@@ -263,9 +263,12 @@ SELECT doc_id, estimate, round(sqrt(estimate * (1 - estimate) / 128), 9) AS sigm
 )
 def signature_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the next odd one, by their signatures."""
-    own = _signatures(spark, sf_dir)
-    other = own.select(F.col("doc_id").alias("_id"), F.col("signature").alias("_other"))
-    found = own.join(other, F.expr("doc_id div 2 * 2 + 1") == F.col("_id")).select("doc_id", text.jaccard_estimate(F.col("signature"), F.col("_other")).alias("j"))
+    odd = F.expr("doc_id div 2 * 2 + 1")
+    own = _signatures(spark, sf_dir).select("doc_id", F.col("signature").cast("array<int>").alias("signature"), odd.alias("pair"))
+    # The two of a pair meet in one group, so that signatures are computed once.
+    pairs = own.groupBy("pair").agg(F.collect_list(F.struct("doc_id", "signature")).alias("of"))
+    found = pairs.select("of", F.explode(F.filter("of", lambda x: x["doc_id"] == F.col("pair"))).alias("other")).select(F.explode("of").alias("own"), F.col("other.signature").alias("_other"))
+    found = found.select("own.doc_id", text.jaccard_estimate(F.col("own.signature"), F.col("_other")).alias("j"))
     return found.select("doc_id", "j.estimate", F.round("j.sigma", 9).alias("sigma"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,30 +63,49 @@ def reconcile(candidates: DataFrame, known: DataFrame, subject: float = 0.6, sam
     return c.select("id").join(found, "id", "left").select("id", F.coalesce("action", F.lit("create")).alias("action"), "known_id")
 
 
-def merged_candidates(candidates: DataFrame, same: float = 0.6, most: int = 12) -> DataFrame:
-    """Of a document's candidates the most confident of each subject and type, at most ``most``: taken one after another, so a group at a time.
+def merged_lists(of: Column, same: float = 0.6, most: int = 12) -> Column:
+    """Of an array of candidates (structs with id, type, title, confidence) the most confident of each subject and type, at most ``most``: taken one after another.
 
-    Of equal subjects of a type only the first can be taken; without subject words, which are like nothing, the first ``most``. The others don't reach the group.
+    Of equal subjects of a type only the first can be taken; candidates without subject words are like nothing.
     """
-    words = subject_tokens(F.col("title"))
-    subject = lambda joined: F.unhex(F.md5(joined))  # noqa: E731  shorter than the words in the shuffle
-    order = Window.partitionBy("doc_id", "type", "_s").orderBy(F.desc("confidence"), "id")
-    first = candidates.withColumn("_s", subject(F.array_join(F.sort_array(words), " "))).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
-    tokens = first.where((F.col("_n") == 1) | (F.col("_s") == subject(F.lit("")))).drop("_s", "_n").withColumn("t", F.array_join(words, " "))
-
-    def merge(rows):
-        kept, taken = [], []
-        for r in rows.sort_values(["confidence", "id"], ascending=[False, True]).itertuples():
-            own = set(r.t.split())
-            if any(r.type == kind and (len(own & k) / min(len(own), len(k)) if min(len(own), len(k)) >= 2 else float(bool(own) and own == k)) >= same for kind, k in taken):
-                continue
-            kept.append(r)
-            taken.append((r.type, own))
-            if len(kept) == most:
-                break
-        return rows[rows["id"].isin([k.id for k in kept])].drop(columns="t")
-
-    return tokens.groupBy("doc_id").applyInPandas(merge, candidates.schema)
+    last = lambda r: r["confidence"].isNull() | F.isnan(r["confidence"].cast("double"))
+    ordered = F.array_sort(F.transform(of, lambda r: F.struct(last(r).alias("last"), (-r["confidence"]).alias("by"), r["id"].alias("id"), r.alias("r"))))
+
+    @F.pandas_udf("array<boolean>")
+    def kept(kinds: pd.Series, words: pd.Series) -> pd.Series:
+        def take(kinds: list[str], words: list[str]) -> list[bool]:
+            out, taken, seen, n = [False] * len(kinds), {}, set(), 0
+            for i, (kind, joined) in enumerate(zip(kinds, words)):
+                own = frozenset(joined.split())
+                if own and (kind, own) in seen:
+                    continue
+                seen.add((kind, own))
+                for k in taken.get(kind, ()):
+                    least = min(len(own), len(k))
+                    if (len(own & k) / least if least >= 2 else float(bool(own) and own == k)) >= same:
+                        break
+                else:
+                    out[i] = True
+                    n += 1
+                    taken.setdefault(kind, []).append(own)
+                    if n == most:
+                        break
+            return out
+
+        return pd.Series([None if k is None else take(k, w) for k, w in zip(kinds, words)], dtype=object)
+
+    said = lambda x: F.coalesce(F.array_join(subject_tokens(x["r"]["title"]), " "), F.lit(""))
+    found = kept(F.transform(ordered, lambda x: x["r"]["type"]), F.transform(ordered, said))
+    # A lambda that indexed the whole array would sort it again for each candidate.
+    return F.filter(F.zip_with(ordered, found, lambda x, taken: F.when(taken, x["r"])), lambda r: r.isNotNull())
+
+
+def merged_candidates(candidates: DataFrame, same: float = 0.6, most: int = 12) -> DataFrame:
+    """merged_lists() of each document's candidates: doc_id, id, type, title, confidence and what else they have."""
+    staging.small_batches(candidates.sparkSession)
+    rest = [c for c in candidates.columns if c != "doc_id"]
+    lists = candidates.groupBy("doc_id").agg(F.collect_list(F.struct(*rest)).alias("of"))
+    return lists.select("doc_id", F.explode_outer(merged_lists(F.col("of"), same, most)).alias("r")).where("r IS NOT NULL").select("doc_id", "r.*").select(*candidates.columns)
 
 
 def counts_by_type(frame: DataFrame, kind: str, at: str, now: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmere.operators import ingestion, text
+from quillmere.sources import staging
 
 #: Sources that can be mapped, the longest title, and the kinds and sizes of files that can be read.
 SOURCES = ("gmail", "notion", "github", "custom", "brain", "upload", "slack", "drive")
@@ -175,6 +176,8 @@ def code_chunks(files: DataFrame) -> DataFrame:
     Pieces have at most CODE_CHARS characters and lose nothing but blank lines at their ends; null bytes in a file are taken for boundaries. Nulls and empty files give no rows.
     """
 
+    staging.small_batches(files.sparkSession)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []

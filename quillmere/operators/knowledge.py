@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,39 +31,157 @@ def same_subject(a: Column, b: Column) -> Column:
     return F.when(least < 2, jaccard(a, b)).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
+#: Bytes of title words in a block of titles, of one type; types of over LEAST_BLOCKS MB have as many blocks at least, for as many tasks.
+BLOCK_BYTES, LEAST_BLOCKS = 32 << 20, 4
+#: Pairs that a task holds at once, and bits that stand for a title's words.
+HITS, BITS = 1 << 20, 512
+
+
+class _Titles:
+    """Titles of one side of a tile: the codes of each one's words, its size and bits, and where each word is found."""
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, n_words: int):
+        self.codes, self.sizes = codes, sizes
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(codes, kind="stable")
+        self.found, self.counts = self.row[order], np.bincount(codes, minlength=n_words)
+        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        self.bits = np.zeros((len(sizes), BITS // 64), np.uint64)
+        np.bitwise_or.at(self.bits, (self.row, codes % BITS // 64), np.uint64(1) << (codes % 64).astype(np.uint64))
+
+    def prefix(self, other: _Titles, subject: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and words: so many of each title's words, the other side's rarest, that no title can share ``subject`` of them without one of these."""
+        order = np.lexsort((other.counts[self.codes], self.row))
+        place = np.arange(len(order)) - np.repeat(self.start[:-1], self.sizes)
+        least = np.ceil(subject * self.sizes - 1e-6).astype(np.int64)
+        taken = place < np.repeat(self.sizes - least + 1, self.sizes)
+        return self.row[order[taken]], self.codes[order[taken]]
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges of n from start, one range after another."""
+    return np.arange(n.sum()) + np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+
+
+def _first_like(new: _Titles, old: _Titles, subject: float) -> np.ndarray:
+    """For each new title the first old one with the same subject, as same_subject() has it; len(old.sizes) where there is none.
+
+    Pairs meet in the smaller title's rarest words, HITS at a time. Where a title's bits miss in the other's, so many of its words do at least;
+    what these leave is compared by all words, first those that come first.
+    """
+    best = np.full(len(new.sizes), len(old.sizes))
+
+    def compared(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        own = new.sizes[i]
+        # The words of each pair's new title as numbers with the pair, looked up among those of its old one.
+        pair = np.arange(len(i), dtype=np.int64)
+        width = np.int64(len(new.counts))
+        left = np.repeat(pair, own) * width + new.codes[_ranges(new.start[i], own)]
+        right = np.repeat(pair, old.sizes[j]) * width + old.codes[_ranges(old.start[j], old.sizes[j])]
+        at = np.minimum(np.searchsorted(right, left), len(right) - 1)
+        common = np.bincount(np.repeat(pair, own)[right[at] == left], minlength=len(i))
+        least = np.minimum(own, old.sizes[j])
+        return np.where(least < 2, common / (own + old.sizes[j] - common), common / least) >= subject
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        once = np.ones(len(i), bool)
+        once[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        i, j = i[once], j[once]
+        some = 1
+        while len(i):  # the first of each new title, then twice as many, until one is like it
+            begins = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            now = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i)))) < some
+            of_i, of_j = i[now], j[now]
+            words = np.cumsum(new.sizes[of_i] + old.sizes[of_j])
+            cuts = np.searchsorted(words, np.arange(4 * HITS, words[-1], 4 * HITS))
+            for x, y in zip(np.split(of_i, cuts), np.split(of_j, cuts)):
+                if len(x):
+                    like = compared(x, y)
+                    np.minimum.at(best, x[like], y[like])
+            i, j = i[~now], j[~now]
+            open_ = j < best[i]
+            i, j, some = i[open_], j[open_], 2 * some
+
+    # Old titles that are smaller first, in their order, so that new ones that have found theirs are left out.
+    for probe, other, from_new in ((old, new, False), (new, old, True)):
+        rows, words = probe.prefix(other, subject)
+        hits = np.cumsum(other.counts[words])
+        cuts = np.searchsorted(hits, np.arange(HITS, hits[-1] if len(hits) else 0, HITS))
+        for r, w in zip(np.split(rows, cuts), np.split(words, cuts)):
+            n = other.counts[w]
+            p, o = np.repeat(r, n), other.found[_ranges(other.first[w], n)]
+            i, j = (p, o) if from_new else (o, p)
+            fits = (j < best[i]) & ((probe.sizes[p] <= other.sizes[o]) if from_new else (probe.sizes[p] < other.sizes[o]))
+            p, o, i, j = p[fits], o[fits], i[fits], j[fits]
+            missing = np.zeros(len(p), np.int64)
+            for k in range(BITS // 64):
+                missing += np.bitwise_count(probe.bits[p, k] & ~other.bits[o, k])
+            enough = probe.sizes[p] - missing >= subject * probe.sizes[p] - 1e-6
+            take(i[enough], j[enough])
+    return best
+
+
+def _tile_matches(new: pa.Table, old: pa.Table, subject: float, columns: list[str]) -> pa.Table:
+    """title_key of new titles and k of the first known one like it in a tile; titles are words parted by spaces."""
+    old = old.take(pc.sort_indices(old, [("recency", "ascending"), ("known_id", "ascending")], null_placement="at_start"))
+    lists = [pc.split_pattern(t["words"].combine_chunks(), " ") for t in (new, old)]
+    codes = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    n, numbers = len(codes.dictionary), codes.indices.to_numpy().astype(np.int64)
+    # Sorted by title and code, as titles are looked up among one another.
+    sides, at = [], 0
+    for x in lists:
+        sizes = pc.list_value_length(x).to_numpy().astype(np.int64)
+        own = numbers[at : at + sizes.sum()]
+        at += len(own)
+        sides.append(_Titles(own[np.lexsort((own, np.repeat(np.arange(len(sizes)), sizes)))], sizes, n))
+    best = _first_like(*sides, subject)
+    has = best < len(old)
+    found = old.take(best[has])
+    return pa.table({"title_key": new["title_key"].filter(has), **{c: found[c] for c in columns}})
+
+
 def reconcile(candidates: DataFrame, known: DataFrame, subject: float = 0.6, same: float = 0.85) -> DataFrame:
     """id, action, known_id: skip, update or create, by the first known block of the type with that subject.
 
-    Both have id, type, title and body, known also recency (smaller is first). Two subjects are the same if they share a part of the smaller
-    one's words, so one of that one's rarest words is shared: only titles that meet in such a word are compared, each once however many blocks have it, and words that
-    many titles have bring few together. A candidate without title words can match nothing. Bodies are compared with the chosen block's alone.
+    Both have id, type, title and body, known also recency (smaller is first). Titles of the same words are one. The titles of a type are dealt
+    out in blocks of BLOCK_BYTES, and each block of new ones meets each of known ones in one task, which gives the first match of each new title alone: pairs
+    are many, as titles share words, but none is written. A candidate without title words can match nothing. Bodies are compared with the chosen block's alone.
     """
     def titled(frame: DataFrame) -> DataFrame:
-        words = frame.withColumn("t", F.array_sort(subject_tokens(F.col("title"))))
-        return words.withColumn("title_key", F.unhex(F.sha2(F.concat_ws(" ", "type", F.array_join("t", " ")), 256)))
-
-    c = titled(candidates).select("id", "type", "title_key", "t")
-    # Titles of the same words are one, and of the known blocks that have it the first by recency stands for all.
-    new = c.groupBy("title_key").agg(F.first("type").alias("type"), F.first("t").alias("t"))
-    old = titled(known).groupBy("title_key").agg(F.first("type").alias("type"), F.first("t").alias("kt"), F.min(F.struct("recency", F.col("id").alias("known_id"))).alias("k")).withColumnRenamed("title_key", "known_key")
+        words = frame.withColumn("words", F.array_join(F.array_sort(subject_tokens(F.col("title"))), " ")).drop("title", "body")
+        words = staging.written(words, "titles").where("words <> '' AND type IS NOT NULL")  # written, so that words are taken once
+        return words.withColumn("title_key", F.unhex(F.sha2(F.concat_ws("\n", "type", "words"), 256)))
+
+    c = titled(candidates).select("id", "type", "title_key", "words")
+    new = c.groupBy("title_key").agg(F.first("type").alias("type"), F.first("words").alias("words"))
+    # Of the known blocks with a title the first by recency stands for all.
+    old = titled(known).groupBy("title_key").agg(F.first("type").alias("type"), F.first("words").alias("words"), F.min(F.struct("recency", F.col("id").alias("known_id"))).alias("k"))
     new, old = staging.written(new, "new-titles"), staging.written(old, "known-titles")
-    n_words = new.select("title_key", "type", F.size("t").alias("n"), F.explode("t").alias("w"))
-    o_words = old.select("known_key", "type", F.size("kt").alias("n"), F.explode("kt").alias("w"))
-    df = n_words.select("type", "w").unionByName(o_words.select("type", "w")).groupBy("type", "w").agg(F.count("*").alias("df"))
-
-    def rare(words: DataFrame, key: str) -> DataFrame:
-        """So many of a title's rarest words that no other title can share ``subject`` of its words without one of them."""
-        place = F.row_number().over(Window.partitionBy(key).orderBy("df", "w"))
-        return words.join(df, ["type", "w"]).withColumn("_p", place).where(F.col("_p") <= F.col("n") - F.ceil(F.lit(subject) * F.col("n")) + 1).select(key, "type", "w")
-
-    met = rare(n_words, "title_key").join(o_words, ["type", "w"]).select("title_key", "known_key").unionByName(rare(o_words, "known_key").join(n_words, ["type", "w"]).select("title_key", "known_key")).distinct()
-    matched = met.join(new.drop("type"), "title_key").join(old.drop("type"), "known_key").where(same_subject(F.col("t"), F.col("kt")) >= subject)
-    chosen = matched.groupBy("title_key").agg(F.min("k").alias("k")).select("title_key", "k.known_id")
-    first = c.select("id", "title_key").join(chosen, "title_key").select("id", "known_id")
-    bodies = lambda frame, key, name: frame.select(F.col("id").alias(key), subject_tokens(F.col("body")).alias(name))
-    first = first.join(bodies(candidates, "id", "b"), "id").join(bodies(known, "known_id", "kb"), "known_id")
-    found = first.select("id", "known_id", F.when(jaccard(F.col("b"), F.col("kb")) >= same, "skip").otherwise("update").alias("action"))
-    return c.select("id").join(found, "id", "left").select("id", F.coalesce("action", F.lit("create")).alias("action"), "known_id")
+    bytes_ = F.sum(F.octet_length("words"))
+    blocks = lambda side, name: side.groupBy("type").agg(F.greatest(F.ceil(bytes_ / BLOCK_BYTES), F.least(F.ceil(bytes_ / (1 << 20)), F.lit(LEAST_BLOCKS))).cast("int").alias(name))
+    of_type = staging.written(blocks(new, "xs").join(blocks(old, "ys"), "type"), "blocks")
+
+    def dealt(side: DataFrame, own: str, other: str, *rest: str) -> DataFrame:
+        """Each title in its block, once for each block of the other side."""
+        block, every = F.pmod(F.xxhash64("title_key"), F.col(own + "s")).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)).alias(other)
+        return side.join(of_type, "type").select("type", block, every, "words", *rest)
+
+    tile = ["type", "x", "y"]
+    left, right = dealt(new, "x", "y", "title_key"), dealt(old, "y", "x", "k.recency", "k.known_id")
+    kinds = dict(right.dtypes)
+    matches = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(
+        lambda a, b: _tile_matches(a, b, subject, ["recency", "known_id"]), f"title_key binary, recency {kinds['recency']}, known_id {kinds['known_id']}"
+    )
+    chosen = staging.written(matches.groupBy("title_key").agg(F.min(F.struct("recency", "known_id")).alias("k")).select("title_key", "k.known_id"), "chosen")
+    first = staging.written(c.select("id", "title_key").join(chosen, "title_key").select("id", "known_id"), "first")
+    # Whole texts move, which are smaller than their words: a candidate's twice, a known one's once.
+    own = first.join(candidates.select("id", "body"), "id").join(known.select(F.col("id").alias("known_id"), F.col("body").alias("known_body")), "known_id")
+    said = own.select("id", "known_id", subject_tokens(F.col("body")).alias("b"), subject_tokens(F.col("known_body")).alias("kb"))
+    found = said.select("id", "known_id", F.when(jaccard(F.col("b"), F.col("kb")) >= same, "skip").otherwise("update").alias("action"))
+    return candidates.select("id").join(found, "id", "left").select("id", F.coalesce("action", F.lit("create")).alias("action"), "known_id")
 
 
 def merged_lists(of: Column, same: float = 0.6, most: int = 12) -> Column:

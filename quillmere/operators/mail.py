@@ -73,7 +73,9 @@ def rows(landed: DataFrame) -> DataFrame:
 
     seq orders the landings of a connection; no two landings of one connection share it.
     """
-    read = landed.select("connection_id", "seq", F.try_parse_json("message").alias("m")).where("m IS NOT NULL")
+    # Written, so that each message is parsed once and not again for every field, filter and level that reads it.
+    parsed = staging.written(landed.select("connection_id", "seq", F.try_parse_json("message").alias("m")), "mail-parsed")
+    read = parsed.where("m IS NOT NULL")
     text = lambda where: F.try_variant_get("m", where, "string")
     whole = read.select(
         "connection_id", "seq", text("$.id").alias("message_id"), text("$.threadId").alias("thread_id"), F.coalesce(F.try_variant_get("m", "$.labelIds", "array<string>"), F.array().cast("array<string>")).alias("labels"),

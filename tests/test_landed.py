@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmere.operators import mail, uploads, wiki
-from quillmere.sources import vectors
+from quillmere.sources import staging, vectors
 
 
 def b64(text):
@@ -47,6 +47,15 @@ def test_bodies_are_joined_in_the_order_of_a_walk(spark):
     assert found["m3"].body_text == "xyyyyyy" and found["m4"].body_text is found["m4"].subject is None and found["m5"].body_text is None
 
 
+def test_messages_are_parsed_once(spark, monkeypatch):
+    plans, write = [], staging.written
+    monkeypatch.setattr(staging, "written", lambda frame, name: plans.append(frame._jdf.queryExecution().optimizedPlan().toString()) or write(frame, name))
+    rows = landed(spark, [message("m1", TREE)])
+    assert [r.body_html for r in rows.collect()] == ["<i><b>"]
+    plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.lower().count("parse_json") + p.count("parseJson") for p in plans) == 1
+
+
 def test_later_landings_change_labels_and_snippet_only(spark):
     first, later = message("m1", TREE), message("m1", part("text/plain", "changed"), labelIds=["READ"], snippet="new")
     rows = landed(spark, [first, later])

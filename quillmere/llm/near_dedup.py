@@ -30,7 +30,7 @@ BRANCHES = 2
 DEPTH = 3
 MISS = 1e-4
 #: A node with more classes is branched further, for as many levels; what is large even then is compared in tiles.
-LARGE, MORE_LEVELS, BLOCK = 1024, 6, 256
+LARGE, MORE_LEVELS, BLOCK = 1024, 6, 512
 #: A large node isn't branched if at least this share of its classes agree with its leader.
 DENSE = 0.05
 #: Sketches may agree by so many standard deviations less than the threshold asks; 3e-5 of the pairs at the threshold fall below, besides MISS.
@@ -248,7 +248,7 @@ def _candidates(rows: pd.DataFrame, group: np.ndarray, percent: int, agree: int)
 def _links(rows: pd.DataFrame, percent: int, agree: int) -> list[tuple[int, int]]:
     """Links between classes of different labels in one tile, on full sets; what is connected on the way isn't compared again.
 
-    Each row of the tile's side 0 is held against each of its side 1. The Jaccard distance is a metric, so classes whose distances to
+    Each row of the tile's sides 0 and 2 is held against each of its sides 1 and 2. The Jaccard distance is a metric, so classes whose distances to
     a pivot differ by more than a link allows needn't be compared. A pair that shares several nodes is compared in the smallest of them.
     """
     sketch = _sketches(rows)
@@ -256,7 +256,7 @@ def _links(rows: pd.DataFrame, percent: int, agree: int) -> list[tuple[int, int]
     node = int(rows["node"].iloc[0])
     mine = [frozenset(x) for x in rows["mine"]]
     sets = [np.asarray(x) for x in rows["set"]]  # sorted
-    own, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    own, others = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     if not len(own) or not len(others):
         return []
 
@@ -391,8 +391,10 @@ class _Join:
         percent, agree = self.percent, self.agree
         mine = rows.groupBy("rep").agg(F.collect_set("node").alias("mine"))  # at most as many as a class has nodes
         blocks, parts = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("minors") / BLOCK).cast("int")
-        here = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(_block("rep", blocks).alias("block"), p.alias("part"), F.lit(0).alias("side")))
-        there = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(b.alias("block"), _block("label", parts).alias("part"), F.lit(1).alias("side")))
+        # side: 0 for a row that is held against others, 1 for one that others are held against, 2 for both; no row goes to a tile twice.
+        block, part = _block("rep", blocks), _block("label", parts)
+        here = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(block.alias("block"), p.alias("part"), F.when(F.col("minor") & (p == part), 2).otherwise(0).alias("side")))
+        there = F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: b != block), lambda b: F.struct(b.alias("block"), part.alias("part"), F.lit(1).alias("side")))
         dealt = rows.withColumn("tile", F.explode(F.when(F.col("minor"), F.concat(here, there)).otherwise(here)))
         dealt = dealt.select("node", "rep", "label", "n_shingles", "sketch", "minor", "tile.*").join(mine, "rep").join(sets, "rep")
 

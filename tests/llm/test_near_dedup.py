@@ -94,3 +94,22 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(500, 499)]
     found = {r.node: r.label for r in near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {found[i] for i in range(41)} == {0} and {found[i] for i in range(100, 140)} == {100} and found[500] == 499
+
+
+def test_no_class_goes_to_a_tile_twice(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    rows = [(i, edited(base, rng.choice([0, 1, 3, 6, 9, 14, 20]), rng)) for i in range(80)]
+    monkeypatch.setattr(near_dedup, "LARGE", 12)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    seen, frame = [], type(spark.range(1))
+    whole = frame.mapInPandas
+
+    def watched(self, *args, **more):
+        if "side" in self.columns:
+            seen.append((self.count(), self.select("node", "block", "part", "rep").distinct().count()))
+        return whole(self, *args, **more)
+
+    monkeypatch.setattr(frame, "mapInPandas", watched)
+    assert run(spark, rows) == brute(rows, 3, 85)
+    assert seen and all(n == once for n, once in seen)

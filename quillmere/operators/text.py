@@ -163,30 +163,40 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, bands: int = 16, r
     keyed = docs.select("doc_id", F.sha2("text", 256).alias("key"))
     entries = staging.written(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "entries")
     shingled = docs.select("doc_id", shingles(F.col("text")).alias("s")).select("doc_id", F.transform("s", shingle_hash).alias("h"), F.transform("s", lambda x: F.xxhash64(x)).alias("set"))
-    hashed = staging.written(minhash(shingled, bands * rows, "set").join(entries.select("doc_id"), "doc_id"), "hashed")
-    buckets = lsh_buckets(hashed, bands, rows).select("doc_id", F.xxhash64("band", "bucket").alias("bucket"))
-    several = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    members = staging.written(buckets.join(several, "bucket"), "members")
-    sets = hashed.select("doc_id", "set")
+    signed = minhash(shingled, bands * rows, "set").join(entries.select("doc_id"), "doc_id")
+    # Signatures end here: of each entry the buckets and the set are written, and the set's size goes with its buckets.
+    bucket_of = [F.xxhash64(F.lit(i), F.substring(F.sha2(F.array_join(F.slice("signature", i * rows + 1, rows), "|"), 256), 1, 16)) for i in range(bands)]
+    hashed = staging.written(signed.select("doc_id", "set", F.size("set").alias("size"), F.array(*bucket_of).alias("buckets")), "hashed")
+    buckets = hashed.select("doc_id", "size", F.explode("buckets").alias("bucket"))
+    several = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by(F.struct("doc_id", "size"), "doc_id").alias("first")).where("n > 1")
+    members = staging.written(buckets.join(several, "bucket").select("bucket", "doc_id", "size", "n", F.col("first.doc_id").alias("first"), F.col("first.size").alias("first_size")), "members")
+    # Sets of entries that share no bucket are read by nothing.
+    wanted = members.select("doc_id").distinct()
+    sets = staging.written(hashed.select("doc_id", "set").join(wanted, "doc_id", "left_semi"), "sets")
+    staging.discard(hashed)
+
+    def near(a: str, b: str) -> Column:
+        """Whether sets of these sizes can be similar enough; those that can't aren't joined to the pair."""
+        return F.least(a, b) >= threshold * F.greatest(a, b)
 
     def linked(pairs: DataFrame) -> DataFrame:
         u, v = sets.select(F.col("doc_id").alias("u"), F.col("set").alias("s")), sets.select(F.col("doc_id").alias("v"), F.col("set").alias("s2"))
         common = F.size(F.array_intersect("s", "s2"))
         return pairs.join(u, "u").join(v, "v").where(common >= threshold * (F.size("s") + F.size("s2") - common)).select("u", "v")
 
-    first = linked(members.where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct())
+    first = linked(members.where("doc_id <> first").where(near("size", "first_size")).select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct())
     links = staging.written(first, "links")
     labels = graph.components(links).withColumnRenamed("node", "doc_id")
-    own = members.join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    own = members.join(labels, "doc_id", "left").select("bucket", "doc_id", "size", F.coalesce("label", "doc_id").alias("label"))
     own = staging.written(own, "labelled")
     sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
     own = own.join(mixed, "bucket")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block, every = F.pmod(F.xxhash64("doc_id"), blocks).cast("int"), F.sequence(F.lit(0), blocks - 1)
-    minor = own.where("label <> most").select("bucket", F.col("doc_id").alias("a"), F.col("label").alias("la"), block.alias("x"), F.explode(every).alias("y"))
-    others = own.select("bucket", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.explode(every).alias("x"), block.alias("y"))
-    rest = minor.join(others, ["bucket", "x", "y"]).where("la <> lb").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    minor = own.where("label <> most").select("bucket", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("size").alias("sa"), block.alias("x"), F.explode(every).alias("y"))
+    others = own.select("bucket", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.explode(every).alias("x"), block.alias("y"))
+    rest = minor.join(others, ["bucket", "x", "y"]).where("la <> lb").where(near("sa", "sb")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     classes = graph.components(links.unionByName(linked(rest))).withColumnRenamed("node", "doc_id")
     found = entries.join(classes, "doc_id", "left").select("key", F.coalesce("label", "doc_id").alias("canonical"))
     return keyed.join(found, keyed.key.eqNullSafe(found.key)).select("doc_id", "canonical")

@@ -1,15 +1,16 @@
 """Which tokens of two tokenizers stand for the same bytes of a text.
 
 Tokens of A and of B end at byte offsets; where both end, the text is cut, and the tokens between two cuts are a
-group. The work is relational: tokens are exploded with their places, their lengths summed by windows, ends met by equality,
-and cuts counted along the text. A space between two printing characters is a cut under both tokenizers, whatever
-stands around it, so that stretches between such spaces are aligned once for each bucket of documents that hold them, and
-documents are put together from their stretches. Documents of a bucket meet once, by one shuffle of their texts; stretches, tokens
-and documents of a bucket stay in its task.
+group. The alignment is relational: tokens are exploded with their places, their lengths summed by windows, and ends met by equality.
+A space between two printing characters is a cut under both tokenizers, whatever stands around it, so that each distinct stretch
+between such spaces is aligned once for the whole table. Aligned stretches then go to the buckets of documents that hold them, where
+Arrow batches put documents together from them.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +27,24 @@ from quillmere.llm import support
 A_FILE = public_tokenizers.path("byte_bpe_50k.json")
 B_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
-#: Bytes of text of one bucket, about; a task holds one bucket's aligned stretches (few times that) and spills what else doesn't fit.
-BUCKET_BYTES = 10 << 20
+#: Bytes of text of one bucket, about; a task holds one bucket's texts and aligned stretches (few times that).
+BUCKET_BYTES = 12 << 20
+#: Small tables are dealt to all cores, but not to buckets below this.
+LEAST_BYTES = 1 << 20
+#: Stretches that are put together at once, or one document's.
+SLICE_WORDS = 50_000
 #: Pairs whose counts are broadcast (16 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
 #: A space that both tokenizers cut at: the patterns of A attach it to what follows, and no piece of B has a space after another character.
-BOUNDARY = r"(?<=[\x21-\x7E\p{L}\p{N}]) (?=[\x21-\x7E\p{L}\p{N}])"
+BOUNDARY = r" (?<=[\x21-\x7E\p{L}\p{N}] )(?=[\x21-\x7E\p{L}\p{N}])"
 #: Some of these characters; stretches that begin and end with them can be encoded in one call.
 _PRINTING = r"[!-~\u00c0-\u024f]"
 _SPACE = "▁"
+#: Bits of an id in a pair of ids, which is a * 2^17 + b.
+_ID_BITS = 17
+_FOUND = "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<struct<pair: long, n: long>>"
+_LINKS = pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())]))
+_FOUND_ARROW = pa.schema([*((x, pa.int64()) for x in ("row", "doc_id", "n_a", "n_b", "n_groups")), ("groups_sha256", pa.string()), ("links", _LINKS)])
 
 
 def byte_of_character() -> dict[str, int]:
@@ -137,54 +148,29 @@ def _tokens(a_file: str, b_file: str):
     return encoded.asNondeterministic()  # so that it isn't moved to where stretches still repeat
 
 
-def align(units: DataFrame, keys: list[str], a_file: str = A_FILE, b_file: str = B_FILE, partitions: int | None = None) -> DataFrame:
-    """Aligns each unit's tokens: keys, n_a, n_b, n_groups, groups (strings in order) and links; units without tokens have no row.
+def align(units: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, partitions: int = 1) -> DataFrame:
+    """Aligns each unit's tokens: text, of, and marks, one number for each token by its end: id * 4 + (2 for A) + (1 where both sides end). Units without tokens have no row.
 
-    units: keys and text, which isn't empty and whose space before is left out. With partitions, tokens are dealt to as many by the last key, and stay there.
-    links: pairs of ids as a * 2^32 + b, each once in a group, with their number of occurrences there.
+    units: part (a number), text, which isn't empty and whose space before is left out, and of, which comes back as it is. Tokens are dealt by part.
     """
-    tokens = units.select(*keys, _tokens(a_file, b_file)("text").alias("t"))
-    if partitions:  # Spark doesn't know that tokens lie as their texts do
-        tokens = tokens.repartition(partitions, keys[-1])
-    # A number that sorts faster than a text; it need only tell units of one task apart.
-    tokens = tokens.select(F.monotonically_increasing_id().alias("unit"), *keys, "t")
-    unit = ["unit", *keys]
-    rows = tokens.select(*unit, F.posexplode("t").alias("pos", "t"))
+    # Spark doesn't know that tokens lie as their texts do, and so they are dealt, while a unit is one row.
+    tokens = units.select("part", "text", "of", _tokens(a_file, b_file)("text").alias("t")).repartition(partitions, "part")
+    # A number that sorts faster than a text; it need only tell units of one part apart.
+    tokens = tokens.select(F.monotonically_increasing_id().alias("unit"), "*")
+    unit, first = ["unit", "part"], F.col("pos") == 0
+    rows = tokens.select(*unit, "text", "of", (F.octet_length("text") + 1).alias("length"), F.posexplode("t").alias("pos", "t"))
+    # The first token alone carries the unit's text, so that narrow rows are sorted.
+    rows = rows.select(*unit, F.when(first, F.col("text")).alias("text"), F.when(first, F.col("of")).alias("of"), "length", "pos", "t")
     # A's tokens come first and are as long together as the text with its space, and so are B's after them: one running sum gives the ends of both.
     along = Window.partitionBy(*unit).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    is_a, length = F.col("t") % 2 == 1, F.octet_length("text") + 1
+    is_a = F.col("t") % 2 == 1
     run = F.sum(F.shiftright("t", 18)).over(along).cast("int")
-    ends = rows.select(*unit, is_a.alias("is_a"), (F.shiftright("t", 1) % (1 << 17)).alias("id"), (run - F.when(is_a, 0).otherwise(length)).alias("end"))
-    # The equality of unit and end as a grouping: a side has each end once, so that a row is an end of A, of B, or of both.
-    met = ends.groupBy(*unit, "end").agg(F.max(F.when(F.col("is_a"), F.col("id"))).alias("a"), F.max(F.when(~F.col("is_a"), F.col("id"))).alias("b"))
-    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    before = Window.partitionBy(*unit).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    grouped = met.select(*unit, "end", "a", "b", F.coalesce(F.sum(cut).over(before), F.lit(0)).cast("int").alias("gid"), cut.alias("cut"))
-    held = grouped.groupBy(*unit).agg(
-        F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.sum("cut").alias("n_groups"), F.sort_array(F.collect_list(F.struct("end", "gid", "a", "b"))).alias("ends")
-    )
-
-    def of(side: str, gid: Column) -> Column:
-        return F.transform(F.filter("ends", lambda r: (r["gid"] == gid) & r[side].isNotNull()), lambda r: r[side])
-
-    gids = F.sequence(F.lit(0), (F.col("n_groups") - 1).cast("int"))
-    groups = held.select(*keys, "n_a", "n_b", "n_groups", F.transform(gids, lambda g: F.struct(of("a", g).alias("a"), of("b", g).alias("b"))).alias("groups"))
-
-    def decimal(ids: Column) -> Column:
-        return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
-
-    def link(x: Column, y: Column, n: Column) -> Column:
-        return F.struct((F.shiftleft(x.cast("long"), 32) + y).alias("pair"), n.cast("long").alias("n"))
-
-    def times(ids: Column, one: Column) -> Column:
-        return F.size(F.filter(ids, lambda y: y == one)).cast("long")
-
-    def pairs(g: Column) -> Column:
-        several = F.flatten(F.transform(F.array_distinct(g["a"]), lambda x: F.transform(F.array_distinct(g["b"]), lambda y: link(x, y, times(g["a"], x) * times(g["b"], y)))))
-        return F.when((F.size(g["a"]) == 1) & (F.size(g["b"]) == 1), F.array(link(g["a"][0], g["b"][0], F.lit(1)))).otherwise(several)
-
-    texts = F.array_join(F.transform("groups", lambda g: F.concat(decimal(g["a"]), F.lit("|"), decimal(g["b"]))), ";")
-    return groups.select(*keys, "n_a", "n_b", "n_groups", texts.alias("groups"), F.flatten(F.transform("groups", pairs)).alias("links"))
+    ends = rows.select(*unit, "text", "of", (F.col("t") % (1 << 18)).alias("t"), (run - F.when(is_a, 0).otherwise(F.col("length"))).alias("end"))
+    # A side has each end once: both sides end where the row before or after, by ends, has an equal end.
+    by_end = Window.partitionBy(*unit).orderBy("end")
+    met = F.coalesce(F.lag("end").over(by_end) == F.col("end"), F.lit(False)) | F.coalesce(F.lead("end").over(by_end) == F.col("end"), F.lit(False))
+    marked = ends.select(*unit, "text", "of", (F.shiftleft("t", 1) + met.cast("int")).alias("mark"))
+    return marked.groupBy(*unit).agg(F.max("text").alias("text"), F.first("of", ignorenulls=True).alias("of"), F.collect_list("mark").alias("marks")).select("text", "of", "marks")
 
 
 def spread(spark: SparkSession, n: int, most: int = 4_096) -> list[int] | None:
@@ -197,6 +183,79 @@ def spread(spark: SparkSession, n: int, most: int = 4_096) -> list[int] | None:
     return [labels[k] for k in range(n)] if len(labels) == n else None
 
 
+class Aligned:
+    """Aligned stretches of a bucket: numbers of tokens and groups, groups as text (each ended by ;) and linked pairs of each."""
+
+    def __init__(self, marks: pa.ListArray):
+        parts = [self._some(marks.slice(i, SLICE_WORDS)) for i in range(0, len(marks), SLICE_WORDS)] or [self._some(marks)]
+        self.n_a, self.n_b, self.n_groups, n_pairs, self.pairs = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        self.texts = pa.concat_arrays([p[5] for p in parts])
+        self.pair_at = np.concatenate([[0], np.cumsum(n_pairs)])
+
+    @staticmethod
+    def _some(lists: pa.ListArray) -> tuple[np.ndarray | pa.Array, ...]:
+        marks, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+        word = np.repeat(np.arange(len(size)), size)
+        sides = [(word[on], marks[on] >> 2, marks[on] & 1) for on in (marks & 2 == 2, marks & 2 == 0)]
+        (a_word, a_ids, a_cut), (b_word, b_ids, b_cut) = sides
+        n_a, n_b = (np.bincount(side[0], minlength=len(size)) for side in sides)
+        # Both sides end with a cut: groups are numbered through all stretches, alike on both sides.
+        a_group, b_group = (np.cumsum(cut) - cut for _, _, cut in sides)
+        n_groups = np.bincount(a_word, weights=a_cut, minlength=len(size)).astype(np.int64)
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        ids = pc.cast(pa.array(np.concatenate([a_ids, b_ids])[order]), pa.string())
+        tokens = pc.binary_join_element_wise(ids, pa.array([",", "|", ";"]).take(pa.array(np.concatenate([a_cut, 2 * b_cut])[order])), "")
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), tokens), "")
+        # Every a of a group with every b of it.
+        of_group = np.bincount(b_group, minlength=int(a_cut.sum()))
+        times = of_group[a_group]
+        before = np.cumsum(times) - times
+        at = np.repeat((np.cumsum(of_group) - of_group)[a_group] - before, times) + np.arange(times.sum())
+        pairs = (np.repeat(a_ids.astype(np.int64), times) << _ID_BITS) | b_ids[at]
+        n_pairs = np.bincount(a_word, weights=times, minlength=len(size)).astype(np.int64)
+        return n_a.astype(np.int32), n_b.astype(np.int32), n_groups.astype(np.int32), n_pairs, pairs, pc.cast(texts, pa.large_string())
+
+    def links(self, doc: np.ndarray, word: np.ndarray, n_docs: int) -> pa.ListArray:
+        """For each document its different pairs with their numbers of occurrences; word is a stretch of doc."""
+        n = self.pair_at[word + 1] - self.pair_at[word]
+        at = np.repeat(self.pair_at[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = np.sort((np.repeat(doc, n) << 2 * _ID_BITS) | self.pairs[at])
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        times, key = np.diff(begins, append=len(key)), key[begins]
+        found = pa.StructArray.from_arrays([pa.array(key & ((1 << 2 * _ID_BITS) - 1)), pa.array(times, pa.int64())], ["pair", "n"])
+        per_doc = np.bincount(key >> 2 * _ID_BITS, minlength=n_docs)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]), pa.int32()), found)
+
+
+def _put_together(docs: pa.Table, stretches: pa.Table) -> pa.Table:
+    """Documents of a bucket (doc_id, words) from the aligned stretches of that bucket."""
+    _of_worker.clear()  # tokenizers aren't used here
+    out, row, bucket = [_FOUND_ARROW.empty_table()], 0, docs["bucket"][0].as_py() if len(docs) else 0
+    doc_ids, lists = docs["doc_id"].combine_chunks(), docs["words"].chunks
+    known = stretches["text"].combine_chunks()
+    found = pc.index_in(pa.chunked_array([x.flatten() for x in lists], pa.string()), value_set=known)
+    place = pc.fill_null(found, -1).to_numpy()
+    at = np.concatenate([[0], *(x.value_lengths().to_numpy(zero_copy_only=False) for x in lists)]).cumsum()
+    n_docs = len(docs)
+    aligned = Aligned(stretches["marks"].combine_chunks())
+    while row < n_docs:
+        upto = min(max(row + 1, int(np.searchsorted(at, at[row] + SLICE_WORDS, "right")) - 1), n_docs)
+        n, word = upto - row, place[at[row] : at[upto]]
+        doc = np.repeat(np.arange(n), np.diff(at[row : upto + 1]))
+        none = np.zeros(n, bool)
+        none[doc[word < 0]] = True
+        doc, word = doc[~none[doc]], word[~none[doc]]
+        per_doc = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int64)
+        counts = [np.concatenate([[0], np.cumsum(x[word], dtype=np.int64)])[per_doc] for x in (aligned.n_a, aligned.n_b, aligned.n_groups)]
+        groups = aligned.texts.take(pa.array(word))  # of a document one after the other
+        ends, held = np.frombuffer(groups.buffers()[1], np.int64)[per_doc], memoryview(groups.buffers()[2] or b"")
+        digests = [hashlib.sha256(held[i : j - 1]).hexdigest() if j > i else "" for i, j in itertools.pairwise(ends.tolist())]
+        columns = [pa.array((bucket << 32) + np.arange(row, upto)), doc_ids.slice(row, n), *(pa.array(np.diff(x)) for x in counts), pa.array(digests, pa.string()), aligned.links(doc, word, n)]
+        out.append(pa.Table.from_arrays(columns, schema=_FOUND_ARROW))
+        row = upto
+    return pa.concat_tables(out)
+
+
 def document_groups(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """For every row of docs: row (a number of its own), doc_id, n_a, n_b, n_groups, groups_sha256 and links (pair, n), as a written table.
 
@@ -204,47 +263,41 @@ def document_groups(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE,
     so that repeated rows and null doc_ids are documents of their own.
     """
     spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
-    buckets = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
-    # One column, and explosions that infer no filters, so that both uses below read the same shuffle.
-    whole = F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), text)
-    bucket, labels = F.pmod(F.xxhash64("doc_id", text), F.lit(buckets)).cast("int"), spread(spark, buckets)
-    if labels:
-        bucket = F.element_at(F.array(*map(F.lit, labels)), bucket + 1)
-    dealt = docs.select(bucket.alias("bucket"), whole.alias("whole")).repartition(buckets, "bucket")
-    stretches = F.split(F.expr("substring(whole, locate(':', whole) + 1)"), BOUNDARY)
-    units = dealt.select("bucket", F.explode_outer(stretches).alias("text")).where("text != ''").distinct()
-    aligned = align(units, ["text", "bucket"], a_file, b_file, buckets)
-    doc_id = F.expr("cast(nullif(substring_index(whole, ':', 1), '') AS long)")
-    numbered = dealt.select("bucket", "whole", F.monotonically_increasing_id().alias("row"))
-    parts = numbered.select("bucket", "row", doc_id.alias("doc_id"), F.posexplode_outer(stretches).alias("at", "text"))
-    # Numbered by a window, whose order the join keeps: so narrow rows are sorted and not those with aligned stretches.
-    parts = parts.select("bucket", "row", "doc_id", "text", F.row_number().over(Window.partitionBy("row", "bucket").orderBy("at")).alias("pos"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "groups"))), lambda g: g["groups"]), ";")
-    found = parts.join(aligned.hint("shuffle_hash"), ["text", "bucket"], "left").groupBy("row", "bucket").agg(
-        F.max("doc_id").alias("doc_id"), F.max(F.col("n_a").isNull()).alias("none"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sum("n_groups").alias("n_groups"),
-        joined.alias("groups"), F.flatten(F.collect_list("links")).alias("links"),
-    )
-    zero = F.lit(0).cast("long")
-    counts = [F.when(F.col("none"), zero).otherwise(F.col(x)).alias(x) for x in ("n_a", "n_b", "n_groups")]
-    digest = F.when(F.col("none"), F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256")
-    found = found.select("row", "doc_id", *counts, digest, F.when(F.col("none"), F.slice("links", 1, 0)).otherwise(F.col("links")).alias("links"))
-    # Stretches and documents of a bucket are joined where they lie, and groups are made from the order that windows leave.
-    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-total // bucket_bytes), min(spark.sparkContext.defaultParallelism, -(-total // LEAST_BYTES)))
+    labels = spread(spark, buckets)
+
+    def dealt_by(*of: str | Column) -> Column:
+        number = F.pmod(F.xxhash64(*of), F.lit(buckets)).cast("int")
+        return F.element_at(F.array(*map(F.lit, labels)), number + 1) if labels else number
+
+    dealt = docs.select(dealt_by("doc_id", text).alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    stretches = F.split("text", BOUNDARY)
+    wanted = dealt.select("bucket", "text").repartition(buckets, "bucket").select("bucket", F.explode(stretches).alias("text")).where("text != ''").distinct()
+    # Each stretch of the whole table is aligned once, and goes to the buckets that hold it.
+    units = wanted.select(dealt_by("text").alias("part"), "text", "bucket").repartition(buckets, "part").groupBy("part", "text").agg(F.collect_list("bucket").alias("of"))
+    # Lists are made from the order that windows leave; what was shuffled for the stretches goes before documents are.
+    settings = {"spark.sql.execution.useObjectHashAggregateExec": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
     before = {name: spark.conf.get(name) for name in settings}
     try:
         for name, value in settings.items():
             spark.conf.set(name, value)
-        return support.materialise(found, "aligned", "zstd")
+        aligned = support.materialise(align(units, a_file, b_file, buckets), "stretches", "zstd")
+        there = aligned.select(F.explode("of").alias("bucket"), "text", "marks").repartition(buckets, "bucket")
+        parts = dealt.repartition(buckets, "bucket").select("bucket", "doc_id", stretches.alias("words"))
+        found = support.materialise(parts.groupBy("bucket").cogroup(there.groupBy("bucket")).applyInArrow(_put_together, _FOUND), "aligned", "zstd")
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+    support.discard(aligned)
+    return found
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
     """pair, docs (rows of found that hold it linked) and best (no pair of its A id is in more), as a written table."""
-    each = found.select(F.explode(F.array_distinct(F.transform("links", lambda x: x["pair"]))).alias("pair")).groupBy("pair").agg(F.count("*").alias("docs"))
+    each = found.select(F.explode("links.pair").alias("pair")).groupBy("pair").agg(F.count("*").alias("docs"))
     counts = support.materialise(each, "pairs")
-    a_id = F.shiftright("pair", 32).alias("a")
+    a_id = F.shiftright("pair", _ID_BITS).alias("a")
     most = counts.groupBy(a_id).agg(F.max("docs").alias("most"))  # a row for each id of A's vocabulary at most
     return support.materialise(counts.select("*", a_id).join(most, "a").select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "counted")
 

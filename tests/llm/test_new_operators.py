@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -88,6 +89,38 @@ def test_alignment_query_equals_brute_force(spark):
     assert plain(queries.op12_token_alignment(spark, SF)) == brute_alignment(rows)
 
 
+def test_alignment_aligns_each_stretch_of_the_table_once(spark, monkeypatch):
+    texts = [" ".join(["the same words", *(["two  spaces"] * (i % 3)), f"number{i % 4}"]) for i in range(40)]
+    seen, align = [], alignment.align
+    monkeypatch.setattr(alignment, "align", lambda units, *rest: seen.extend(r.text for r in units.select("text").collect()) or align(units, *rest))
+    rows = [(i, t, *rows_of([""])[0][2:]) for i, t in enumerate(texts)]
+    assert plain(alignment.links(spark.createDataFrame(rows, DOCS), bucket_bytes=100)) == brute_alignment([r[:2] for r in rows])
+    assert sorted(seen) == sorted({"the", "same", "words", "two  spaces", *(f"number{i}" for i in range(4))})
+
+
+def test_alignment_puts_documents_together_in_slices(monkeypatch):
+    def mark(i, is_a, cut):
+        return 4 * i + 2 * is_a + cut
+
+    marks = [[mark(2, 0, 0), mark(1, 1, 1), mark(3, 0, 1)], [mark(4, 1, 1), mark(5, 0, 1), mark(1, 1, 0), mark(1, 1, 1), mark(3, 0, 1)]]
+    stretches = pa.table({"text": ["x", "y"], "marks": pa.array(marks, pa.list_(pa.int32()))})
+    docs = pa.table({"bucket": pa.array([7] * 5, pa.int32()), "doc_id": [1, None, 2, 3, 4], "words": [["x", "y", "x"], [""], ["y"], ["x", "unknown"], ["x"]]})
+
+    def digest(groups):
+        return hashlib.sha256(groups.encode()).hexdigest()
+
+    x, y, a = "1|2,3", "4|5;1,1|3", 1 << 17
+    expected = [
+        (1, 5, 6, 4, digest(f"{x};{y};{x}"), {a + 2: 2, a + 3: 4, 4 * a + 5: 1}), (None, 0, 0, 0, "", {}), (2, 3, 2, 2, digest(y), {a + 3: 2, 4 * a + 5: 1}),
+        (3, 0, 0, 0, "", {}), (4, 1, 2, 1, digest(x), {a + 2: 1, a + 3: 1}),
+    ]
+    for words in (1, 3, 1000):
+        monkeypatch.setattr(alignment, "SLICE_WORDS", words)
+        found = alignment._put_together(docs, stretches).to_pylist()
+        assert len({r["row"] for r in found}) == 5
+        assert [(r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["groups_sha256"], {p["pair"]: p["n"] for p in r["links"]}) for r in found] == expected
+
+
 # --- quality ----------------------------------------------------------------------------------------------------
 
 

@@ -28,8 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest doc_id. The lower half of the doc_ids stands for the snapshot."""
     docs = _columns(spark, docs, sf_dir)
-    middle = docs.agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("m")).first().m
-    found = exact_dedup.deduplicate(docs, F.col("doc_id") <= F.lit(middle))
+    found = exact_dedup.deduplicate(docs, exact_dedup.lower_half(docs))
     digest = F.sha2(support.ascii_lower(F.coalesce("text", F.lit(""))), 256)  # as deduplicate() has it
     dropped = support.materialise(found.where("NOT kept").select("doc_id", "text_sha256").distinct(), "dropped")
     return docs.withColumn("text_sha256", digest).join(dropped, ["doc_id", "text_sha256"], "left_anti").select(*docs.columns)

@@ -185,6 +185,12 @@ def same_text(positives: DataFrame, snapshot: DataFrame, docs: DataFrame) -> Dat
     )
 
 
+def lower_half(docs: DataFrame) -> Column:
+    """Rows of docs in the lower half of the range of its doc_ids. Two large ids together don't fit a long, so they are added as decimals."""
+    low, high = (f("doc_id").cast("decimal(20,0)") for f in (F.min, F.max))
+    return F.col("doc_id") <= F.lit(docs.agg(F.floor((low + high) / 2).cast("long").alias("middle")).first().middle)
+
+
 def deduplicate(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     """Every row's group: doc_id, keep_id, group_size, kept, text_sha256.
 

@@ -2,7 +2,7 @@ import os
 import shutil
 
 import corpus_pipeline
-from quillmere.llm import queries
+from quillmere.llm import exact_dedup, queries
 from tests.llm.test_near_dedup import brute
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -50,3 +50,26 @@ def test_rows_that_share_a_doc_id_are_documents_of_their_own(spark):
     kept = corpus_pipeline.near_dedup_stage(spark, kept, SF)
     assert kept.columns == columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([r for r in rows[1:] if r != rows[5]], key=str)
+
+
+def test_large_doc_ids_go_through_all_stages(spark):
+    columns = spark.read.parquet(f"{SF}/documents.parquet").columns
+    top = 2**63 - 1
+    rows = [(top, "alpha beta"), (top - 1, "Alpha beta"), (top - 8, "beta gamma"), (top - 9, "BETA gamma"), (top - 5, "apart from that")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    half = exact_dedup.lower_half(docs)
+    assert {r.doc_id for r in docs.where(half).collect()} == {top - 5, top - 8, top - 9}
+    assert docs.where(exact_dedup.lower_half(docs.limit(0))).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+    assert {r.doc_id for r in docs.collect()} == {top, top - 8, top - 5}
+    packed = corpus_pipeline.packing_stage(spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == {top, top - 8, top - 5} and len(packed) == 3
+
+
+def test_op4_takes_large_doc_ids(spark, tmp_path):
+    top = 2**63 - 1
+    spark.createDataFrame([(top, "A b"), (top - 3, "a b"), (top - 2, "c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in queries.queries()["op4_exact_dedup"](spark, str(tmp_path)).collect()}
+    assert found == {top: (top, 2, True), top - 3: (top, 2, False), top - 2: (top - 2, 1, True)}
